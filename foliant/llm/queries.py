@@ -5,12 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliant.llm.common import table
 from foliant.llm.mixing import mix
+from foliant.llm.packing import pack
 from foliant.llm.sharding import shard
+from foliant.llm.token_files import read_token_files, write_token_files
+from foliant.llm.tokens import vocabulary
+from foliant.llm.toxicity import held_out, score, train
 
 SHARDS = 40
+#: Scores from which a document counts as toxic.
+TOXIC = 0.7
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,15 +54,31 @@ FROM before
 """
 
 
-def op10_shard_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, id_of_rank = write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=1)
+    return read_token_files(files, id_of_rank)
+
+
+def op5_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end=2, capacity=1024).drop("ids")
+
 
+def op8_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels"))).drop("text")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
+def op10_shard_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_token_files": op3_token_files,
+    "op5_pack_best_fit": op5_pack_best_fit,
+    "op8_toxicity_ftrl": op8_toxicity_ftrl,
     "op10_shard_rendezvous": op10_shard_rendezvous,
 }
 
