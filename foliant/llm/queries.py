@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import table
 from foliant.llm.mixing import mix
+from foliant.llm.nearest import build_index, nearest
 from foliant.llm.packing import pack
 from foliant.llm.sharding import shard
 from foliant.llm.token_files import read_token_files, write_token_files
 from foliant.llm.tokens import vocabulary
 from foliant.llm.toxicity import held_out, score, train
+from foliant.llm.vector_dedup import near_vectors
 
 SHARDS = 40
 #: Scores from which a document counts as toxic.
@@ -59,10 +61,20 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(files, id_of_rank)
 
 
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op5_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end=2, capacity=1024).drop("ids")
 
 
+def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    index, dim = build_index(vectors, depth=20)
+    return nearest(index, dim, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op8_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels"))).drop("text")
@@ -77,7 +89,9 @@ def op10_shard_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_token_files": op3_token_files,
+    "op4_near_vectors": op4_near_vectors,
     "op5_pack_best_fit": op5_pack_best_fit,
+    "op7_nearest_vectors": op7_nearest_vectors,
     "op8_toxicity_ftrl": op8_toxicity_ftrl,
     "op10_shard_rendezvous": op10_shard_rendezvous,
 }
