@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.common import table
+from foliant.llm.minhash import near_duplicates
 from foliant.llm.mixing import mix
 from foliant.llm.nearest import build_index, nearest
 from foliant.llm.packing import pack
@@ -69,6 +70,10 @@ def op5_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end=2, capacity=1024).drop("ids")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=80)
+
+
 def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     index, dim = build_index(vectors, depth=20)
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_near_vectors": op4_near_vectors,
     "op5_pack_best_fit": op5_pack_best_fit,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_nearest_vectors": op7_nearest_vectors,
     "op8_toxicity_ftrl": op8_toxicity_ftrl,
     "op10_shard_rendezvous": op10_shard_rendezvous,

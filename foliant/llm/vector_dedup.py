@@ -68,7 +68,7 @@ def _exact(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, alive:
     return alive & (a @ b.T / np.multiply.outer(na, nb) >= least)
 
 
-def _roots(linked: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+def roots(linked: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """The least place of each row's and column's component; columns count on from the rows, or are the rows."""
     n, m = linked.shape
     rows = np.arange(n)
@@ -169,7 +169,7 @@ def near_vectors(embeddings: DataFrame, least: float = 0.98, key: str = "vec_id"
                 if same:
                     linked = linked | linked.T
                     np.fill_diagonal(linked, False)
-                to_rows, to_columns = _roots(linked, same)
+                to_rows, to_columns = roots(linked, same)
                 every = ids[0] if same else np.concatenate(ids)
                 n = linked.sum(1) if same else np.concatenate([linked.sum(1), linked.sum(0)])
                 root = to_rows if same else np.concatenate([to_rows, to_columns])
