@@ -12,6 +12,7 @@ from foliant.llm.minhash import near_duplicates
 from foliant.llm.mixing import mix
 from foliant.llm.nearest import build_index, nearest
 from foliant.llm.packing import pack
+from foliant.llm.repeats import repeated_passages
 from foliant.llm.sharding import shard
 from foliant.llm.token_files import read_token_files, write_token_files
 from foliant.llm.tokens import vocabulary
@@ -86,6 +87,10 @@ def op8_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), least=50)
+
+
 def op10_shard_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_nearest_vectors": op7_nearest_vectors,
     "op8_toxicity_ftrl": op8_toxicity_ftrl,
+    "op9_repeated_passages": op9_repeated_passages,
     "op10_shard_rendezvous": op10_shard_rendezvous,
 }
 
