@@ -52,27 +52,20 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 def _pieces(path: str, end: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        tail = np.array([end], "<u4")
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                of, piece, start, length, raw = [], [], [], [], []
-                for row, ids in enumerate(enc.encode(part.column("__text").to_pylist())):
-                    ids = np.concatenate([ids, tail])
-                    first = len(ids) % capacity or capacity
-                    cuts = [0, *range(first, len(ids) + 1, capacity)]
-                    for number, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        of.append(row)
-                        piece.append(number)
-                        start.append(a)
-                        length.append(b - a)
-                        raw.append(ids[a:b].tobytes())
-                kept = [c.take(pa.array(of, pa.int64())) for c, n in zip(part.columns, part.schema.names, strict=True) if n != "__text"]
-                names = [n for n in part.schema.names if n != "__text"]
-                yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(raw, pa.binary())],
-                    [*names, "piece", "start", "length", "ids_crc32", "ids"],
-                )
+            names = [n for n in batch.schema.names if n != "__text"]
+            for row, ids, at in enc.rows(batch.column("__text"), end):
+                # Where pieces begin: with a row, and at each whole capacity before a row's end.
+                sizes = np.diff(at)
+                parts = -(-sizes // capacity)
+                of = np.repeat(np.arange(len(sizes)), parts)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+                stop = sizes[of] - (parts[of] - 1 - piece) * capacity
+                start = np.maximum(stop - capacity, 0)
+                raw = [ids[x:y].tobytes() for x, y in zip(at[of] + start, at[of] + stop, strict=True)]
+                kept = [batch.column(n).take(pa.array(of + row)) for n in names]
+                made = [pa.array(piece, pa.int32()), pa.array(start), pa.array(stop - start), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(raw, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*kept, *made], [*names, "piece", "start", "length", "ids_crc32", "ids"])
 
     return run
 

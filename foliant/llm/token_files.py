@@ -49,16 +49,14 @@ def unpack_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _tokenize(path: str, end: int, key_type: pa.DataType):
+def _tokenize(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        tail = np.array([end], "<u4")
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                ids = [np.concatenate([x, tail]) for x in enc.encode(part.column(1).to_pylist())]
-                small = [x.astype("<u2").tobytes() if not len(x) or x.max() < 65536 else b"\1" + x.tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(small, pa.binary())], ["key", "ids"])
+            for first, ids, at in enc.rows(batch.column(1), end):
+                small = ids.astype("<u2") if not len(ids) or ids.max() < 65536 else None
+                parts = [small[x:y].tobytes() if small is not None else b"\1" + ids[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(parts)), pa.array(parts, pa.binary())], ["key", "ids"])
 
     return run
 
@@ -124,7 +122,7 @@ def write_token_files(docs: DataFrame, path: str, end: int, key: str = "doc_id",
     key_field = docs.select(F.col(key)).schema[0]
     key_type = types.to_arrow_type(key_field.dataType)
     kind = key_field.dataType.simpleString()
-    tokens = cut(map_arrow(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), _tokenize(path, end, key_type), f"key {kind}, ids binary"), "token-ids", "zstd")
+    tokens = cut(map_arrow(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), _tokenize(path, end), f"key {kind}, ids binary"), "token-ids", "zstd")
     counts = map_arrow(tokens.select("ids"), _count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     id_of_rank = np.array([r["id"] for r in sorted(counts, key=lambda r: (-r["n"], r["id"]))], np.uint32)
     ordered = tokens.repartitionByRange(F.col("key"), F.xxhash64("ids")).sortWithinPartitions("key", "ids")

@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+import gc
 import os
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct pieces that a worker remembers: the first so many, which hold the frequent ones. Others are encoded anew.
 PIECES_KEPT = 500_000
+#: Bytes of text that are taken together.
+BYTES = 1 << 23
+#: Texts that are encoded whole, and words whose last character is encoded on its own.
+UNEVEN = r"[\s\pZ\x{0B}\x{85}\x{1C}-\x{1F}]{2}|^[\s\pZ\x{0B}\x{85}\x{1C}-\x{1F}]|[\s\pZ\x{0B}\x{85}\x{1C}-\x{1F}]$|^$"
+TAILED = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]$"
 
 
 class Encoder:
     """Ids of a text, as encode(text, add_special_tokens=False) gives them, with special tokens' strings as plain text.
 
-    A single space begins a new pre-token in both kinds of tokenizer here (byte-level with the space in front of the
-    word, and word ends with white space dropped), so the ids of a text are those of its pieces, one after another.
-    Texts with two spaces in a row are encoded whole.
+    Both kinds of tokenizer here (byte-level with the space in front of the word; word ends with white space dropped)
+    begin a new pre-token at a single space, before and after a line end between other characters, and where a run of
+    letters ends; so the ids of a text are those of such pieces, one after another. A text with two white-space
+    characters in a row, or with one at its start or end, is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -26,43 +37,85 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
-        specials = self.tokenizer.get_added_tokens_decoder()
-        self.mark_id = max(specials)
-        self.mark = specials[self.mark_id].content
-
-    def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, pieces: set[str]) -> None:
-        """Encodes new pieces as one text, with a special token between them, which parts a text before all else."""
-        odd = [x for x in pieces if self.mark in x]
-        self.known.update(zip(odd, self.plain(odd), strict=True))
-        rest = [x for x in pieces if self.mark not in x]
-        if rest:
-            self.tokenizer.encode_special_tokens = False
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(rest)], add_special_tokens=False)[0].ids, "<u4")
-            self.tokenizer.encode_special_tokens = True
-            ends = [*(np.flatnonzero(ids == self.mark_id) * 4).tolist(), 4 * len(ids)]
-            whole, at = ids.tobytes(), 0
-            for piece, end in zip(rest, ends, strict=True):
-                self.known[piece] = whole[at:end]
-                at = end + 4
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids as little-endian unsigned 32-bit arrays; a null text has none."""
-        out: list[np.ndarray] = []
-        for k in range(0, len(texts), 256):
-            split = [None if not x or "  " in x else x.replace(" ", "\0 ").split("\0") if "\0" not in x else None for x in texts[k : k + 256]]
-            new = set().union(*(x for x in split if x)).difference(self.known)
-            self.learn(new)
-            get = self.known.__getitem__
-            for text, pieces in zip(texts[k : k + 256], split, strict=True):
-                ids = b"".join(map(get, pieces)) if pieces else self.plain([text])[0] if text else b""
-                out.append(np.frombuffer(ids, "<u4"))
-            if len(self.known) > PIECES_KEPT:
-                for piece in new:
-                    del self.known[piece]
-        return out
+        self.folds = "Lowercase" in str(self.tokenizer.normalizer)
+        self.line_end = self.plain(["\n"])[0]
+        self.tails = {c: self.plain([c])[0].tobytes() for c in ".,"}
+
+    def plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), "<u4", int(sizes.sum())), sizes
+
+    def pieces(self, words: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray]:
+        """As plain() for words with the same text before each, what is known being looked up, and a full stop or comma
+        after letters on its own."""
+        tailed = pc.match_substring_regex(words, TAILED).to_numpy(zero_copy_only=False)
+        cores = pc.if_else(pa.array(tailed), pc.utf8_slice_codeunits(words, 0, -1), words).to_pylist()
+        if before:
+            cores = [before + w for w in cores]
+        found = list(map(self.known.get, cores))
+        new = list(dict.fromkeys([w for w, v in zip(cores, found, strict=True) if v is None]))
+        if new:
+            ids, sizes = self.plain(new)
+            raw, ends = ids.tobytes(), (np.cumsum(sizes) * 4).tolist()
+            fresh = {w: raw[a:b] for w, a, b in zip(new, [0, *ends], ends, strict=False)}
+            found = [fresh[w] if v is None else v for w, v in zip(cores, found, strict=True)]
+            if len(self.known) < PIECES_KEPT:
+                self.known |= fresh
+        at = np.flatnonzero(tailed)
+        for k, c in zip(at.tolist(), pc.utf8_slice_codeunits(words.take(pa.array(at)), -1).to_pylist(), strict=True):
+            found[k] += self.tails[c]
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows of a text column, one after another, and where each row's begin, and the end. A null row
+        has none."""
+        column = column.cast(pa.large_string()).fill_null("")
+        if not len(column):
+            return np.empty(0, "<u4"), np.zeros(1, np.int64)
+        odd = pc.match_substring_regex(column, UNEVEN).to_numpy(zero_copy_only=False)
+        ids_c, sizes_c = self.plain(column.filter(pa.array(odd)).to_pylist()) if odd.any() else (np.empty(0, "<u4"), np.empty(0, np.int64))
+        even = pc.if_else(pa.array(odd), "", column)
+        lines = pc.split_pattern(pc.ascii_lower(even) if self.folds else even, "\n")
+        at_line = lines.offsets.to_numpy() - lines.offsets[0].as_py()
+        split = pc.split_pattern(lines.flatten(), " ")
+        at_word = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        words = coded.dictionary
+        ids_a, sizes_a = self.pieces(words, "" if self.folds else " ")
+        # A line's first word stands without a space before it. After it come codes of the line end and of whole rows.
+        heads, head_code = np.unique(code[at_word[:-1]], return_inverse=True)
+        ids_b, sizes_b = self.pieces(words.take(pa.array(heads)), "")
+        code[at_word[:-1]] = len(words) + head_code
+        ids = np.concatenate([ids_a, ids_b, self.line_end, ids_c])
+        sizes = np.concatenate([sizes_a, sizes_b, [len(self.line_end)], sizes_c])
+        end = len(words) + len(heads)
+        later = np.ones(len(at_word) - 1, bool)
+        later[at_line[:-1]] = False
+        code[at_word[at_line[:-1][odd]]] = end + 1 + np.arange(len(sizes_c))  # such a row has one empty word by now
+        code = np.insert(code, at_word[:-1][later], end)
+        row_at = at_word[at_line] + np.append(0, np.cumsum(np.diff(at_line) - 1))
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[code]
+        ends = np.cumsum(each)
+        out = ids[np.arange(ends[-1]) + np.repeat(starts[code] - (ends - each), each)]
+        return out, np.append(0, ends)[row_at]
+
+    def rows(self, column: pa.Array, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Slices of a text column: the slice's first row, its ids with the end id after each row's, and where each row's
+        begin, and the end."""
+        nbytes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(nbytes)
+        a = 0
+        while a < len(column):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BYTES, "right")))
+            gc.disable()  # millions of small objects, none of them in cycles
+            ids, offsets = self.encode(column.slice(a, b - a))
+            gc.enable()
+            yield a, np.insert(ids, offsets[1:], end), offsets + np.arange(len(offsets))
+            a = b
 
 
 @lru_cache(2)
