@@ -13,6 +13,8 @@ from foliant.llm.mixing import mix
 from foliant.llm.nearest import build_index, nearest
 from foliant.llm.packing import pack
 from foliant.llm.repeats import repeated_passages
+from foliant.llm.secret_scan import labelled_findings, scan
+from foliant.llm.secret_scan import train as train_forest
 from foliant.llm.sharding import shard
 from foliant.llm.token_files import read_token_files, write_token_files
 from foliant.llm.tokens import vocabulary
@@ -58,6 +60,11 @@ FROM before
 """
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), train_forest(labelled_findings(spark)))
+    return found.select("doc_id", "place", "nth", F.length("candidate").alias("length"), F.crc32(F.col("candidate").cast("binary")).alias("candidate_crc32"), "score", "is_secret")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, id_of_rank = write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=1)
     return read_token_files(files, id_of_rank)
@@ -98,6 +105,7 @@ def op10_shard_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_secret_scan": op2_secret_scan,
     "op3_token_files": op3_token_files,
     "op4_near_vectors": op4_near_vectors,
     "op5_pack_best_fit": op5_pack_best_fit,
