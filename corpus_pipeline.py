@@ -5,10 +5,46 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from foliant.llm import minhash, mixing, packing, secret_scan, tokens, toxicity
 from foliant.llm.common import shared_dir, table
+from foliant.llm.queries import TOXIC
 
-STAGES: list = []
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under the threshold stay; so do null and empty texts, unless the model's constant is above it."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, name="__toxicity").where(F.col("__toxicity") < TOXIC).drop("__toxicity")
+
+
+def one_near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the least id stays."""
+    return minhash.one_of_each(docs, n=5, percent=80)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; their secrets are masked."""
+    return secret_scan.redact(docs, secret_scan.train(secret_scan.labelled_findings(spark)))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time that the mix takes a document; the one at a source's budget is cut."""
+    return mixing.mixed_rows(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows with their ids and their places in sequences of 1024 tokens."""
+    return packing.pack(docs, tokens.vocabulary("byte_bpe_50k.json"), end=2, capacity=1024)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near-duplicates", one_near_duplicate),
+    ("secrets", mask_secrets),
+    ("mix", mix_sources),
+    ("pack", pack_sequences),
+]
 
 #: Learned scores, signatures and packings are not expressible in SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
