@@ -80,7 +80,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, COORDINATES)
         tokens = stir(sig.astype(np.uint64) | place).view(np.int64)
         ids = np.repeat(batch.column(0).to_numpy(), COORDINATES)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tokens.ravel())], ["id", "token"])
+        which = np.tile(np.arange(COORDINATES, dtype=np.int32), len(sig))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tokens.ravel()), pa.array(which)], ["id", "token", "which"])
 
 
 def grouped(columns: list[str], out: list[str], work: Callable[[dict[str, np.ndarray | list]], list[np.ndarray]]):
@@ -138,12 +139,18 @@ def _forest(ids: np.ndarray, linked: np.ndarray) -> list[np.ndarray]:
 
 
 def _match(group: dict) -> list[np.ndarray]:
-    """Candidates of a tile of a posting list: signatures that match in enough coordinates."""
+    """Candidates of a tile of a posting list: signatures that match in enough coordinates. A pair that meets in the
+    list of an earlier coordinate too is skipped: it counts there."""
     sig = np.frombuffer(b"".join(group["sig"]), "<u4").reshape(-1, COORDINATES)
     count = np.zeros((len(sig), len(sig)), np.uint8)
+    before = np.zeros(count.shape, bool)
     for k in range(COORDINATES):
-        count += sig[:, k, None] == sig[None, :, k]
-    return _forest(group["id"], count >= MATCHES)
+        same = sig[:, k, None] == sig[None, :, k]
+        count += same
+        if k < group["which"][0]:
+            posted = group["posted"] >> k & 1 == 1
+            before |= same & posted[:, None] & posted[None, :]
+    return _forest(group["id"], (count >= MATCHES) & ~before)
 
 
 def _confirm(percent: int):
@@ -221,22 +228,23 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
 
 def _clusters(classes: DataFrame) -> DataFrame:
     """id and cluster of all classes that are candidates with another."""
-    posted = map_arrow(classes.select("id", "sig"), _tokens, "id long, token long")
+    posted = map_arrow(classes.select("id", "sig"), _tokens, "id long, token long, which int")
     often = posted.groupBy("token").agg(F.count("*").alias("times")).where(F.col("times") > 1)
     prefix = COORDINATES - MATCHES + 1
     lists = (
-        posted.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("tokens"))  # COORDINATES at most
+        posted.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("times", "token", "which"))).alias("tokens"))  # COORDINATES at most
         .where(F.size("tokens") >= MATCHES)
         .withColumn("tokens", F.slice("tokens", F.lit(1), F.greatest(F.lit(0), prefix - COORDINATES + F.size("tokens"))))
+        .withColumn("posted", F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a + F.call_function("shiftleft", F.lit(1).cast("long"), t["which"])))
         .join(classes.select("id", "sig"), "id")
-        .select("id", "sig", F.explode("tokens").alias("t")).select("id", "sig", "t.token", "t.times")
+        .select("id", "sig", "posted", F.explode("tokens").alias("t")).select("id", "sig", "posted", "t.token", "t.which", "t.times")
     )
     blocks = F.ceil(F.col("times") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     tiled = (
         lists.withColumn("blocks", blocks).withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "sig")
+        .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "sig", "posted", "which")
     )
     dealt = tiled.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "id")
     edges = map_arrow(dealt, grouped(["token", "i", "j"], ["a", "b"], _match), "a long, b long")
