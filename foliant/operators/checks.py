@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 from foliant import config as C
 from foliant.functions import text as T
 
-S, R = F.col("source"), F.col("translation")
+
+
+def _s(c: Column | None) -> Column:
+    return F.col("source") if c is None else c
+
+
+def _r(c: Column | None) -> Column:
+    return F.col("translation") if c is None else c
 
 
 def count_blocks(c: Column) -> Column:
@@ -25,41 +32,44 @@ def count_table_rows(c: Column) -> Column:
     return F.size(F.filter(F.split(c, r"\R"), lambda line: F.startswith(line, F.lit("|"))))
 
 
-def missing_numbers(source: Column = S, other: Column = R) -> Column:
-    return T.missing(source, other, C.YEAR_OR_DECIMAL)
+def missing_numbers(source: Column | None = None, other: Column | None = None) -> Column:
+    return T.missing(_s(source), _r(other), C.YEAR_OR_DECIMAL)
 
 
-def missing_integers(source: Column = S, other: Column = R) -> Column:
+def missing_integers(source: Column | None = None, other: Column | None = None) -> Column:
     """Only a warning: small numbers often become words."""
+    source, other = _s(source), _r(other)
     every = F.array_except(F.regexp_extract_all(source, F.lit(C.INTEGER), F.lit(0)), F.regexp_extract_all(source, F.lit(C.YEAR_OR_DECIMAL), F.lit(0)))
     return F.array_sort(F.array_except(every, F.regexp_extract_all(other, F.lit(C.INTEGER), F.lit(0))))
 
 
-def missing_citations(source: Column = S, other: Column = R) -> Column:
-    return F.array_sort(F.array_except(T.citations(source), T.citations(other)))
+def missing_citations(source: Column | None = None, other: Column | None = None) -> Column:
+    return F.array_sort(F.array_except(T.citations(_s(source)), T.citations(_r(other))))
 
 
-def missing_image_links(source: Column = S, other: Column = R) -> Column:
-    return F.filter(T.image_links(source), lambda link: ~F.contains(other, link))
+def missing_image_links(source: Column | None = None, other: Column | None = None) -> Column:
+    other = _r(other)
+    return F.filter(T.image_links(_s(source)), lambda link: ~F.contains(other, link))
 
 
-def untranslated_footnotes(c: Column = R) -> Column:
-    notes = F.filter(T.units(c), lambda p: F.startswith(p, F.lit(">")) & ~p.rlike(C.AFFILIATION))
+def untranslated_footnotes(c: Column | None = None) -> Column:
+    notes = F.filter(T.units(_r(c)), lambda p: F.startswith(p, F.lit(">")) & ~p.rlike(C.AFFILIATION))
     bodies = F.transform(notes, lambda p: F.regexp_replace(p, C.FOOTNOTE_LABEL, ""))
     return F.filter(bodies, lambda b: (F.length(b) > 40) & ~T.has_hangul(b))
 
 
-def english_left(c: Column = R) -> Column:
+def english_left(c: Column | None = None) -> Column:
     plain = lambda p: ~F.substring(p, 1, 1).isin("|", "!", "$") & ~F.startswith(p, F.lit("```"))
-    return F.filter(F.split(c, "\n\n"), lambda p: (F.length(p) > 200) & ~T.has_hangul(p) & plain(p))
+    return F.filter(F.split(_r(c), "\n\n"), lambda p: (F.length(p) > 200) & ~T.has_hangul(p) & plain(p))
 
 
 def untranslated_body(c: Column) -> Column:
     return F.filter(F.split(T.body_before_references(c), "\n\n"), lambda p: (F.length(T.strip(p)) > 80) & T.is_body(p) & ~T.has_hangul(p))
 
 
-def is_references(c: Column = S) -> Column:
+def is_references(c: Column | None = None) -> Column:
     """Chunks of references: by heading, or by more than half of their lines."""
+    c = _s(c)
     lines = F.split(c, r"\R")
     entries = F.size(F.filter(lines, lambda x: x.rlike(r"^-\s*\[")))
     solid = F.size(F.filter(lines, lambda x: T.strip(x) != ""))
@@ -68,7 +78,7 @@ def is_references(c: Column = S) -> Column:
 
 def problems(files: Column | None = None) -> list[Column]:
     """One array of texts for each rule; empty where it holds. files: array of the paths that exist."""
-    refs = is_references()
+    refs, S, R = is_references(), _s(None), _r(None)  # noqa: N806
     say = lambda text, items: F.transform(items, lambda x: F.concat(F.lit(text), x))
 
     def unequal(name: str, count) -> Column:
@@ -100,7 +110,7 @@ def verify(pairs: DataFrame, files: DataFrame | None = None) -> DataFrame:
         found = found.join(files.groupBy("doc_id").agg(F.collect_set("path").alias("files")), "doc_id", "left")
         found = found.withColumn("files", F.coalesce("files", F.array().cast("array<string>")))
     every = F.concat(*problems(F.col("files") if files is not None else None))
-    out = found.withColumn("problems", F.when(R.isNull(), F.array(F.lit("no translation"))).otherwise(every)).withColumn("warnings", F.coalesce(missing_integers(), F.array().cast("array<string>")))
+    out = found.withColumn("problems", F.when(F.col("translation").isNull(), F.array(F.lit("no translation"))).otherwise(every)).withColumn("warnings", F.coalesce(missing_integers(), F.array().cast("array<string>")))
     return out.select("doc_id", "id", "problems", "warnings", (F.size("problems") == 0).alias("ok"))
 
 
@@ -127,10 +137,10 @@ def final_check(works: DataFrame) -> DataFrame:
     files (paths that exist), chunks, translated, reviewed (counts, null without an index), coverage, truncated, extractor
     and figures (null without them). Some rows only inform."""
     ko = F.col("ko")
-    ns, body = count_blocks(F.coalesce(S, F.lit(""))), ko
+    ns, body = count_blocks(F.coalesce("source", F.lit(""))), ko
     at = F.regexp_instr(ko, F.lit(C.GLOSSARY))
     nt = count_blocks(F.when(at > 0, F.left(body, at - 1)).otherwise(body))
-    years = T.missing(F.coalesce(S, F.lit("")), ko, C.YEAR)
+    years = T.missing(F.coalesce("source", F.lit("")), ko, C.YEAR)
     links = T.image_links(ko)
     broken = F.size(F.filter(links, lambda x: ~F.array_contains("files", x)))
     notes, left = F.size(untranslated_footnotes(ko)), F.size(untranslated_body(ko))
