@@ -1,14 +1,21 @@
-"""Sends this package to the executors, whose Python workers may not have it on their path."""
+"""Sends this package to the executors, whose Python workers may not have it on their path, and bounds their memory."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SENT: set[str] = set()
+#: What a worker holds from earlier tasks: each of these lets go of it.
+CACHES: list[Callable[[], None]] = []
+#: Bytes of an Arrow batch, where the session has Spark's own default.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def ship(spark: SparkSession) -> None:
@@ -17,6 +24,8 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _SENT:
         return
     _SENT.add(context.applicationId)
+    if context.getConf().get(BATCH[0]) is None:
+        spark.conf.set(*BATCH)
     root = Path(__file__).resolve().parent
     to = Path(tempfile.mkdtemp(prefix="foliant-code-")) / "foliant.zip"
     with zipfile.ZipFile(to, "w") as z:
@@ -25,7 +34,28 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(str(to.resolve()))
 
 
-def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow with this package on the workers' path."""
+def release() -> None:
+    """Gives memory of earlier tasks back to the system."""
+    import pyarrow as pa
+
+    for clear in CACHES:
+        clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema, keep: bool = False) -> DataFrame:
+    """df.mapInArrow with this package on the workers' path. Unless told to keep them, a task first lets go of what other
+    tasks left in its worker."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def fresh(batches: Iterator) -> Iterator:
+        if not keep:
+            release()
+        yield from run(batches)
+
+    return df.mapInArrow(fresh, schema)
