@@ -156,7 +156,8 @@ def _match(group: dict) -> list[np.ndarray]:
 def _confirm(percent: int):
     def work(group: dict) -> list[np.ndarray]:
         """Links of a block of a cluster, by whole sets."""
-        sets = [np.frombuffer(x, "<u8") for x in group["shingles"]]
+        ids, once = np.unique(group["id"], return_index=True)  # repeated rows repeat their sets
+        sets = [np.frombuffer(group["shingles"][k], "<u8") for k in once]
         size = np.array([len(x) for x in sets], np.int64)
         own = np.repeat(np.arange(len(sets)), size)
         every = np.concatenate(sets)
@@ -175,7 +176,7 @@ def _confirm(percent: int):
             common += has @ has.T
         common = common.astype(np.int64)
         union = size[:, None] + size[None, :] - common
-        return _forest(group["id"], 100 * common >= percent * union)
+        return _forest(ids, 100 * common >= percent * union)
 
     return work
 
@@ -257,7 +258,7 @@ def _confirmed(rows: DataFrame, classes: DataFrame, clusters: DataFrame, n: int,
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     members = clusters.join(sizes, "cluster").join(classes.select("id", "d1", "d2"), "id").select("id", "d1", "d2", "cluster", "size")
     texts = rows.join(members, "id").select("id", "text", "d1", "d2", "cluster", "size")
-    sets = cut(map_arrow(texts, _cluster_sets(n), "id long, cluster long, size long, shingles binary").dropDuplicates(["id"]), "sets")
+    sets = cut(map_arrow(texts, _cluster_sets(n), "id long, cluster long, size long, shingles binary"), "sets")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("id", F.lit("pivot")), F.col("size")) < PIVOTS)
@@ -279,7 +280,7 @@ def _confirmed(rows: DataFrame, classes: DataFrame, clusters: DataFrame, n: int,
     mine = F.pmod(F.xxhash64("id", F.lit("outer")), F.col("outer")).cast("int")
     left = outside.withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = labelled.where(F.col("outer") > 0).withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)))
-    both = left.unionByName(right).select("cluster", "i", "j", "id", "shingles").dropDuplicates(["cluster", "i", "j", "id"])
+    both = left.unionByName(right).select("cluster", "i", "j", "id", "shingles")
     dealt = both.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
     more = map_arrow(dealt, grouped(["cluster", "i", "j"], ["a", "b"], confirm), "a long, b long")
     return components(edges.unionAll(more))

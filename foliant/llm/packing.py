@@ -82,7 +82,7 @@ def pack(docs: DataFrame, path: str, end: int, capacity: int = 1024, key: str =
     pieces = cut(
         map_arrow(
             docs.select(F.col(key).alias("key"), F.col(text).alias("__text")),
-            _pieces(path, end, capacity), f"key {kind}, piece int, start long, length long, ids_crc32 long, ids binary",
+            _pieces(path, end, capacity), f"key {kind}, piece int, start long, length long, ids_crc32 long, ids binary", keep=True,
         ),
         "pieces", "zstd",
     )

@@ -122,7 +122,7 @@ def write_token_files(docs: DataFrame, path: str, end: int, key: str = "doc_id",
     key_field = docs.select(F.col(key)).schema[0]
     key_type = types.to_arrow_type(key_field.dataType)
     kind = key_field.dataType.simpleString()
-    tokens = cut(map_arrow(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), _tokenize(path, end), f"key {kind}, ids binary"), "token-ids", "zstd")
+    tokens = cut(map_arrow(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), _tokenize(path, end), f"key {kind}, ids binary", keep=True), "token-ids", "zstd")
     counts = map_arrow(tokens.select("ids"), _count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     id_of_rank = np.array([r["id"] for r in sorted(counts, key=lambda r: (-r["n"], r["id"]))], np.uint32)
     ordered = tokens.repartitionByRange(F.col("key"), F.xxhash64("ids")).sortWithinPartitions("key", "ids")

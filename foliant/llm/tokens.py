@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from foliant.ship import CACHES
+
 #: Distinct pieces that a worker remembers: the first so many, which hold the frequent ones. Others are encoded anew.
 PIECES_KEPT = 500_000
 #: Bytes of text that are taken together.
@@ -124,6 +126,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+CACHES.append(encoder.cache_clear)
+
+
 def vocabulary(name: str) -> str:
     """The place of a public tokenizer's file."""
     import public_tokenizers
