@@ -103,6 +103,51 @@ def op10_shard_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+REACHED = """reached(id, other) AS (SELECT id, id FROM nodes UNION SELECT r.id, e.b FROM reached r JOIN edges e ON e.a = r.other),
+least AS (SELECT id, min(other) AS component_id FROM reached GROUP BY id)"""
+
+OP4_SQL = f"""
+WITH RECURSIVE sound AS (
+  SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) = (SELECT max(len(embedding)) FROM embeddings)
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+edges AS (SELECT x.id AS a, y.id AS b FROM sound x JOIN sound y ON x.label = y.label AND x.id <> y.id WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+nodes AS (SELECT DISTINCT a AS id FROM edges),
+{REACHED}
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) IS NOT DISTINCT FROM vec_id AS kept
+FROM embeddings LEFT JOIN least ON least.id = vec_id LEFT JOIN (SELECT a, count(*) AS n FROM edges GROUP BY a) ON a = vec_id
+"""
+
+OP6_SQL = rf"""
+WITH RECURSIVE split AS (
+  SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT id, array_to_string(w[k : k + 3], ' ') AS s FROM (SELECT id, w, unnest(range(1, greatest(2, len(w) - 2))) AS k FROM split WHERE len(w) > 0)),
+sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id),
+pairs AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.id <> y.id GROUP BY ALL),
+edges AS (SELECT a, b FROM pairs JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+nodes AS (SELECT DISTINCT a AS id FROM edges),
+{REACHED}
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) IS NOT DISTINCT FROM doc_id AS kept
+FROM documents LEFT JOIN sizes ON sizes.id = doc_id LEFT JOIN least ON least.id = doc_id
+"""
+
+OP10_SQL = f"""
+WITH bits AS (
+  SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i)),
+crcs AS (SELECT list(c ORDER BY i) AS t FROM bits),
+bytes AS (SELECT doc_id, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents),
+scored AS (
+  SELECT doc_id, arg_max(s, h) FILTER (s < {SHARDS}) AS shard, arg_max(s, h) AS grown_shard
+  FROM (SELECT doc_id, s, substr(md5('shard:' || coalesce(doc_id::VARCHAR, '~') || ':' || s), 1, 13) AS h FROM (SELECT DISTINCT doc_id FROM documents), range({SHARDS + 1}) r(s)) GROUP BY doc_id),
+found AS (
+  SELECT b.doc_id, len(b)::BIGINT + 16 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32, shard, grown_shard
+  FROM bytes b, crcs, scored s WHERE s.doc_id IS NOT DISTINCT FROM b.doc_id)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, grown_shard::INT AS grown_shard,
+  row_number() OVER (PARTITION BY shard ORDER BY substr(md5('slot:' || coalesce(doc_id::VARCHAR, '~')), 1, 13), doc_id, text_crc32) - 1 AS slot
+FROM found
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_secret_scan": op2_secret_scan,
@@ -116,4 +161,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_shard_rendezvous": op10_shard_rendezvous,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op4_near_vectors": OP4_SQL, "op6_near_duplicates": OP6_SQL, "op10_shard_rendezvous": OP10_SQL}
