@@ -180,7 +180,8 @@ def bad_paragraph_topk(spark: SparkSession, sf: str) -> DataFrame:
     return quality.bad_paragraphs(blocks_of(spark, sf))
 
 
-@query("extract_report")
+@query("extract_report", f"""WITH {B}, {CHECKED}, {SCORES}, bp AS (SELECT doc_id, string_agg('- ' || left(t, 100), chr(10) ORDER BY idx) AS l FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS n FROM c WHERE NOT {ENDS.format('t')}) WHERE n <= 20 GROUP BY doc_id)
+SELECT doc_id, '# Extraction report' || chr(10) || chr(10) || printf('coverage %.3f, truncated %.3f', coverage, truncated) || chr(10) || chr(10) || coalesce(l, '') AS report FROM s LEFT JOIN bp USING (doc_id) WHERE NOT (coverage >= 0.97 AND truncated <= 0.05)""")
 def extract_report(spark: SparkSession, sf: str) -> DataFrame:
     return quality.report(_scores(spark, sf), quality.bad_paragraphs(blocks_of(spark, sf)))
 
@@ -653,12 +654,22 @@ pair_query("check_images", lambda: F.size(checks.missing_image_links(F.concat(F.
 pair_query("check_references", lambda: checks.is_references(F.replace("source", F.lit("\n"), F.lit("\n- ["))), r"coalesce(len(list_filter(string_split(replace(s, chr(10), chr(10) || '- ['), chr(10)), lambda x: regexp_matches(x, '^-\s*\['))) / nullif(len(list_filter(string_split(replace(s, chr(10), chr(10) || '- ['), chr(10)), lambda x: trim(x) <> '')), 0) > 0.5, false)")
 
 
-@query("verify_verdict")
+LACKS = "len(list_filter({a}, lambda x: NOT list_contains({b}, x)))"
+REFS = r"(regexp_matches(s, '(?im)^#+\s*(References|참고문헌)') OR coalesce(len(list_filter(string_split(s, chr(10)), lambda x: regexp_matches(x, '^-\s*\['))) / nullif(len(list_filter(string_split(s, chr(10)), lambda x: trim(x) <> '')), 0) > 0.5, false))"
+HANGUL_SHARE = "len(regexp_extract_all(r, '[가-힣]')) / nullif(len(regexp_extract_all(r, '[A-Za-z가-힣]')), 0)"
+VERIFIED = rf"""v AS (SELECT doc_id, id, {LACKS.format(a=NUMBERS.format('s'), b=NUMBERS.format('r'))} + {LACKS.format(a=CITES.format('s'), b=CITES.format('r'))} + (len({UNITS.format('s')}) <> len({UNITS.format('r')}))::INT
+ + len(list_filter({UNITS.format('r')}, lambda x: starts_with(x, '>') AND length(x) > 40 AND NOT regexp_matches(x, '[가-힣]'))) + (len(regexp_extract_all(s, '(?m)^#{{1,6}}\s')) <> len(regexp_extract_all(r, '(?m)^#{{1,6}}\s')))::INT
+ + (len(list_filter(string_split(s, chr(10)), lambda x: starts_with(x, '|'))) <> len(list_filter(string_split(r, chr(10)), lambda x: starts_with(x, '|'))))::INT
+ + CASE WHEN {REFS} THEN 0 ELSE coalesce({HANGUL_SHARE} < 0.5, false)::INT + len(list_filter(string_split(r, chr(10) || chr(10)), lambda x: length(x) > 200 AND NOT regexp_matches(x, '[가-힣]') AND NOT regexp_matches(x, '^([|!$]|```)'))) END AS problems,
+ {"coalesce(" + S2.format(a=INTEGERS.format("s").replace(chr(92) + "d+'", chr(92) + "d{1,3}|" + chr(92) + "d{5,}'"), b=INTEGERS.format("r")) + ", '')"} AS warnings FROM p)"""
+
+
+@query("verify_verdict", f"WITH {PAIRS}, {VERIFIED} SELECT doc_id, count(*) AS chunks, count(*) FILTER (problems > 0) AS failed, bool_and(problems = 0) AS ok FROM v GROUP BY doc_id")
 def verify_verdict(spark: SparkSession, sf: str) -> DataFrame:
     return checks.verdict(checks.verify(_pairs(spark, sf)))
 
 
-@query("verify_problems")
+@query("verify_problems", f"WITH {PAIRS}, {VERIFIED} SELECT doc_id, id, problems::INT AS problems, warnings, problems = 0 AS ok FROM v")
 def verify_problems(spark: SparkSession, sf: str) -> DataFrame:
     found = checks.verify(_pairs(spark, sf))
     return found.select("doc_id", "id", F.size("problems").alias("problems"), F.array_join("warnings", ",").alias("warnings"), "ok")
