@@ -43,8 +43,8 @@ def write_by_document(df: DataFrame, path: str, kind: str = "parquet") -> None:
 
 
 def write_texts(df: DataFrame, path: str, name: str = "id") -> None:
-    """Texts as files of one folder for each document and name."""
-    df.select("doc_id", name, "text").write.mode("overwrite").partitionBy("doc_id", name).text(path, lineSep="")
+    """Texts as files of one folder for each document and name; a line end follows each."""
+    df.select("doc_id", name, "text").write.mode("overwrite").partitionBy("doc_id", name).text(path)
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
