@@ -740,3 +740,57 @@ def job_status(spark: SparkSession, sf: str) -> DataFrame:
 def job_list_full_outer(spark: SparkSession, sf: str) -> DataFrame:
     inputs = table(spark, sf, "customer").where(F.col("c_custkey") % 3 > 0).select(F.col("c_custkey").alias("stem"), F.col("c_name").alias("file"), F.col("c_custkey").alias("mtime"))
     return status.job_list(inputs, table(spark, sf, "orders").select(F.col("o_custkey").alias("stem"))).select("stem", "file")
+
+
+@query("stream_documents", f"WITH {U} SELECT doc_id, count(*) AS lines, sum({NORM_LEN.format('t')})::BIGINT AS chars FROM u GROUP BY doc_id")
+def stream_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents' files as a stream that ends with what is there; each batch is a table of whole documents."""
+    import tempfile
+    import uuid
+
+    from foliant.streaming import files
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliant-stream-")
+    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+    def work(arrived: DataFrame) -> DataFrame:
+        lines = paragraphs.explode_lines(arrived.select("doc_id", "text"))
+        return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(T.norm_len(F.col("text"))).alias("chars"))
+
+    stream = files.arriving(spark, f"{sf}/documents.parque[t]", "doc_id long, text string, lang string, source string, n_chars long")
+    files.process(stream, work, f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("doc_id", "lines", "chars")
+
+
+# Relations that the operators rest on, over the order tables ----------------------------------------------------------
+
+
+@query("orders_without_lines_anti", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def orders_without_lines_anti(spark: SparkSession, sf: str) -> DataFrame:
+    large = table(spark, sf, "lineitem").where(F.col("l_quantity") > 45).select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf, "orders").select("o_orderkey").join(large, "o_orderkey", "left_anti")
+
+
+@query("customers_with_orders_semi", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)")
+def customers_with_orders_semi(spark: SparkSession, sf: str) -> DataFrame:
+    large = table(spark, sf, "orders").where(F.col("o_totalprice") > 100000).select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf, "customer").select("c_custkey").join(large, "c_custkey", "left_semi")
+
+
+@query("event_before_asof", "SELECT event_id, coalesce(max(CASE WHEN event_type = 'click' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS click FROM events")
+def event_before_asof(spark: SparkSession, sf: str) -> DataFrame:
+    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    return table(spark, sf, "events").select("event_id", F.coalesce(F.max(F.when(F.col("event_type") == "click", F.col("event_id"))).over(before), F.lit(-1)).alias("click"))
+
+
+@query("top_orders_by_customer", "SELECT o_custkey, o_orderkey, n FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 3")
+def top_orders_by_customer(spark: SparkSession, sf: str) -> DataFrame:
+    order = Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
+    ranked = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.row_number().over(order).cast("long").alias("n"))
+    return ranked.where(F.col("n") <= 3)
+
+
+@query("nations_except", "SELECT c_nationkey AS nation FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0")
+def nations_except(spark: SparkSession, sf: str) -> DataFrame:
+    suppliers = table(spark, sf, "supplier").where(F.col("s_suppkey") % 3 == 0)
+    return table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation")).subtract(suppliers.select("s_nationkey"))
