@@ -95,10 +95,14 @@ def is_math_block(c: Column) -> Column:
 
 def leading_repeat_words(c: Column, repeated: Column, most: int = 20) -> Column:
     """How many words at the start are a running head of repeated (an array of normal forms); 0: none."""
-    words = F.split(collapse(c), " ")
-    sizes = F.sequence(F.lit(1), F.least(F.lit(most), F.size(words)))
-    hits = F.filter(sizes, lambda n: F.array_contains(repeated, repeat_norm(F.array_join(F.slice(words, 1, n), " "))))
-    return F.coalesce(F.array_max(hits), F.lit(0))
+    head = F.regexp_extract(strip(c), rf"(?U)^(?:[^{C.SPACE}]+[{C.SPACE}]*){{1,{most}}}", 0)  # so that long texts cost no more than short ones
+
+    def longest(words: Column) -> Column:
+        hits = F.filter(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_contains(repeated, repeat_norm(F.array_join(F.slice(words, 1, n), " "))))
+        return F.coalesce(F.array_max(hits), F.lit(0))
+
+    # Bound once: an expression inside a lambda runs anew for each element.
+    return F.when(F.size(repeated) > 0, F.get(F.transform(F.array(F.split(collapse(head), " ")), longest), F.lit(0))).otherwise(F.lit(0))
 
 
 def join_unit(before: Column, part: Column) -> Column:
