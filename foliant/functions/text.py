@@ -101,8 +101,14 @@ def leading_repeat_words(c: Column, repeated: Column, most: int = 20) -> Column:
         hits = F.filter(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_contains(repeated, repeat_norm(F.array_join(F.slice(words, 1, n), " "))))
         return F.coalesce(F.array_max(hits), F.lit(0))
 
+    def found(x: Column) -> Column:
+        # The norm of some first words begins the norm of all, but for a number that stands alone.
+        may = F.exists(repeated, lambda h: F.startswith(x["norm"], h) | (h == "#"))
+        return F.when(may, longest(x["words"])).otherwise(F.lit(0))
+
     # Bound once: an expression inside a lambda runs anew for each element.
-    return F.when(F.size(repeated) > 0, F.get(F.transform(F.array(F.split(collapse(head), " ")), longest), F.lit(0))).otherwise(F.lit(0))
+    bound = F.array(F.struct(F.split(collapse(head), " ").alias("words"), repeat_norm(head).alias("norm")))
+    return F.when(F.size(repeated) > 0, F.get(F.transform(bound, found), F.lit(0))).otherwise(F.lit(0))
 
 
 def join_unit(before: Column, part: Column) -> Column:
