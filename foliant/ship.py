@@ -34,12 +34,10 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(str(to.resolve()))
 
 
-def release() -> None:
-    """Gives memory of earlier tasks back to the system."""
+def trim() -> None:
+    """Gives memory that is free in this worker back to the system."""
     import pyarrow as pa
 
-    for clear in CACHES:
-        clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -48,6 +46,13 @@ def release() -> None:
         pass
 
 
+def release() -> None:
+    """Lets go of what earlier tasks left in this worker."""
+    for clear in CACHES:
+        clear()
+    trim()
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema, keep: bool = False) -> DataFrame:
     """df.mapInArrow with this package on the workers' path. Unless told to keep them, a task first lets go of what other
     tasks left in its worker."""
@@ -57,5 +62,6 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema, keep:
         if not keep:
             release()
         yield from run(batches)
+        trim()
 
     return df.mapInArrow(fresh, schema)
