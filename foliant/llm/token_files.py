@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.llm.common import cut
-from foliant.llm.tokens import encoder
+from foliant.llm.tokens import encoder, gathered
 from foliant.ship import map_arrow
 
 #: Ids of a block of a file at least, but for a file's last.
@@ -32,7 +32,8 @@ def pack_values(values: np.ndarray) -> tuple[bytes, bytes]:
     codes[: len(values)] = size - 1
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    width = int(size.max(initial=1))
+    data = values.view(np.uint8).reshape(-1, 4)[:, :width][np.arange(width) < size[:, None]]
     return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
@@ -52,7 +53,7 @@ def unpack_values(control: bytes, data: bytes, n: int) -> np.ndarray:
 def _tokenize(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
+        for batch in gathered(batches, "text"):
             for first, ids, at in enc.rows(batch.column(1), end):
                 small = ids.astype("<u2") if not len(ids) or ids.max() < 65536 else None
                 parts = [small[x:y].tobytes() if small is not None else b"\1" + ids[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)]
@@ -69,8 +70,10 @@ def _ids(raw: bytes) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for raw in batch.column(0).to_pylist():
-            n = np.bincount(_ids(raw))
+        rows = batch.column(0).to_pylist()
+        small = np.frombuffer(b"".join([x for x in rows if len(x) % 2 == 0]), "<u2")
+        for ids in (small, *[_ids(x) for x in rows if len(x) % 2]):
+            n = np.bincount(ids)
             if len(n) > len(total):
                 total, n = n, total
             total[: len(n)] += n
@@ -95,10 +98,15 @@ def _blocks(id_of_rank: np.ndarray, key_type: pa.DataType):
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], list(row))
 
         for batch in batches:
-            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows = batch.column(1).to_pylist()
+            if all(len(x) % 2 == 0 for x in rows):
+                ranks = np.split(rank_of[np.frombuffer(b"".join(rows), "<u2")], np.cumsum([len(x) // 2 for x in rows])[:-1]) if rows else []
+            else:
+                ranks = [rank_of[_ids(x)] for x in rows]
+            for key, values in zip(batch.column(0).to_pylist(), ranks, strict=True):
                 keys.append(key)
-                held.append(rank_of[_ids(raw)])
-                n += len(held[-1])
+                held.append(values)
+                n += len(values)
                 if n >= BLOCK:
                     yield block()
                     number, start, keys, held, n = number + 1, start + n, [], [], 0

@@ -16,11 +16,14 @@ from foliant.ship import CACHES
 
 #: Distinct pieces that a worker remembers: the first so many, which hold the frequent ones. Others are encoded anew.
 PIECES_KEPT = 500_000
-#: Bytes of text that are taken together.
-BYTES = 1 << 23
+#: Bytes of text that are taken together: the more, the fewer lookups a word, and the more memory.
+BYTES = 3 << 22
 #: Texts that are encoded whole, and words whose last character is encoded on its own.
 UNEVEN = r"[\s\pZ\x{0B}\x{85}\x{1C}-\x{1F}]{2}|^[\s\pZ\x{0B}\x{85}\x{1C}-\x{1F}]|[\s\pZ\x{0B}\x{85}\x{1C}-\x{1F}]$|^$"
 TAILED = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]$"
+LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
+#: Words of letters that are encoded as one text.
+TOGETHER = 200
 
 
 class Encoder:
@@ -32,16 +35,21 @@ class Encoder:
     characters in a row, or with one at its start or end, is encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = PIECES_KEPT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.kept = kept
         self.folds = "Lowercase" in str(self.tokenizer.normalizer)
         self.line_end = self.plain(["\n"])[0]
         self.tails = {c: self.plain([c])[0].tobytes() for c in ".,"}
+        # Ids that begin a word after a space, or end a word.
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[k for t, k in vocabulary.items() if (t.endswith("</w>") if self.folds else t.startswith("Ġ"))]] = True
 
     def plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each has."""
@@ -49,6 +57,16 @@ class Encoder:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), "<u4", int(sizes.sum())), sizes
 
+    def spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As plain() for words of letters, each after a space, many of them as one text; its ids show where words begin
+        or end."""
+        between = " " if self.folds else ""
+        ids, _ = self.plain([between.join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)])
+        at = np.flatnonzero(self.edge[ids])
+        if len(at) != len(words):
+            return self.plain(words)
+        return ids, np.diff(at, prepend=-1) if self.folds else np.diff(at, append=len(ids))
+
     def pieces(self, words: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray]:
         """As plain() for words with the same text before each, what is known being looked up, and a full stop or comma
         after letters on its own."""
@@ -57,13 +75,17 @@ class Encoder:
         if before:
             cores = [before + w for w in cores]
         found = list(map(self.known.get, cores))
-        new = list(dict.fromkeys([w for w, v in zip(cores, found, strict=True) if v is None]))
+        simple = pc.match_substring_regex(words, LETTERS).to_pylist() if before or self.folds else [False] * len(words)
+        new = {w: s for w, v, s in zip(cores, found, simple, strict=True) if v is None}
         if new:
-            ids, sizes = self.plain(new)
-            raw, ends = ids.tobytes(), (np.cumsum(sizes) * 4).tolist()
-            fresh = {w: raw[a:b] for w, a, b in zip(new, [0, *ends], ends, strict=False)}
+            fresh: dict[str, bytes] = {}
+            for kind, encode in ((True, self.spaced), (False, self.plain)):
+                some = [w for w, s in new.items() if s is kind]
+                ids, sizes = encode(some)
+                raw, ends = ids.tobytes(), (np.cumsum(sizes) * 4).tolist()
+                fresh.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
             found = [fresh[w] if v is None else v for w, v in zip(cores, found, strict=True)]
-            if len(self.known) < PIECES_KEPT:
+            if len(self.known) < self.kept:
                 self.known |= fresh
         at = np.flatnonzero(tailed)
         for k, c in zip(at.tolist(), pc.utf8_slice_codeunits(words.take(pa.array(at)), -1).to_pylist(), strict=True):
@@ -102,17 +124,18 @@ class Encoder:
         starts = np.cumsum(sizes) - sizes
         each = sizes[code]
         ends = np.cumsum(each)
-        out = ids[np.arange(ends[-1]) + np.repeat(starts[code] - (ends - each), each)]
-        return out, np.append(0, ends)[row_at]
+        small = np.int32 if max(ends[-1], len(ids)) < 2**31 else np.int64
+        take = np.repeat((starts[code] - (ends - each)).astype(small), each)
+        take += np.arange(ends[-1], dtype=small)
+        return ids[take], np.append(0, ends)[row_at]
 
-    def rows(self, column: pa.Array, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def rows(self, column: pa.Array, end: int, most: int = BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Slices of a text column: the slice's first row, its ids with the end id after each row's, and where each row's
         begin, and the end."""
-        nbytes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.cumsum(nbytes)
+        ends = np.cumsum(sizes_of(column))
         a = 0
         while a < len(column):
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BYTES, "right")))
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
             gc.disable()  # millions of small objects, none of them in cycles
             ids, offsets = self.encode(column.slice(a, b - a))
             gc.enable()
@@ -120,10 +143,28 @@ class Encoder:
             a = b
 
 
+def sizes_of(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], text: str, most: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches joined until their texts have most bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += int(sizes_of(batch.column(text)).sum())
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held and sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 @lru_cache(2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept: int = PIECES_KEPT) -> Encoder:
     """One for each file and worker."""
-    return Encoder(path)
+    return Encoder(path, kept)
 
 
 CACHES.append(encoder.cache_clear)
