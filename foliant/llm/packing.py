@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import bucket_count, cut, hash_key, prefix_sums
-from foliant.llm.tokens import encoder
+from foliant.llm.tokens import encoder, gathered
 from foliant.ship import map_arrow
 
+#: Distinct pieces of text that a worker remembers, and bytes of text that it takes together: it holds pieces besides.
+PIECES_KEPT, BYTES = 150_000, 3 << 20
 #: A placement: the pieces of a length with ranks from rank_from to before rank_to go, in turn, to the sequences from
 #: sequence_from on, each at the same offset.
 PLAN = "length int, rank_from long, rank_to long, sequence_from long, offset long"
@@ -51,10 +53,10 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 
 def _pieces(path: str, end: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        for batch in batches:
+        enc = encoder(path, PIECES_KEPT)
+        for batch in gathered(batches, "__text", BYTES):
             names = [n for n in batch.schema.names if n != "__text"]
-            for row, ids, at in enc.rows(batch.column("__text"), end):
+            for row, ids, at in enc.rows(batch.column("__text"), end, BYTES):
                 # Where pieces begin: with a row, and at each whole capacity before a row's end.
                 sizes = np.diff(at)
                 parts = -(-sizes // capacity)
