@@ -16,7 +16,7 @@ from foliant.llm.tokens import encoder, gathered
 from foliant.ship import map_arrow
 
 #: Distinct pieces of text that a worker remembers, and bytes of text that it takes together: it holds pieces besides.
-PIECES_KEPT, BYTES = 150_000, 3 << 20
+PIECES_KEPT, BYTES = 350_000, 3 << 20
 #: A placement: the pieces of a length with ranks from rank_from to before rank_to go, in turn, to the sequences from
 #: sequence_from on, each at the same offset.
 PLAN = "length int, rank_from long, rank_to long, sequence_from long, offset long"
