@@ -1,9 +1,8 @@
-"""Passages that repeat across documents, by sparse suffix arrays at minimiser positions."""
+"""Passages that repeat across documents, by hashes of all runs of words whose minimiser repeats."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.llm.common import cut
-from foliant.llm.kernels import U, buffers, grams, slices, words
+from foliant.llm.kernels import U, buffers, grams, slices, stir, words
 from foliant.ship import map_arrow
 
-#: Rows at the borders of tasks that one further task sweeps.
-BORDERS = 200_000
+#: A gram that occurs more often is not compared in one task.
+MANY = 20_000
+#: Runs of words of one gram in a row of a table.
+RUNS = 64
 
 
 def _slide(x: np.ndarray, n: int, pick) -> np.ndarray:
@@ -53,163 +54,135 @@ def _sample(gram: int, window: int):
                 hashes, at = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 place, h = minimisers(hashes, at, gram, window)
                 row = np.searchsorted(at, place, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[a:b][row]), pa.array((place - at[row]).astype(np.int32))], ["h", "id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[a:b][row])], ["h", "id"])
 
     return run
 
 
-def _contexts(gram: int, reach: int):
-    """id, text, found (place and h): the words after and before each gram, reach of them, as 32-bit hashes; 0: none."""
+def _pieces(least: int, gram: int, window: int):
+    """id, text, found (h and parts): the hashes of all runs of least words whose least gram is an h of found.
+
+    Runs at places in a row with one h are a row, RUNS at most; those of an h that has parts are a row each, by their
+    own hash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             data, offsets = buffers(batch.column(1))
-            wanted = batch.column(2).to_pylist()
             for a, b in slices(offsets):
                 hashes, at = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                every = grams(hashes, gram, gram).view(np.int64)
-                small = (hashes >> U(32)).astype(np.uint32) | np.uint32(1)
-                n = [len(w) for w in wanted[a:b]]
-                row = np.repeat(np.arange(b - a), n)
-                place = np.fromiter((x["place"] for w in wanted[a:b] for x in w), np.int64, sum(n))
-                h = np.fromiter((x["h"] for w in wanted[a:b] for x in w), np.int64, sum(n))
-                where = at[row] + place
-                ok = where + gram <= at[row + 1]
-                ok[ok] = every[where[ok]] == h[ok]  # another text may have the same id
-                row, place, h, where = row[ok], place[ok], h[ok], where[ok]
-                right = where[:, None] + gram + np.arange(reach)
-                left = where[:, None] - 1 - np.arange(reach)
-                r = np.where(right < at[row + 1][:, None], small[np.minimum(right, len(small) - 1)], 0).astype(">u4")
-                l = np.where(left >= at[row][:, None], small[np.maximum(left, 0)], 0).astype(">u4")
-                size = 4 * reach
-                blob = lambda x: pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * size).astype(np.int32)), pa.py_buffer(x.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[a:b][row]), pa.array(place.astype(np.int32)), blob(np.ascontiguousarray(r)), blob(np.ascontiguousarray(l))], ["h", "id", "place", "after", "before"])
+                m = len(hashes) - least + 1
+                if m <= 0:
+                    continue
+                found = batch.column(2).slice(a, b - a).flatten()
+                wanted, k = np.unique(found.field("h").to_numpy().view(np.uint64), return_index=True)
+                parts = found.field("parts").to_numpy()[k]
+                every = grams(hashes, gram, gram)
+                lowest = _slide(every, window, np.minimum)
+                whole = every[:m] * U(0xD6E8FEB86659FD93) + every[least - gram : least - gram + m]
+                if least % 2:
+                    whole += hashes[gram : gram + m] * U(0x9E3779B97F4A7C15)
+                whole = stir(whole).view(np.int64)
+                k = np.minimum(np.searchsorted(wanted, lowest), len(wanted) - 1)
+                ends = np.repeat(at[1:], np.diff(at))[:m]
+                where = np.flatnonzero((wanted[k] == lowest) & (np.arange(m) + least <= ends))
+                if not len(where):
+                    continue
+                h, part, whole = lowest[where].view(np.int64), parts[k[where]], whole[where]
+                new = np.ones(len(where), bool)
+                new[1:] = (where[1:] != where[:-1] + 1) | (h[1:] != h[:-1]) | (part[1:] > 0)
+                first = np.flatnonzero(new)
+                inner = np.arange(len(where)) - np.repeat(first, np.diff(np.append(first, len(where))))
+                first = np.flatnonzero(inner % RUNS == 0)
+                row = np.searchsorted(at, where[first], "right") - 1
+                sizes = np.append(first, len(where)).astype(np.int32) * 8
+                blob = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(sizes), pa.py_buffer(whole.tobytes())])
+                key = np.where(part > 0, whole, h)[first]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[a:b][row]), pa.array((where[first] - at[row]).astype(np.int32)), blob, pa.array(part[first])], ["key", "id", "start", "hashes", "parts"])
 
     return run
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.logical_and.accumulate((a == b) & (a != 0), axis=1).sum(1)
-
-
-def _neighbours(gram: int, reach: int, least: int):
-    """Sorted rows (h, id, place, after, before): each is compared with the next one of another id on either side.
-
-    Out come the spans (side false), and, for the borders between tasks, the first and the last rows of two ids (side
-    true), which a further pass compares.
-    """
+def _repeats(least: int):
+    """Rows sorted by key: the runs of least words that another id has too, those at places in a row as one span. All
+    rows of a key are looked at together; _pieces bounds them."""
+
+    def spans(rows: pa.Table) -> pa.RecordBatch:
+        ids, starts = rows.column("id").to_numpy(), rows.column("start").to_numpy()
+        column = rows.column("hashes").combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        n = len(column)
+        at = np.frombuffer(column.buffers()[1], np.int32, n + 1, column.offset * 4) // 8
+        hashes = np.frombuffer(column.buffers()[2], np.int64)[at[0] : at[-1]]
+        at = at - at[0]
+        row = np.repeat(np.arange(n), np.diff(at))
+        place, owner = starts[row] + np.arange(len(row)) - at[row], ids[row]
+        order = np.argsort(hashes)
+        change = np.flatnonzero(np.diff(hashes[order])) + 1
+        group = np.concatenate([[0], change])
+        of = np.empty(len(order), np.int64)
+        of[order] = np.repeat(np.arange(len(group)), np.diff(np.append(group, len(order))))
+        lo, hi = np.minimum.reduceat(owner[order], group), np.maximum.reduceat(owner[order], group)
+        hit = np.flatnonzero((lo < hi)[of])
+        row, place, owner, earlier = row[hit], place[hit], owner[hit], (lo[of] < owner)[hit]
+        new = np.ones(len(hit), bool)
+        new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(hit))[: len(first)] - 1
+        some = np.logical_or.reduceat(earlier, first) if len(first) else np.empty(0, bool)
+        return pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array(place[first].astype(np.int32)), pa.array((place[last] + least).astype(np.int32)), pa.array(some)], ["id", "start", "stop", "earlier"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "id", "place", "after", "before", "start", "stop", "earlier", "side"]
-        tail: list[pa.RecordBatch] = []  # the last rows of two ids at least: their later neighbours are still to come
-        opening = True
-
-        def words_of(column: pa.ChunkedArray) -> np.ndarray:
-            return np.frombuffer(b"".join(column.to_pylist()), ">u4").reshape(-1, reach)
-
-        def runs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            change = np.flatnonzero(ids[1:] != ids[:-1]) + 1
-            bounds = np.concatenate([[0], change, [len(ids)]])
-            of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            return bounds[of] - 1, bounds[of + 1]
-
-        def border(rows: pa.Table) -> pa.RecordBatch:
-            n = rows.num_rows
-            one = rows.select(names[:5]).combine_chunks().to_batches()[0]
-            return pa.RecordBatch.from_arrays([*one.columns, pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array([False] * n), pa.array([True] * n)], names)
-
-        def ends(ids: np.ndarray) -> tuple[int, int]:
-            """Rows up to the first of a second id, and from the last of the last but one."""
-            before, after = runs(ids)
-            return int(min(after[0] + 1, len(ids))), int(max(before[-1], 0))
-
-        def spans(rows: pa.Table) -> pa.RecordBatch:
-            h, ids, place = (rows.column(c).to_numpy() for c in ("h", "id", "place"))
-            r, l = words_of(rows.column("after")), words_of(rows.column("before"))
-            previous, following = runs(ids)
-            at, start, stop, earlier = [], [], [], []
-            for other in (previous, following):
-                i = np.flatnonzero((other >= 0) & (other < len(ids)))
-                j = other[i]
-                same = h[i] == h[j]
-                i, j = i[same], j[same]
-                x, y = _common(r[i], r[j]), _common(l[i], l[j])
-                long = gram + x + y >= least
-                i, j, x, y = i[long], j[long], x[long], y[long]
-                at.append(i)
-                start.append(place[i] - y)
-                stop.append(place[i] + gram + x)
-                earlier.append(ids[j] < ids[i])
-            n = sum(map(len, at))
-            ids_out = ids[np.concatenate(at)]
-            none = pa.nulls(n, pa.binary())
-            return pa.RecordBatch.from_arrays(
-                [pa.array([0] * n, pa.int64()), pa.array(ids_out), pa.array([0] * n, pa.int32()), none, none, pa.array(np.concatenate(start).astype(np.int32)), pa.array(np.concatenate(stop).astype(np.int32)), pa.array(np.concatenate(earlier)), pa.array([False] * n)], names
-            )
-
+        held: list[pa.RecordBatch] = []  # rows of one key, whose others may still come
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = pa.Table.from_batches([*tail, batch])
-            ids = rows.column("id").to_numpy()
-            head, last = ends(ids)
-            if opening:
-                yield border(rows.slice(0, min(head, 64)))
-                opening = False
-            yield spans(rows)
-            tail = rows.slice(max(last, rows.num_rows - 4096)).combine_chunks().to_batches()
-        if tail:
-            rows = pa.Table.from_batches(tail)
-            yield border(rows.slice(max(0, rows.num_rows - 64)))
+            keys = batch.column(0).to_numpy()
+            last = int(np.searchsorted(keys, keys[-1]))
+            if last or (held and held[-1].column(0)[0].as_py() != keys[0]):
+                yield spans(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield spans(pa.Table.from_batches(held))
 
     return run
 
 
 def repeated_passages(docs: DataFrame, least: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Passages of least words or more that stand in another document too: key, passage (from 0), start and n_words (in
-    words of the whole text), and earlier (whether part of it stands in a document of smaller key).
+    words of the whole text), and earlier (whether least words of it in a row stand in a document of smaller key).
 
     Words are compared A-Z as a-z. Overlapping passages are one. Texts that are null or shorter and rows of null key have
     none; rows that share a key are one document, so what repeats only among them does not count; an empty table gives no
     rows.
 
-    Suffixes are retained where the hash of a gram of about half the length is the least of a window; any repeat of
-    least words has such places in common. Of those whose gram occurs in several documents, the words after and before
-    are fetched, and rows are sorted by gram and following words, over all tasks, so that however often a passage
-    repeats, only neighbours meet; each extends its match to the left and right. They are sorted by the words before,
-    too, as the best match may be longer on that side. Matches reach as far as the next retained place, where the
-    neighbouring match goes on.
+    Every run of least words has a least hash among its grams of about half the length, and equal runs have the same
+    one. The runs whose least gram occurs in several documents are all hashed (64 bits) and compared, those of one gram
+    together. Where a gram occurs more than MANY times, its runs are dealt by their own hashes, each into parts of about
+    MANY rows, and the least and greatest key are found over the parts, so that no task holds them all.
     """
     gram = least // 2
     window = least - gram + 1
-    reach = window - 1
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sampled = cut(map_arrow(rows, _sample(gram, window), "h long, id long, place int"), "minimisers")
-    often = sampled.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where(F.col("lo") < F.col("hi")).select("h")
-    wanted = sampled.join(often, "h").groupBy("id").agg(F.collect_list(F.struct("place", "h")).alias("found"))  # a document's own
-    contexts = cut(map_arrow(rows.join(wanted, "id").select("id", "text", "found"), _contexts(gram, reach), "h long, id long, place int, after binary, before binary"), "suffixes")
-    schema = "h long, id long, place int, after binary, before binary, start int, stop int, earlier boolean, side boolean"
-
-    columns = ["h", "id", "place", "after", "before"]
-    run = _neighbours(gram, reach, least)
-
-    def sweep(sorted_by: list[str]) -> DataFrame:
-        """The spans of neighbours in one order. The rows at the borders of tasks, 128 a task at most, are sorted and swept
-        again, over as many tasks as they need, until one task holds them."""
-        order = [*sorted_by, "id", "place"]
-        rows, found, tasks = contexts, [], 0
-        while tasks != 1:
-            dealt = rows.repartitionByRange(*([tasks] if tasks else []), *order)
-            swept = cut(map_arrow(dealt.sortWithinPartitions(*order).select(*columns), run, schema), "matches")
-            found.append(swept.where(~F.col("side")))
-            rows = swept.where("side").select(*columns)
-            tasks = -(-rows.count() // BORDERS) or 1
-        last = map_arrow(rows.repartition(1).sortWithinPartitions(*order), run, schema).where(~F.col("side"))
-        return reduce(DataFrame.unionAll, [*found, last]).select("id", "start", "stop", "earlier")
-
-    spans = sweep(["h", "after"]).unionAll(sweep(["h", "before"]))
-    return _merged(spans, key)
+    sampled = cut(map_arrow(rows, _sample(gram, window), "h long, id long"), "minimisers")
+    often = sampled.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where(F.col("lo") < F.col("hi"))
+    often = often.select("h", F.when(F.col("n") > MANY, F.floor(F.col("n") / MANY) + 1).otherwise(0).cast("int").alias("parts"))
+    wanted = sampled.join(often, "h").groupBy("id").agg(F.collect_set(F.struct("h", "parts")).alias("found"))  # a document's own
+    schema = "key long, id long, start int, hashes binary, parts int"
+    pieces = cut(map_arrow(rows.join(wanted, "id").select("id", "text", "found"), _pieces(least, gram, window), schema), "pieces")
+
+    dealt = pieces.where("parts = 0").drop("parts").repartition("key").sortWithinPartitions("key")
+    spans = map_arrow(dealt, _repeats(least), "id long, start int, stop int, earlier boolean")
+
+    part = F.pmod(F.xxhash64("id", "start"), F.col("parts")).alias("part")
+    dealt = pieces.where("parts > 0").select("key", part, "id", "start").groupBy("key", "part")
+    parts = cut(dealt.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.collect_list(F.struct("id", "start")).alias("places")), "parts")
+    shared = parts.groupBy("key").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where(F.col("first") < F.col("last")).drop("last")
+    common = parts.join(shared, "key").select("first", F.explode("places").alias("x")).select("first", "x.*")
+    common = common.select("id", "start", (F.col("start") + least).alias("stop"), (F.col("first") < F.col("id")).alias("earlier"))
+    return _merged(spans.unionAll(common), key)
 
 
 def _merged(spans: DataFrame, key: str) -> DataFrame:

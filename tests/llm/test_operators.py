@@ -381,6 +381,14 @@ def test_repeated_passages(spark):
     assert repeats.repeated_passages(empty(spark), 50).count() == 0
 
 
+@pytest.mark.parametrize("many", [20_000, 50])
+def test_repeats_of_one_gram_in_a_document(spark, monkeypatch, many):
+    monkeypatch.setattr(repeats, "MANY", many)
+    texts = ["w " * 60, some(30, 1) + " w" * 15000 + " " + some(30, 2), some(80, 3)]
+    got = repeats.repeated_passages(table(spark, texts), 50).orderBy("doc_id").collect()
+    assert [tuple(x) for x in got] == [(0, 0, 0, 60, False), (1, 0, 30, 15000, True)]
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------
 
 
