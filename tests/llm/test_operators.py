@@ -389,6 +389,19 @@ def test_repeats_of_one_gram_in_a_document(spark, monkeypatch, many):
     assert [tuple(x) for x in got] == [(0, 0, 0, 60, False), (1, 0, 30, 15000, True)]
 
 
+@pytest.mark.parametrize("many", [20_000, 50])
+def test_repeats_earlier(spark, monkeypatch, many):
+    monkeypatch.setattr(repeats, "MANY", many)
+    own = lambda k, n: " ".join(f"{k}x{i}" for i in range(n))
+    shared = [own(f"s{n}", n) for n in (51, 60, 74)]
+    texts = [" ".join([own(f"a{k}", 40), shared[k % 3], own(f"b{k}", 40), own("late", 55 if k > 290 else 20)]) for k in range(300)]
+    got = repeats.repeated_passages(table(spark, texts), 50).collect()
+    spans = {(x["doc_id"], x["start"], x["n_words"]): x["earlier"] for x in got}
+    expected = {(k, 40, (51, 60, 74)[k % 3]): k > 2 for k in range(300)}
+    expected |= {(k, 80 + (51, 60, 74)[k % 3], 55): k > 291 for k in range(291, 300)}
+    assert spans == expected
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------
 
 
