@@ -104,6 +104,19 @@ def test_secrets(spark, forest):
     assert clean[n]["n_chars"] == len(clean[n]["text"]) and secret_scan.scan(empty(spark), forest).count() == 0
 
 
+def test_secrets_of_other_shapes(spark):
+    forest = secret_scan.train(secret_scan.labelled_findings(spark))
+    secret = ["hunter2!", "S3cr3t!Pass#9", "a1b2c3d4e5f", "qWzLkPvTbNxRmHcJsDgFyQaB", "ghp_QwErTzUiOpAsDfGhJkLyXcVbNmQwErTzUiOp", "xK7$w"]
+    front = ["password=", 'pwd="', "token=", "api_key = ", "see ", "password: "]
+    texts = [f"then {f}{s}{chr(34) * (chr(34) in f)} and more, xhunter2!" for f, s in zip(front, secret)] + ["author: Johnson wrote", "password: required here", "getElementByIdFromList done"]
+    found = secret_scan.scan(table(spark, texts), forest).collect()
+    assert {x["candidate"] for x in found} >= {*secret, "Johnson", "required", "getElementByIdFromList"}
+    assert {(x["doc_id"], x["candidate"]) for x in found if x["is_secret"]} == set(enumerate(secret))
+    clean = [x["text"] for x in secret_scan.redact(table(spark, texts), forest).orderBy("doc_id").collect()]
+    assert clean[0] == "then password=<secret> and more, xhunter2!" and clean[6:] == texts[6:]
+    assert not any(s in c.split("and more")[0] for s, c in zip(secret, clean))
+
+
 def test_forest_votes(spark, forest):
     """The forest in columns votes as its trees do when they are walked by hand."""
     rows = secret_scan.labelled_findings(spark, 60)
