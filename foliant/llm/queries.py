@@ -66,8 +66,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, id_of_rank = write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=1)
-    return read_token_files(files, id_of_rank)
+    return read_token_files(spark, write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=1))
 
 
 def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

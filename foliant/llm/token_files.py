@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm.common import cut
+from foliant.llm.common import cut, discard, shared_dir
 from foliant.llm.tokens import encoder, gathered
 from foliant.ship import map_arrow
 
@@ -116,26 +117,31 @@ def _blocks(id_of_rank: np.ndarray, key_type: pa.DataType):
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, end: int, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """The token files of docs, in ascending order of the key (null first), and the id of each frequency rank.
+def write_token_files(docs: DataFrame, path: str, end: int, to: str | None = None, key: str = "doc_id", text: str = "text") -> str:
+    """Writes the token files of docs, in ascending order of the key (null first), and gives their folder: to, or a new one
+    in the shared folder. It needs nothing else to be read.
 
-    A file is a part; its rows are blocks of whole documents, with the ids before the block in its part, keys, lengths,
-    control bytes and data bytes. Ids are written as their rank by falling count over all documents (ties: smaller id),
-    so that the frequent ones take one byte. A null or empty text is the end id alone; equal keys stand side by side, by
-    their ids' bytes; an empty table gives no blocks. Other columns are not read. Only one count for each id of the
-    vocabulary comes to the driver.
+    blocks: a file is a part; its rows are blocks of whole documents, with the ids before the block in its part, keys,
+    lengths, control bytes and data bytes. ranks: the id of each frequency rank. Ids are written as their rank by falling
+    count over all documents (ties: smaller id), so that the frequent ones take one byte. A null or empty text is the end
+    id alone; equal keys stand side by side, by their ids' bytes; an empty table gives no blocks. Other columns are not
+    read. Only one count for each id of the vocabulary comes to the driver.
     """
     import pyspark.sql.pandas.types as types
 
+    spark = docs.sparkSession
+    to = to or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     key_field = docs.select(F.col(key)).schema[0]
     key_type = types.to_arrow_type(key_field.dataType)
     kind = key_field.dataType.simpleString()
     tokens = cut(map_arrow(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), _tokenize(path, end), f"key {kind}, ids binary", keep=True), "token-ids", "zstd")
     counts = map_arrow(tokens.select("ids"), _count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    id_of_rank = np.array([r["id"] for r in sorted(counts, key=lambda r: (-r["n"], r["id"]))], np.uint32)
+    ranked = sorted(counts, key=lambda r: (-r["n"], r["id"]))
+    spark.createDataFrame([(k, r["id"]) for k, r in enumerate(ranked)], "rank long, id long").coalesce(1).write.parquet(f"{to}/ranks")
     ordered = tokens.repartitionByRange(F.col("key"), F.xxhash64("ids")).sortWithinPartitions("key", "ids")
-    files = cut(map_arrow(ordered, _blocks(id_of_rank, key_type), FILES.format(key=kind)), "token-files")
-    return files, id_of_rank
+    map_arrow(ordered, _blocks(np.array([r["id"] for r in ranked], np.uint32), key_type), FILES.format(key=kind)).write.parquet(f"{to}/blocks")
+    discard(tokens)
+    return to
 
 
 def _documents(id_of_rank: np.ndarray, with_ids: bool):
@@ -158,9 +164,13 @@ def _documents(id_of_rank: np.ndarray, with_ids: bool):
     return run
 
 
-def read_token_files(files: DataFrame, id_of_rank: np.ndarray, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """Each document of the files: key, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for,
-    its ids as little-endian unsigned 32-bit integers. All come from the bytes of the files."""
+def read_token_files(spark: SparkSession, folder: str, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """Each document of the files in a folder: key, start (ids of all documents before it), n_tokens, ids_crc32 and, if
+    asked for, its ids as little-endian unsigned 32-bit integers. All come from the bytes of the files; the ranks, at most
+    one for each id of a vocabulary, go out with the code."""
+    files = spark.read.parquet(f"{folder}/blocks")
+    ranks = sorted(spark.read.parquet(f"{folder}/ranks").collect())
+    id_of_rank = np.array([r["id"] for r in ranks], np.uint32)
     kind = files.schema["keys"].dataType.elementType.simpleString()
     schema = f"part int, key {kind}, at long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     found = map_arrow(files.select("part", "start", "n", "keys", "lengths", "control", "data"), _documents(id_of_rank, with_ids), schema)

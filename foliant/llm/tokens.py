@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -27,12 +28,12 @@ TOGETHER = 200
 
 
 class Encoder:
-    """Ids of a text, as encode(text, add_special_tokens=False) gives them, with special tokens' strings as plain text.
+    """Ids of a text, as encode(text, add_special_tokens=False) gives them.
 
     Both kinds of tokenizer here (byte-level with the space in front of the word; word ends with white space dropped)
     begin a new pre-token at a single space, before and after a line end between other characters, and where a run of
     letters ends; so the ids of a text are those of such pieces, one after another. A text with two white-space
-    characters in a row, or with one at its start or end, is encoded whole.
+    characters in a row, or with one at its start or end, or with one of the tokenizer's added tokens, is encoded whole.
     """
 
     def __init__(self, path: str, kept: int = PIECES_KEPT):
@@ -40,7 +41,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "(?i)" + "|".join([UNEVEN, *map(re.escape, added)])  # in any case, since pieces are looked up folded
         self.known: dict[str, bytes] = {}
         self.kept = kept
         self.folds = "Lowercase" in str(self.tokenizer.normalizer)
@@ -98,7 +100,7 @@ class Encoder:
         column = column.cast(pa.large_string()).fill_null("")
         if not len(column):
             return np.empty(0, "<u4"), np.zeros(1, np.int64)
-        odd = pc.match_substring_regex(column, UNEVEN).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(column, self.whole).to_numpy(zero_copy_only=False)
         ids_c, sizes_c = self.plain(column.filter(pa.array(odd)).to_pylist()) if odd.any() else (np.empty(0, "<u4"), np.empty(0, np.int64))
         even = pc.if_else(pa.array(odd), "", column)
         lines = pc.split_pattern(pc.ascii_lower(even) if self.folds else even, "\n")

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from foliant.llm import components, hnsw, minhash, mixing, nearest, packing, repeats, secret_scan, sharding, token_files, tokens, toxicity, vector_dedup
 
@@ -138,11 +139,11 @@ def test_forest_votes(spark, forest):
 
 
 def encoded(name, texts, end):
-    t = tokens.Encoder(tokens.vocabulary(name)).tokenizer
+    t = Tokenizer.from_file(tokens.vocabulary(name))
     return [np.array([*t.encode(x or "", add_special_tokens=False).ids, end], "<u4") for x in texts]
 
 
-TRICKY = ["a\n b  c", "Foo.\nBar, baz.", "it's.\nI'll", "x\n", "\nx", "É.\nÀb, ç.", "<|endoftext|> hi", "a..\nb.,", "Œuf. œ", "tab\there", "nul\0 x", "a　b ́c", "ΑΣ ΑΣ."]
+TRICKY = ["hello <|endoftext|> world", "a<|startoftext|>b c", "<|startoftext|> <|endoftext|>x", "<|ENDOFTEXT|> y", "a\n b  c", "Foo.\nBar, baz.", "it's.\nI'll", "x\n", "\nx", "É.\nÀb, ç.", "<|endoftext|> hi", "a..\nb.,", "Œuf. œ", "tab\there", "nul\0 x", "a　b ́c", "ΑΣ ΑΣ."]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -163,17 +164,17 @@ def test_value_coding():
         assert np.array_equal(token_files.unpack_values(*token_files.pack_values(v), n), v)
 
 
-def test_token_files(spark, monkeypatch):
-    texts = [*ODD, *TRICKY]
+def test_token_files(spark, tmp_path):
+    texts = [*ODD, *TRICKY, some(120_000, 6)]
     docs = table(spark, texts).withColumn("key", F.lit("clash")).withColumn("ids", F.lit(0))
-    files, ranks = token_files.write_token_files(docs, tokens.vocabulary("word_bpe_49k.json"), 1)
-    got = token_files.read_token_files(files, ranks, with_ids=True).orderBy("doc_id").collect()
+    folder = token_files.write_token_files(docs, tokens.vocabulary("word_bpe_49k.json"), 1)
+    got = token_files.read_token_files(spark.newSession(), folder, with_ids=True).orderBy("doc_id").collect()
     want, start = encoded("word_bpe_49k.json", texts, 1), 0
     for x, ids in zip(got, want, strict=True):
         assert (x["start"], x["n_tokens"], x["ids_crc32"], bytes(x["ids"])) == (start, len(ids), zlib.crc32(ids), ids.tobytes())
         start += len(ids)
-    files, ranks = token_files.write_token_files(empty(spark), tokens.vocabulary("word_bpe_49k.json"), 1)
-    assert token_files.read_token_files(files, ranks).count() == 0
+    folder = token_files.write_token_files(empty(spark), tokens.vocabulary("word_bpe_49k.json"), 1, str(tmp_path / "none"))
+    assert folder == str(tmp_path / "none") and token_files.read_token_files(spark, folder).count() == 0
 
 
 def test_best_fit_plan():
