@@ -40,23 +40,29 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float
 
 
 def mix(
-    docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, key: str = "doc_id", source: str = "source", text: str = "text"
+    docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, key: str = "doc_id", source: str = "source", text: str = "text",
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """docs, all their columns, with size, source_size, target and taken.
+    """docs, their columns in keep (None: all), with size, source_size, target and taken.
 
     size: words of the text (null: 0). taken: words that the mix takes of the row. Rows of a source stand in the order
     of a hash of their key; whole epochs of a source are taken while its target lasts, then rows in that order, and the
     row at the budget's end is cut there. Each source's taken words sum to its target, rounded down. Null sources are
-    one source; rows without words take nothing; repeated rows are rows of their own. An empty table gives no rows.
-    Columns of docs with these names are replaced.
+    one source; rows without words take nothing; repeated rows are rows of their own; texts may be of any length. An empty table
+    gives no rows. Columns of docs with these names are replaced. Texts are read once where they are not kept: key, source
+    and size are then written to the shared folder, and all sums are made from that.
     """
     docs = docs.drop("size", "source_size", "target", "taken")
-    sized = docs.withColumn("size", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"))
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    kept = docs.columns if keep is None else list(dict.fromkeys([*keep, key, source]))
+    sized = docs.select(*kept, size)
+    if text not in kept:
+        sized = cut(sized, "mix-sizes")
     goals = targets(
         sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size")), weights, share, cap
     ).withColumnRenamed("source", "__source")
     keyed = sized.withColumn("__key", hash_key(F.col(key), salt="mix"))
-    ran = prefix_sums(keyed, [source], "__key", F.col("size"), "__before", bucket_count(docs.count()), [key, "size"])
+    ran = prefix_sums(keyed, [source], "__key", F.col("size"), "__before", bucket_count(sized.count()), [key, "size"])
     joined = ran.join(goals, ran[source].eqNullSafe(goals["__source"]), "inner").drop("__source")
     budget = F.floor(F.col("target")).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0))

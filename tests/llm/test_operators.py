@@ -67,7 +67,8 @@ def test_mix(spark):
         rows = [x for x in got if x["source"] == s]
         assert all(x["source_size"] == sizes[s] and x["target"] == pytest.approx(goal) and 0 <= x["taken"] <= 2 * x["size"] for x in rows)
         assert sum(x["taken"] for x in rows) == int(goal + 1e-9)
-    assert [x["taken"] for x in mixing.mix(docs).orderBy("doc_id").collect()] == [x["taken"] for x in sorted(got, key=lambda x: x["doc_id"])]
+    assert mixing.mix(docs, keep=["lang"]).columns == ["lang", "doc_id", "source", "size", "source_size", "target", "taken"]
+    assert [x["taken"] for x in mixing.mix(docs, keep=[]).orderBy("doc_id").collect()] == [x["taken"] for x in sorted(got, key=lambda x: x["doc_id"])]
     assert mixing.mix(empty(spark)).count() == 0
 
 
@@ -547,9 +548,9 @@ def test_toxicity(spark):
 
 
 def test_shards(spark):
-    texts = [*ODD, *[some(k % 9, k) for k in range(500)]]
-    docs = table(spark, texts).unionAll(table(spark, texts[:5])).withColumn("shard", F.lit("clash")).withColumn("size", F.lit("clash"))
-    got = sharding.shard(docs.select("doc_id", "text"), 8).collect()
+    texts = [*ODD, *[some(k % 9, k) for k in range(500)], some(120_000, 3)]
+    docs = table(spark, texts).unionAll(table(spark, texts[:5])).withColumn("shard", F.lit("clash")).withColumn("size", F.lit("clash")).withColumn("slot", F.lit("clash")).withColumn("__key", F.lit("clash"))
+    got = sharding.shard(docs, 8).collect()
     assert len(got) == len(texts) + 5
     slots = {}
     for x in got:
@@ -557,9 +558,9 @@ def test_shards(spark):
         assert x["size"] == len(t) + 16 and x["text_crc32"] == zlib.crc32(t) and x["grown_shard"] in (x["shard"], 8)
         slots.setdefault(x["shard"], []).append(x["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) == set(range(8))
-    grown = {x["doc_id"]: x["shard"] for x in sharding.shard(docs.select("doc_id", "text"), 9).collect()}
+    grown = {x["doc_id"]: x["shard"] for x in sharding.shard(docs, 9).collect()}
     assert all(grown[x["doc_id"]] == x["grown_shard"] for x in got)
-    heavy = sharding.shard(docs.select("doc_id", "text"), 4, weights=[1, 1, 6, 0]).groupBy("shard").count().collect()
+    heavy = sharding.shard(docs, 4, weights=[1, 1, 6, 0]).groupBy("shard").count().collect()
     assert max(heavy, key=lambda x: x["count"])["shard"] == 2 and 3 not in {x["shard"] for x in heavy}
     assert sharding.shard(empty(spark), 8).count() == 0
     with pytest.raises(ValueError):
