@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm.common import cut
+from foliant.llm.common import cut, discard
 from foliant.llm.kernels import U, buffers, grams, slices, stir, words
+from foliant.llm.vectors import numbered
 from foliant.ship import map_arrow
 
 #: A gram that occurs more often is not compared in one task.
@@ -62,8 +63,7 @@ def _sample(gram: int, window: int):
 def _pieces(least: int, gram: int, window: int):
     """id, text, found (h and parts): the hashes of all runs of least words whose least gram is an h of found.
 
-    Runs at places in a row with one h are a row, RUNS at most; those of an h that has parts are a row each, by their
-    own hash.
+    Runs at places in a row with one h are a row, RUNS at most; an h that has parts deals its documents to them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,65 +91,92 @@ def _pieces(least: int, gram: int, window: int):
                     continue
                 h, part, whole = lowest[where].view(np.int64), parts[k[where]], whole[where]
                 new = np.ones(len(where), bool)
-                new[1:] = (where[1:] != where[:-1] + 1) | (h[1:] != h[:-1]) | (part[1:] > 0)
+                new[1:] = (where[1:] != where[:-1] + 1) | (h[1:] != h[:-1])
                 first = np.flatnonzero(new)
                 inner = np.arange(len(where)) - np.repeat(first, np.diff(np.append(first, len(where))))
                 first = np.flatnonzero(inner % RUNS == 0)
                 row = np.searchsorted(at, where[first], "right") - 1
                 sizes = np.append(first, len(where)).astype(np.int32) * 8
                 blob = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(sizes), pa.py_buffer(whole.tobytes())])
-                key = np.where(part > 0, whole, h)[first]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[a:b][row]), pa.array((where[first] - at[row]).astype(np.int32)), blob, pa.array(part[first])], ["key", "id", "start", "hashes", "parts"])
+                own, part = ids[a:b][row], part[first]
+                part = np.where(part > 0, 1 + stir(own.astype(np.uint64)).view(np.int64) % np.maximum(part, 1), 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(part), pa.array(own), pa.array(own), pa.array((where[first] - at[row]).astype(np.int32)), blob], ["key", "part", "id", "other", "start", "hashes"])
 
     return run
 
 
-def _repeats(least: int):
-    """Rows sorted by key: the runs of least words that another id has too, those at places in a row as one span. All
-    rows of a key are looked at together; _pieces bounds them."""
-
-    def spans(rows: pa.Table) -> pa.RecordBatch:
-        ids, starts = rows.column("id").to_numpy(), rows.column("start").to_numpy()
-        column = rows.column("hashes").combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        n = len(column)
-        at = np.frombuffer(column.buffers()[1], np.int32, n + 1, column.offset * 4) // 8
-        hashes = np.frombuffer(column.buffers()[2], np.int64)[at[0] : at[-1]]
-        at = at - at[0]
-        row = np.repeat(np.arange(n), np.diff(at))
-        place, owner = starts[row] + np.arange(len(row)) - at[row], ids[row]
-        order = np.argsort(hashes)
-        change = np.flatnonzero(np.diff(hashes[order])) + 1
-        group = np.concatenate([[0], change])
-        of = np.empty(len(order), np.int64)
-        of[order] = np.repeat(np.arange(len(group)), np.diff(np.append(group, len(order))))
-        lo, hi = np.minimum.reduceat(owner[order], group), np.maximum.reduceat(owner[order], group)
-        hit = np.flatnonzero((lo < hi)[of])
-        row, place, owner, earlier = row[hit], place[hit], owner[hit], (lo[of] < owner)[hit]
-        new = np.ones(len(hit), bool)
-        new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(hit))[: len(first)] - 1
-        some = np.logical_or.reduceat(earlier, first) if len(first) else np.empty(0, bool)
-        return pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array(place[first].astype(np.int32)), pa.array((place[last] + least).astype(np.int32)), pa.array(some)], ["id", "start", "stop", "earlier"])
+def _groups(work):
+    """Rows sorted by key and part: work with all rows of whole groups; _pieces bounds a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # rows of one key, whose others may still come
+        held: list[pa.RecordBatch] = []  # rows of one group, whose others may still come
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = batch.column(0).to_numpy()
-            last = int(np.searchsorted(keys, keys[-1]))
-            if last or (held and held[-1].column(0)[0].as_py() != keys[0]):
-                yield spans(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            rows = pa.Table.from_batches([*held[-1:], batch])  # the last batch held shows whether its group goes on
+            k, p = (rows.column(c).to_numpy() for c in (0, 1))
+            other = np.flatnonzero((k != k[-1]) | (p != p[-1]))
+            last = int(other[-1]) + 1 if len(other) else 0
+            n = held[-1].num_rows if held else 0
+            if last:
+                yield from work(pa.Table.from_batches([*held, batch.slice(0, last - n)]))
                 held = []
-            held.append(batch.slice(last))
+            held.append(batch.slice(max(0, last - n)))
         if held:
-            yield spans(pa.Table.from_batches(held))
+            yield from work(pa.Table.from_batches(held))
 
     return run
 
 
+def _runs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of the rows: its row, hash, number of its group of equal ones; and the groups' least and greatest id."""
+    column = rows.column("hashes").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    n = len(column)
+    at = np.frombuffer(column.buffers()[1], np.int32, n + 1, column.offset * 4) // 8
+    hashes = np.frombuffer(column.buffers()[2], np.int64)[at[0] : at[-1]]
+    row = np.repeat(np.arange(n), np.diff(at))
+    # Equal runs have one least gram, so hashes tell runs of different keys apart; parts of a key stand apart too.
+    part = rows.column("part").to_numpy()[row]
+    order = np.lexsort((part, hashes))
+    new = np.append(True, (np.diff(hashes[order]) != 0) | (np.diff(part[order]) != 0))
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    lo = np.minimum.reduceat(rows.column("id").to_numpy()[row][order], first)
+    hi = np.maximum.reduceat(rows.column("other").to_numpy()[row][order], first)
+    return row, hashes, group, lo, hi
+
+
+def _ends(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """For each key, part and run: the least and the greatest id that has it."""
+    row, hashes, group, lo, hi = _runs(rows)
+    _, one = np.unique(group, return_index=True)
+    keys, parts = (rows.column(c).to_numpy()[row[one]] for c in ("key", "part"))
+    raw = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(np.arange(len(one) + 1, dtype=np.int32) * 8), pa.py_buffer(hashes[one].tobytes())])
+    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(parts), pa.array(lo), pa.array(hi), raw], ["key", "part", "lo", "hi", "hashes"])
+
+
+def _spans(least: int):
+    """The runs of least words that another id has too, those at places in a row as one span."""
+
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        row, _, group, lo, hi = _runs(rows)
+        ids, starts = rows.column("id").to_numpy(), rows.column("start").to_numpy()
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        place = starts[row] + np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+        hit = np.flatnonzero((lo < hi)[group] & (starts[row] >= 0))
+        row, place, owner, earlier = row[hit], place[hit], ids[row[hit]], lo[group[hit]] < ids[row[hit]]
+        new = np.ones(len(hit), bool)
+        new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(hit))[: len(first)] - 1
+        some = np.logical_or.reduceat(earlier, first) if len(first) else np.empty(0, bool)
+        yield pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array(place[first].astype(np.int32)), pa.array((place[last] + least).astype(np.int32)), pa.array(some)], ["id", "start", "stop", "earlier"])
+
+    return work
+
+
 def repeated_passages(docs: DataFrame, least: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Passages of least words or more that stand in another document too: key, passage (from 0), start and n_words (in
     words of the whole text), and earlier (whether least words of it in a row stand in a document of smaller key).
@@ -160,29 +187,29 @@ def repeated_passages(docs: DataFrame, least: int = 50, key: str = "doc_id", tex
 
     Every run of least words has a least hash among its grams of about half the length, and equal runs have the same
     one. The runs whose least gram occurs in several documents are all hashed (64 bits) and compared, those of one gram
-    together. Where a gram occurs more than MANY times, its runs are dealt by their own hashes, each into parts of about
-    MANY rows, and the least and greatest key are found over the parts, so that no task holds them all.
+    together. Where a gram occurs more than MANY times, its documents are dealt to parts. Each part says which documents
+    are the least and the greatest of each of its runs; what they are over all parts comes back to it as one more row a
+    run, so that no task holds them all. Texts may be of any length.
     """
     gram = least // 2
     window = least - gram + 1
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.where(F.col(key).isNotNull()).select(numbered(docs, key).alias("id"), F.col(text).alias("text"))
     sampled = cut(map_arrow(rows, _sample(gram, window), "h long, id long"), "minimisers")
     often = sampled.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where(F.col("lo") < F.col("hi"))
     often = often.select("h", F.when(F.col("n") > MANY, F.floor(F.col("n") / MANY) + 1).otherwise(0).cast("int").alias("parts"))
+    often = cut(often, "often")  # as a table, so that the join below has no aggregate in it and adaptive execution may split a hot gram
     wanted = sampled.join(often, "h").groupBy("id").agg(F.collect_set(F.struct("h", "parts")).alias("found"))  # a document's own
-    schema = "key long, id long, start int, hashes binary, parts int"
+    schema = "key long, part int, id long, other long, start int, hashes binary"
     pieces = cut(map_arrow(rows.join(wanted, "id").select("id", "text", "found"), _pieces(least, gram, window), schema), "pieces")
-
-    dealt = pieces.where("parts = 0").drop("parts").repartition("key").sortWithinPartitions("key")
-    spans = map_arrow(dealt, _repeats(least), "id long, start int, stop int, earlier boolean")
-
-    part = F.pmod(F.xxhash64("id", "start"), F.col("parts")).alias("part")
-    dealt = pieces.where("parts > 0").select("key", part, "id", "start").groupBy("key", "part")
-    parts = cut(dealt.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.collect_list(F.struct("id", "start")).alias("places")), "parts")
-    shared = parts.groupBy("key").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where(F.col("first") < F.col("last")).drop("last")
-    common = parts.join(shared, "key").select("first", F.explode("places").alias("x")).select("first", "x.*")
-    common = common.select("id", "start", (F.col("start") + least).alias("stop"), (F.col("first") < F.col("id")).alias("earlier"))
-    return _merged(spans.unionAll(common), key)
+    discard(sampled)
+
+    sort = ("key", "part")
+    hot = pieces.where("part > 0").repartition(*sort).sortWithinPartitions(*sort)
+    ends = cut(map_arrow(hot, _groups(_ends), "key long, part int, lo long, hi long, hashes binary"), "run-ends")
+    whole = ends.groupBy("key", "hashes").agg(F.min("lo").alias("id"), F.max("hi").alias("other")).where(F.col("id") < F.col("other"))
+    known = ends.select("key", "part", "hashes").join(whole, ["key", "hashes"]).select("key", "part", "id", "other", F.lit(-1).alias("start"), "hashes")
+    dealt = pieces.unionByName(known).repartition(*sort).sortWithinPartitions(*sort)
+    return _merged(map_arrow(dealt, _groups(_spans(least)), "id long, start int, stop int, earlier boolean"), key)
 
 
 def _merged(spans: DataFrame, key: str) -> DataFrame:
