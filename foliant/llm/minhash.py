@@ -13,6 +13,7 @@ from foliant.llm.common import cut
 from foliant.llm.components import components
 from foliant.llm.kernels import U, buffers, grams, slices, stir, words
 from foliant.llm.vector_dedup import roots
+from foliant.llm.vectors import numbered
 from foliant.ship import map_arrow
 
 #: Coordinates of a signature, and matching ones that make a candidate pair. At a similarity of 0.8 fewer match for
@@ -213,7 +214,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
     cluster of several blocks is held against all its blocks. So every candidate pair is confirmed or is connected by
     confirmed links already.
     """
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(numbered(docs, key).alias("id"), F.col(text).alias("text"))
     signed = cut(map_arrow(rows, _sign(n), "id long, n long, d1 long, d2 long, sig binary"), "signatures")
     classes = cut(
         signed.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), F.min("sig").alias("sig")), "classes"

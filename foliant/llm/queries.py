@@ -83,8 +83,7 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    index, dim = build_index(vectors, depth=20)
-    return nearest(index, dim, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+    return nearest(build_index(vectors, depth=20), vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
 def op8_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,9 +107,9 @@ least AS (SELECT id, min(other) AS component_id FROM reached GROUP BY id)"""
 OP4_SQL = f"""
 WITH RECURSIVE sound AS (
   SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) = (SELECT max(len(embedding)) FROM embeddings)
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-edges AS (SELECT x.id AS a, y.id AS b FROM sound x JOIN sound y ON x.label = y.label AND x.id <> y.id WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+edges AS (SELECT x.id AS a, y.id AS b FROM sound x JOIN sound y ON x.label = y.label AND len(x.e) = len(y.e) AND x.id <> y.id WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
 nodes AS (SELECT DISTINCT a AS id FROM edges),
 {REACHED}
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) IS NOT DISTINCT FROM vec_id AS kept

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import sqrt
 
 import numpy as np
@@ -11,15 +12,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut
+from foliant.llm.common import cut, discard
 from foliant.llm.components import components
-from foliant.llm.vectors import dimension, matrix, sound
+from foliant.llm.vectors import matrix, numbered, sound
 from foliant.ship import map_arrow
 
 #: Vectors of a tile.
 TILE = 1024
 #: Leading dimensions after which a tile's products are held against their bounds.
 STEPS = (8, 16, 32)
+#: Leading coordinates that tiles have boxes of.
+LEADING = 8
 #: What rounding may take from a bound.
 SLACK = 1e-9
 
@@ -87,33 +90,54 @@ def roots(linked: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
 def near_vectors(embeddings: DataFrame, least: float = 0.98, key: str = "vec_id", label: str = "label", embedding: str = "embedding", tile: int = TILE) -> DataFrame:
     """For each row key, n_links, component_id and kept.
 
-    Two vectors link when their labels are equal and not null and their cosine, in double precision, is at least least.
-    Vectors that are null, zero, hold null or non-finite components, have a null key, or are shorter than the longest,
-    link with nothing. component_id: the least key reached by links, or the own one; kept: the own one is it. Rows that
-    share a key are one node: n_links counts their links together. An empty table gives no rows.
+    Two vectors link when their labels are equal and not null, their lengths are equal, and their cosine, in double
+    precision, is at least least. Vectors that are null, zero, hold null or non-finite components or have a null key link
+    with nothing. component_id: the least key reached by links, or the own one; kept: the own one is it. Rows that share a
+    key are one node: n_links counts their links together. An empty table gives no rows. Keys are whole numbers.
 
-    Tiles hold a range of one label in the order of the first principal coordinate; unit vectors that link differ there
-    by sqrt(2 - 2 least) at most, so only tiles that come so near meet. A meeting of two tiles gives one row a vector:
-    how many links, and the least vector of the tiles that it reaches; never the pairs. Within a range narrower than
-    that, every two tiles meet: all vectors of a label that lie so near must be compared.
+    Vectors of each length are compared apart; only the lengths that occur come to the driver. Tiles hold vectors of one
+    label and one cell of a grid over the first two principal coordinates, in the order of the third. Unit vectors that
+    link differ by sqrt(2 - 2 least) at most, the width of a cell, so only tiles of neighbouring cells meet, and of these
+    only those whose boxes over the leading coordinates come so near. A meeting of two tiles gives one row a vector: how
+    many links, and the least vector of the tiles that it reaches; never the pairs.
     """
     good = embeddings.where(sound(embedding) & F.col(label).isNotNull() & F.col(key).isNotNull())
-    dim = dimension(good, embedding)
-    plain = embeddings.select(F.col(key))
-    if not dim:
-        return plain.select(key, F.lit(0).cast("long").alias("n_links"), F.col(key).alias("component_id"), F.lit(True).alias("kept"))
-    vectors = good.where(F.size(embedding) == dim).select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(embedding).cast("array<double>").alias("embedding"))
+    good = good.select(numbered(embeddings, key).alias("id"), F.col(label).alias("label"), F.col(embedding).cast("array<double>").alias("embedding"))
+    dim = F.size("embedding")
+    found = good.groupBy(dim.alias("dim")).count().where(F.col("count") > 1).collect()
+    met = [_met(good.where(dim == r["dim"]), r["dim"], least, tile) for r in found]
+    plain = embeddings.select(key, F.col(key).cast("long").alias("__id"))
+    if not met:
+        return plain.select(key, F.lit(0).cast("long").alias("n_links"), F.col("__id").alias("component_id"), F.lit(True).alias("kept"))
+    every = reduce(DataFrame.unionAll, met)
+    counts = every.groupBy("id").agg(F.sum("n").alias("n_links"))
+    found = components(every.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    out = plain.join(counts, F.col("__id") == counts["id"], "left").drop("id").join(found, F.col("__id") == found["id"], "left").drop("id")
+    component = F.coalesce("component", "__id")
+    return out.select(key, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("__id")).alias("kept"))
+
+
+def _met(vectors: DataFrame, dim: int, least: float, tile: int) -> DataFrame:
+    """vectors of one length (id, label, embedding): id, n and root of each meeting of two tiles."""
     axes = principal(vectors, dim)
-    first = np.ascontiguousarray(axes[:, 0])
+    reach = sqrt(max(0.0, 2 - 2 * least)) + SLACK
+    leading = np.ascontiguousarray(axes[:, :LEADING])
 
-    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coordinates(column: pa.Array) -> np.ndarray:
+        x = matrix(column, dim)
+        return x @ leading / np.linalg.norm(x, axis=1)[:, None]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column(2), dim)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x @ first / np.linalg.norm(x, axis=1))], ["id", "label", "embedding", "lead"])
+            c = coordinates(batch.column(2))
+            cells = np.zeros((len(c), 2), np.int32)
+            cells[:, : min(2, dim)] = np.floor(c[:, :2] / reach)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells[:, 0]), pa.array(cells[:, 1]), pa.array(c[:, min(2, dim - 1)])], ["id", "label", "embedding", "x", "y", "lead"])
 
-    kind = good.schema[label].dataType.simpleString()
-    placed = map_arrow(vectors, lead, f"id long, label {kind}, embedding array<double>, lead double")
-    ordered = placed.repartitionByRange("label", "lead", "id").sortWithinPartitions("label", "lead", "id")
+    kind = vectors.schema["label"].dataType.simpleString()
+    placed = map_arrow(vectors, place, f"id long, label {kind}, embedding array<double>, x int, y int, lead double")
+    order = ("label", "x", "y", "lead", "id")
+    ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -122,18 +146,19 @@ def near_vectors(embeddings: DataFrame, least: float = 0.98, key: str = "vec_id"
         def out(part: pa.Table) -> pa.RecordBatch:
             nonlocal number
             number += 1
-            at = part.column("lead").to_numpy()
-            row = {
-                "label": part.column("label")[0].as_py(), "tile": number, "lo": float(at[0]), "hi": float(at[-1]),
-                "ids": part.column("id").to_numpy().astype("<i8").tobytes(), "data": matrix(part.column("embedding"), dim).astype("<f8").tobytes(),
-            }
-            return pa.RecordBatch.from_arrays([pa.array([row["label"]], part.schema.field("label").type), *[pa.array([v]) for v in list(row.values())[1:4]], *[pa.array([v], pa.binary()) for v in list(row.values())[4:]]], list(row))
+            c = coordinates(part.column("embedding"))
+            one = [pa.array([number]), *[part.column(n).slice(0, 1).combine_chunks() for n in ("label", "x", "y")]]
+            one = [v.chunk(0) if isinstance(v, pa.ChunkedArray) else v for v in one]
+            boxes = [pa.array([v.tolist()], pa.list_(pa.float64())) for v in (c.min(0), c.max(0))]
+            data = [pa.array([v.tobytes()], pa.binary()) for v in (part.column("id").to_numpy().astype("<i8"), matrix(part.column("embedding"), dim).astype("<f8"))]
+            return pa.RecordBatch.from_arrays([*one, *boxes, *data], ["tile", "label", "x", "y", "lo", "hi", "ids", "data"])
 
         def runs(rows: pa.Table) -> Iterator[tuple[int, int]]:
-            codes = rows.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
-            ends = [*np.flatnonzero(np.diff(codes)) + 1, len(codes)]
+            """Ranges of one label and cell, tile rows at most."""
+            codes = [rows.column("label").combine_chunks().dictionary_encode().indices.to_numpy(), *[rows.column(n).to_numpy() for n in ("x", "y")]]
+            new = np.any([np.diff(c) != 0 for c in codes], axis=0)
             start = 0
-            for end in ends:
+            for end in [*np.flatnonzero(new) + 1, rows.num_rows]:
                 for a in range(start, end, tile):
                     yield a, min(a + tile, end)
                 start = end
@@ -151,11 +176,16 @@ def near_vectors(embeddings: DataFrame, least: float = 0.98, key: str = "vec_id"
             for x, y in runs(rows):
                 yield out(rows.slice(x, y - x))
 
-    tiled = cut(map_arrow(ordered, tiles, f"label {kind}, tile long, lo double, hi double, ids binary, data binary"), "tiles")
-    reach = sqrt(max(0.0, 2 - 2 * least)) + SLACK
-    meta = tiled.select("label", "tile", "lo", "hi")
-    left, right = meta.toDF("label", "tile_a", "lo_a", "hi_a"), meta.toDF("label", "tile_b", "lo_b", "hi_b")
-    meetings = left.join(right, "label").where((F.col("tile_a") <= F.col("tile_b")) & (F.col("lo_b") - F.col("hi_a") <= reach) & (F.col("lo_a") - F.col("hi_b") <= reach)).select("tile_a", "tile_b")
+    tiled = cut(map_arrow(ordered, tiles, f"tile long, label {kind}, x int, y int, lo array<double>, hi array<double>, ids binary, data binary"), "tiles")
+    meta = tiled.select("tile", "label", "x", "y", "lo", "hi")
+    # Each pair of neighbouring cells once: a cell meets itself, and those after it.
+    steps = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))]))
+    left = meta.select("tile", "label", "x", "y", "lo", "hi", steps.alias("to"))
+    left = left.select(F.col("tile").alias("tile_a"), "label", (F.col("x") + F.col("to.x")).alias("x"), (F.col("y") + F.col("to.y")).alias("y"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), ((F.col("to.x") == 0) & (F.col("to.y") == 0)).alias("own"))
+    right = meta.withColumnsRenamed({"tile": "tile_b", "lo": "lo_b", "hi": "hi_b"})
+    gaps = F.zip_with(F.arrays_zip("lo_a", "hi_a"), F.arrays_zip("lo_b", "hi_b"), lambda a, b: F.greatest(F.lit(0.0), b["lo_b"] - a["hi_a"], a["lo_a"] - b["hi_b"]))
+    near = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g) <= reach * reach
+    meetings = left.join(right, ["label", "x", "y"]).where((~F.col("own") | (F.col("tile_a") <= F.col("tile_b"))) & near).select("tile_a", "tile_b")
     payload = tiled.select("tile", "ids", "data")
     pairs = meetings.join(payload.toDF("tile_a", "ids_a", "data_a"), "tile_a").join(payload.toDF("tile_b", "ids_b", "data_b"), "tile_b")
 
@@ -176,10 +206,6 @@ def near_vectors(embeddings: DataFrame, least: float = 0.98, key: str = "vec_id"
                 hit = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(every[hit]), pa.array(n[hit].astype(np.int64)), pa.array(every[root[hit]])], ["id", "n", "root"])
 
-    met = cut(map_arrow(pairs.repartition("tile_a", "tile_b"), meet, "id long, n long, root long"), "met")
-    counts = met.groupBy("id").agg(F.sum("n").alias("n_links"))
-    found = components(met.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    out = plain.withColumn("__id", F.col(key).cast("long"))
-    out = out.join(counts, F.col("__id") == counts["id"], "left").drop("id").join(found, F.col("__id") == found["id"], "left").drop("id")
-    component = F.coalesce("component", "__id")
-    return out.select(key, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("__id")).alias("kept"))
+    out = cut(map_arrow(pairs.repartition("tile_a", "tile_b"), meet, "id long, n long, root long"), "met")
+    discard(tiled)
+    return out

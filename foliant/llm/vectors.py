@@ -15,9 +15,17 @@ def sound(embedding: str) -> Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def dimension(vectors: DataFrame, embedding: str) -> int:
-    """The greatest length of a vector; 0 without any."""
-    return vectors.agg(F.max(F.size(embedding))).first()[0] or 0
+def numbered(df: DataFrame, key: str) -> Column:
+    """The key as a long. Operators whose results hold least keys take whole numbers only."""
+    kind = df.schema[key].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} must be a column of whole numbers, not {kind}")
+    return F.col(key).cast("long")
+
+
+def by_length(cases: dict[int, int]) -> Column:
+    """The value of a vector's length (column dim)."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in cases.items() for x in pair]), F.col("dim"))
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:

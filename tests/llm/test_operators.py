@@ -340,11 +340,12 @@ def vectors(spark, n=300, seed=3):
     x = centres[r.integers(0, 12, n)] + r.normal(size=(n, 16)) * r.choice([0.02, 0.1, 1], (n, 1))
     rows = [(k, [float(v) for v in x[k].astype(np.float32)], int(r.integers(0, 3)) if k % 17 else None) for k in range(n)]
     rows += [(n, None, 1), (n + 1, [0.0] * 16, 1), (n + 2, [None] * 16, 1), (n + 3, [float("nan")] * 16, 1), (n + 4, [1.0, 2.0], 1), (None, rows[0][1], 1), (n + 5, rows[1][1], rows[1][2]), (n + 6, [float("inf")] * 16, 0)]
+    rows += [(n + 20, rows[0][1] + [1.0], 1), (n + 21, [1.0, 2.125], 1), (n + 40, rows[0][1] + [1.125], 1)]
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("id", F.lit("clash")).withColumn("tile", F.lit(0)), rows
 
 
 def sound(rows):
-    return [(k, np.array(v, float), y) for k, v, y in rows if k is not None and v and len(v) == 16 and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    return [(k, np.array(v, float), y) for k, v, y in rows if k is not None and v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
 
 
 def roots(n, pairs):
@@ -364,7 +365,7 @@ def roots(n, pairs):
 def test_near_vectors(spark):
     df, rows = vectors(spark)
     good = sound(rows)
-    pairs = [(i, j) for i, (_, a, y) in enumerate(good) for j, (_, b, z) in enumerate(good) if i < j and y is not None and y == z and a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.98]
+    pairs = [(i, j) for i, (_, a, y) in enumerate(good) for j, (_, b, z) in enumerate(good) if i < j and y is not None and y == z and len(a) == len(b) and a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.98]
     root = roots(len(good), pairs)
     want = {k: (sum(i in p for p in pairs), good[root[i]][0]) for i, (k, _, _) in enumerate(good)}
     got = vector_dedup.near_vectors(df, tile=32).collect()
@@ -386,27 +387,38 @@ def test_components(spark):
 def test_nearest(spark):
     df, rows = vectors(spark, 700)
     good = sound(rows)
-    index, dim = nearest.build_index(df, depth=10)
-    got = nearest.nearest(index, dim, df.where("vec_id % 20 = 0"), k=10).collect()
-    x, ids = np.stack([v for _, v, _ in good]), np.array([k for k, _, _ in good])
-    hits, asked = 0, [i for i, k in enumerate(ids) if k % 20 == 0]
-    for i in asked:
-        s = np.where(ids == ids[i], -np.inf, x @ x[i])
-        best = set(ids[np.lexsort((ids, -s))[:10]].tolist())
-        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == ids[i])
-        assert [r[0] for r in own] == list(range(1, 11)) and all(r[2] == pytest.approx(s[ids.tolist().index(r[1])], abs=1e-12) for r in own)
-        hits += len(best & {r[1] for r in own})
-    assert hits >= 0.95 * 10 * len(asked) and {r["query_id"] for r in got} == {int(ids[i]) for i in asked}
-    index, dim = nearest.build_index(df.where("vec_id < 0"))
-    assert nearest.nearest(index, dim, df).count() == 0
+    got = nearest.nearest(nearest.build_index(df, depth=10), df.where("vec_id % 20 = 0"), k=10).collect()
+    hits, total, asked = 0, 0, [(k, v) for k, v, _ in good if k % 20 == 0]
+    for k, v in asked:
+        others = sorted((-(v * x).sum(), j) for j, x, _ in good if j != k and len(x) == len(v))
+        score = {j: -s for s, j in others}
+        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == k)
+        assert [r[0] for r in own] == list(range(1, min(10, len(others)) + 1)) and all(r[2] == pytest.approx(score[r[1]], abs=1e-12) for r in own)
+        hits += len({j for _, j in others[:10]} & {r[1] for r in own})
+        total += len(own)
+    assert hits >= 0.95 * total and {r["query_id"] for r in got} == {k for k, v in asked} and {720, 740} <= {k for k, _ in asked}
+    assert nearest.nearest(nearest.build_index(df.where("vec_id < 0")), df).count() == 0
+    with pytest.raises(TypeError):
+        nearest.build_index(df.withColumn("vec_id", F.lit("a")))
+
+
+def test_nearest_in_parts(spark, monkeypatch):
+    df, _ = vectors(spark, 700)
+    asked = df.where("vec_id % 3 = 0")
+    want = nearest.nearest(nearest.build_index(df, depth=10), asked, k=10).orderBy("query_id", "rank").collect()
+    for name, n in (("QUERIES", 50), ("FEW_ROWS", 100_000)):
+        monkeypatch.setattr(nearest, name, n)
+    got = nearest.nearest(nearest.build_index(df, depth=10), asked, k=10).orderBy("query_id", "rank").collect()
+    same = len(set(got) & set(want))
+    assert len(got) == len(want) and same >= 0.95 * len(want)
 
 
 def test_nearest_of_equal_vectors(spark):
     rows = [(k, [1.0, 0.5]) for k in range(60)] + [(k, [0.1, 0.1 * k]) for k in range(60, 70)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    index, dim = nearest.build_index(df, depth=5)
-    got = nearest.nearest(index, dim, df.where("vec_id in (0, 40)"), k=5).orderBy("query_id", "rank").collect()
-    few = nearest.nearest(index, dim, df.where("vec_id = 40"), k=5)
+    index = nearest.build_index(df, depth=5)
+    got = nearest.nearest(index, df.where("vec_id in (0, 40)"), k=5).orderBy("query_id", "rank").collect()
+    few = nearest.nearest(index, df.where("vec_id = 40"), k=5)
     assert few.count() == 5 and len(got) == 10
     ties = [r["vec_id"] for r in got if r["query_id"] == 0 and r["score"] == pytest.approx(1.25)]
     assert ties == sorted(ties)
