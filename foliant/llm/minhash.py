@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut
+from foliant.llm.common import cut, discard
 from foliant.llm.components import components
 from foliant.llm.kernels import U, buffers, grams, slices, stir, words
 from foliant.llm.vector_dedup import roots
@@ -23,6 +23,10 @@ COORDINATES, MATCHES = 32, 13
 BLOCK = 256
 #: Members of a cluster that stand in all its blocks, on average.
 PIVOTS = 8
+#: A posting list of more classes is not compared: its classes are one cluster, which their shingles then divide.
+HOT = 4096
+#: A shingle that one in so many members of a cluster has comes last in the order of its shingles.
+COMMON = 8
 
 _RANDOM = np.random.default_rng(606)
 _MULTIPLY = _RANDOM.integers(0, 2**63, COORDINATES, dtype=np.uint64) * U(2) + U(1)
@@ -209,10 +213,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
     1. Equal sets, however many, become one class with its least key. 2. A class posts itself under its coordinate and
     value pairs. Two classes with MATCHES of COORDINATES in common share one of the COORDINATES - MATCHES + 1 rarest
     pairs of each, so only that prefix is posted; pairs that occur once are skipped. Posting lists are compared in tiles
-    of blocks, and a tile gives the forest of its candidates, not the pairs. 3. Candidates' components, the clusters,
-    are confirmed on whole sets, in blocks that share some pivots; what then is outside the largest component of a
-    cluster of several blocks is held against all its blocks. So every candidate pair is confirmed or is connected by
-    confirmed links already.
+    of blocks, and a tile gives the forest of its candidates, not the pairs; the classes of a list of more than HOT are
+    tied together without comparison. 3. Candidates' components are clusters. One of more than a block is divided:
+    linked sets share one of the rarest percent of their shingles, so classes that share none of these part (_divided).
+    4. Clusters are confirmed on whole sets, in blocks that share some pivots; what then is outside the largest component
+    of a cluster of several blocks is held against all its blocks. So every candidate pair is confirmed or is connected
+    by confirmed links already. Texts may be of any length. Keys are whole numbers.
     """
     rows = docs.select(numbered(docs, key).alias("id"), F.col(text).alias("text"))
     signed = cut(map_arrow(rows, _sign(n), "id long, n long, d1 long, d2 long, sig binary"), "signatures")
@@ -233,13 +239,18 @@ def _clusters(classes: DataFrame) -> DataFrame:
     posted = map_arrow(classes.select("id", "sig"), _tokens, "id long, token long, which int")
     often = posted.groupBy("token").agg(F.count("*").alias("times")).where(F.col("times") > 1)
     prefix = COORDINATES - MATCHES + 1
-    lists = (
+    tokens = cut(
         posted.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("times", "token", "which"))).alias("tokens"))  # COORDINATES at most
         .where(F.size("tokens") >= MATCHES)
         .withColumn("tokens", F.slice("tokens", F.lit(1), F.greatest(F.lit(0), prefix - COORDINATES + F.size("tokens"))))
-        .withColumn("posted", F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a + F.call_function("shiftleft", F.lit(1).cast("long"), t["which"])))
-        .join(classes.select("id", "sig"), "id")
-        .select("id", "sig", "posted", F.explode("tokens").alias("t")).select("id", "sig", "posted", "t.token", "t.which", "t.times")
+        .withColumn("posted", F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a + F.call_function("shiftleft", F.lit(1).cast("long"), t["which"]))),
+        "posted",
+    )
+    hot = tokens.select(F.col("id").alias("a"), F.explode(F.filter("tokens", lambda t: t["times"] > HOT)).alias("t")).select("a", "t.token")
+    tied = hot.join(cut(hot.groupBy("token").agg(F.min("a").alias("b")), "hot-lists"), "token").select("a", "b")
+    lists = (
+        tokens.withColumn("t", F.explode(F.filter("tokens", lambda t: t["times"] <= HOT))).drop("tokens")
+        .join(classes.select("id", "sig"), "id").select("id", "sig", "posted", "t.token", "t.which", "t.times")
     )
     blocks = F.ceil(F.col("times") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -250,16 +261,68 @@ def _clusters(classes: DataFrame) -> DataFrame:
     )
     dealt = tiled.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "id")
     edges = map_arrow(dealt, grouped(["token", "i", "j"], ["a", "b"], _match), "a long, b long")
-    found = components(edges)
+    found = components(edges.unionAll(tied))
     return cut(found.select("id", F.col("component").alias("cluster")).unionAll(found.select(F.col("component").alias("id"), F.col("component").alias("cluster")).distinct()), "clusters")
 
 
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """cluster, size, shingles: how often each shingle occurs in a batch's sets of a cluster."""
+    for batch in batches:
+        cluster, size, raw = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+        for c in np.unique(cluster):
+            own = np.flatnonzero(cluster == c)
+            shingle, n = np.unique(np.frombuffer(b"".join([raw[k] for k in own]), "<i8"), return_counts=True)
+            every = [np.full(len(n), v) for v in (c, size[own[0]])]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, every), pa.array(shingle), pa.array(n)], ["cluster", "size", "shingle", "n"])
+
+
+def _prefixes(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """id, cluster, shingles, common: each set's shingles, common ones last, up to where a linked set must share one."""
+        for batch in batches:
+            ids, clusters, out = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
+            for raw, common in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                s = np.frombuffer(raw, "<i8")
+                s = s[np.argsort(np.isin(s, np.array(common or [], np.int64)), kind="stable")]
+                out.append(s[: len(s) + (-percent * len(s)) // 100 + 1])
+            sizes = [len(s) for s in out]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.repeat(clusters, sizes)), pa.array(np.concatenate(out) if out else np.empty(0, np.int64))], ["id", "cluster", "shingle"])
+
+    return run
+
+
+def _divided(sets: DataFrame, percent: int) -> DataFrame:
+    """sets (id, cluster, size, shingles) of large clusters, in smaller ones; sets that can have no link are left out.
+
+    A set that links has percent of its shingles, at least, in the other one, so in any order of shingles the two share
+    one of their first 100 - percent, and one more. Common ones stand last, so that what many sets have in common, such as
+    a template's text, ties nothing together. Sets that share such a shingle, directly or by others, stay together. The
+    common shingles of a cluster are at most COMMON times those of a mean set.
+    """
+    counts = map_arrow(sets.select("cluster", "size", "shingles"), _often, "cluster long, size long, shingle long, n long")
+    common = counts.groupBy("cluster", "size", "shingle").agg(F.sum("n").alias("n")).where(F.col("n") * COMMON > F.col("size"))
+    common = cut(common.groupBy("cluster").agg(F.collect_list("shingle").alias("common")), "common")
+    known = sets.select("id", "cluster", "shingles").join(common, "cluster", "left").select("id", "cluster", "shingles", "common")
+    posted = cut(map_arrow(known, _prefixes(percent), "id long, cluster long, shingle long"), "prefixes")
+    lists = cut(posted.groupBy("cluster", "shingle").agg(F.min("id").alias("b"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n"), "prefix-lists")
+    found = components(posted.join(lists, ["cluster", "shingle"]).select(F.col("id").alias("a"), "b"))
+    placed = cut(found.select("id", "component").unionAll(found.select(F.col("component").alias("id"), "component").distinct()), "divided")
+    sizes = placed.groupBy("component").agg(F.count("*").alias("size"))
+    of = placed.join(sizes, "component").select("id", F.col("component").alias("cluster"), "size")
+    out = cut(sets.select("id", "shingles").join(of, "id").select("id", "cluster", "size", "shingles"), "sets")
+    for written in (common, posted, lists, placed):
+        discard(written)
+    return out
+
+
 def _confirmed(rows: DataFrame, classes: DataFrame, clusters: DataFrame, n: int, percent: int) -> DataFrame:
     """id and component by confirmed links."""
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     members = clusters.join(sizes, "cluster").join(classes.select("id", "d1", "d2"), "id").select("id", "d1", "d2", "cluster", "size")
     texts = rows.join(members, "id").select("id", "text", "d1", "d2", "cluster", "size")
     sets = cut(map_arrow(texts, _cluster_sets(n), "id long, cluster long, size long, shingles binary"), "sets")
+    if sets.where(F.col("size") > BLOCK).limit(1).count():
+        sets = sets.where(F.col("size") <= BLOCK).unionByName(_divided(sets.where(F.col("size") > BLOCK), percent))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("id", F.lit("pivot")), F.col("size")) < PIVOTS)
@@ -288,7 +351,15 @@ def _confirmed(rows: DataFrame, classes: DataFrame, clusters: DataFrame, n: int,
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs' rows without near duplicates: of each component the row of the least key, once; rows of null key all stay."""
-    marked = near_duplicates(docs, n, percent, key, text).where("kept").select(F.col(key).cast("long").alias("__kept")).where(F.col("__kept").isNotNull())
-    stay = docs.join(marked.distinct(), F.col(key).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([key])
+    """docs' rows without near duplicates: of each group the row of the least key stays, once.
+
+    Rows of one key and different texts are rows of their own: both stay, if their texts are not linked. Rows of equal key
+    and text are one; of these the one whose other columns hash least stays. Rows of null key all stay. Null and empty
+    texts are in no group.
+    """
+    columns = docs.columns
+    named = docs.where(F.col(key).isNotNull()).withColumn("__row", F.xxhash64(key, text))
+    found = near_duplicates(named, n, percent, "__row", text).select("__row", "component_id")
+    least = named.select(key, "__row").join(found, "__row").groupBy("component_id").agg(F.min(F.struct(key, "__row")).alias("least"))
+    stay = named.join(least.select("least.__row"), "__row", "left_semi").groupBy("__row").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("r")).select("r.*")
     return stay.unionByName(docs.where(F.col(key).isNull()))

@@ -455,9 +455,10 @@ def near_texts():
     return texts
 
 
-@pytest.mark.parametrize("block", [256, 16])
-def test_near_duplicates(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hot"), [(256, 4096), (16, 4096), (16, 20)])
+def test_near_duplicates(spark, monkeypatch, block, hot):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "HOT", hot)
     texts = near_texts()
     sets = [shingles(t, 4) for t in texts]
     pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a and b and 100 * len(a & b) >= 80 * len(a | b)]
@@ -475,6 +476,34 @@ def test_near_duplicates_odd(spark):
     docs = spark.createDataFrame(rows, DOCS)
     assert minhash.near_duplicates(docs).count() == 4
     assert sorted(str(x["doc_id"]) for x in minhash.one_of_each(docs).collect()) == ["3", "None", "None"]
+    with pytest.raises(TypeError):
+        minhash.near_duplicates(docs.withColumn("doc_id", F.lit("a")))
+    a, b = some(40, 1), some(40, 2)
+    rows = [(1, a, "en", "x", 1), (1, b, "en", "x", 1), (2, b, "en", "x", 1), (3, a, "en", "x", 1), (1, a, "fr", "x", 1), (4, "", "en", "x", 0), (4, None, "en", "x", 0)]
+    kept = minhash.one_of_each(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((x["doc_id"], str(x["text"])) for x in kept) == sorted([(1, a), (1, b), (4, ""), (4, "None")])
+
+
+def test_templates(spark, monkeypatch):
+    """Documents of one template, similar by half: no copies of sets grow with the square of their number."""
+    monkeypatch.setattr(minhash, "HOT", 300)
+    template, confirmed = some(80, 4), []
+    divide = minhash._divided
+    monkeypatch.setattr(minhash, "_divided", lambda sets, percent: confirmed.append((sets.count(), (out := divide(sets, percent)).count())) or out)
+    for n in (500, 1000):
+        texts = [template + " " + " ".join(f"{k}x{i}" for i in range(40)) for k in range(n)] + [template + " end", template + " the end"]
+        got = minhash.near_duplicates(table(spark, texts)).where("not kept").collect()
+        assert [(x["doc_id"], x["component_id"]) for x in got] == [(n + 1, n)]
+    assert all(before > 400 and after <= 2 for before, after in confirmed) and len(confirmed) == 2
+
+
+def test_a_long_text(spark):
+    long = some(130_000, 44)
+    texts = [long, some(50, 3), long + " more", long.upper(), long[: len(long) // 2]]
+    got = minhash.near_duplicates(table(spark, texts)).orderBy("doc_id").collect()
+    assert [x["component_id"] for x in got] == [0, 1, 0, 0, 4]
+    spans = repeats.repeated_passages(table(spark, texts), 50).groupBy("doc_id").agg(F.sum("n_words").alias("n")).collect()
+    assert {x["doc_id"] for x in spans} == {0, 2, 3, 4} and all(x["n"] >= 60_000 for x in spans)
 
 
 def covered(texts, least):
