@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,44 +10,93 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import bucket_count, cut, hash_key, prefix_sums
+from foliant.llm.common import bucket_count, cut, discard, hash_key, prefix_sums
 from foliant.llm.tokens import encoder, gathered
 from foliant.ship import map_arrow
 
 #: Distinct pieces of text that a worker remembers, and bytes of text that it takes together: it holds pieces besides.
 PIECES_KEPT, BYTES = 350_000, 3 << 20
-#: A placement: the pieces of a length with ranks from rank_from to before rank_to go, in turn, to the sequences from
-#: sequence_from on, each at the same offset.
-PLAN = "length int, rank_from long, rank_to long, sequence_from long, offset long"
+#: Ranges of sizes that are swept apart, and rows of a plan that are broadcast at most (40 bytes each).
+RANGES, PLAN_ROWS = 16, 500_000
+#: A gap of so many pieces' size takes as many of them as it holds at once.
+MANY = 8
 
+GAP, PIECE, PLACED, CHANGED = 0, 1, 2, 3
+#: A run: pieces of one length (size) with n ranks from rank on; gaps of one size in n sequences from first on; or pieces
+#: that have found a place: from rank on, each in turn to the sequences from first on, from offset on, so many a sequence.
+RUNS = "kind int, size int, n long, rank long, first long, offset int, each int"
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Best-fit decreasing over runs: equal pieces are one run with a range of ranks, equal gaps are runs of sequences.
 
-    Each superstep takes the longest run of pieces left. Its successor in the sorted gaps is the run of the smallest gap
-    that holds the piece; pieces and gaps that want each other are matched by rank, so none is taken twice; then the
-    gaps shrink, and what is left of the run looks for its next successor. Where none is left, as many sequences are
-    opened as the rest of the run fills. The state has a run for each gap and split, whatever the number of pieces.
+def sweep(runs: list[list], capacity: int) -> list[list]:
+    """One pass over pieces and gaps by rising size. A gap's successor is the longest piece before it that is still free;
+    runs that want each other are matched by rank, so that nothing is taken twice. Gaps that have changed come back as
+    CHANGED: they do not meet pieces again in this pass."""
+    out, free = [], []  # free: runs of pieces, the longest last
+    for kind, size, n, rank, first, *_ in sorted(runs, key=lambda r: (r[1], -r[0], r[3], r[4])):  # pieces before gaps of their size
+        if kind == PIECE:
+            free.append([size, n, rank])
+            continue
+        while n and free:
+            length, left, at = free[-1]
+            each = max(1, min(size // length, left // n)) if size >= MANY * length else 1
+            m = min(n, left // each)
+            out.append([PLACED, length, m * each, at, first, capacity - size, each])
+            if size > each * length:
+                out.append([CHANGED, size - each * length, m, 0, first, 0, 0])
+            free[-1][1:] = left - m * each, at + m * each
+            if left == m * each:
+                free.pop()
+            n, first = n - m, first + m
+        if n:
+            out.append([GAP, size, n, 0, first, 0, 0])
+    return out + [[PIECE, size, n, rank, 0, 0, 0] for size, n, rank in free]
+
+
+def _swept(capacity: int, last: bool):
+    """Of a task's rows: what a sweep leaves and makes. The last of a superstep makes CHANGED gaps gaps again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [list(r.values()) for batch in batches for r in batch.to_pylist()]
+        done = [r for r in rows if r[0] > PIECE] + sweep([r for r in rows if r[0] <= PIECE], capacity)
+        if last:
+            done = [[GAP if r[0] == CHANGED else r[0], *r[1:]] for r in done]
+        names = [c.split()[0] for c in RUNS.split(", ")]
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate(types)], names)
+
+    return run
+
+
+def best_fit(lengths: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """The placements, as RUNS, of pieces counted by length (length, n), and how many they are.
+
+    Bulk-synchronous best fit over runs, from the longest: pieces of one length are a run with a range of ranks, gaps of
+    one size a range of sequences. A superstep sweeps pieces and gaps, dealt by ranges of their size, in all ranges at
+    once; what a range has not matched is carried over its border and swept once more, together; then changed gaps take
+    their new size, and the next superstep begins. Where nothing moves, sequences are opened: for each piece of more than
+    half a sequence one, or as many as the rest fills. Runs grow with capacity and supersteps, not with pieces; four
+    numbers a superstep come to the driver.
     """
-    gaps: list[tuple[int, int, int]] = []  # gap, first sequence, sequences
-    plan, opened = [], 0
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            k = bisect_left(gaps, (length, -1, -1))
-            if k == len(gaps):
-                new = -(-left // (capacity // length))
-                gaps.append((capacity, opened, new))
-                opened += new
-            gap, first, n = gaps.pop(k)
-            m = min(left, n)
-            plan.append((length, rank, rank + m, first, capacity - gap))
-            if n > m:
-                gaps.insert(k, (gap, first + m, n - m))
-            if gap > length:
-                insort(gaps, (gap - length, first, m))
-            rank, left = rank + m, left - m
-    return plan
+    spark = lengths.sparkSession
+    zero = [F.lit(0).cast(t).alias(c) for c, t in (("first", "long"), ("offset", "int"), ("each", "int"))]
+    state = cut(lengths.select(F.lit(PIECE).alias("kind"), F.col("length").cast("int").alias("size"), "n", F.lit(0).cast("long").alias("rank"), *zero), "runs")
+    opened, placed = 0, 0
+    while True:
+        piece, size, n = F.col("kind") == PIECE, F.col("size").cast("long"), F.col("n")
+        total = lambda of, when: F.coalesce(F.sum(F.when(when, of)), F.lit(0))
+        large, tokens, left, now = state.agg(total(n, piece & (2 * size > capacity)), total(n * size, piece), total(n, piece), F.count_if(F.col("kind") == PLACED)).first()
+        if not left:
+            return state.where(F.col("kind") == PLACED), now
+        before = state
+        if now == placed:
+            new = large or -(-tokens // capacity)
+            state = state.unionAll(spark.createDataFrame([(GAP, capacity, new, 0, opened, 0, 0)], RUNS))
+            opened += new
+        placed = now
+        dealt = state.repartitionById(RANGES, (F.col("size") * RANGES / (capacity + 1)).cast("int"))
+        border = map_arrow(dealt, _swept(capacity, False), RUNS).repartitionById(RANGES + 1, F.when(F.col("kind") <= PIECE, RANGES).otherwise(F.pmod("size", F.lit(RANGES))).cast("int"))
+        state = cut(map_arrow(border, _swept(capacity, True), RUNS), "runs")
+        discard(before)
 
 
 def _pieces(path: str, end: int, capacity: int):
@@ -77,8 +125,8 @@ def pack(docs: DataFrame, path: str, end: int, capacity: int = 1024, key: str =
 
     A document is its ids and the end id; only one longer than capacity is cut, its first piece being the shorter one.
     A null or empty text is the end id alone; rows of equal key are documents of their own; an empty table gives no
-    pieces. Pieces are written once with their ids. Only the number of pieces of each length comes to the driver, and
-    only runs go back; a piece finds its place by its rank among those of its length.
+    pieces; texts may be of any length. Pieces are written once with their ids; a piece finds its place by its rank among
+    those of its length.
     """
     kind = docs.schema[key].dataType.simpleString()
     pieces = cut(
@@ -88,13 +136,12 @@ def pack(docs: DataFrame, path: str, end: int, capacity: int = 1024, key: str =
         ),
         "pieces", "zstd",
     )
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
-    plan = docs.sparkSession.createDataFrame(best_fit(counts, capacity), PLAN).withColumnRenamed("length", "__length")
+    plan, rows = best_fit(pieces.groupBy(F.col("length").cast("int").alias("length")).agg(F.count("*").alias("n")), capacity)
+    plan = plan.select(F.col("size").cast("long").alias("__length"), F.col("n").alias("__n"), F.col("rank").alias("__from"), "first", F.col("offset").alias("__offset"), "each")
     keyed = pieces.withColumn("__key", hash_key(F.col("key"), F.col("piece"), salt="pack"))
-    ranked = prefix_sums(keyed, ["length"], "__key", None, "__rank", bucket_count(sum(counts.values())), ["key", "piece", "ids_crc32"])
-    found = ranked.join(
-        F.broadcast(plan),
-        (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("rank_from")) & (F.col("__rank") < F.col("rank_to")),
-    )
-    sequence = (F.col("sequence_from") + F.col("__rank") - F.col("rank_from")).alias("sequence_id")
-    return found.select(F.col("key").alias(key), "piece", "start", "length", "ids_crc32", "ids", sequence, "offset")
+    ranked = prefix_sums(keyed, ["length"], "__key", None, "__rank", bucket_count(pieces.count()), ["key", "piece", "ids_crc32"])
+    turn = F.col("__rank") - F.col("__from")
+    found = ranked.join(F.broadcast(plan) if rows <= PLAN_ROWS else plan, (F.col("length") == F.col("__length")) & (turn >= 0) & (turn < F.col("__n")))
+    sequence = (F.col("first") + F.floor(turn / F.col("each"))).cast("long").alias("sequence_id")
+    offset = (F.col("__offset") + turn % F.col("each") * F.col("length")).cast("long").alias("offset")
+    return found.select(F.col("key").alias(key), "piece", "start", "length", "ids_crc32", "ids", sequence, offset)

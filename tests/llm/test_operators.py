@@ -1,5 +1,6 @@
 """The operators against brute force, on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -279,34 +280,40 @@ def test_token_files(spark, tmp_path):
     assert folder == str(tmp_path / "none") and token_files.read_token_files(spark, folder).count() == 0
 
 
-def test_best_fit_plan():
+def decreasing(counts, capacity):
+    """Sequences that best-fit decreasing fills, one piece after another."""
+    gaps = []  # in order
+    sequences = 0
+    for n in sorted(counts, reverse=True):
+        for _ in range(counts[n]):
+            k = bisect.bisect_left(gaps, n)
+            if k == len(gaps):
+                sequences += 1
+                gaps.append(capacity)
+            bisect.insort(gaps, gaps.pop(k) - n)
+    return sequences
+
+
+def test_best_fit_plan(spark):
     r = random.Random(2)
-    for _ in range(30):
-        sizes = [r.randint(1, 64) for _ in range(r.randint(1, 300))]
+    cases = [[r.randint(1, 64) for _ in range(r.randint(1, 300))] for _ in range(4)] + [[min(64, 1 + int(r.expovariate(0.1))) for _ in range(3000)], [1] * 1000, [33, 31] * 5, [64] * 7]
+    for sizes in cases:
         counts = {n: sizes.count(n) for n in set(sizes)}
-        plan = packing.best_fit(counts, 64)
-        bins = {}
-        for n, a, b, first, at in plan:
-            for k in range(b - a):
-                bins.setdefault(first + k, []).append((at, n))
-        placed = sorted(n for b in bins.values() for _, n in b)
-        assert placed == sorted(sizes)
+        plan, rows = packing.best_fit(spark.createDataFrame(list(counts.items()), "length int, n long"), 64)
+        bins, ranks = {}, {}
+        for x in plan.collect():
+            assert x["kind"] == packing.PLACED
+            for k in range(x["n"]):
+                bins.setdefault(x["first"] + k // x["each"], []).append((x["offset"] + k % x["each"] * x["size"], x["size"]))
+                ranks.setdefault(x["size"], []).append(x["rank"] + k)
+        assert rows and {n: sorted(k) for n, k in ranks.items()} == {n: list(range(m)) for n, m in counts.items()}
         for b in bins.values():
             at = 0
             for x, n in sorted(b):
                 assert x == at
                 at += n
             assert at <= 64
-        gaps, plain = [], 0  # best-fit decreasing, one piece after another
-        for n in sorted(sizes, reverse=True):
-            fit = [g for g in gaps if g >= n]
-            if fit:
-                gaps.remove(min(fit))
-                gaps.append(min(fit) - n)
-            else:
-                plain += 1
-                gaps.append(64 - n)
-        assert len(bins) == plain
+        assert len(bins) <= decreasing(counts, 64) * 1.01 + 1
 
 
 def test_pack(spark):
