@@ -305,7 +305,9 @@ def _divided(sets: DataFrame, percent: int) -> DataFrame:
     known = sets.select("id", "cluster", "shingles").join(common, "cluster", "left").select("id", "cluster", "shingles", "common")
     posted = cut(map_arrow(known, _prefixes(percent), "id long, cluster long, shingle long"), "prefixes")
     lists = cut(posted.groupBy("cluster", "shingle").agg(F.min("id").alias("b"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n"), "prefix-lists")
-    found = components(posted.join(lists, ["cluster", "shingle"]).select(F.col("id").alias("a"), "b"))
+    # A set and the least sets of all its lists are tied to the least of them: an edge a set, and few between those.
+    tied = posted.join(lists, ["cluster", "shingle"]).groupBy("id").agg(F.collect_set("b").alias("b")).withColumn("m", F.array_min("b"))
+    found = components(tied.select(F.explode(F.array_union(F.array("id"), "b")).alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct())
     placed = cut(found.select("id", "component").unionAll(found.select(F.col("component").alias("id"), "component").distinct()), "divided")
     sizes = placed.groupBy("component").agg(F.count("*").alias("size"))
     of = placed.join(sizes, "component").select("id", F.col("component").alias("cluster"), "size")
@@ -346,8 +348,12 @@ def _confirmed(rows: DataFrame, classes: DataFrame, clusters: DataFrame, n: int,
     right = labelled.where(F.col("outer") > 0).withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)))
     both = left.unionByName(right).select("cluster", "i", "j", "id", "shingles")
     dealt = both.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
+    known = labelled.select("id", "label")
     more = map_arrow(dealt, grouped(["cluster", "i", "j"], ["a", "b"], confirm), "a long, b long")
-    return components(edges.unionAll(more))
+    for c in ("a", "b"):
+        more = more.join(known.select(F.col("id").alias(c), F.col("label").alias(f"of_{c}")), c)
+    apart = cut(more.where(F.col("of_a") != F.col("of_b")).select("a", "b").distinct(), "late-links")
+    return components(edges.unionAll(apart)) if apart.limit(1).count() else found
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
