@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from foliant import config as C
 from foliant.functions import text as T
 from foliant.operators import checks, chunking, html, layout, links, paragraphs, quality, regions
+from foliant.shared import cut
 from foliant.sources.tables import write_by_document, write_texts
 
 
+#: A page's regions come after its images.
+AFTER_IMAGES = 500
+
+
 class Processed(NamedTuple):
     """blocks: doc_id, idx, text. dropped: doc_id and the characters that were taken out on purpose."""
 
@@ -20,17 +25,23 @@ class Processed(NamedTuple):
     dropped: DataFrame
 
 
-def postprocess(units: DataFrame, lines: DataFrame, pages: DataFrame, planned: DataFrame | None = None, images: DataFrame | None = None) -> Processed:
+def postprocess(
+    units: DataFrame, lines: DataFrame, pages: DataFrame, planned: DataFrame | None = None, images: DataFrame | None = None, tables: DataFrame | None = None, graphics: DataFrame | None = None
+) -> Processed:
     """A candidate's blocks (doc_id, idx, text) set right by the lines of its pages.
 
-    planned: regions (doc_id, pno, box, kind, cap_text, anchor, link); images: placed images (doc_id, pno, xref, box). Paragraphs
-    are rebuilt, covers, running heads and formulas taken out, headings and notes marked, broken sentences joined, and links
-    put where they belong.
+    planned: regions as regions.plan gives them (doc_id, pno, box, kind, cap_text, anchor, link), or None: they are planned
+    from the lines, the tables and the graphics (doc_id, pno, box). images: placed images (doc_id, pno, xref, box); those of
+    a cover page are left out. Paragraphs are rebuilt, covers, running heads and formulas taken out, headings and notes
+    marked, broken sentences joined, and links put where they belong: equations after the text above them, captioned
+    regions before their caption, all others and the images at the end of their page. Regions, lines and paragraphs are
+    written once each, since several steps read them (foliant.shared).
     """
+    planned = cut(regions.plan(lines, pages, tables, graphics), "regions") if planned is None else planned
     repeated = paragraphs.repeated_norms(lines)
-    flags = layout.line_flags(layout.ordered_lines(lines, pages, repeated, planned)).persist()
+    flags = cut(layout.line_flags(layout.ordered_lines(lines, pages, repeated, planned)), "lines")
     seq = flags.select("doc_id", F.col("seq").alias("idx"), T.key(F.col("text")).alias("key"), "is_start")
-    paras = paragraphs.rebuild_paragraphs(paragraphs.drop_images(units), seq)
+    paras = cut(paragraphs.rebuild_paragraphs(paragraphs.drop_images(units), seq), "paragraphs")
     uncovered = paragraphs.drop_cover(paras)
     heads = repeated.groupBy("doc_id").agg(F.collect_set("norm").alias("norms"))
     kept = paragraphs.drop_math(paragraphs.strip_running_heads(uncovered, heads))
@@ -40,23 +51,30 @@ def postprocess(units: DataFrame, lines: DataFrame, pages: DataFrame, planned: D
     sizes = layout.first_sizes(flags).withColumnRenamed("key", "key0")
     noted = marked.join(sizes, ["doc_id", "key0"], "left").join(layout.body_sizes(lines), "doc_id", "left")
     blocks = paragraphs.merge_continuations(paragraphs.mark_footnotes(noted).select("doc_id", "idx", "text"))
-    n = F.row_number().over(paragraphs.Window.partitionBy("doc_id").orderBy("pno", "y0", "x0")).cast("long")
-    gone = [paragraphs.repeated_chars(repeated), paragraphs.dropped_chars(paras, uncovered)]
-    if planned is not None:
-        numbered = planned.withColumn("n", n)
-        blocks = links.link_equations(blocks, numbered)
-        blocks = links.link_captions(blocks, numbered.where(F.col("kind") != "equation"))
-        gone.append(regions.region_chars(lines, planned).withColumnRenamed("chars", "dropped"))
+    numbered = planned.withColumn("n", F.row_number().over(paragraphs.Window.partitionBy("doc_id").orderBy("pno", "y0", "x0")).cast("long"))
+    blocks = links.link_equations(blocks, numbered)
+    blocks = links.link_captions(blocks, numbered.where(F.col("kind") != "equation"))
+    bare = numbered.where(F.col("cap_text").isNull() & (F.col("kind") != "equation")).select("doc_id", "pno", (F.col("n") + AFTER_IMAGES).alias("n"), "link")
     if images is not None:
-        picked = regions.pick_images(images, pages)
-        picked = regions.outside(picked, planned) if planned is not None else picked
-        blocks = links.link_pages(blocks, links.page_links(picked), layout.page_last(flags))
-    dropped = gone[0]
-    for more in gone[1:]:
-        dropped = dropped.unionByName(more)
+        covers = paragraphs.mark_cover(units).where("cover").select("doc_id", F.lit(0).alias("pno")).distinct()
+        picked = regions.pick_images(images, pages).join(covers, ["doc_id", "pno"], "left_anti")
+        bare = bare.unionByName(links.page_links(regions.outside(picked, planned)).select("doc_id", "pno", F.col("n").cast("long").alias("n"), "link"))
+    blocks = links.link_pages(blocks, bare, layout.page_last(flags))
+    gone = [paragraphs.repeated_chars(repeated), paragraphs.dropped_chars(paras, uncovered), regions.region_chars(lines, planned).withColumnRenamed("chars", "dropped")]
+    dropped = gone[0].unionByName(gone[1]).unionByName(gone[2])
     return Processed(blocks, dropped.groupBy("doc_id").agg(F.sum("dropped").alias("dropped")))
 
 
+def add_equation_images(texts: DataFrame, planned: DataFrame) -> DataFrame:
+    """texts (doc_id, text) of another extractor with the links of their pages' equations (of regions.plan), each after the
+    first block that holds the line above it; those without one at the end. Texts without equations stay as they are."""
+    numbered = planned.where(F.col("kind") == "equation").withColumn("n", F.row_number().over(paragraphs.Window.partitionBy("doc_id").orderBy("pno", "y0", "x0")).cast("long"))
+    some = texts.join(numbered.select("doc_id").distinct(), "doc_id", "left_semi")
+    blocks = some.select("doc_id", F.posexplode(F.filter(F.split("text", "\n\n"), lambda b: T.strip(b) != "")).alias("idx", "text"))
+    made = paragraphs.assemble_text(links.link_equations(blocks, numbered))
+    return made.unionByName(texts.join(numbered.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "text"))
+
+
 def scored(candidates: DataFrame, raw: DataFrame, dropped: DataFrame | None = None, has_tables: DataFrame | None = None) -> DataFrame:
     """candidates (doc_id, ord, name, text) with their scores against raw (doc_id, text): cleaned, and whether tables are
     kept where the document has some (doc_id, has_tables)."""

@@ -94,21 +94,28 @@ def is_math_block(c: Column) -> Column:
 
 
 def leading_repeat_words(c: Column, repeated: Column, most: int = 20) -> Column:
-    """How many words at the start are a running head of repeated (an array of normal forms); 0: none."""
+    """How many words at the start are a running head of repeated (an array of normal forms); 0: none.
+
+    The normal form of some first words is put together from words that are normal themselves; a number at either end,
+    beside other words, does not count.
+    """
     head = F.regexp_extract(strip(c), rf"(?U)^(?:[^{C.SPACE}]+[{C.SPACE}]*){{1,{most}}}", 0)  # so that long texts cost no more than short ones
+    number = lambda w: w.rlike(r"(?U)^\d+$")
+    words = F.transform(F.split(collapse(head), " "), lambda w: F.struct(F.regexp_replace(F.lower(w), r"(?U)\d+", "#").alias("w"), number(w).alias("number")))
+
+    def longest(x: Column) -> Column:
+        plain = F.transform(x, lambda w: w["w"])
+        skip = F.when(F.get(x, F.lit(0))["number"], 1).otherwise(0)
 
-    def longest(words: Column) -> Column:
-        hits = F.filter(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_contains(repeated, repeat_norm(F.array_join(F.slice(words, 1, n), " "))))
-        return F.coalesce(F.array_max(hits), F.lit(0))
+        def hit(n: Column) -> Column:
+            first = F.when(n > 1, skip).otherwise(0)
+            last = F.when(F.get(x, n - 1)["number"] & (n - first > 1), n - 1).otherwise(n)
+            return F.array_contains(repeated, F.array_join(F.slice(plain, first + 1, last - first), " "))
 
-    def found(x: Column) -> Column:
-        # The norm of some first words begins the norm of all, but for a number that stands alone.
-        may = F.exists(repeated, lambda h: F.startswith(x["norm"], h) | (h == "#"))
-        return F.when(may, longest(x["words"])).otherwise(F.lit(0))
+        return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), F.size(x)), hit)), F.lit(0))
 
     # Bound once: an expression inside a lambda runs anew for each element.
-    bound = F.array(F.struct(F.split(collapse(head), " ").alias("words"), repeat_norm(head).alias("norm")))
-    return F.when(F.size(repeated) > 0, F.get(F.transform(bound, found), F.lit(0))).otherwise(F.lit(0))
+    return F.when(F.size(repeated) > 0, F.get(F.transform(F.array(words), longest), F.lit(0))).otherwise(F.lit(0))
 
 
 def join_unit(before: Column, part: Column) -> Column:

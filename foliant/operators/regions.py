@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 from foliant import config as C
 from foliant.functions import text as T
+from foliant.operators import layout
+from foliant.shared import cut
 
 PAGE = ["doc_id", "pno"]
 
@@ -46,51 +48,54 @@ def region_chars(lines: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def overlaps(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
-    return (a0 < b1 + C.OVERLAP_SLACK) & (a1 > b0 - C.OVERLAP_SLACK)
+    """Whether two spans come within the slack of each other, borders included."""
+    return (a1 >= b0 - C.OVERLAP_SLACK) & (a0 <= b1 + C.OVERLAP_SLACK)
 
 
 def column_bounds(targets: DataFrame, lines: DataFrame) -> DataFrame:
-    """targets (t_id, page, x0, x1, width) with left and right of the column that each stands in: of all lines of its page if
-    it is wide or its side has none, else of those on its side."""
-    l = lines.select(*PAGE, F.col("x0").alias("l_x0"), F.col("x1").alias("l_x1"))
-    t = targets.select("t_id", *PAGE, "x0", "x1", "width")
+    """targets (page, x0, x1, width) with left and right of the column that each stands in: of all lines of its page if it is
+    wide or its side has none, else of those on its side. A page's bounds are one row."""
     left = lambda a, b: (a + b) / 2 < F.col("width") / 2
-    same = left(F.col("l_x0"), F.col("l_x1")) == left(F.col("x0"), F.col("x1"))
-    own = same & ((F.col("x1") - F.col("x0")) <= F.col("width") * C.FULL_WIDTH)
-    found = t.join(l, PAGE).groupBy("t_id").agg(
-        F.coalesce(F.min(F.when(own, F.col("l_x0"))), F.min("l_x0")).alias("left"), F.coalesce(F.max(F.when(own, F.col("l_x1"))), F.max("l_x1")).alias("right")
-    )
-    return targets.join(found, "t_id")
+    sided = lines.select(*PAGE, "x0", "x1").join(targets.select(*PAGE, "width").distinct(), PAGE).withColumn("on_left", left(F.col("x0"), F.col("x1")))
+    own = lambda c, when: F.when(when, F.col(c))
+    sides = {"p": F.lit(True), "l": F.col("on_left"), "r": ~F.col("on_left")}
+    bounds = sided.groupBy(*PAGE).agg(*[f(own(c, when)).alias(f"{name}_{c}") for name, when in sides.items() for f, c in ((F.min, "x0"), (F.max, "x1"))])
+    wide = (F.col("x1") - F.col("x0")) > F.col("width") * C.FULL_WIDTH
+    side = lambda c: F.when(wide, F.col(f"p_{c}")).otherwise(F.coalesce(F.when(left(F.col("x0"), F.col("x1")), F.col(f"l_{c}")).otherwise(F.col(f"r_{c}")), F.col(f"p_{c}")))
+    return targets.join(bounds, PAGE).select(*targets.columns, side("x0").alias("left"), side("x1").alias("right"))
 
 
-def is_prose(lo: Column, hi: Column, column_width: Column) -> Column:
-    return F.col("size").between(lo, hi) & ((F.col("x1") - F.col("x0")) >= column_width * C.WIDE_RATIO) & ~T.is_table_row(F.col("text"))
+def is_prose(lo: Column, hi: Column, column_width: Column, x0: Column | None = None, x1: Column | None = None) -> Column:
+    """Whether a line (size, text, x0, x1) is one of a paragraph: of body size, wide, and no row of numbers."""
+    width = (F.col("x1") if x1 is None else x1) - (F.col("x0") if x0 is None else x0)
+    return (hi > 0) & F.col("size").between(lo, hi) & (width >= F.greatest(column_width, F.lit(1.0)) * C.WIDE_RATIO) & ~T.is_table_row(F.col("text"))
 
 
 def captions(lines: DataFrame) -> DataFrame:
-    """Lines (with t_id, left, right, body_size) that are captions: they look like one, and are small, or stand apart from
+    """Lines (with t_id, left, right, body_size) that are captions: they look like one, and are small, or begin well below
     the line above, or are indented."""
-    above = lines.select(*PAGE, F.col("x0").alias("a_x0"), F.col("x1").alias("a_x1"), F.col("y0").alias("a_y0"), F.col("y1").alias("a_y1"))
+    above = lines.select(*PAGE, F.col("x0").alias("a_x0"), F.col("x1").alias("a_x1"), F.col("y0").alias("a_y0"))
     like = lines.where(T.is_caption_text(F.col("text")))
-    near = overlaps(F.col("a_x0"), F.col("a_x1"), F.col("x0"), F.col("x1")) & (F.col("a_y0") < F.col("y0"))
-    gaps = like.select("t_id", *PAGE, "x0", "x1", "y0").join(above, PAGE).groupBy("t_id").agg(F.max(F.when(near, F.col("a_y1"))).alias("a_y1"))
-    small = (F.col("size") > 0) & (F.col("size") <= F.col("body_size") * 0.95)
-    apart = F.col("a_y1").isNull() | (F.col("y0") - F.col("a_y1") >= C.GAP_PT)
-    indented = (F.col("x0") - F.col("left")) >= (F.col("right") - F.col("left")) * 0.15
-    return like.join(gaps, "t_id", "left").where(small | apart | indented).drop("a_y1")
+    near = overlaps(F.col("a_x0"), F.col("a_x1"), F.col("x0"), F.col("x1")) & (F.col("a_y0") < F.col("y0") - 2)
+    gaps = like.select("t_id", *PAGE, "x0", "x1", "y0").join(above, PAGE).groupBy("t_id").agg(F.max(F.when(near, F.col("a_y0"))).alias("a_y0"))
+    small = (F.col("body_size") > 0) & (F.col("size") <= F.col("body_size") * 0.95)
+    apart = F.col("a_y0").isNull() | (F.col("y0") - F.col("a_y0") >= C.GAP_PT)
+    wide = F.col("right") - F.col("left")
+    indented = (wide > 0) & ((F.col("x0") - F.col("left")) >= wide * 0.15)
+    return like.join(gaps, "t_id", "left").where(small | apart | indented).drop("a_y0")
 
 
 def region_edge(captions: DataFrame, lines: DataFrame, above: bool) -> DataFrame:
-    """How far a region reaches from its caption: walking away over overlapping lines, to the last line that is no prose
-    before the third prose line in a row or the height's limit. captions: t_id, page, x0, x1, y0, y1, height, lo, hi, left,
-    right. Gives t_id and edge."""
+    """How far a region reaches from its caption: walking away over lines that overlap the caption, to the last line that is
+    no prose before the third prose line in a row or the height's limit; of lines of one height the first comes first.
+    captions: t_id, page, x0, x1, y0, y1, height, lo, hi, left, right. Gives t_id and edge."""
     l = lines.select(*PAGE, "line_no", "text", "size", F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"))
     c = captions.select("t_id", *PAGE, F.col("x0").alias("c_x0"), F.col("x1").alias("c_x1"), F.col("y0").alias("c_y0"), F.col("y1").alias("c_y1"), "height", "lo", "hi", "left", "right")
     y0, top, bottom = F.col("y0"), F.col("c_y0"), F.col("c_y1")
-    reach = overlaps(F.col("x0"), F.col("x1"), F.col("left"), F.col("right"))
+    reach = overlaps(F.col("x0"), F.col("x1"), F.col("c_x0"), F.col("c_x1"))
     if above:
-        near = (y0 < top - 2) & (y0 >= top - F.col("height") * C.MAX_HEIGHT_RATIO)
-        order, value, start = [y0.desc(), F.col("line_no").desc()], y0 - 2, top
+        near = (y0 < top - 2) & (y0 >= F.greatest(top - F.col("height") * C.MAX_HEIGHT_RATIO, F.lit(0.0)))
+        order, value, start = [y0.desc(), F.col("line_no").asc()], y0 - 2, top
     else:
         near = (y0 > bottom + 1) & (y0 <= F.least(bottom + F.col("height") * C.MAX_BELOW_RATIO, F.col("height")))
         order, value, start = [y0.asc(), F.col("line_no").asc()], F.coalesce("y1", y0 + 8), bottom
@@ -115,22 +120,24 @@ def ink_box(captions: DataFrame, graphics: DataFrame) -> DataFrame:
     )
 
 
-def label_growth(seeds: DataFrame, labels: DataFrame) -> DataFrame:
-    """The span of each seed (t_id, page, x0, x1) grown by labels (page, x0, x1, of lines that are no prose) within 40 points
-    until none is near: the island of merged intervals that holds the seed."""
-    s = seeds.select("t_id", *PAGE, F.col("x0"), F.col("x1"), F.lit(True).alias("seed"))
-    l = seeds.select("t_id", *PAGE).join(labels.select(*PAGE, "x0", "x1"), PAGE).withColumn("seed", F.lit(False))
+def label_growth(seeds: DataFrame, lines: DataFrame) -> DataFrame:
+    """The span of each seed (t_id, page, box, lo, hi) grown by the lines between its top and bottom that are no prose, as
+    long as one is within 40 points: the island of merged intervals that holds the seed. No row where no such line is."""
+    s = seeds.select("t_id", *PAGE, "x0", "x1", F.lit(True).alias("seed"))
+    box = seeds.select("t_id", *PAGE, *[F.col(c).alias(f"r_{c}") for c in ("x0", "x1", "y0", "y1")], "lo", "hi")
+    l = box.join(lines.select(*PAGE, "x0", "x1", "y0", "size", "text"), PAGE)
+    l = l.where(F.col("y0").between(F.col("r_y0"), F.col("r_y1")) & ~is_prose(F.col("lo"), F.col("hi"), F.col("r_x1") - F.col("r_x0")))
     order = Window.partitionBy("t_id").orderBy("x0", "x1", F.col("seed").desc())
-    rows = s.unionByName(l.select("t_id", *PAGE, "x0", "x1", "seed"))
-    rows = rows.withColumn("reach", F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = s.unionByName(l.select("t_id", *PAGE, "x0", "x1", F.lit(False).alias("seed")))
+    rows = rows.withColumn("reach", F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("rows", F.count("*").over(Window.partitionBy("t_id")))
     rows = rows.withColumn("island", F.sum(F.coalesce((F.col("x0") - F.col("reach") > C.GROW_GAP).cast("int"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    islands = rows.groupBy("t_id", "island").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.bool_or("seed").alias("seed"))
+    islands = rows.where(F.col("rows") > 1).groupBy("t_id", "island").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.bool_or("seed").alias("seed"))
     return islands.where("seed").select("t_id", "x0", "x1")
 
 
 def expanded(regions: DataFrame, ink: DataFrame, spans: DataFrame, lines: DataFrame) -> DataFrame:
-    """regions (t_id, page, box, width, height, lo, hi, left, right) joined with their ink and label spans, inside the page;
-    as before where that would swallow a further prose line."""
+    """regions (t_id, page, box, width, height, lo, hi) joined with their ink and label spans, inside the page; as before
+    where that would swallow a further prose line."""
     i = ink.select("t_id", *[F.col(c).alias(f"i_{c}") for c in ("x0", "y0", "x1", "y1")])
     s = spans.select("t_id", F.col("x0").alias("s_x0"), F.col("x1").alias("s_x1"))
     r = regions.join(i, "t_id", "left").join(s, "t_id", "left")
@@ -143,8 +150,7 @@ def expanded(regions: DataFrame, ink: DataFrame, spans: DataFrame, lines: DataFr
     l = lines.select(*PAGE, F.col("x0").alias("l_x0"), F.col("x1").alias("l_x1"), F.col("y0").alias("l_y0"), "size", "text")
     middle = (F.col("l_x0") + F.col("l_x1")) / 2
     within = lambda p: middle.between(F.col(f"{p}x0"), F.col(f"{p}x1")) & F.col("l_y0").between(F.col(f"{p}y0"), F.col(f"{p}y1"))
-    wide = (F.col("l_x1") - F.col("l_x0")) >= (F.col("right") - F.col("left")) * C.WIDE_RATIO
-    prose = F.col("size").between(F.col("lo"), F.col("hi")) & wide & ~T.is_table_row(F.col("text"))
+    prose = is_prose(F.col("lo"), F.col("hi"), F.col("x1") - F.col("x0"), F.col("l_x0"), F.col("l_x1"))
     swallowed = r.join(l, PAGE).where(within("n_") & ~within("") & prose).select("t_id").distinct().withColumn("bad", F.lit(True))
     out = r.join(swallowed, "t_id", "left")
     return out.select(*[c for c in regions.columns if c not in ("x0", "y0", "x1", "y1")], *[F.when(F.col("bad"), F.col(c)).otherwise(F.col(f"n_{c}")).alias(c) for c in ("x0", "y0", "x1", "y1")])
@@ -160,20 +166,20 @@ def is_substantial(c: Column) -> Column:
 
 
 def equation_regions(lines: DataFrame) -> DataFrame:
-    """Groups of lines (doc_id, pno, line_no, box, text, width, height) that are display equations and no gap above 6 points
-    or 1.6 heights apart, if there is enough to them; padded. Columns are not told apart."""
+    """Groups of lines (doc_id, pno, line_no, box, text) that are display equations and no gap above 6 points or 1.6 heights
+    apart, if there is enough to them: page, island, padded box, y (the top without padding) and text. Columns are not told
+    apart."""
     order = Window.partitionBy(*PAGE).orderBy("y0", "line_no")
     gap = F.col("y0") - F.lag("y1").over(order)
     limit = F.greatest(F.lit(6.0), (F.lag("y1").over(order) - F.lag("y0").over(order)) * 1.6)
     rows = lines.withColumn("new", F.coalesce((gap > limit).cast("int"), F.lit(0)))
     rows = rows.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    found = rows.groupBy(*PAGE, "island", "width", "height").agg(
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sort_array(F.collect_list(F.struct("y0", "line_no", "text"))).alias("l")
+    found = rows.groupBy(*PAGE, "island").agg(
+        F.min("x0").alias("x0"), F.min("y0").alias("y"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sort_array(F.collect_list(F.struct("y0", "line_no", "text"))).alias("l")
     )
     text = F.array_join(F.transform("l", lambda x: x["text"]), " ")
     return found.withColumn("text", text).where(is_substantial(F.col("text"))).select(
-        *PAGE, "island", F.greatest(F.lit(0.0), F.col("x0") - C.FIG_PAD).alias("x0"), F.greatest(F.lit(0.0), F.col("y0") - C.PAD).alias("y0"),
-        F.least("width", F.col("x1") + C.FIG_PAD).alias("x1"), F.least("height", F.col("y1") + C.PAD).alias("y1"), "text",
+        *PAGE, "island", (F.col("x0") - C.FIG_PAD).alias("x0"), (F.col("y") - C.PAD).alias("y0"), (F.col("x1") + C.FIG_PAD).alias("x1"), (F.col("y1") + C.PAD).alias("y1"), "y", "text"
     )
 
 
@@ -183,7 +189,7 @@ def math_dominant(tables: DataFrame, lines: DataFrame) -> DataFrame:
     middle = (F.col("l_x0") + F.col("l_x1")) / 2
     rows = tables.join(l, PAGE).where(middle.between(F.col("x0"), F.col("x1")) & F.col("l_y0").between(F.col("y0"), F.col("y1")))
     found = rows.groupBy("t_id").agg(
-        F.sum(F.length("text") * F.col("math")).alias("m"), F.sum(F.length("text")).alias("n"), F.sort_array(F.collect_list(F.struct("l_y0", "line_no", "text"))).alias("l")
+        F.sum(F.length("text") * F.coalesce("math", F.lit(0.0))).alias("m"), F.sum(F.length("text")).alias("n"), F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("l")
     )
     text = F.array_join(F.transform("l", lambda x: x["text"]), " ")
     return found.where((F.col("n") > 0) & (F.col("m") / F.col("n") >= C.EQ_DOMINANT) & is_substantial(text)).select("t_id")
@@ -200,34 +206,72 @@ def anchor_above(targets: DataFrame, lines: DataFrame) -> DataFrame:
     return targets.select("t_id").join(found, "t_id", "left").na.fill({"anchor": ""})
 
 
-def plan(tables: DataFrame, captions: DataFrame, equations: DataFrame) -> DataFrame:
-    """All regions of pages, numbered from 1 by height: tables padded (as equations where they are mathematics), figures and
-    tables by caption, equations. Each comes with doc_id, pno, box, kind and cap_text."""
-    columns = [*PAGE, "x0", "y0", "x1", "y1", "kind", "cap_text"]
-    pad = tables.select(*PAGE, (F.col("x0") - C.PAD).alias("x0"), (F.col("y0") - C.PAD).alias("y0"), (F.col("x1") + C.PAD).alias("x1"), (F.col("y1") + 1).alias("y1"), "kind", F.lit(None).cast("string").alias("cap_text"))
-    every = pad.select(*columns).unionByName(captions.select(*columns)).unionByName(equations.select(*columns))
-    order = Window.partitionBy(*PAGE).orderBy("y0", "x0")
-    name = F.concat(F.lit("p"), F.lpad((F.col("pno") + 1).cast("string"), 3, "0"), F.lit("-"), F.lpad(F.row_number().over(order).cast("string"), 2, "0"))
-    return every.withColumn("name", name)
-
-
 def caption_regions(captions: DataFrame, lines: DataFrame) -> DataFrame:
     """The region of each caption (t_id, page, x0..y1, text, width, height, lo, hi, left, right): tables are looked for below
-    it first, figures above; the first side that gives 40 points counts."""
+    it first, figures above; the first side that gives 40 points counts. Captions without any have none."""
     up = region_edge(captions, lines, True).withColumnRenamed("edge", "top")
     down = region_edge(captions, lines, False).withColumnRenamed("edge", "bottom")
     r = captions.join(up, "t_id").join(down, "t_id")
-    above = F.struct(F.col("top").alias("y0"), (F.col("y0") - 2).alias("y1"))
-    below = F.struct((F.col("y1") + 1).alias("y0"), (F.col("bottom") + 2).alias("y1"))
-    tall = lambda s: s["y1"] - s["y0"] >= C.MIN_HEIGHT
+    above = F.when(F.col("y0") - F.col("top") >= C.MIN_HEIGHT, F.struct(F.col("top").alias("y0"), (F.col("y0") - 2).alias("y1")))
+    below = F.when(F.col("bottom") - F.col("y1") >= C.MIN_HEIGHT, F.struct((F.col("y1") + 1).alias("y0"), (F.col("bottom") + 2).alias("y1")))
     table = T.strip(F.col("text")).rlike(C.TABLE_CAPTION)
-    box = F.when(table & tall(below), below).when(tall(above), above).when(~table & tall(below), below)
-    r = r.withColumn("box", box).where(F.col("box").isNotNull())
+    r = r.withColumn("box", F.when(table, F.coalesce(below, above)).otherwise(F.coalesce(above, below))).where(F.col("box").isNotNull())
     return r.select(
-        "t_id", *PAGE, (F.col("left") - C.FIG_PAD).alias("x0"), F.col("box.y0").alias("y0"), (F.col("right") + C.FIG_PAD).alias("x1"), F.col("box.y1").alias("y1"), F.lit("figure").alias("kind"), F.col("text").alias("cap_text"), "width", "height", "lo", "hi", "left", "right",
+        "t_id", *PAGE, (F.col("left") - C.FIG_PAD).alias("x0"), F.col("box.y0").alias("y0"), (F.col("right") + C.FIG_PAD).alias("x1"), F.col("box.y1").alias("y1"), F.col("text").alias("cap_text"), "width", "height", "lo", "hi",
     )
 
 
+BOX = ("x0", "y0", "x1", "y1")
+
+
+def plan(lines: DataFrame, pages: DataFrame, tables: DataFrame | None = None, graphics: DataFrame | None = None) -> DataFrame:
+    """The regions of all pages, in the order in which they depend on each other: doc_id, pno, box, y, kind (table, figure,
+    equation), cap_text, anchor, n (on the page, from 1), name and link.
+
+    lines: layout's, of all pages; tables (doc_id, pno, box): found tables, or none; graphics (doc_id, pno, box): drawings
+    and images, or none. Tables are padded, and are equations where mathematics has most of them. Captions get what lies
+    above or below them, grown to ink and labels. Display equations are lines outside all these. Equations know the text
+    above them. Regions are numbered by height; at one height tables come first, then captions, then equations. What
+    several steps read is written once (foliant.shared); without that the plan would hold each step many times over.
+    """
+    bodies = layout.body_sizes(lines)
+    spark, columns = lines.sparkSession, [*PAGE, *BOX, "y", "kind", "cap_text", "anchor", "rank", "at"]
+    none = spark.createDataFrame([], lines.select(*PAGE, *BOX).schema)
+    text = lambda c: F.lit(c).cast("string")
+    band = layout.body_band(lines, bodies)
+    placed = lines.join(pages, PAGE).withColumn("t_id", F.struct(*PAGE, "line_no"))
+    placed = cut(column_bounds(placed, lines).join(band, "doc_id", "left").na.fill({"body_size": 0.0, "lo": 0.0, "hi": 0.0}), "placed-lines")
+    lines = placed.select(*lines.columns)
+
+    pad = (none if tables is None else tables).select(*PAGE, *BOX)
+    rect = pad.select(*PAGE, (F.col("x0") - C.PAD).alias("x0"), (F.col("y0") - C.PAD).alias("y0"), (F.col("x1") + C.PAD).alias("x1"), (F.col("y1") + 1).alias("y1"), F.col("y0").alias("y"))
+    rect = rect.distinct().withColumn("t_id", F.struct(*PAGE, *BOX))
+    as_math = math_dominant(rect, lines).withColumn("is_math", F.lit(True))
+    with_width = lambda r: column_bounds(r.join(pages.select(*PAGE, "width"), PAGE), lines)
+    found = rect.join(as_math, "t_id", "left").join(anchor_above(with_width(rect), lines), "t_id", "left")
+    is_math = F.coalesce("is_math", F.lit(False))
+    made = found.select(*PAGE, *BOX, "y", F.when(is_math, "equation").otherwise("table").alias("kind"), text(None).alias("cap_text"), F.when(is_math, F.col("anchor")).alias("anchor"), F.lit(0).alias("rank"), F.col("x0").alias("at"))
+    made = cut(made, "table-regions")
+
+    regions = cut(caption_regions(cut(captions(placed), "captions"), lines), "caption-regions")
+    regions = expanded(regions, ink_box(regions, none if graphics is None else graphics), label_growth(regions, lines), lines)
+    figures = regions.select(*PAGE, *BOX, F.col("y0").alias("y"), text("figure").alias("kind"), "cap_text", text(None).alias("anchor"), F.lit(1).alias("rank"), F.col("t_id.line_no").cast("double").alias("at"))
+    figures = cut(figures, "figure-regions")
+
+    left = cut(outside(placed, made.unionByName(figures)).where(is_display_equation(F.col("right") - F.col("left"))), "equation-lines")
+    groups = cut(equation_regions(left), "equation-regions").withColumn("t_id", F.struct(*PAGE, "island"))
+    others = lines.join(left.select(*PAGE, "line_no"), [*PAGE, "line_no"], "left_anti")
+    # The column of an equation is that of all lines of its page; its own lines are no anchors.
+    anchors = anchor_above(with_width(groups), others)
+    equations = groups.join(anchors, "t_id").select(*PAGE, *BOX, "y", text("equation").alias("kind"), text(None).alias("cap_text"), "anchor", F.lit(2).alias("rank"), F.col("island").cast("double").alias("at"))
+
+    every = made.select(*columns).unionByName(figures.select(*columns)).unionByName(equations.select(*columns))
+    n = F.row_number().over(Window.partitionBy(*PAGE).orderBy("y", "rank", "at")).alias("n")
+    kind = F.when(F.col("kind") == "equation", F.lit("eq")).otherwise(F.lit("fig"))
+    name = F.concat(kind, F.format_string("-p%03d-%02d.png", F.col("pno") + 1, F.col("n")))
+    return every.select(*PAGE, *BOX, "y", "kind", "cap_text", "anchor", n).withColumn("name", name).withColumn("link", F.concat(F.lit("![](images/"), F.col("name"), F.lit(")")))
+
+
 def crop(regions: DataFrame) -> DataFrame:
     """The part of each region on its page, and whether it is worth an image."""
     clipped = regions.withColumns({"x0": F.greatest("x0", F.lit(0.0)), "y0": F.greatest("y0", F.lit(0.0)), "x1": F.least("x1", "width"), "y1": F.least("y1", "height")})

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from foliant import config as C
 from foliant.functions import text as T
 from foliant.operators import checks, chunking, html, layout, links, paragraphs, quality, regions, status
+from foliant.shared import shared_dir
 from foliant.sources.tables import conversation_pairs, document_blocks, document_lines, pages_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -745,13 +746,11 @@ def job_list_full_outer(spark: SparkSession, sf: str) -> DataFrame:
 @query("stream_documents", f"WITH {U} SELECT doc_id, count(*) AS lines, sum({NORM_LEN.format('t')})::BIGINT AS chars FROM u GROUP BY doc_id")
 def stream_documents(spark: SparkSession, sf: str) -> DataFrame:
     """The documents' files as a stream that ends with what is there; each batch is a table of whole documents."""
-    import tempfile
     import uuid
 
     from foliant.streaming import files
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliant-stream-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def work(arrived: DataFrame) -> DataFrame:
         lines = paragraphs.explode_lines(arrived.select("doc_id", "text"))

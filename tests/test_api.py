@@ -26,6 +26,27 @@ def test_postprocess(spark):
     assert done.dropped.first()["dropped"] > 0
 
 
+def test_regions_are_planned_and_none_is_lost(spark):
+    lines = spark.createDataFrame(two_columns(), LINE)
+    units = layout.ordered_lines(lines, pages_of(spark)).select("doc_id", F.col("seq").alias("idx"), "text")
+    table = spark.createDataFrame([(1, 1, 40.0, 95.0, 200.0, 130.0)], "doc_id long, pno int, x0 double, y0 double, x1 double, y1 double")
+    shown = spark.createDataFrame([(1, 0, 7, 50.0, 300.0, 250.0, 500.0), (1, 2, 8, 50.0, 300.0, 250.0, 500.0)], "doc_id long, pno int, xref int, x0 double, y0 double, x1 double, y1 double")
+    done = api.postprocess(units, lines, pages_of(spark), tables=table, images=shown)
+    texts = [r["text"] for r in done.blocks.orderBy("idx").collect()]
+    assert {"![](images/fig-p002-01.png)", "![](images/doc-p001-01.png)", "![](images/doc-p003-01.png)"} <= set(texts)
+    assert not any("sbction" in t for t in texts) and any("left one" in t.replace("onae", "one") or "leaft" in t for t in texts)
+    cover = spark.createDataFrame([(1, -1, "all use subject to JSTOR")], "doc_id long, idx int, text string")
+    covered = api.postprocess(units.unionByName(cover), lines, pages_of(spark), tables=table, images=shown)
+    links = {r["text"] for r in covered.blocks.collect()}
+    assert "![](images/doc-p001-01.png)" not in links and "![](images/doc-p003-01.png)" in links
+
+
+def test_equation_images(spark):
+    planned = spark.createDataFrame([(1, 0, 0.0, 5.0, 1.0, 1.0, 5.0, "equation", "so that", "E"), (1, 0, 0.0, 1.0, 1.0, 1.0, 1.0, "table", None, "T")], "doc_id long, pno int, x0 double, y0 double, x1 double, y1 double, y double, kind string, anchor string, link string")
+    texts = spark.createDataFrame([(1, "One so that\n\nanother"), (2, "plain\n\n\n\nstays")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in api.add_equation_images(texts, planned).collect()} == {1: "One so that\n\nE\n\nanother", 2: "plain\n\n\n\nstays"}
+
+
 def test_extract_to_final(spark, tmp_path):
     long = "This is a paragraph of the paper which is long enough to be judged, and it ends as it should do."
     text = f"# Title\n\n{long}\n\n## Part\n\nIn 1993 (Berryman, 1983) it was.\n\n{long}"

@@ -72,6 +72,58 @@ def test_rebuild(spark):
     assert [(r["key0"], r["text"]) for r in got] == [("themodelis", "The model is developed in communication here."), ("head", "# Head"), ("asecondone", "A second one")]
 
 
+def plain_rebuild(units, seq):
+    out, at = [], 0
+    for key, marked in units:
+        hit = [k for k in range(3) if at + k < len(seq) and seq[at + k][0] == key]
+        new = any(k == key and f for k, f in seq) if not hit else seq[at + hit[0]][1]
+        at += hit[0] + 1 if hit else 0
+        out.append(marked or new or not out)
+    return out
+
+
+def test_rebuild_against_a_loop(spark):
+    rng = random.Random(6)
+    docs = [([(rng.choice("abcdef"), rng.random() < 0.1) for _ in range(rng.randint(1, 30))], [(rng.choice("abcdefg"), rng.random() < 0.4) for _ in range(rng.randint(0, 25))]) for _ in range(80)]
+    units = spark.createDataFrame([(d, k, ("# " if m else "") + t) for d, (u, _) in enumerate(docs) for k, (t, m) in enumerate(u)], "doc_id long, idx int, text string")
+    seq = spark.createDataFrame([(d, k, t, f) for d, (_, s) in enumerate(docs) for k, (t, f) in enumerate(s)], "doc_id long, idx int, key string, is_start boolean")
+    got = {}
+    for r in paragraphs.rebuild_paragraphs(units, seq).orderBy("doc_id", "idx").collect():
+        words = [w for w in r["text"].replace("# ", "#").split(" ")]
+        got.setdefault(r["doc_id"], []).extend([True] + [False] * (len(words) - 1))
+    assert got == {d: plain_rebuild(u, s) for d, (u, s) in enumerate(docs)}
+
+
+def plain_stitch(kinds):
+    """kinds: o open, l lower, h heading, s short or note, S long but passed over and open, p plain."""
+    into, k = {}, 0
+    while k < len(kinds):
+        if kinds[k] in "oOS":
+            ahead = [j for j in range(k + 1, len(kinds)) if kinds[j] not in "sS"]
+            if ahead and kinds[ahead[0]] in "lO":
+                into[ahead[0]] = k
+                k = ahead[0]
+        k += 1
+    return into
+
+
+def test_stitch_against_a_loop(spark):
+    rng = random.Random(8)
+    long = lambda t, end: f"{t} " + "word " * 25 + end
+    make = {"o": ("Open", "and"), "O": ("lower open", "and"), "l": ("lower", "end."), "p": ("Plain", "end."), "S": ("Figure", "and")}
+    docs = [[rng.choice("oOOOlphsSS") for _ in range(rng.randint(1, 25))] for _ in range(150)]
+    text = lambda k, i: f"# Head {chr(97 + i)}" if k == "h" else f"note {chr(97 + i)}" if k == "s" else long(*make[k]) + chr(97 + i) * 0
+    rows = [(d, i, text(k, i)) for d, ks in enumerate(docs) for i, k in enumerate(ks)]
+    got = {}
+    for r in paragraphs.stitch_pages(spark.createDataFrame(rows, "doc_id long, idx int, text string")).orderBy("doc_id", "idx").collect():
+        got.setdefault(r["doc_id"], []).append(r["text"])
+    for d, ks in enumerate(docs):
+        into, all_texts = plain_stitch(ks), [text(k, i) for i, k in enumerate(ks)]
+        back = {i: j for j, i in into.items()}
+        want = [f"{t} {all_texts[back[i]]}" if i in back else t for i, t in enumerate(all_texts) if i not in into]
+        assert got[d] == want
+
+
 def test_stitch(spark):
     a, b = "x" * 81 + " and it", "goes on to the end of this long block which is over eighty characters, for a test of it."
     made = ["Run 1", "Run 2", a, "> note", b, "Run 3", "12"]
@@ -198,20 +250,138 @@ def test_regions(spark):
     assert [r["xref"] for r in regions.pick_images(images, pages).collect()] == [5]
 
 
-def test_label_growth_against_a_loop(spark):
-    rng = random.Random(4)
-    cases = [((s := rng.uniform(0, 300)), s + 30, [((a := rng.uniform(0, 600)), a + rng.uniform(5, 60)) for _ in range(9)]) for _ in range(40)]
-    seeds = spark.createDataFrame([(k, k, 0, a, b) for k, (a, b, _) in enumerate(cases)], "t_id int, doc_id int, pno int, x0 double, x1 double")
-    labels = spark.createDataFrame([(k, 0, a, b) for k, c in enumerate(cases) for a, b in c[2]], "doc_id int, pno int, x0 double, x1 double")
-    got = {r["t_id"]: (r["x0"], r["x1"]) for r in regions.label_growth(seeds, labels).collect()}
-    for k, (a, b, near) in enumerate(cases):
-        grown = True
-        while grown:
-            grown = False
-            for x, y in near:
-                if x - b <= 40 and a - y <= 40 and (x < a or y > b):
-                    a, b, grown = min(a, x), max(b, y), True
-        assert got[k] == (pytest.approx(a), pytest.approx(b))
+BOX = "x0 double, y0 double, x1 double, y1 double"
+
+
+class Page:
+    """A made page of two columns, and its regions by the rules, rectangle by rectangle."""
+
+    def __init__(self, rng):
+        kinds = ["Plain words of a paragraph go on here", "short", "Figure 1. A caption", "Table 2: A caption", "a = b + c (3)", "x", "1.0 2.0 3.5 rows of it"]
+        weights = [9, 3, 1.2, 0.8, 2, 0.5, 2]
+        self.lines, y = [], {0: 40.0, 1: 40.0}
+        for k in range(60):
+            side = rng.randint(0, 1)
+            text = rng.choices(kinds, weights)[0]
+            size = rng.choice([8.0, 8.0, 8.0, 8.0, 6.5, 10.0])
+            x0 = 40 + 245 * side + rng.choice([0, 0, 0, 8, 60])
+            wide = 400 if rng.random() < 0.03 else min(205.0, rng.choice([0.6, 0.75, 1.0]) * size * len(text))
+            math = rng.choice([0.5, 0.9]) if "=" in text or text == "x" else rng.choice([0.0, 0.0, 0.1])
+            self.lines.append((k, x0, x0 + wide, y[side], y[side] + size, text, size, math))
+            y[side] += rng.choice([11.0, 11.0, 12.0, 26.0])
+        self.tables = [(rng.uniform(40, 300), t := rng.uniform(40, 300), rng.uniform(310, 480), t + rng.uniform(20, 60)) for _ in range(rng.randint(0, 1))]
+        self.graphics = [(g := rng.uniform(20, 300), t := rng.uniform(30, 500), g + rng.uniform(-5, 250), t + rng.uniform(0, 150)) for _ in range(rng.randint(0, 3))]
+
+    width, height, lo, hi, body = 530.0, 800.0, 7.2, 8.96, 8.0
+
+    def columns(self, x0, x1):
+        every = [(a, b) for _, a, b, *_ in self.lines]
+        side = [(a, b) for a, b in every if (a + b < self.width) == (x0 + x1 < self.width)]
+        use = side if side and x1 - x0 <= 0.6 * self.width else every
+        return min(a for a, _ in use), max(b for _, b in use)
+
+    def prose(self, line, column):
+        _, x0, x1, _, _, text, size, _ = line
+        numbers = sum(set(w) <= set("0123456789.,%$/[]()·~-") for w in text.split())
+        return self.lo <= size <= self.hi and x1 - x0 >= 0.4 * max(column, 1.0) and numbers < 3
+
+    @staticmethod
+    def holds(box, line):
+        return box[0] <= (line[1] + line[2]) / 2 <= box[2] and box[1] <= line[3] <= box[3]
+
+    def edge(self, cap, up, column):
+        _, x0, x1, y0, y1, *_ = cap
+        reach = [l for l in self.lines if l[2] >= x0 - 30 and l[1] <= x1 + 30]
+        if up:
+            reach = sorted((l for l in reach if max(y0 - 0.6 * self.height, 0) <= l[3] < y0 - 2), key=lambda l: (-l[3], l[0]))
+        else:
+            reach = sorted((l for l in reach if y1 + 1 < l[3] <= min(y1 + 0.85 * self.height, self.height)), key=lambda l: (l[3], l[0]))
+        flags = "".join("p" if self.prose(l, column) else "-" for l in reach)
+        before = flags.split("ppp")[0].rstrip("p")
+        return (y0 if up else y1) if not before else reach[len(before) - 1][3] - 2 if up else reach[len(before) - 1][4]
+
+    def grown(self, box):
+        wide, flat = list(box), self.width * self.height * 0.6
+        ink = [g for g in self.graphics if g[2] > g[0] and g[3] > g[1] and (g[2] - g[0]) * (g[3] - g[1]) <= flat and g[3] > box[1] and g[1] < box[3]]
+        if ink:
+            wide = [min(wide[0], min(g[0] for g in ink) - 14), min(wide[1], min(g[1] for g in ink) - 2), max(wide[2], max(g[2] for g in ink) + 14), max(wide[3], max(g[3] for g in ink) + 2)]
+        labels = [l for l in self.lines if box[1] <= l[3] <= box[3] and not self.prose(l, box[2] - box[0])]
+        if labels:
+            a, b = box[0], box[2]
+            for _ in labels:  # each pass adds one at least, or none ever will
+                near = [l for l in labels if l[2] >= a - 40 and l[1] <= b + 40]
+                a, b = min([a, *(l[1] for l in near)]), max([b, *(l[2] for l in near)])
+            wide[0], wide[2] = min(wide[0], a - 14), max(wide[2], b + 14)
+        wide = (max(wide[0], 0.0), max(wide[1], 0.0), min(wide[2], self.width), min(wide[3], self.height))
+        swallowed = any(self.prose(l, box[2] - box[0]) and self.holds(wide, l) and not self.holds(box, l) for l in self.lines)
+        return box if swallowed else wide
+
+    def enough(self, text):
+        return len("".join(text.split())) >= 6 and ("=" in text or text.rstrip().endswith("(3)"))
+
+    def anchor(self, box, without=()):
+        left, right = self.columns(box[0], box[2])
+        above = [l for l in self.lines if l[0] not in without and l[4] <= box[1] + 1 and left - 2 <= (l[1] + l[2]) / 2 <= right + 2]
+        return max(above, key=lambda l: (l[4], -l[0]))[5] if above else ""
+
+    def plan(self):
+        out = []
+        for x0, y0, x1, y1 in self.tables:
+            box = (x0 - 4, y0 - 4, x1 + 4, y1 + 1)
+            own = [l for l in self.lines if self.holds(box, l)]
+            n = sum(len(l[5]) for l in own)
+            math = n and sum(len(l[5]) * l[7] for l in own) / n >= 0.5 and self.enough(" ".join(l[5] for l in own))
+            out.append((y0, 0, x0, "equation" if math else "table", box, None, self.anchor(box) if math else None))
+        for cap in self.lines:
+            _, x0, x1, y0, y1, text, size, _ = cap
+            if not text.startswith(("Figure", "Table")):
+                continue
+            left, right = self.columns(x0, x1)
+            tops = [l[3] for l in self.lines if l[3] < y0 - 2 and l[2] >= x0 - 30 and l[1] <= x1 + 30]
+            if not (size <= 0.95 * self.body or not tops or y0 - max(tops) >= 15 or x0 - left >= 0.15 * (right - left)):
+                continue
+            top, bottom = (self.edge(cap, up, right - left) for up in (True, False))
+            boxes = [(top, y0 - 2) if y0 - top >= 40 else None, (y1 + 1, bottom + 2) if bottom - y1 >= 40 else None]
+            found = [b for b in (boxes[::-1] if text.startswith("Table") else boxes) if b]
+            if found:
+                box = self.grown((left - 14, found[0][0], right + 14, found[0][1]))
+                out.append((box[1], 1, cap[0], "figure", box, text, None))
+        eqs = []
+        for l in self.lines:
+            left, right = self.columns(l[1], l[2])
+            if l[7] >= 0.3 and l[2] - l[1] < 0.7 * (right - left) and not any(self.holds(r[4], l) for r in out):
+                eqs.append(l)
+        groups = []
+        for l in sorted(eqs, key=lambda l: (l[3], l[0])):
+            if groups and l[3] - groups[-1][-1][4] <= max(6.0, 1.6 * (groups[-1][-1][4] - groups[-1][-1][3])):
+                groups[-1].append(l)
+            else:
+                groups.append([l])
+        for g in groups:
+            if self.enough(" ".join(l[5] for l in g)):
+                y = min(l[3] for l in g)
+                box = (min(l[1] for l in g) - 14, y - 4, max(l[2] for l in g) + 14, max(l[4] for l in g) + 4)
+                out.append((y, 2, y, "equation", box, None, self.anchor(box, {l[0] for l in eqs})))
+        out.sort(key=lambda r: r[:3])
+        return [(k, f"{'eq' if r[3] == 'equation' else 'fig'}-p001-{k:02d}.png", r[3], tuple(round(v, 6) for v in r[4]), r[5], r[6]) for k, r in enumerate(out, 1)]
+
+
+def test_plan_against_loops(spark):
+    rng = random.Random(11)
+    made = [Page(rng) for _ in range(60)]
+    lines = spark.createDataFrame([(d, 0, k, float(x0), float(x1), y0, y1, t, s, m) for d, p in enumerate(made) for k, x0, x1, y0, y1, t, s, m in p.lines], LINE)
+    pages = spark.createDataFrame([(d, 0, 530.0, 800.0) for d in range(60)], "doc_id long, pno int, width double, height double")
+    boxes = lambda of: spark.createDataFrame([(d, 0, *b) for d, p in enumerate(made) for b in of(p)], f"doc_id long, pno int, {BOX}")
+    got = {}
+    for r in regions.plan(lines, pages, boxes(lambda p: p.tables), boxes(lambda p: p.graphics)).orderBy("doc_id", "n").collect():
+        assert r["link"] == f"![](images/{r['name']})"
+        got.setdefault(r["doc_id"], []).append((r["n"], r["name"], r["kind"], tuple(round(r[c], 6) for c in ("x0", "y0", "x1", "y1")), r["cap_text"], r["anchor"]))
+    band = layout.body_band(lines, layout.body_sizes(lines)).collect()
+    usual = {r["doc_id"] for r in band if abs(r["lo"] - 7.2) < 1e-9 and abs(r["hi"] - 8.96) < 1e-9 and r["body_size"] == 8.0}
+    want = {d: p.plan() for d, p in enumerate(made)}
+    assert len(usual) > 40 and {k for w in want.values() for _, _, k, *_ in w} == {"table", "figure", "equation"}
+    for d in usual:
+        assert got.get(d, []) == want[d]
 
 
 def test_links(spark):
