@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliant.shared import cut, discard, discard_all, shared_dir
+
+__all__ = ["WORD", "KEY_BITS", "bucket_count", "cut", "discard", "discard_all", "hash_key", "key_bucket", "prefix_sums", "shared_dir", "table"]
+
 #: What the contracts call a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of the hash keys that records are ordered by.
@@ -19,52 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. Where none is set, one is made if they are one
-    process; a cluster must name it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="foliant-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-_WRITTEN: list[str] = []
-
-
-def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """df, written to the shared folder and read back: the lineage ends here, and a lost executor costs nothing that lies before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    _WRITTEN.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.path_written = path
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes a table of cut() that nothing reads any longer."""
-    path = getattr(df, "path_written", None)
-    if path:
-        _delete(df.sparkSession, path)
-        if path in _WRITTEN:
-            _WRITTEN.remove(path)
-
-
-def discard_all(spark: SparkSession) -> None:
-    """Deletes all tables of cut(). For when the operators' results are written: these read the tables until then."""
-    while _WRITTEN:
-        _delete(spark, _WRITTEN.pop())
-
-
 def hash_key(*cols: Column, salt: str = "") -> Column:
     """A non-negative key of KEY_BITS uniform bits, from md5, so that any SQL engine can give the same."""
     joined = F.concat_ws(":", F.lit(salt), *[F.coalesce(c.cast("string"), F.lit("~")) for c in cols])
