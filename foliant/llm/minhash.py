@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ COORDINATES, MATCHES = 32, 13
 BLOCK = 256
 #: Members of a cluster that stand in all its blocks, on average.
 PIVOTS = 8
-#: A posting list of more classes is not compared: its classes are one cluster, which their shingles then divide.
-HOT = 4096
+#: A posting list of more classes is not compared: its classes are one cluster.
+HOT = 1 << 16
 #: A shingle that one in so many members of a cluster has comes last in the order of its shingles.
 COMMON = 8
 
@@ -214,11 +215,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
     value pairs. Two classes with MATCHES of COORDINATES in common share one of the COORDINATES - MATCHES + 1 rarest
     pairs of each, so only that prefix is posted; pairs that occur once are skipped. Posting lists are compared in tiles
     of blocks, and a tile gives the forest of its candidates, not the pairs; the classes of a list of more than HOT are
-    tied together without comparison. 3. Candidates' components are clusters. One of more than a block is divided:
-    linked sets share one of the rarest percent of their shingles, so classes that share none of these part (_divided).
-    4. Clusters are confirmed on whole sets, in blocks that share some pivots; what then is outside the largest component
-    of a cluster of several blocks is held against all its blocks. So every candidate pair is confirmed or is connected
-    by confirmed links already. Texts may be of any length. Keys are whole numbers.
+    tied together without comparison. 3. Candidates' components are clusters. They are confirmed on whole sets, in blocks
+    that share some pivots; what then is outside the largest component of a cluster of several blocks is held against all
+    its blocks. 4. Where more than a block is outside, the cluster is divided before: linked sets share one of the rarest
+    of their shingles, so classes that share none of these part (_divided). So every candidate pair is confirmed, or is
+    connected by confirmed links already, or has too little in common. Texts may be of any length. Keys are whole numbers.
     """
     rows = docs.select(numbered(docs, key).alias("id"), F.col(text).alias("text"))
     signed = cut(map_arrow(rows, _sign(n), "id long, n long, d1 long, d2 long, sig binary"), "signatures")
@@ -247,7 +248,7 @@ def _clusters(classes: DataFrame) -> DataFrame:
         "posted",
     )
     hot = tokens.select(F.col("id").alias("a"), F.explode(F.filter("tokens", lambda t: t["times"] > HOT)).alias("t")).select("a", "t.token")
-    tied = hot.join(cut(hot.groupBy("token").agg(F.min("a").alias("b")), "hot-lists"), "token").select("a", "b")
+    tied = _tied(hot.join(cut(hot.groupBy("token").agg(F.min("a").alias("b")), "hot-lists"), "token").select("a", "b"))
     lists = (
         tokens.withColumn("t", F.explode(F.filter("tokens", lambda t: t["times"] <= HOT))).drop("tokens")
         .join(classes.select("id", "sig"), "id").select("id", "sig", "posted", "t.token", "t.which", "t.times")
@@ -291,6 +292,13 @@ def _prefixes(percent: int):
     return run
 
 
+def _tied(edges: DataFrame) -> DataFrame:
+    """Edges from members of lists (a) to the least of each list (b), some for each member: a member and all that it is tied
+    to are tied to the least of these, an edge a member and few others."""
+    least = edges.groupBy("a").agg(F.collect_set("b").alias("b")).withColumn("m", F.array_min("b"))
+    return least.select(F.explode(F.array_union(F.array("a"), "b")).alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
+
+
 def _divided(sets: DataFrame, percent: int) -> DataFrame:
     """sets (id, cluster, size, shingles) of large clusters, in smaller ones; sets that can have no link are left out.
 
@@ -305,9 +313,7 @@ def _divided(sets: DataFrame, percent: int) -> DataFrame:
     known = sets.select("id", "cluster", "shingles").join(common, "cluster", "left").select("id", "cluster", "shingles", "common")
     posted = cut(map_arrow(known, _prefixes(percent), "id long, cluster long, shingle long"), "prefixes")
     lists = cut(posted.groupBy("cluster", "shingle").agg(F.min("id").alias("b"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n"), "prefix-lists")
-    # A set and the least sets of all its lists are tied to the least of them: an edge a set, and few between those.
-    tied = posted.join(lists, ["cluster", "shingle"]).groupBy("id").agg(F.collect_set("b").alias("b")).withColumn("m", F.array_min("b"))
-    found = components(tied.select(F.explode(F.array_union(F.array("id"), "b")).alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct())
+    found = components(_tied(posted.join(lists, ["cluster", "shingle"]).select(F.col("id").alias("a"), "b")))
     placed = cut(found.select("id", "component").unionAll(found.select(F.col("component").alias("id"), "component").distinct()), "divided")
     sizes = placed.groupBy("component").agg(F.count("*").alias("size"))
     of = placed.join(sizes, "component").select("id", F.col("component").alias("cluster"), "size")
@@ -323,8 +329,12 @@ def _confirmed(rows: DataFrame, classes: DataFrame, clusters: DataFrame, n: int,
     members = clusters.join(sizes, "cluster").join(classes.select("id", "d1", "d2"), "id").select("id", "d1", "d2", "cluster", "size")
     texts = rows.join(members, "id").select("id", "text", "d1", "d2", "cluster", "size")
     sets = cut(map_arrow(texts, _cluster_sets(n), "id long, cluster long, size long, shingles binary"), "sets")
-    if sets.where(F.col("size") > BLOCK).limit(1).count():
-        sets = sets.where(F.col("size") <= BLOCK).unionByName(_divided(sets.where(F.col("size") > BLOCK), percent))
+    edges, found = _links(sets, percent, True)
+    return found if found is not None else components(reduce(DataFrame.unionAll, edges))
+
+
+def _links(sets: DataFrame, percent: int, divide: bool) -> tuple[list[DataFrame], DataFrame | None]:
+    """Tables of confirmed links of clusters, and their components, if they are known already."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("id", F.lit("pivot")), F.col("size")) < PIVOTS)
@@ -335,12 +345,18 @@ def _confirmed(rows: DataFrame, classes: DataFrame, clusters: DataFrame, n: int,
     edges = cut(map_arrow(dealt, grouped(["cluster", "block"], ["a", "b"], confirm), "a long, b long"), "links")
     found = components(edges)
     if not sets.where(F.col("size") > BLOCK).limit(1).count():
-        return found
-    # Clusters of several blocks: what is outside the largest component so far meets all blocks.
+        return [edges], found
+    # Clusters of several blocks: what is outside the largest component so far meets all blocks, or they are divided.
     split = placed.where(F.col("blocks") > 1)
     labelled = split.join(found, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     most = labelled.groupBy("cluster", "label").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("total"), F.max("k").alias("k"))
-    most = most.select("cluster", "main", F.ceil((F.col("total") - F.col("k")) / BLOCK).cast("int").alias("outer"))
+    most = cut(most.select("cluster", "main", F.ceil((F.col("total") - F.col("k")) / BLOCK).cast("int").alias("outer")), "main")
+    made = [edges]
+    if divide:
+        wide = F.col("outer") > 1
+        if most.where(wide).limit(1).count():
+            made += _links(_divided(sets.join(most.where(wide), "cluster", "left_semi"), percent), percent, False)[0]
+        most = most.where(~wide)
     labelled = labelled.join(most, "cluster")
     outside = labelled.where(F.col("label") != F.col("main"))
     mine = F.pmod(F.xxhash64("id", F.lit("outer")), F.col("outer")).cast("int")
@@ -348,12 +364,14 @@ def _confirmed(rows: DataFrame, classes: DataFrame, clusters: DataFrame, n: int,
     right = labelled.where(F.col("outer") > 0).withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)))
     both = left.unionByName(right).select("cluster", "i", "j", "id", "shingles")
     dealt = both.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
-    known = labelled.select("id", "label")
     more = map_arrow(dealt, grouped(["cluster", "i", "j"], ["a", "b"], confirm), "a long, b long")
+    known = labelled.select("id", "label")
     for c in ("a", "b"):
         more = more.join(known.select(F.col("id").alias(c), F.col("label").alias(f"of_{c}")), c)
     apart = cut(more.where(F.col("of_a") != F.col("of_b")).select("a", "b").distinct(), "late-links")
-    return components(edges.unionAll(apart)) if apart.limit(1).count() else found
+    if len(made) == 1 and not apart.limit(1).count():
+        return made, found
+    return [*made, apart], None
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
