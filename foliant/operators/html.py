@@ -52,18 +52,52 @@ def html_blocks(pages: DataFrame, html: str = "html", key: str = "page_id") -> D
     return pages.select(key, F.posexplode(F.transform(parts, head)).alias("idx", "text"))
 
 
+def _inline(c: Column) -> Column:
+    """Pictures, links, code and emphasis of escaped text."""
+    for pattern, put in (
+        (r"!\[([^\]]*)\]\(([^)\s]+)\)", '<img alt="$1" src="$2">'), (r"\[([^\]]+)\]\(([^)\s]+)\)", '<a href="$2">$1</a>'), (r"`([^`]+)`", "<code>$1</code>"),
+        (r"\*\*(?=\S)(.+?)(?<=\S)\*\*", "<strong>$1</strong>"), (r"(?<![*\w])\*(?=[^\s*])([^*]+?)(?<=\S)\*(?![*\w])", "<em>$1</em>"), (r"(?<![_\w])_(?=\S)([^_]+?)(?<=\S)_(?![_\w])", "<em>$1</em>"),
+    ):
+        c = F.regexp_replace(c, pattern, put)
+    return c
+
+
 def render(docs: DataFrame) -> DataFrame:
-    """HTML of Markdown texts (doc_id, text): headings, quotations, pictures, tables' rows and paragraphs, a title."""
+    """HTML of Markdown texts (doc_id, text), with a title: headings, quotations, lists, tables with a head where a row of
+    dashes follows, fenced code, rules, paragraphs; in them pictures, links, code and emphasis. A fence that holds blank
+    lines is not put together again."""
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+
+    def rows(t: Column) -> Column:
+        lines = F.split(t, "\n")
+        dashes = lambda x: x.rlike(r"^\|?[\s:|-]*-[\s:|-]*$")
+        headed = (F.size(lines) > 1) & F.coalesce(dashes(F.get(lines, F.lit(1))), F.lit(False))
+
+        def row(x: Column, k: Column) -> Column:
+            cells = F.transform(F.split(F.regexp_replace(T.strip(x), r"^\||\|$", ""), r"\|"), lambda v: _inline(T.strip(v)))
+            made = lambda name: tag("tr", F.array_join(F.transform(cells, lambda v: tag(name, v)), ""))
+            return F.when(headed & (k == 0), made("th")).otherwise(made("td"))
+
+        kept = F.filter(F.transform(lines, lambda x, k: F.when(~(headed & (k == 1)), row(x, k))), lambda x: x.isNotNull())
+        return tag("table", F.array_join(kept, ""))
+
+    def items(t: Column, mark: str) -> Column:
+        return F.array_join(F.transform(F.filter(F.split(t, rf"(?m)^\s*{mark}\s+"), lambda x: T.strip(x) != ""), lambda x: tag("li", _inline(T.strip(x)))), "")
 
     def block(b: Column) -> Column:
-        level = F.length(F.regexp_extract(b, r"^(#{1,6})\s", 1))
+        level = F.length(F.regexp_extract(b, r"^(#{1,6})\s", 1)).cast("string")
         t = escape(b)
-        image = F.regexp_replace(t, r"!\[([^\]]*)\]\(([^)]+)\)", '<img alt="$1" src="$2">')
-        row = F.concat(F.lit("<tr><td>"), F.regexp_replace(F.regexp_replace(t, r"^\||\|$", ""), r"\|", "</td><td>"), F.lit("</td></tr>"))
-        tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
-        head = F.concat(F.lit("<h"), level.cast("string"), F.lit(">"), F.regexp_replace(t, r"^#{1,6}\s+", ""), F.lit("</h"), level.cast("string"), F.lit(">"))
-        quote = tag("blockquote", F.regexp_replace(t, r"(?m)^&gt;\s?", ""))
-        return F.when(level > 0, head).when(F.startswith(b, F.lit(">")), quote).when(F.startswith(b, F.lit("|")), tag("table", row)).otherwise(tag("p", image))
+        head = F.concat(F.lit("<h"), level, F.lit(">"), _inline(F.regexp_replace(t, r"^#{1,6}\s+", "")), F.lit("</h"), level, F.lit(">"))
+        return (
+            F.when(b.rlike(r"(?s)^```.*```$"), tag("pre", tag("code", F.regexp_replace(t, r"^```[^\n]*\n?|\n?```$", ""))))
+            .when(level != "0", head)
+            .when(b.rlike(r"^(-{3,}|\*{3,}|_{3,})$"), F.lit("<hr>"))
+            .when(F.startswith(b, F.lit(">")), tag("blockquote", _inline(F.regexp_replace(t, r"(?m)^&gt;\s?", ""))))
+            .when(F.startswith(b, F.lit("|")), rows(t))
+            .when(b.rlike(r"^[-*+]\s"), tag("ul", items(t, "[-*+]")))
+            .when(b.rlike(r"^\d+[.)]\s"), tag("ol", items(t, r"\d+[.)]")))
+            .otherwise(tag("p", _inline(t)))
+        )
 
     title = markdown_title(F.col("text"), F.col("doc_id").cast("string"))
     body = F.array_join(F.transform(T.units(F.col("text")), block), "\n")

@@ -418,6 +418,13 @@ def test_html(spark):
     docs = spark.createDataFrame([(1, "# T\n\ntext ![a](i.png)\n\n> q")], "doc_id long, text string")
     made = html.render(docs)
     assert "<title>T</title>" in made.first()["html"] and '<img alt="a" src="i.png">' in made.first()["html"]
+    rich = "| a | b |\n|---|:-:|\n| 1 | **2** |\n| 3 | <4> |\n\n- one\n- *two*\n\n1. x\n2. y\n\n---\n\n```py\na < b\n```\n\nsee [it](u.html) and `c_d` a_b_c\n\n| lone | row |"
+    body = html.render(spark.createDataFrame([(1, rich)], "doc_id long, text string")).first()["html"].split("<body>\n")[1].split("\n</body>")[0]
+    assert body.split("\n") == [
+        "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td><strong>2</strong></td></tr><tr><td>3</td><td>&lt;4&gt;</td></tr></table>",
+        "<ul><li>one</li><li><em>two</em></li></ul>", "<ol><li>x</li><li>y</li></ol>", "<hr>", "<pre><code>a &lt; b</code></pre>",
+        '<p>see <a href="u.html">it</a> and <code>c_d</code> a_b_c</p>', "<table><tr><td>lone</td><td>row</td></tr></table>",
+    ]
     images = spark.createDataFrame([(1, "i.png", "image/png", bytearray(b"abc"))], "doc_id long, path string, mime string, content binary")
     assert 'src="data:image/png;base64,YWJj"' in html.embed_images(made, images).first()["html"]
 
