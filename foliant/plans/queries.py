@@ -400,16 +400,37 @@ def raw_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return layout.raw_markdown(layout.ordered_lines(*_layout(spark, sf))).select("doc_id", F.md5("text").alias("text"))
 
 
-@query("rebuild_paragraphs")
+HIT = "CASE WHEN ks[{0} + 1] = k THEN {0} + 1 WHEN ks[{0} + 2] = k THEN {0} + 2 WHEN ks[{0} + 3] = k THEN {0} + 3 END"
+GLUE = Sql(r"string_agg(CASE WHEN {0} IS NULL THEN t WHEN regexp_matches(t, '[\p{{L}}\p{{N}}_]-$') THEN left(t, length(t) - 1) ELSE t || ' ' END, '' ORDER BY i)")
+
+
+@query("rebuild_paragraphs", f"""WITH RECURSIVE {L}, {FLAGS}, sq AS (SELECT doc_id, list({KEY.format('text')} ORDER BY seq) AS ks, list(is_start ORDER BY seq) AS fs, list({KEY.format('text')}) FILTER (is_start) AS sk FROM fl GROUP BY doc_id),
+un AS (SELECT doc_id, t, {KEY.format('t')} AS k, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS i, regexp_matches(t, '^[#!|>]') AS m FROM u WHERE {KEY.format('t')} <> ''),
+st AS (SELECT un.*, ks, fs, coalesce(list_contains(sk, k), false) AS s FROM un LEFT JOIN sq USING (doc_id)),
+rc AS (SELECT doc_id, i, coalesce(h, 0) AS at, m OR coalesce(fs[h], s) AS b FROM (SELECT *, {Sql(HIT).format('0')} AS h FROM st WHERE i = 1)
+ UNION ALL SELECT doc_id, i, coalesce(h, pat), m OR coalesce(fs[h], s) FROM (SELECT st.*, rc.at AS pat, {Sql(HIT).format('rc.at')} AS h FROM rc JOIN st ON st.doc_id = rc.doc_id AND st.i = rc.i + 1)),
+nb AS (SELECT st.doc_id, st.i, t, k, (sum(b::INT) OVER w - first_value(b::INT) OVER w)::BIGINT AS para FROM st JOIN rc USING (doc_id, i) WINDOW w AS (PARTITION BY st.doc_id ORDER BY st.i)),
+nx AS (SELECT *, lead(i) OVER (PARTITION BY doc_id, para ORDER BY i) AS nx FROM nb)
+SELECT doc_id, para AS idx, arg_min(k, i) AS key0, md5({GLUE.format('nx')}) AS text FROM nx GROUP BY doc_id, para""")
 def rebuild_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     flags = _flags(spark, sf).select("doc_id", F.col("seq").alias("idx"), T.key(F.col("text")).alias("key"), "is_start")
     units = lines_of(spark, sf).where(T.key(F.col("text")) != "")
     return paragraphs.rebuild_paragraphs(units, flags).select("doc_id", "idx", "key0", F.md5("text").alias("text"))
 
 
-@query("stitch_pages")
+@query("stitch_pages", rf"""WITH RECURSIVE {U}, nm AS (SELECT *, CASE WHEN length(t) < 120 THEN trim(regexp_replace(regexp_replace(t, '\d+', '', 'g'), '\s+', ' ', 'g')) END AS norm FROM u),
+kp AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS i FROM (SELECT *, count(norm) OVER (PARTITION BY doc_id, norm) AS times FROM nm) WHERE NOT coalesce(times >= 3 AND norm <> '', false) AND NOT regexp_full_match(t, '_?\d{{1,4}}_?')),
+fa AS (SELECT *, length(t) > 80 AND {IS_BODY.format('t')} AND NOT regexp_matches(rtrim(regexp_replace(t, '[_*^]+$', '')), '[.!?"'')\]“”‘’]$') AS o, regexp_matches(t, '^\s*#') AS h, regexp_matches(t, '^[a-z]') AS lo,
+ NOT ({IS_BODY.format('t')}) OR length(t) < 80 OR regexp_matches(t, '(?i)^(figure|table|fig\.|source:)') OR regexp_matches(t, '^\^[\s\d]') AS pa FROM kp),
+tg AS (SELECT *, first_value(CASE WHEN h OR NOT pa THEN i END IGNORE NULLS) OVER w AS tgt, first_value(CASE WHEN h OR NOT pa THEN NOT h AND lo END IGNORE NULLS) OVER w AS ok FROM fa WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+rc AS (SELECT doc_id, i, coalesce(o AND ok, false) AS take, CASE WHEN o AND ok THEN tgt ELSE 0 END AS till FROM tg WHERE i = 1
+ UNION ALL SELECT t.doc_id, t.i, coalesce(t.i > rc.till AND o AND ok, false), CASE WHEN t.i > rc.till AND o AND ok THEN tgt ELSE rc.till END FROM rc JOIN tg t ON t.doc_id = rc.doc_id AND t.i = rc.i + 1),
+pr AS (SELECT doc_id, tgt AS i, i AS into_i FROM tg JOIN rc USING (doc_id, i) WHERE take),
+gl AS (SELECT kp.doc_id, kp.i, t, coalesce(into_i, kp.i) AS g FROM kp LEFT JOIN pr ON pr.doc_id = kp.doc_id AND pr.i = kp.i),
+nx AS (SELECT *, lead(i) OVER (PARTITION BY doc_id, g ORDER BY i) AS nx FROM gl)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS idx, md5(t) AS text FROM (SELECT doc_id, g, {GLUE.format('nx')} AS t FROM nx GROUP BY doc_id, g)""")
 def stitch_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return paragraphs.stitch_pages(lines_of(spark, sf)).select("doc_id", "idx", F.md5("text").alias("text"))
+    return paragraphs.stitch_pages(lines_of(spark, sf)).select("doc_id", F.col("idx").cast("long").alias("idx"), F.md5("text").alias("text"))
 
 
 @query("lines_of_spans", rf"""WITH {U} SELECT doc_id, idx AS line_no, trim(t || 'xy') AS text, 8.0::DOUBLE AS size, (2 / (length(t) + 2))::DOUBLE AS math FROM u""")
