@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import bucket_count, cut, discard, hash_key, prefix_sums
 from foliant.llm.tokens import encoder, gathered
-from foliant.ship import map_arrow
+from foliant.ship import map_arrow, ship
 
 #: Distinct pieces of text that a worker remembers, and bytes of text that it takes together: it holds pieces besides.
 PIECES_KEPT, BYTES = 350_000, 3 << 20
 #: Ranges of sizes that are swept apart, and rows of a plan that are broadcast at most (40 bytes each).
-RANGES, PLAN_ROWS = 16, 500_000
+RANGES, PLAN_ROWS = 4, 500_000
 #: A gap of so many pieces' size takes as many of them as it holds at once.
 MANY = 8
 
@@ -78,6 +78,7 @@ def best_fit(lengths: DataFrame, capacity: int) -> tuple[DataFrame, int]:
     numbers a superstep come to the driver.
     """
     spark = lengths.sparkSession
+    ship(spark)
     zero = [F.lit(0).cast(t).alias(c) for c, t in (("first", "long"), ("offset", "int"), ("each", "int"))]
     state = cut(lengths.select(F.lit(PIECE).alias("kind"), F.col("length").cast("int").alias("size"), "n", F.lit(0).cast("long").alias("rank"), *zero), "runs")
     opened, placed = 0, 0
@@ -94,8 +95,8 @@ def best_fit(lengths: DataFrame, capacity: int) -> tuple[DataFrame, int]:
             opened += new
         placed = now
         dealt = state.repartitionById(RANGES, (F.col("size") * RANGES / (capacity + 1)).cast("int"))
-        border = map_arrow(dealt, _swept(capacity, False), RUNS).repartitionById(RANGES + 1, F.when(F.col("kind") <= PIECE, RANGES).otherwise(F.pmod("size", F.lit(RANGES))).cast("int"))
-        state = cut(map_arrow(border, _swept(capacity, True), RUNS), "runs")
+        border = dealt.mapInArrow(_swept(capacity, False), RUNS).repartitionById(RANGES + 1, F.when(F.col("kind") <= PIECE, RANGES).otherwise(F.pmod("size", F.lit(RANGES))).cast("int"))
+        state = cut(border.mapInArrow(_swept(capacity, True), RUNS), "runs")  # a few rows: workers keep their words
         discard(before)
 
 
