@@ -785,7 +785,16 @@ def html_image_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", inlined.cast("long").alias("inlined"), plain.cast("long").alias("plain"))
 
 
-@query("html_blocks")
+UNESCAPE = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+
+
+@query("html_blocks", rf"""WITH a AS (SELECT page_id, CASE WHEN regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1) <> '' THEN regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1) ELSE html END AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'g'), '(?i)<br\s*/?>', chr(10), 'g') AS h FROM a),
+c AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)<h([1-6])[^>]*>', chr(1) || '#\1 ', 'g'), '(?i)<li[^>]*>', chr(1) || '- ', 'g') AS h FROM b),
+d AS (SELECT page_id, string_split(regexp_replace(regexp_replace(h, '(?i)</?(p|div|h[1-6]|li|ul|ol|tr|table|article|section|blockquote)[^>]*>', chr(1), 'g'), '<[^>]+>', '', 'g'), chr(1)) AS l FROM c),
+e AS (SELECT page_id, list_filter(list_transform(l, lambda x: regexp_replace({UNESCAPE.replace('{0}', 'x')}, '^\s+|\s+$', '', 'g')), lambda x: x NOT IN ('', '-')) AS l FROM d),
+f AS (SELECT page_id, unnest(range(len(l)))::INT AS idx, unnest(l) AS x FROM e)
+SELECT page_id, idx, CASE WHEN regexp_matches(x, '^#[1-6] ') THEN repeat('#', substr(x, 2, 1)::INT) || substr(x, 3) ELSE x END AS text FROM f""")
 def html_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return html.html_blocks(table(spark, sf, "pages"))
 
