@@ -20,7 +20,7 @@ BITS = 20
 
 @dataclass(frozen=True)
 class Ftrl:
-    """alpha and beta set the learning rate of a coordinate, alpha / (beta + root of its summed squared gradients)."""
+    """l1: 6 found as many held-out toxic documents as smaller values, or more, with 150 to 2,636 labels (README). alpha and beta set the learning rate of a coordinate, alpha / (beta + root of its summed squared gradients)."""
 
     alpha: float = 5.0
     beta: float = 1.0
@@ -79,7 +79,8 @@ def held_out(key: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, how: Ftrl = Ftrl()) -> Model:
     """Fits on labelled rows of docs that are not held out, sample of them at most. Rows with a null key or label are
-    left out; of a key's labels the greatest counts; of its texts any."""
+    left out; of a key's labels the greatest counts, of its texts the one whose coordinates come first, so
+    that reruns agree. Texts may be of any length."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).cast("int").alias("__label"))
     chosen = known.orderBy(F.xxhash64(key, F.lit(8)), key).limit(sample)
     rows = docs.select(key, F.col(text).alias("__text")).join(F.broadcast(chosen), key)  # sample rows at most
@@ -96,7 +97,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.tobytes() for x in found], pa.binary())], ["key", "label", "index"])
 
     kind = docs.schema[key].dataType.simpleString()
-    found = map_arrow(rows.select(key, "__text", "__label"), distinct, f"key {kind}, label int, index binary").dropDuplicates(["key"])
+    found = map_arrow(rows.select(key, "__text", "__label"), distinct, f"key {kind}, label int, index binary")
+    found = found.groupBy("key").agg(F.max("label").alias("label"), F.min("index").alias("index"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [(str(r["key"]), r["label"], r["index"]) for batch in batches for r in batch.to_pylist()]
