@@ -36,6 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
         if not state[0] or state == seen:
             return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
         seen = state
-        after = cut(_small_star(_large_star(now)), "edges")
+        stars = cut(_large_star(now), "stars")  # read three times below, which would be made anew each time
+        after = cut(_small_star(stars), "edges")
+        discard(stars)
         discard(now)
         now = after
