@@ -16,8 +16,9 @@ from foliant.llm.hnsw import Graph, Shape, build, level_sizes, search
 from foliant.llm.vectors import by_length, matrix, numbered, sound
 from foliant.ship import map_arrow
 
-#: Bytes of a shard's vectors, on average, at most; and vectors of a shard where there are few shards, and these few.
-SHARD_BYTES, FEW_ROWS, FEW_SHARDS = 32 << 20, 1000, 6
+#: Bytes of a shard's vectors, on average, at most (16,384 vectors of 64 dimensions: README has the recall at that size);
+#: and vectors of a shard where there are few shards, and these few.
+SHARD_BYTES, FEW_ROWS, FEW_SHARDS = 8 << 20, 1000, 6
 #: Queries that are searched with one copy of a shard, on average, at most; and at least, where there are few shards.
 QUERIES, FEW_QUERIES = 1 << 20, 1000
 
@@ -133,7 +134,7 @@ def _search(depth: int, width: int):
     return run
 
 
-def nearest(index: DataFrame, queries: DataFrame, k: int = 20, width: int = 96, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def nearest(index: DataFrame, queries: DataFrame, k: int = 20, width: int = 256, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """For each query (key and embedding of queries) the k nearest found by largest inner product, the row of its own id
     left out: query_id, rank from 1, vec_id, score in double precision on the original vectors; ties to the smaller id.
 
