@@ -26,6 +26,8 @@ BLOCK = 256
 PIVOTS = 8
 #: A posting list of more classes is not compared: its classes are one cluster.
 HOT = 1 << 16
+#: Blocks outside a cluster's largest component from which it is divided: until then a set is copied twice so often at most.
+WIDE = 16
 #: A shingle that one in so many members of a cluster has comes last in the order of its shingles.
 COMMON = 8
 
@@ -217,7 +219,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
     of blocks, and a tile gives the forest of its candidates, not the pairs; the classes of a list of more than HOT are
     tied together without comparison. 3. Candidates' components are clusters. They are confirmed on whole sets, in blocks
     that share some pivots; what then is outside the largest component of a cluster of several blocks is held against all
-    its blocks. 4. Where more than a block is outside, the cluster is divided before: linked sets share one of the rarest
+    its blocks. 4. Where more than WIDE blocks are outside, the cluster is divided before: linked sets share one of the rarest
     of their shingles, so classes that share none of these part (_divided). So every candidate pair is confirmed, or is
     connected by confirmed links already, or has too little in common. Texts may be of any length. Keys are whole numbers.
     """
@@ -353,7 +355,7 @@ def _links(sets: DataFrame, percent: int, divide: bool) -> tuple[list[DataFrame]
     most = cut(most.select("cluster", "main", F.ceil((F.col("total") - F.col("k")) / BLOCK).cast("int").alias("outer")), "main")
     made = [edges]
     if divide:
-        wide = F.col("outer") > 1
+        wide = F.col("outer") > WIDE
         if most.where(wide).limit(1).count():
             made += _links(_divided(sets.join(most.where(wide), "cluster", "left_semi"), percent), percent, False)[0]
         most = most.where(~wide)

@@ -466,6 +466,7 @@ def near_texts():
 def test_near_duplicates(spark, monkeypatch, block, hot):
     monkeypatch.setattr(minhash, "BLOCK", block)
     monkeypatch.setattr(minhash, "HOT", hot)
+    monkeypatch.setattr(minhash, "WIDE", 1 if hot < 100 else 16)
     texts = near_texts()
     sets = [shingles(t, 4) for t in texts]
     pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a and b and 100 * len(a & b) >= 80 * len(a | b)]
@@ -494,6 +495,7 @@ def test_near_duplicates_odd(spark):
 def test_templates(spark, monkeypatch):
     """Documents of one template, similar by half: no copies of sets grow with the square of their number."""
     monkeypatch.setattr(minhash, "HOT", 300)
+    monkeypatch.setattr(minhash, "WIDE", 1)
     template, confirmed = some(80, 4), []
     divide = minhash._divided
     monkeypatch.setattr(minhash, "_divided", lambda sets, percent: confirmed.append((sets.count(), (out := divide(sets, percent)).count())) or out)
