@@ -21,7 +21,8 @@ SENT = 2_000_000
 #: Parts that a recurring subtree is dealt to where they are joined, so that a site's menu is no hot key.
 PARTS = 32
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
+#: Nothing is tried in two ways, so that broken markup takes no longer.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup.
@@ -105,13 +106,17 @@ def parse(source: str, site: bytes = b"") -> Page:
             made[-1].append(" ".join(t.split()).encode("utf-8", "surrogatepass"))
 
     at, end = 0, len(source)
+    tagged = source.rfind(">") + 1  # after it there are no tags, and none are looked for
     while at < end:
-        m = TOKEN.search(source, at)
+        m = TOKEN.search(source, at, tagged)
         if m is None:
-            text(end)
+            open_comment = source.find("<!--", at)
+            text(end if open_comment < 0 else open_comment)
             break
         text(m.start())
         at = m.end()
+        if at == tagged and m[0].startswith("<!--") and not m[0].endswith("-->"):
+            break
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue

@@ -201,7 +201,7 @@ PAGES = [
     ("plain &lt;text&gt; 1 < 2", "plain <text> 1 < 2"),
     ("<p>open <b>bold<p>next</b> end", "open bold\nnext end"),
     ("<article><p>x</p><script>unclosed", "x"),
-    ("", ""), (None, ""), ("<p></p>", ""), ("<article></article><p>no</p>", ""),
+    ("x<!-- > open <p>no", "x"), ("x<!-- open", "x"), ("", ""), (None, ""), ("<p></p>", ""), ("<article></article><p>no</p>", ""),
 ]
 
 
@@ -238,6 +238,6 @@ def test_template(spark, sent):
 
 
 def test_pages_of_odd_markup():
-    for source in ("<" * 2000, "<a" * 2000, "<p>" * 3000, "</p>" * 100, "<div>" * 3000 + "x", "<a title='" * 500, "&#xD800; &#0; &nope; &amp", "<p/>x<br/>y", "<P CLASS=ad>x</P>y"):
+    for source in ("<" * 100_000, "<a" * 100_000, "<a'" * 100_000 + ">",  "<p>" * 3000, "</p>" * 100, "<div>" * 3000 + "x", "<a title='" * 500, "&#xD800; &#0; &nope; &amp", "<p/>x<br/>y", "<P CLASS=ad>x</P>y"):
         page = site_text.parse(source)
         assert len(page.tags) == len(page.hashes) and isinstance("\n".join(site_text.blocks(page, *site_text.outline(page))), str)
