@@ -14,10 +14,6 @@ from foliant.shared import cut
 from foliant.sources.tables import write_by_document, write_texts
 
 
-#: A page's regions come after its images.
-AFTER_IMAGES = 500
-
-
 class Processed(NamedTuple):
     """blocks: doc_id, idx, text. dropped: doc_id and the characters that were taken out on purpose."""
 
@@ -54,11 +50,11 @@ def postprocess(
     numbered = planned.withColumn("n", F.row_number().over(paragraphs.Window.partitionBy("doc_id").orderBy("pno", "y0", "x0")).cast("long"))
     blocks = links.link_equations(blocks, numbered)
     blocks = links.link_captions(blocks, numbered.where(F.col("kind") != "equation"))
-    bare = numbered.where(F.col("cap_text").isNull() & (F.col("kind") != "equation")).select("doc_id", "pno", (F.col("n") + AFTER_IMAGES).alias("n"), "link")
+    bare = numbered.where(F.col("cap_text").isNull() & (F.col("kind") != "equation")).select("doc_id", "pno", F.lit(1).alias("kind"), "n", "link")  # a page's regions come after its images
     if images is not None:
         covers = paragraphs.mark_cover(units).where("cover").select("doc_id", F.lit(0).alias("pno")).distinct()
         picked = regions.pick_images(images, pages).join(covers, ["doc_id", "pno"], "left_anti")
-        bare = bare.unionByName(links.page_links(regions.outside(picked, planned)).select("doc_id", "pno", F.col("n").cast("long").alias("n"), "link"))
+        bare = bare.unionByName(links.page_links(regions.outside(picked, planned)).select("doc_id", "pno", F.lit(0).alias("kind"), F.col("n").cast("long").alias("n"), "link"))
     blocks = links.link_pages(blocks, bare, layout.page_last(flags))
     gone = [paragraphs.repeated_chars(repeated), paragraphs.dropped_chars(paras, uncovered), regions.region_chars(lines, planned).withColumnRenamed("chars", "dropped")]
     dropped = gone[0].unionByName(gone[1]).unionByName(gone[2])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliant.functions import text as T
 
@@ -52,64 +53,210 @@ def html_blocks(pages: DataFrame, html: str = "html", key: str = "page_id") -> D
     return pages.select(key, F.posexplode(F.transform(parts, head)).alias("idx", "text"))
 
 
+#: Lists in lists; deeper ones stay at the last level.
+LEVELS = 6
+TOKENS = r"<[^>]+>|[^<]+"
+#: Tags at which another block begins, outside tables.
+BLOCK_TAGS = ("p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "table", "article", "section", "blockquote", "pre", "hr", "header", "footer", "nav", "main", "aside", "figure", "body", "dl", "dt", "dd")
+ROW, CELL = "\u0002", "\u0001"
+
+
+def to_markdown(pages: DataFrame, html: str = "html", key: str = "page_id", folder: str = "images") -> DataFrame:
+    """The blocks of HTML texts as Markdown: key, idx and text. Headings, paragraphs, quotations, nested lists with numbers,
+    tables (the first row is the head), code, rules; in them links, emphasis, code and pictures, which are numbered in a
+    page: fig_001.png, with jpg for jpeg.
+
+    Tags and the texts between them are rows. What a text stands in is a running count of opened less closed tags, so lists
+    nest; of each level the list and the item that were opened last are kept. Null and empty texts have no blocks; tags that
+    close nothing are let be; scripts, styles and comments are left out.
+    """
+    order = Window.partitionBy(key).orderBy("pos")
+    sofar = order.rowsBetween(Window.unboundedPreceding, 0)
+    bare = F.regexp_replace(F.col(html), r"(?is)<(script|style|head|title)(?:\s[^>]*)?>.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>", "")
+    rows = pages.select(key, F.posexplode(F.regexp_extract_all(bare, F.lit(TOKENS), F.lit(0))).alias("pos", "token"))
+    name = F.lower(F.regexp_extract("token", r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+    rows = rows.withColumn("name", name).withColumn("shut", F.startswith("token", F.lit("</")))
+    opens = lambda *names: F.col("name").isin(*names) & ~F.col("shut")
+    shuts = lambda *names: F.col("name").isin(*names) & F.col("shut")
+    count = lambda c: F.sum(c.cast("int")).over(sofar)
+    stands = {"lists": ("ul", "ol"), "tables": ("table",), "pre": ("pre",), "quotes": ("blockquote",)}
+    rows = rows.withColumns({c: F.sum(F.when(opens(*names), 1).when(shuts(*names), -1).otherwise(0)).over(sofar) for c, names in stands.items()})
+    held = lambda c: (F.col(c) - F.least(F.min(c).over(sofar), F.lit(0))).cast("int")  # noqa: E731  an end tag without a beginning counts for nothing
+    latest = lambda when, value: F.last(F.when(when, value), ignorenulls=True).over(sofar)
+    attribute = lambda a: F.regexp_extract("token", rf"(?i)\s{a}\s*=\s*[\"']([^\"']*)[\"']", 1)
+    rows = rows.withColumns({
+        "depth": F.least(held("lists"), F.lit(LEVELS)), "tables": held("tables"), "pre": held("pre") > 0, "quotes": held("quotes"), "images": count(opens("img")), "href": latest(opens("a"), attribute("href")),
+    })
+    level = lambda k: F.col("depth") == k
+    rows = rows.withColumn("lists", F.array(*[latest(opens("ul", "ol") & level(k), F.struct(F.col("pos").alias("at"), (F.col("name") == "ol").alias("ordered"))) for k in range(1, LEVELS + 1)]))
+    rows = rows.withColumn("items", F.array(*[latest(opens("li") & level(k), F.col("pos")) for k in range(1, LEVELS + 1)]))
+    now = lambda c: F.when(F.col("depth") > 0, F.element_at(c, F.col("depth")))
+    rows = rows.withColumn("list", now("lists")).withColumn("item", now("items"))
+    rows = rows.withColumn("nth", F.sum((opens("li")).cast("int")).over(Window.partitionBy(key, "list").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    border = (F.col("name").isin(*BLOCK_TAGS) & (F.col("tables") == 0)) | opens("table") & (F.col("tables") == 1) | shuts("table")
+    kind = F.regexp_extract("src", r"(?i)\.([a-z0-9]+)(?:[?#].*)?$", 1)
+    extension = F.when(kind == "", "png").otherwise(F.regexp_replace(F.lower(kind), "^jpeg$", "jpg"))
+    picture = F.concat(F.lit("!["), attribute("alt"), F.lit(f"]({folder}/fig_"), F.format_string("%03d", "images"), F.lit("."), extension, F.lit(")"))
+    text = F.when(F.col("pre"), unescape(F.col("token"))).otherwise(F.regexp_replace(unescape(F.col("token")), r"\s+", " "))
+    piece = (
+        F.when(F.col("name") == "", F.when(F.startswith("token", F.lit("<")), "").otherwise(text))
+        .when(F.col("name") == "br", "\n").when(F.col("name").isin("b", "strong"), "**").when(F.col("name").isin("i", "em"), "*")
+        .when((F.col("name") == "code") & ~F.col("pre"), "`").when(opens("img"), picture)
+        .when(opens("a") & (F.col("href") != ""), "[").when(shuts("a") & (F.col("href") != ""), F.concat(F.lit("]("), F.col("href"), F.lit(")")))
+        .when((F.col("tables") > 0) & opens("tr"), ROW).when((F.col("tables") > 0) & opens("td", "th"), CELL)
+        .when((F.col("tables") > 0) & F.col("name").isin(*BLOCK_TAGS), " ").when(opens("hr"), "---").otherwise("")
+    )
+    rows = rows.withColumn("src", attribute("src")).withColumn("piece", piece).withColumn("block", F.sum(border.cast("int") + opens("hr").cast("int")).over(sofar) - opens("hr").cast("int"))
+    heading = F.max(F.when(opens("h1", "h2", "h3", "h4", "h5", "h6"), F.substring("name", 2, 1).cast("int")))
+    first = lambda c: F.min_by(c, "pos").alias(c)
+    shown = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "")
+    blocks = rows.groupBy(key, "block").agg(shown.alias("text"), heading.alias("heading"), F.max("tables").alias("tables"), F.bool_or("pre").alias("pre"), F.max("quotes").alias("quotes"), *[first(c) for c in ("depth", "list", "item", "nth")])
+    trim = lambda c: F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r" *\n *", "\n")
+
+    def table(c: Column) -> Column:
+        made = F.filter(F.transform(F.split(c, ROW), lambda r: F.transform(F.slice(F.split(r, CELL), 2, 1 << 20), lambda v: F.replace(F.regexp_replace(trim(v), r"\s+", " "), F.lit("|"), F.lit("\\|")))), lambda r: F.size(r) > 0)
+        line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
+        return F.array_join(F.flatten(F.transform(made, lambda r, k: F.when(k == 0, F.array(line(r), line(F.transform(r, lambda _: F.lit("---"))))).otherwise(F.array(line(r))))), "\n")
+
+    is_table = F.contains("text", F.lit(ROW))
+    code = F.concat(F.lit("```\n"), F.regexp_replace("text", r"^\n|\s+$", ""), F.lit("\n```"))
+    body = F.when(is_table, table(F.col("text"))).when(F.col("pre"), code).otherwise(trim(F.col("text")))
+    blocks = blocks.withColumn("body", body).where(F.regexp_replace("text", r"[\s*`\x01\x02]+", "") != "")
+    # The first block of an item has its mark, what follows in it is set under it.
+    marked = (F.row_number().over(Window.partitionBy(key, "item").orderBy("block")) == 1) & F.col("item").isNotNull()
+    mark = F.when(F.col("list.ordered"), F.concat(F.col("nth").cast("string"), F.lit(". "))).otherwise(F.lit("- "))
+    indent = F.when(F.col("depth") > 0, F.repeat(F.lit("    "), F.col("depth") - F.when(marked, 1).otherwise(0))).otherwise(F.lit(""))
+    front = F.concat(F.when(F.col("quotes") > 0, F.repeat(F.lit("> "), F.col("quotes"))).otherwise(F.lit("")), indent, F.when(marked, mark).otherwise(F.lit("")), F.when(F.col("heading").isNotNull(), F.concat(F.repeat(F.lit("#"), F.col("heading")), F.lit(" "))).otherwise(F.lit("")))
+    rest = F.concat(F.repeat(F.lit("> "), F.col("quotes")), F.repeat(F.lit("    "), F.col("depth")))
+    text = F.concat(front, F.replace("body", F.lit("\n"), F.concat(F.lit("\n"), rest)))
+    return blocks.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("block")) - 1).alias("idx"), text.alias("text"))
+
+
+#: Picture, link, code and emphasis of escaped text, and what they become. No pattern looks around itself.
+MARKS = (
+    (r"!\[([^\]]*)\]\(([^)\s]+)\)", '<img alt="$1" src="$2">'),
+    (r"\[([^\]]+)\]\(([^)\s]+)\)", '<a href="$2">$1</a>'),
+    (r"`([^`]+)`", "<code>$1</code>"),
+    (r"\*\*([^\s*](?:[^*]*[^\s*])?)\*\*", "<strong>$1</strong>"),
+    (r"(^|[^*\w])\*([^\s*](?:[^*]*[^\s*])?)\*($|[^*\w])", "$1<em>$2</em>$3"),
+    (r"(^|[^_\w])_([^\s_](?:[^_]*[^\s_])?)_($|[^_\w])", "$1<em>$2</em>$3"),
+)
+#: How a line begins that is more than text, by kind, the first that fits; lists may be indented.
+KINDS = (("head", r"^#{1,6}\s"), ("rule", r"^(-{3,}|\*{3,}|_{3,})\s*$"), ("quote", r"^>"), ("table", r"^\|"), ("item", r"^\s*([-*+]|\d+[.)])\s"))
+
 def _inline(c: Column) -> Column:
-    """Pictures, links, code and emphasis of escaped text."""
-    for pattern, put in (
-        (r"!\[([^\]]*)\]\(([^)\s]+)\)", '<img alt="$1" src="$2">'), (r"\[([^\]]+)\]\(([^)\s]+)\)", '<a href="$2">$1</a>'), (r"`([^`]+)`", "<code>$1</code>"),
-        (r"\*\*(?=\S)(.+?)(?<=\S)\*\*", "<strong>$1</strong>"), (r"(?<![*\w])\*(?=[^\s*])([^*]+?)(?<=\S)\*(?![*\w])", "<em>$1</em>"), (r"(?<![_\w])_(?=\S)([^_]+?)(?<=\S)_(?![_\w])", "<em>$1</em>"),
-    ):
+    for pattern, put in MARKS:
         c = F.regexp_replace(c, pattern, put)
     return c
 
 
-def render(docs: DataFrame) -> DataFrame:
-    """HTML of Markdown texts (doc_id, text), with a title: headings, quotations, lists, tables with a head where a row of
-    dashes follows, fenced code, rules, paragraphs; in them pictures, links, code and emphasis. A fence that holds blank
-    lines is not put together again."""
-    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+def line_states(docs: DataFrame) -> DataFrame:
+    """The lines of Markdown texts (doc_id, text) that show, with their state: doc_id, line, text, kind (code, head, rule,
+    quote, table, item, text, or more: text that goes on an item), first and last (of their block), nth (in it), depth and
+    ordered (of items and what goes on them), and below, the depth of the next line if it is of the same list, else 0.
 
-    def rows(t: Column) -> Column:
-        lines = F.split(t, "\n")
-        dashes = lambda x: x.rlike(r"^\|?[\s:|-]*-[\s:|-]*$")
-        headed = (F.size(lines) > 1) & F.coalesce(dashes(F.get(lines, F.lit(1))), F.lit(False))
-
-        def row(x: Column, k: Column) -> Column:
-            cells = F.transform(F.split(F.regexp_replace(T.strip(x), r"^\||\|$", ""), r"\|"), lambda v: _inline(T.strip(v)))
-            made = lambda name: tag("tr", F.array_join(F.transform(cells, lambda v: tag(name, v)), ""))
-            return F.when(headed & (k == 0), made("th")).otherwise(made("td"))
-
-        kept = F.filter(F.transform(lines, lambda x, k: F.when(~(headed & (k == 1)), row(x, k))), lambda x: x.isNotNull())
-        return tag("table", F.array_join(kept, ""))
-
-    def items(t: Column, mark: str) -> Column:
-        return F.array_join(F.transform(F.filter(F.split(t, rf"(?m)^\s*{mark}\s+"), lambda x: T.strip(x) != ""), lambda x: tag("li", _inline(T.strip(x)))), "")
-
-    def block(b: Column) -> Column:
-        level = F.length(F.regexp_extract(b, r"^(#{1,6})\s", 1)).cast("string")
-        t = escape(b)
-        head = F.concat(F.lit("<h"), level, F.lit(">"), _inline(F.regexp_replace(t, r"^#{1,6}\s+", "")), F.lit("</h"), level, F.lit(">"))
-        return (
-            F.when(b.rlike(r"(?s)^```.*```$"), tag("pre", tag("code", F.regexp_replace(t, r"^```[^\n]*\n?|\n?```$", ""))))
-            .when(level != "0", head)
-            .when(b.rlike(r"^(-{3,}|\*{3,}|_{3,})$"), F.lit("<hr>"))
-            .when(F.startswith(b, F.lit(">")), tag("blockquote", _inline(F.regexp_replace(t, r"(?m)^&gt;\s?", ""))))
-            .when(F.startswith(b, F.lit("|")), rows(t))
-            .when(b.rlike(r"^[-*+]\s"), tag("ul", items(t, "[-*+]")))
-            .when(b.rlike(r"^\d+[.)]\s"), tag("ol", items(t, r"\d+[.)]")))
-            .otherwise(tag("p", _inline(t)))
-        )
+    A line of three backquotes opens or ends code, as its number is odd or even; in code, blank lines are lines. A blank
+    line ends every other block, and so does a line of another kind.
+    """
+    order = Window.partitionBy("doc_id").orderBy("line")
+    sofar = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\r?\n", -1)).alias("line", "text"))
+    fence = F.col("text").rlike(r"^```")
+    rows = rows.withColumn("fences", F.sum(fence.cast("int")).over(sofar))
+    kind = F.lit("text")
+    for name, pattern in reversed(KINDS):
+        kind = F.when(F.col("text").rlike(pattern), name).otherwise(kind)
+    kind = F.when(fence, F.when(F.col("fences") % 2 == 1, "open").otherwise("shut")).when(F.col("fences") % 2 == 1, "code").when(T.strip(F.col("text")) == "", "blank").otherwise(kind)
+    rows = rows.withColumn("kind", kind)
+    # Text that follows an item, or text that does, goes on it.
+    broken = F.col("kind") != "text"
+    led = F.last(F.when(broken, F.col("kind")), ignorenulls=True).over(sofar)
+    rows = rows.withColumn("kind", F.when((F.col("kind") == "text") & (led == "item"), "more").otherwise(F.col("kind")))
+    class_ = F.when(F.col("kind") == "more", "item").otherwise(F.col("kind"))
+    rows = rows.withColumn("class", class_).withColumn("before", F.lag("class").over(order))
+    alone = F.col("class").isin("head", "rule", "open", "shut", "blank")
+    rows = rows.withColumn("block", F.sum(F.coalesce((alone | (F.col("class") != F.col("before"))).cast("int"), F.lit(1))).over(sofar))
+    inside = Window.partitionBy("doc_id", "block").orderBy("line")
+    within = inside.rowsBetween(Window.unboundedPreceding, 0)
+    item = F.col("kind") == "item"
+    rows = rows.withColumn("nth", F.row_number().over(inside)).withColumn("items", F.sum(item.cast("int")).over(within))
+    # An item stands two blanks deeper than its list, and at most one level below the item before it: the least of all raw
+    # depths so far, each with the items since.
+    raw = F.when(item, F.when(F.col("items") == 1, 1).otherwise(1 + F.floor(F.length(F.regexp_extract("text", r"^(\s*)", 1)) / 2)))
+    least = F.min(raw - F.col("items")).over(within) + F.col("items")
+    rows = rows.withColumn("depth", F.when(F.col("class") == "item", F.least(least, F.lit(LEVELS)).cast("int")))
+    ordered = F.when(item, F.col("text").rlike(r"^\s*\d"))
+    rows = rows.withColumn("ordered", F.last(ordered, ignorenulls=True).over(within))
+    rows = rows.withColumn("last", F.lead("line").over(inside).isNull()).withColumn("goes_on", F.coalesce(F.lead("kind").over(inside) == "more", F.lit(False)))
+    rows = rows.withColumn("below", F.coalesce(F.lead("depth").over(inside), F.lit(0))).withColumn("above", F.coalesce(F.lag("depth").over(inside), F.lit(0)))
+    dashes = F.col("text").rlike(r"^\|?[\s:|-]*-[\s:|-]*$")
+    rows = rows.withColumn("headed", (F.col("kind") == "table") & F.coalesce(F.lead(dashes).over(inside), F.lit(False)) & (F.col("nth") == 1))
+    rows = rows.withColumn("dashes", (F.col("kind") == "table") & dashes & (F.col("nth") == 2))
+    # The kind of list at each level is that of the item that opened it: the last one that stood there deeper than the one before.
+    opens = item & (F.col("depth") > F.col("above"))
+    levels = [F.last(F.when(opens & (F.col("depth") == k), F.col("ordered")), ignorenulls=True).over(within) for k in range(1, LEVELS + 1)]
+    return rows.withColumn("lists", F.array(*[F.when(x, "ol").otherwise("ul") for x in levels]))
 
+
+def render(docs: DataFrame) -> DataFrame:
+    """HTML of Markdown texts (doc_id, text), with a title: headings, quotations, nested lists, tables with a head where a
+    row of dashes follows, fenced code with blank lines, rules, paragraphs; in them pictures, links, code and emphasis.
+
+    Each line becomes its own piece, by its state and its neighbours' (line_states), and pieces are joined in order. A null
+    text gives an empty page, with the document's id as title."""
+    filled = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    lines = line_states(filled).where(~F.col("kind").isin("blank") & ~F.col("dashes"))
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+    first, last = F.col("nth") == 1, F.col("last")
+    t = escape(F.col("text"))
+    opened = lambda name, c: F.concat(F.when(first, F.lit(f"<{name}>")).otherwise(F.lit("")), c, F.when(last, F.lit(f"</{name}>")).otherwise(F.lit("")))
+    level = F.length(F.regexp_extract("text", r"^(#{1,6})\s", 1)).cast("string")
+    head = F.concat(F.lit("<h"), level, F.lit(">"), _inline(T.strip(F.regexp_replace(t, r"^#{1,6}\s+", ""))), F.lit("</h"), level, F.lit(">"))
+    cells = F.transform(F.split(F.regexp_replace(T.strip(t), r"^\||\|$", ""), r"\|"), lambda v: _inline(T.strip(v)))
+    row = lambda name: tag("tr", F.array_join(F.transform(cells, lambda v: tag(name, v)), ""))
+    cell_rows = F.when(F.col("headed"), row("th")).otherwise(row("td"))
+    table_ends = last | (F.col("headed") & (F.col("rows") == 2))
+    table = F.concat(F.when(first, F.lit("<table>")).otherwise(F.lit("")), cell_rows, F.when(table_ends, F.lit("</table>")).otherwise(F.lit("")))
+    depth, below = F.col("depth"), F.col("below")
+    own = lambda d: F.element_at("lists", d)
+    said = F.concat(F.when(F.col("kind") == "item", F.concat(F.when(depth > F.col("above"), F.concat(F.lit("<"), own(depth), F.lit(">"))).otherwise(F.lit("")), F.lit("<li>"))).otherwise(F.lit("")), _inline(T.strip(F.regexp_replace(t, r"^\s*([-*+]|\d+[.)])\s+", ""))))
+    more = _inline(T.strip(t))
+    down = lambda to: F.array_join(F.transform(F.when(depth > to, F.reverse(F.sequence(to + 1, depth))).otherwise(F.array().cast("array<int>")), lambda d: F.concat(F.lit("</"), own(d), F.when((d == 1) & (to == 0), F.lit(">")).otherwise(F.lit("></li>")))), "")
+    shut = F.when(F.col("goes_on") | (below > depth), F.lit("")).otherwise(F.concat(F.lit("</li>"), down(below)))
+    piece = (
+        F.when(F.col("kind") == "head", head).when(F.col("kind") == "rule", F.lit("<hr>"))
+        .when(F.col("kind") == "quote", opened("blockquote", _inline(F.regexp_replace(t, r"^&gt;\s?", ""))))
+        .when(F.col("kind") == "table", table).when(F.col("kind") == "item", F.concat(said, shut)).when(F.col("kind") == "more", F.concat(more, shut))
+        .when(F.col("kind") == "open", F.concat(F.lit("<pre><code>"), F.when(F.col("unclosed"), F.lit("</code></pre>")).otherwise(F.lit(""))))
+        .when(F.col("kind") == "shut", F.lit("</code></pre>"))
+        .when(F.col("kind") == "code", F.concat(t, F.when(F.col("unclosed"), F.lit("</code></pre>")).otherwise(F.lit("")))).otherwise(opened("p", _inline(t)))
+    )
+    order = Window.partitionBy("doc_id").orderBy("line")
+    lines = lines.withColumn("rows", F.count("*").over(Window.partitionBy("doc_id", "block")) + F.when(F.col("headed"), 1).otherwise(0))
+    lines = lines.withColumn("unclosed", F.lead("line").over(order).isNull()).withColumn("piece", piece)
+    # A line begins anew, but for rows and items that go on, code's first line, and its end.
+    after_open = F.lag("kind").over(order) == "open"
+    joined = (F.col("kind").isin("table", "item") & ~first) | (F.col("kind") == "shut") | F.coalesce(after_open, F.lit(False)) | (F.lag("line").over(order).isNull())
+    lines = lines.withColumn("piece", F.when(joined, F.col("piece")).otherwise(F.concat(F.lit("\n"), F.col("piece"))))
+    bodies = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "piece"))), lambda x: x["piece"]), "").alias("body"))
     title = markdown_title(F.col("text"), F.col("doc_id").cast("string"))
-    body = F.array_join(F.transform(T.units(F.col("text")), block), "\n")
-    return docs.select("doc_id", F.format_string(PAGE, escape(title), body).alias("html"))
+    return filled.join(bodies, "doc_id", "left").select("doc_id", F.format_string(PAGE, escape(title), F.coalesce("body", F.lit(""))).alias("html"))
 
 
 def embed_images(pages: DataFrame, images: DataFrame) -> DataFrame:
-    """pages (doc_id, html) with the images (doc_id, path, mime, content) that exist as data; others stay as they are. A
-    page's images meet it as one map."""
-    data = F.concat(F.lit("data:"), F.col("mime"), F.lit(";base64,"), F.base64("content"))
-    held = images.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("path", data.alias("data")))).alias("m"))
-    sources = F.array_distinct(F.regexp_extract_all("html", F.lit(IMG), F.lit(1)))
-    known = F.filter(sources, lambda s: F.map_contains_key("m", s))
-    put = F.aggregate(known, F.col("html"), lambda h, s: F.replace(h, F.concat(F.lit('src="'), s, F.lit('"')), F.concat(F.lit('src="'), F.element_at("m", s), F.lit('"'))))
-    return pages.join(held, "doc_id", "left").select("doc_id", F.when(F.col("m").isNull(), F.col("html")).otherwise(put).alias("html"))
+    """pages (doc_id, html; one row each) with the images (doc_id, path, mime, content) that exist as data; others stay as
+    they are. Of several rows of one path the least counts; without a mime an image is a PNG.
+
+    A page is split at its sources, each piece meets its one image by (doc_id, path), and the pieces are put together in
+    order: a page's images are never all in one row before they stand in it."""
+    mime = F.coalesce("mime", F.lit("image/png"))
+    held = images.where(F.col("content").isNotNull()).groupBy("doc_id", "path").agg(F.min(F.struct(mime.alias("mime"), "content")).alias("i"))
+    held = held.select("doc_id", "path", F.concat(F.lit("data:"), F.col("i.mime"), F.lit(";base64,"), F.base64("i.content")).alias("data"))
+    whole = IMG.replace("(", "(?:").replace("[^", "[^")
+    tags = F.concat(F.regexp_extract_all("html", F.lit(whole), F.lit(0)), F.array(F.lit("")))
+    parts = pages.select("doc_id", F.split("html", whole, -1).alias("before"), tags.alias("tag"))
+    pieces = parts.select("doc_id", F.posexplode(F.arrays_zip("before", "tag")).alias("n", "p"))
+    pieces = pieces.select("doc_id", "n", "p.before", "p.tag", F.regexp_extract("p.tag", IMG, 1).alias("path"))
+    put = pieces.join(held, ["doc_id", "path"], "left").withColumn("tag", F.when(F.col("data").isNotNull() & (F.col("path") != ""), F.replace("tag", F.col("path"), F.col("data"))).otherwise(F.col("tag")))
+    text = F.transform(F.sort_array(F.collect_list(F.struct("n", F.concat("before", "tag").alias("t")))), lambda x: x["t"])
+    return put.groupBy("doc_id").agg(F.array_join(text, "").alias("html"))

@@ -24,14 +24,45 @@ def inside(x0: Column, x1: Column, y0: Column, region: str = "r_") -> Column:
     return middle.between(F.col(f"{region}x0"), F.col(f"{region}x1")) & y0.between(F.col(f"{region}y0"), F.col(f"{region}y1"))
 
 
-def _named(regions: DataFrame) -> DataFrame:
-    return regions.select(*PAGE, *[F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")])
+def _named(regions: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return regions.select(*PAGE, *keep, *[F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")])
 
 
-def _covered(rows: DataFrame, regions: DataFrame, how: str) -> DataFrame:
-    r = _named(regions).withColumnsRenamed({"doc_id": "r_doc_id", "pno": "r_pno"})
-    on = (F.col("doc_id") == F.col("r_doc_id")) & (F.col("pno") == F.col("r_pno")) & inside(F.col("x0"), F.col("x1"), F.col("y0"))
-    return rows.join(r, on, how)
+#: Points; a page's grid is no finer.
+CELL = 40.0
+
+
+def _grid(regions: DataFrame) -> DataFrame:
+    """The side of each page's cells (r_doc_id, r_pno, side): so large that its regions cover few cells each on average,
+    however large some of them are."""
+    w, h = F.col("r_x1") - F.col("r_x0"), F.col("r_y1") - F.col("r_y0")
+    return regions.groupBy("r_doc_id", "r_pno").agg(F.greatest(F.lit(CELL), F.sqrt(F.avg(w * h)), F.avg(w + h) / 4).alias("side"))
+
+
+def _in_cells(rows: DataFrame, regions: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """rows with the cell of their page's grid that their point lies in (__cx, __cy; null on pages without regions), and the
+    regions posted under the cells that they cover (r_cx, r_cy). A point is looked up in one cell, so no pair comes twice."""
+    r = _named(regions, keep).withColumnsRenamed({"doc_id": "r_doc_id", "pno": "r_pno"}).where("r_x1 >= r_x0 AND r_y1 >= r_y0")
+    grid = _grid(r)
+    cell = lambda x: F.floor(x / F.col("side"))
+    posted = r.join(grid, ["r_doc_id", "r_pno"])
+    posted = posted.withColumn("r_cx", F.explode(F.sequence(cell(F.col("r_x0")), cell(F.col("r_x1"))))).withColumn("r_cy", F.explode(F.sequence(cell(F.col("r_y0")), cell(F.col("r_y1"))))).drop("side")
+    placed = rows.join(grid, (F.col("doc_id") == F.col("r_doc_id")) & (F.col("pno") == F.col("r_pno")), "left").drop("r_doc_id", "r_pno")
+    return placed.withColumn("__cx", cell((F.col("x0") + F.col("x1")) / 2)).withColumn("__cy", cell(F.col("y0"))).drop("side"), posted
+
+
+SHARED_CELL = "doc_id = r_doc_id AND pno = r_pno AND __cx = r_cx AND __cy = r_cy"
+
+
+def _covered(rows: DataFrame, regions: DataFrame, how: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    placed, posted = _in_cells(rows, regions, keep)
+    return placed.join(posted, F.expr(SHARED_CELL) & inside(F.col("x0"), F.col("x1"), F.col("y0")), how).drop("__cx", "__cy")
+
+
+def covering(rows: DataFrame, regions: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each of rows with each region of its page that it lies in: the columns of rows, the region's columns keep, and its box
+    as r_x0 to r_y1."""
+    return _covered(rows, regions, "inner", keep).drop("r_doc_id", "r_pno", "r_cx", "r_cy")
 
 
 def covered(rows: DataFrame, regions: DataFrame) -> DataFrame:
@@ -198,12 +229,16 @@ def math_dominant(tables: DataFrame, lines: DataFrame) -> DataFrame:
 def anchor_above(targets: DataFrame, lines: DataFrame) -> DataFrame:
     """The text of the nearest line above each target (t_id, page, y0, left, right) in its column; empty without any. The
     first of equal ones counts."""
-    l = lines.select(*PAGE, "line_no", "text", F.col("x0").alias("l_x0"), F.col("x1").alias("l_x1"), F.col("y1").alias("l_y1"))
-    middle = (F.col("l_x0") + F.col("l_x1")) / 2
-    above = (F.col("l_y1") <= F.col("y0") + 1) & middle.between(F.col("left") - 2, F.col("right") + 2)
-    rows = targets.select("t_id", *PAGE, "y0", "left", "right").join(l, PAGE).where(above)
-    found = rows.groupBy("t_id").agg(F.max_by("text", F.struct("l_y1", -F.col("line_no"))).alias("anchor"))
-    return targets.select("t_id").join(found, "t_id", "left").na.fill({"anchor": ""})
+    # A sweep down each column: its lines by their ends and the targets by their tops in one order, the last line above
+    # counts. A page has few columns, so a line is in few sweeps, whatever the number of targets.
+    column = [*PAGE, "left", "right"]
+    middle = (F.col("x0") + F.col("x1")) / 2
+    l = lines.join(targets.select(*column).distinct(), PAGE).where(middle.between(F.col("left") - 2, F.col("right") + 2))
+    l = l.select(*column, F.col("y1").alias("at"), F.lit(False).alias("target"), (-F.col("line_no")).cast("long").alias("tie"), F.struct("text").alias("line"), F.lit(None).cast(targets.schema["t_id"].dataType).alias("t_id"))
+    t = targets.select(*column, (F.col("y0") + 1).alias("at"), F.lit(True).alias("target"), F.lit(None).cast("long").alias("tie"), F.lit(None).cast("struct<text:string>").alias("line"), "t_id")
+    sweep = Window.partitionBy(*column).orderBy("at", "target", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    found = l.unionByName(t).withColumn("above", F.last("line", ignorenulls=True).over(sweep)).where("target")
+    return found.select("t_id", F.coalesce("above.text", F.lit("")).alias("anchor"))
 
 
 def caption_regions(captions: DataFrame, lines: DataFrame) -> DataFrame:

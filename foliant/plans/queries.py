@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from foliant import config as C
 from foliant.functions import text as T
 from foliant.operators import checks, chunking, html, layout, links, paragraphs, quality, regions, status
-from foliant.shared import shared_dir
+from foliant.shared import cut, shared_dir
 from foliant.sources.tables import conversation_pairs, document_blocks, document_lines, pages_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -472,6 +472,21 @@ def outside_anti_range(spark: SparkSession, sf: str) -> DataFrame:
     return regions.outside(lines, _boxes(lines)).select("doc_id", F.col("line_no").cast("long").alias("line_no"))
 
 
+# Five regions from every line on, of all sizes: 200 on a full page.
+MANY = "rg AS (SELECT doc_id, pno, line_no * 5 + k AS region, x0 - 7 * k AS rx0, y0 - 11 AS ry0, x0 + 1.0 * (line_no % 13 + 1) * (1 + 9 * k) AS rx1, y0 + 1.0 * (line_no % 7) * (1 + 5 * k) AS ry1 FROM l, range(5) r(k))"
+
+
+@query("regions_of_lines", f"WITH {L}, {MANY} SELECT l.doc_id, line_no, count(*) AS regions, sum(region)::BIGINT AS region_sum FROM l JOIN rg USING (doc_id, pno) WHERE (x0 + x1) / 2 BETWEEN rx0 AND rx1 AND y0 BETWEEN ry0 AND ry1 GROUP BY ALL")
+def regions_of_lines(spark: SparkSession, sf: str) -> DataFrame:
+    lines, _ = _layout(spark, sf)
+    k, n = F.col("k"), F.col("line_no")
+    many = lines.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(5)]))).select(
+        "doc_id", "pno", (n * 5 + k).cast("long").alias("region"), (F.col("x0") - 7 * k).alias("x0"), (F.col("y0") - 11).alias("y0"), (F.col("x0") + 1.0 * (n % 13 + 1) * (1 + 9 * k)).alias("x1"), (F.col("y0") + 1.0 * (n % 7) * (1 + 5 * k)).alias("y1")
+    )
+    found = regions.covering(lines, many, keep=("region",))
+    return found.groupBy("doc_id", F.col("line_no").cast("long").alias("line_no")).agg(F.count("*").alias("regions"), F.sum("region").alias("region_sum"))
+
+
 @query("region_chars", f"WITH {L}, {COVERED} SELECT doc_id, sum({NORM_LEN.format('text')})::BIGINT AS chars FROM cov GROUP BY doc_id")
 def region_chars(spark: SparkSession, sf: str) -> DataFrame:
     lines, _ = _layout(spark, sf)
@@ -604,7 +619,7 @@ def save_images(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _regions(spark: SparkSession, sf: str, shift: int) -> tuple[DataFrame, DataFrame]:
-    paras = lines_of(spark, sf).where(T.key(F.col("text")) != "")
+    paras = cut(lines_of(spark, sf).repartition("doc_id").where(T.key(F.col("text")) != ""), "paragraphs")  # read three times
     n = F.col("idx").cast("long")
     kind = F.when(F.col("idx") % 7 == shift, F.lit("equation")).otherwise(F.lit("figure"))
     captioned = F.when(F.col("idx") % 7 == shift, F.col("text"))
@@ -799,10 +814,122 @@ def html_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return html.html_blocks(table(spark, sf, "pages"))
 
 
-@query("render_html")
+# Lines made headings, nested items, text that goes on, quotations, tables with and without heads, and code with blank lines.
+MARKED = r"""md AS (SELECT doc_id, idx AS i, CASE (idx % 12)::INT WHEN 0 THEN '# ' || t WHEN 1 THEN '- ' || t WHEN 2 THEN '    - *' || t || '*' WHEN 3 THEN '  1. ' || t WHEN 4 THEN 'on **it** goes ' || t WHEN 5 THEN ''
+ WHEN 6 THEN '> ' || t WHEN 7 THEN '| `a` | ' || t || ' |' WHEN 8 THEN CASE WHEN idx % 24 = 8 THEN '|---|---|' ELSE '| c |' END WHEN 9 THEN '```' WHEN 10 THEN t || chr(10) || chr(10) || t ELSE '```' END AS x FROM u),
+ml AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS i, x FROM (SELECT doc_id, i, unnest(range(len(l))) AS k, unnest(l) AS x FROM (SELECT doc_id, i, string_split(x, chr(10)) AS l FROM md)))"""
+
+
+def _markdown(spark: SparkSession, sf: str) -> DataFrame:
+    t, s = F.col("text"), lambda x: F.lit(x)
+    forms = [
+        F.concat(s("# "), t), F.concat(s("- "), t), F.concat(s("    - *"), t, s("*")), F.concat(s("  1. "), t), F.concat(s("on **it** goes "), t), s(""), F.concat(s("> "), t), F.concat(s("| `a` | "), t, s(" |")),
+        F.when(F.col("idx") % 24 == 8, "|---|---|").otherwise("| c |"), s("```"), F.concat(t, s("\n\n"), t), s("```"),
+    ]
+    made = lines_of(spark, sf).select("doc_id", "idx", F.element_at(F.array(*forms), (F.col("idx") % 12 + 1).cast("int")).alias("text"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"])
+    return made.groupBy("doc_id").agg(F.array_join(lines, "\n").alias("text"))
+
+
+def _inline_sql(x: str) -> str:
+    for pattern, put in html.MARKS:
+        put = put.replace("$", chr(92))
+        x = f"regexp_replace({x}, '{pattern}', '{put}', 'g')"
+    return x
+
+
+def _render_sql() -> str:
+    kinds = " ".join(f"WHEN regexp_matches(x, '{pattern}') THEN '{name}'" for name, pattern in html.KINDS)
+    run = "OVER (PARTITION BY doc_id ORDER BY i)"
+    inside = "OVER (PARTITION BY doc_id, block ORDER BY i)"
+    lists = ", ".join(f"CASE WHEN last_value(CASE WHEN kind = 'item' AND depth > above AND depth = {k} THEN ordered END IGNORE NULLS) {inside} THEN 'ol' ELSE 'ul' END" for k in range(1, html.LEVELS + 1))
+    strip = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    e = "replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    cells = lambda tag: f"'<tr>' || array_to_string(list_transform(string_split(regexp_replace({strip('e')}, '^\\||\\|$', '', 'g'), '|'), lambda v: '<{tag}>' || {_inline_sql(strip('v'))} || '</{tag}>'), '') || '</tr>'"
+    shut = "CASE WHEN goes_on OR below > depth THEN '' ELSE '</li>' || coalesce(array_to_string(list_transform(range(depth, below, -1), lambda d: '</' || lists[d] || CASE WHEN d = 1 AND below = 0 THEN '>' ELSE '></li>' END), ''), '') END"
+    opened = lambda tag, c: f"CASE WHEN nth = 1 THEN '<{tag}>' ELSE '' END || {c} || CASE WHEN last THEN '</{tag}>' ELSE '' END"
+    return rf"""WITH {U}, {MARKED},
+a1 AS (SELECT *, sum(starts_with(x, '```')::INT) {run} AS f FROM ml),
+a2 AS (SELECT *, CASE WHEN starts_with(x, '```') THEN CASE WHEN f % 2 = 1 THEN 'open' ELSE 'shut' END WHEN f % 2 = 1 THEN 'code' WHEN {strip('x')} = '' THEN 'blank' {kinds} ELSE 'text' END AS k0 FROM a1),
+a3 AS (SELECT *, CASE WHEN k0 = 'text' AND last_value(CASE WHEN k0 <> 'text' THEN k0 END IGNORE NULLS) {run} = 'item' THEN 'more' ELSE k0 END AS kind FROM a2),
+a4 AS (SELECT *, CASE WHEN kind = 'more' THEN 'item' ELSE kind END AS class FROM a3),
+a5 AS (SELECT *, coalesce((class IN ('head', 'rule', 'open', 'shut', 'blank') OR class <> lag(class) {run})::INT, 1) AS new FROM a4),
+a6 AS (SELECT *, sum(new) {run} AS block FROM a5),
+a7 AS (SELECT *, row_number() {inside} AS nth, sum((kind = 'item')::INT) {inside} AS items, lead(i) {inside} IS NULL AS last, coalesce(lead(kind) {inside} = 'more', false) AS goes_on,
+  last_value(CASE WHEN kind = 'item' THEN regexp_matches(x, '^\s*\d') END IGNORE NULLS) {inside} AS ordered, regexp_matches(x, '^\|?[\s:|-]*-[\s:|-]*$') AS dash FROM a6),
+a8 AS (SELECT *, CASE WHEN class = 'item' THEN least(min(CASE WHEN kind = 'item' THEN CASE WHEN items = 1 THEN 1 ELSE 1 + length(regexp_extract(x, '^(\s*)', 1)) // 2 END - items END) {inside} + items, {html.LEVELS})::INT END AS depth,
+  kind = 'table' AND nth = 1 AND coalesce(lead(dash) {inside}, false) AS headed, kind = 'table' AND nth = 2 AND dash AS dashes FROM a7),
+a9 AS (SELECT *, coalesce(lead(depth) {inside}, 0) AS below, coalesce(lag(depth) {inside}, 0) AS above FROM a8),
+b1 AS (SELECT *, [{lists}] AS lists FROM a9),
+b2 AS (SELECT *, {e} AS e, count(*) OVER (PARTITION BY doc_id, block) AS n, lag(kind) {run} AS pk, lag(i) {run} IS NULL AS start, lead(i) {run} IS NULL AS ends FROM b1 WHERE kind <> 'blank' AND NOT dashes),
+b3 AS (SELECT doc_id, i, CASE WHEN (kind IN ('table', 'item', 'more') AND NOT (nth = 1) AND kind <> 'more') OR kind = 'shut' OR coalesce(pk = 'open', false) OR start THEN '' ELSE chr(10) END || CASE kind
+  WHEN 'head' THEN '<h' || length(regexp_extract(x, '^(#+)', 1)) || '>' || {_inline_sql(strip(r"regexp_replace(e, '^#{1,6}\s+', '')"))} || '</h' || length(regexp_extract(x, '^(#+)', 1)) || '>'
+  WHEN 'rule' THEN '<hr>' WHEN 'quote' THEN {opened('blockquote', _inline_sql(r"regexp_replace(e, '^&gt;\s?', '')"))}
+  WHEN 'table' THEN CASE WHEN nth = 1 THEN '<table>' ELSE '' END || CASE WHEN headed THEN {cells('th')} ELSE {cells('td')} END || CASE WHEN last OR headed AND n = 1 THEN '</table>' ELSE '' END
+  WHEN 'item' THEN CASE WHEN depth > above THEN '<' || lists[depth] || '>' ELSE '' END || '<li>' || {_inline_sql(strip(r"regexp_replace(e, '^\s*([-*+]|\d+[.)])\s+', '')"))} || {shut}
+  WHEN 'more' THEN {_inline_sql(strip('e'))} || {shut} WHEN 'open' THEN '<pre><code>' || CASE WHEN ends THEN '</code></pre>' ELSE '' END WHEN 'shut' THEN '</code></pre>'
+  WHEN 'code' THEN e || CASE WHEN ends THEN '</code></pre>' ELSE '' END ELSE {opened('p', _inline_sql('e'))} END AS piece FROM b2),
+t AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS x FROM ml GROUP BY doc_id),
+u2 AS (SELECT doc_id, CASE WHEN regexp_extract(x, '(?m)^#\s+(.+)$', 1) <> '' THEN regexp_replace(regexp_extract(x, '(?m)^#\s+(.+)$', 1), '^\s+|\s+$', '', 'g') ELSE doc_id::VARCHAR END AS title FROM t)
+SELECT t.doc_id, md5('<!DOCTYPE html>' || chr(10) || '<html><head><meta charset="utf-8"><title>' || {e.replace("(x,", "(title,")} || '</title></head><body>' || chr(10) || coalesce(body, '') || chr(10) || '</body></html>' || chr(10)) AS html
+FROM u2 t LEFT JOIN (SELECT doc_id, string_agg(piece, '' ORDER BY i) AS body FROM b3 GROUP BY doc_id) USING (doc_id)"""
+
+
+@query("render_html", _render_sql())
 def render_html(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = blocks_of(spark, sf)
-    return html.render(paragraphs.assemble_text(blocks)).select("doc_id", F.md5("html").alias("html"))
+    return html.render(_markdown(spark, sf)).select("doc_id", F.md5("html").alias("html"))
+
+
+# Every word of a menu becomes a picture, which exists if its length is even; a page has some several times.
+@query("inline_images", r"""WITH h AS (SELECT page_id AS doc_id, regexp_replace(html, '<li><a href="/([^"]*)"', '<li><img alt="\1" src="\1"><a href="/\1"', 'g') AS h FROM pages),
+s AS (SELECT doc_id, regexp_split_to_array(h, '<img[^>]+src="[^"]+"') AS b, regexp_extract_all(h, '<img[^>]+src="[^"]+"') AS t FROM h)
+SELECT doc_id, md5(b[1] || array_to_string(list_transform(range(1, len(b)), lambda i: CASE WHEN length(regexp_extract(t[i], 'src="([^"]+)"', 1)) % 2 = 0
+  THEN replace(t[i], regexp_extract(t[i], 'src="([^"]+)"', 1), 'data:image/png;base64,' || to_base64(encode(regexp_extract(t[i], 'src="([^"]+)"', 1)))) ELSE t[i] END || b[i + 1]), '')) AS html FROM s""")
+def inline_images(spark: SparkSession, sf: str) -> DataFrame:
+    made = F.regexp_replace("html", r'<li><a href="/([^"]*)"', r'<li><img alt="$1" src="$1"><a href="/$1"')
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), made.alias("html"))
+    words = pages.select("doc_id", F.explode(F.regexp_extract_all("html", F.lit(html.IMG), F.lit(1))).alias("path")).where(F.length("path") % 2 == 0)
+    images = words.select("doc_id", "path", F.lit(None).cast("string").alias("mime"), F.col("path").cast("binary").alias("content"))
+    return html.embed_images(pages, images).select("doc_id", F.md5("html").alias("html"))
+
+
+# The first two items of a menu nest, adverts are tables of two rows, and line breaks pictures.
+TAGGED = r"""h AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<nav><ul><li>(.*?)</li><li>(.*?)</li>', '<nav><ul><li>\1<ol><li>\2</li><li><p>x</p><p>y</p></li></ol></li>'),
+ '<div class="ad">(.*?)</div>', '<table><tr><th>Ad</th><th>a|b</th></tr><tr><td><p>\1</p></td><td>2</td></tr></table>', 'g'), '<br>', '<img alt="a" src="x/p.jpeg">', 'g') AS h FROM pages)"""
+LISTS, HEADS = "name IN ('ul', 'ol')", "name IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6')"
+
+
+def _to_markdown_sql() -> str:
+    """The same states of the same tokens by SQL windows, for what the pages hold: lists of two levels, no quotations or code."""
+    run = "OVER (PARTITION BY page_id ORDER BY pos)"
+    block = ", ".join(f"'{t}'" for t in html.BLOCK_TAGS)
+    held = lambda names: f"greatest(sum(CASE WHEN name IN ({names}) THEN CASE WHEN shut THEN -1 ELSE 1 END ELSE 0 END) {run}, 0)"
+    latest = lambda when, value: f"last_value(CASE WHEN {when} THEN {value} END IGNORE NULLS) {run}"
+    trim = lambda x: rf"regexp_replace(regexp_replace({x}, '^\s+|\s+$', '', 'g'), ' *\n *', chr(10), 'g')"
+    return rf"""WITH {TAGGED},
+a1 AS (SELECT page_id, unnest(range(len(l))) AS pos, unnest(l) AS token FROM (SELECT page_id, regexp_extract_all(regexp_replace(h, '(?is)<script(\s[^>]*)?>.*?</script\s*>|<style(\s[^>]*)?>.*?</style\s*>|<head(\s[^>]*)?>.*?</head\s*>|<title(\s[^>]*)?>.*?</title\s*>|<!--.*?-->|<!doctype[^>]*>', '', 'g'), '<[^>]+>|[^<]+') AS l FROM h)),
+a2 AS (SELECT *, lower(regexp_extract(token, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name, starts_with(token, '</') AS shut FROM a1),
+a3 AS (SELECT *, {held("'ul', 'ol'")} AS depth, {held("'table'")} AS tables, sum((name = 'img' AND NOT shut)::INT) {run} AS images, {latest("name = 'a' AND NOT shut", "regexp_extract(token, 'href=.([^\x22]*)', 1)")} AS href FROM a2),
+a4 AS (SELECT *, {latest(f"{LISTS} AND NOT shut AND depth = 1", "pos")} AS l1, {latest(f"{LISTS} AND NOT shut AND depth = 2", "pos")} AS l2, {latest("name = 'li' AND NOT shut AND depth = 1", "pos")} AS i1, {latest("name = 'li' AND NOT shut AND depth = 2", "pos")} AS i2 FROM a3),
+a5 AS (SELECT *, CASE depth WHEN 1 THEN l1 WHEN 2 THEN l2 END AS list, CASE depth WHEN 1 THEN i1 WHEN 2 THEN i2 END AS item FROM a4),
+a6 AS (SELECT *, sum((name = 'li' AND NOT shut)::INT) OVER (PARTITION BY page_id, list ORDER BY pos) AS nth, sum(((name IN ({block}) AND tables = 0) OR (name = 'table' AND (shut OR tables = 1)))::INT + (name = 'hr')::INT) {run} AS block,
+  CASE WHEN name = '' THEN regexp_replace({UNESCAPE.replace('{0}', 'token')}, '\s+', ' ', 'g') WHEN name IN ('b', 'strong') THEN '**' WHEN name = 'img' THEN '![a](images/fig_' || lpad(images::VARCHAR, 3, '0') || '.jpg)'
+  WHEN name = 'a' AND href <> '' THEN CASE WHEN shut THEN '](' || href || ')' ELSE '[' END WHEN tables > 0 AND NOT shut AND name = 'tr' THEN chr(2) WHEN tables > 0 AND NOT shut AND name IN ('td', 'th') THEN chr(1) WHEN tables > 0 AND name IN ({block}) THEN ' ' ELSE '' END AS piece FROM a5),
+b1 AS (SELECT page_id, block, string_agg(piece, '' ORDER BY pos) AS text, max(CASE WHEN {HEADS} AND NOT shut THEN name[2]::INT END) AS heading, arg_min(depth, pos) AS depth, first(list ORDER BY pos) AS list, first(item ORDER BY pos) AS item, arg_min(nth, pos) AS nth FROM a6 GROUP BY ALL),
+b2 AS (SELECT *, list IN (SELECT pos FROM a2 WHERE a2.page_id = b1.page_id AND name = 'ol') AS ordered, row_number() OVER (PARTITION BY page_id, item ORDER BY block) = 1 AND item IS NOT NULL AS marked,
+  CASE WHEN contains(text, chr(2)) THEN (SELECT string_agg('| ' || array_to_string(c, ' | ') || ' |' || CASE WHEN k = 0 THEN chr(10) || '| ' || array_to_string(list_transform(c, lambda v: '---'), ' | ') || ' |' ELSE '' END, chr(10) ORDER BY k)
+   FROM (SELECT unnest(range(len(r))) AS k, unnest(r) AS c FROM (SELECT list_filter(list_transform(string_split(text, chr(2)), lambda q: list_transform(string_split(q, chr(1))[2:], lambda v: replace(regexp_replace({trim('v')}, '\s+', ' ', 'g'), '|', '\|'))), lambda q: len(q) > 0) AS r))) ELSE {trim('text')} END AS body
+  FROM b1 WHERE regexp_replace(text, '[\s*`\x01\x02]+', '', 'g') <> '')
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY block) - 1 AS idx, md5(CASE WHEN depth > 0 THEN repeat('    ', depth::INT - marked::INT) ELSE '' END || CASE WHEN NOT marked THEN '' WHEN ordered THEN nth || '. ' ELSE '- ' END
+ || CASE WHEN heading IS NOT NULL THEN repeat('#', heading) || ' ' ELSE '' END || replace(body, chr(10), chr(10) || repeat('    ', depth::INT))) AS text FROM b2"""
+
+
+@query("html_markdown", _to_markdown_sql())
+def html_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    nested = F.regexp_replace("html", "<nav><ul><li>(.*?)</li><li>(.*?)</li>", "<nav><ul><li>$1<ol><li>$2</li><li><p>x</p><p>y</p></li></ol></li>")
+    tabled = F.regexp_replace(nested, '<div class="ad">(.*?)</div>', "<table><tr><th>Ad</th><th>a|b</th></tr><tr><td><p>$1</p></td><td>2</td></tr></table>")
+    made = table(spark, sf, "pages").select("page_id", F.regexp_replace(tabled, "<br>", '<img alt="a" src="x/p.jpeg">').alias("html"))
+    return html.to_markdown(made).select("page_id", F.col("idx").cast("long").alias("idx"), F.md5("text").alias("text"))
 
 
 # Jobs and relations --------------------------------------------------------------------------------------------------
