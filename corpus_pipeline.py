@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import minhash, mixing, packing, secret_scan, tokens, toxicity
-from foliant.llm.common import discard_all, shared_dir, table
+from foliant.llm.common import scope, shared_dir, table
 from foliant.llm.queries import TOXIC
 
 
@@ -60,7 +60,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(path := f"{at}/{k}-{name}")
-        discard_all(spark)
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path := f"{at}/{k}-{name}")
         docs = spark.read.parquet(path)
     return docs

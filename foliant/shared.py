@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,15 +23,31 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-_WRITTEN: list[str] = []
+#: The tables of cut() that each open scope answers for, the innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """The tables that cut() writes inside are deleted at the end, whatever happens: for work whose results are written
+    before that. Tables of other work, before, beside or around it, stay."""
+    tables: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), tables))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for path in tables:
+            _delete(spark, path)
 
 
 def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df, written to the shared folder and read back: the lineage ends here, and a lost executor costs nothing that lies before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    if scopes := _SCOPES.get():
+        scopes[-1].append(path)
     df.write.option("compression", codec).parquet(path)
-    _WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.path_written = path
     return out
@@ -44,11 +63,6 @@ def discard(df: DataFrame) -> None:
     path = getattr(df, "path_written", None)
     if path:
         _delete(df.sparkSession, path)
-        if path in _WRITTEN:
-            _WRITTEN.remove(path)
-
-
-def discard_all(spark: SparkSession) -> None:
-    """Deletes all tables of cut(). For when the operators' results are written: these read the tables until then."""
-    while _WRITTEN:
-        _delete(spark, _WRITTEN.pop())
+        for tables in _SCOPES.get():
+            if path in tables:
+                tables.remove(path)
