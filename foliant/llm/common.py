@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.shared import cut, discard, discard_all, shared_dir
+from foliant.shared import cut, discard, scope, shared_dir
 
-__all__ = ["WORD", "KEY_BITS", "bucket_count", "cut", "discard", "discard_all", "hash_key", "key_bucket", "prefix_sums", "shared_dir", "table"]
+__all__ = ["WORD", "KEY_BITS", "bucket_count", "cut", "discard", "hash_key", "key_bucket", "prefix_sums", "scope", "shared_dir", "table"]
 
 #: What the contracts call a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import cut, discard
@@ -376,6 +376,24 @@ def _links(sets: DataFrame, percent: int, divide: bool) -> tuple[list[DataFrame]
     return [*made, apart], None
 
 
+def _row_hash(key: str, text: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(key), F.col(text))
+
+
+def _with_row(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """docs with __row, a number of their key and text, and __is, what these are by 128 bits and more. Rows that are not the
+    same never share a number: those whose hashes meet (2 ** -64 a pair) are told apart by __is, and get another hash."""
+    named = docs.withColumn("__is", F.struct(F.col(key).alias("key"), F.md5(F.col(text).cast("binary")).alias("digest"), F.length(F.col(text)).alias("length"))).withColumn("__row", _row_hash(key, text, 0))
+    seed = 0
+    while True:
+        met = named.select("__row", "__is").distinct().groupBy("__row").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("__row")
+        if met.isEmpty():
+            return named
+        seed += 1
+        met = cut(met, "rows-met").withColumn("__met", F.lit(True))
+        named = named.join(met, "__row", "left").withColumn("__row", F.when(F.col("__met"), _row_hash(key, text, seed)).otherwise(F.col("__row"))).drop("__met")
+
+
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs' rows without near duplicates: of each group the row of the least key stays, once.
 
@@ -384,8 +402,8 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
     texts are in no group.
     """
     columns = docs.columns
-    named = docs.where(F.col(key).isNotNull()).withColumn("__row", F.xxhash64(key, text))
-    found = near_duplicates(named, n, percent, "__row", text).select("__row", "component_id")
+    named = _with_row(docs.where(F.col(key).isNotNull()), key, text)
+    found = near_duplicates(named.drop("__is"), n, percent, "__row", text).select("__row", "component_id")
     least = named.select(key, "__row").join(found, "__row").groupBy("component_id").agg(F.min(F.struct(key, "__row")).alias("least"))
     stay = named.join(least.select("least.__row"), "__row", "left_semi").groupBy("__row").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("r")).select("r.*")
     return stay.unionByName(docs.where(F.col(key).isNull()))

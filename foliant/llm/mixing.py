@@ -73,9 +73,10 @@ def mix(
 
 def mixed_rows(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """The mix as rows with docs' own columns: a row for each time that its text is taken whole, and one for the words
-    of a last, cut time."""
+    of a last, cut time. Columns of docs that have the names of the mix's own keep their values."""
     columns = docs.columns
-    mixed = mix(docs, text=text, **how)
+    own = {c: f"__own_{c}" for c in ("size", "source_size", "target", "taken") if c in columns}
+    mixed = mix(docs.withColumnsRenamed(own), text=text, **how)
     whole = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(F.lit(0))
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0))
     times = F.concat(
@@ -89,4 +90,4 @@ def mixed_rows(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     out = out.withColumn(text, cut_text)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length(F.col(text)).cast("long"))
-    return out.select(*columns)
+    return out.select(*[F.col(own.get(c, c)).alias(c) for c in columns])

@@ -22,7 +22,7 @@ SHARD_BYTES, FEW_ROWS, FEW_SHARDS = 8 << 20, 1000, 6
 #: Queries that are searched with one copy of a shard, on average, at most; and at least, where there are few shards.
 QUERIES, FEW_QUERIES = 1 << 20, 1000
 
-INDEX = "shard int, dim int, sizes array<int>, vectors binary, members binary, first binary, levels array<binary>, widths array<int>"
+INDEX = "shard int, dim int, sizes array<int>, vectors binary, members binary, first binary, levels array<binary>, widths array<int>, depth int"
 
 
 def shard_count(rows: int, dim: int) -> int:
@@ -57,10 +57,10 @@ def _build(norms: dict[int, float], depth: int, shape: Shape):
         first = np.searchsorted(group, np.arange(len(points) + 1))
         row = [
             [table.column("shard")[0].as_py()], [dim], [sizes], [points.astype("<f8").tobytes()], [members.astype("<i8").tobytes()],
-            [first.astype("<i8").tobytes()], [[x.astype("<i4").tobytes() for x in graph.levels]], [[x.shape[1] for x in graph.levels]],
+            [first.astype("<i8").tobytes()], [[x.astype("<i4").tobytes() for x in graph.levels]], [[x.shape[1] for x in graph.levels]], [depth],
         ]
-        types = [pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], ["shard", "dim", "sizes", "vectors", "members", "first", "levels", "widths"])
+        types = [pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], ["shard", "dim", "sizes", "vectors", "members", "first", "levels", "widths", "depth"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]  # a partition is a shard
@@ -102,6 +102,8 @@ def _search(depth: int, width: int):
             near = search(row["graph"], row["sizes"], x[k : k + 256].astype(np.float32), width)
             for query, vector, nodes in zip(ids[k : k + 256], x[k : k + 256], near, strict=True):
                 nodes = nodes[nodes >= 0]
+                if len(nodes) <= depth and len(nodes) < len(points):  # the graph led to fewer than were asked for: all are
+                    nodes = np.arange(len(points))
                 score = (points[nodes] * vector).sum(1)
                 each = first[nodes + 1] - first[nodes]
                 every = np.concatenate([members[first[v] : first[v + 1]] for v in nodes]) if len(nodes) else members[:0]
@@ -139,13 +141,17 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 20, width: int = 256,
     left out: query_id, rank from 1, vec_id, score in double precision on the original vectors; ties to the smaller id.
 
     Every query is sent to every shard of its length, and a shard to QUERIES of its queries at once, which it meets as they
-    stream by; a shard gives k rows a query, and they are merged. Queries that are no sound vector, or whose length no
+    stream by; a shard gives k rows a query, and they are merged. k may be at most the depth that the index was built for,
+    and is refused above it; the list of a search is width, and longer where k is. A shard in which a search finds fewer
+    than k is compared as a whole, so results are never short. Queries that are no sound vector, or whose length no
     shard has, have no results; rows of one query id count once, the least vector.
     """
     spark = index.sparkSession
     asked = queries.where(sound(embedding) & F.col(key).isNotNull()).groupBy(numbered(queries, key).alias("query_id")).agg(F.min(F.col(embedding).cast("array<double>")).alias("embedding"))
     asked = asked.withColumn("dim", F.size("embedding"))
-    of_length = index.groupBy("dim").agg(F.min("shard").alias("first"), F.max("shard").alias("last")).collect()
+    of_length = index.groupBy("dim").agg(F.min("shard").alias("first"), F.max("shard").alias("last"), F.min("depth").alias("depth")).collect()
+    if k > min((r["depth"] for r in of_length), default=k):
+        raise ValueError(f"the index was built for {min(r['depth'] for r in of_length)} results, not {k}")
     if not of_length:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shards, n = max(r["last"] for r in of_length) + 1, asked.count()
@@ -156,6 +162,6 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 20, width: int = 256,
     sent = asked.where(F.col("dim").isin([r["dim"] for r in of_length])).select("query_id", "embedding", F.explode(span).alias("shard"))
     sent = sent.select(slot(F.col("shard"), F.pmod(F.xxhash64("query_id"), F.lit(parts))), "query_id", "embedding")
     both = copies.unionByName(sent, allowMissingColumns=True).repartitionById(shards * parts, F.col("slot"))
-    found = map_arrow(both.sortWithinPartitions("slot", F.col("sizes").isNull()), _search(k, width), "query_id long, vec_id long, score double")
+    found = map_arrow(both.sortWithinPartitions("slot", F.col("sizes").isNull()), _search(k, max(width, k + 1)), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -241,3 +241,55 @@ def test_pages_of_odd_markup():
     for source in ("<" * 100_000, "<a" * 100_000, "<a'" * 100_000 + ">",  "<p>" * 3000, "</p>" * 100, "<div>" * 3000 + "x", "<a title='" * 500, "&#xD800; &#0; &nope; &amp", "<p/>x<br/>y", "<P CLASS=ad>x</P>y"):
         page = site_text.parse(source)
         assert len(page.tags) == len(page.hashes) and isinstance("\n".join(site_text.blocks(page, *site_text.outline(page))), str)
+
+
+# What was mended ----------------------------------------------------------------------------------------------------
+
+
+def test_no_two_rows_share_a_number(spark, monkeypatch):
+    from foliant.llm import minhash
+
+    plain = minhash._row_hash
+    monkeypatch.setattr(minhash, "_row_hash", lambda key, text, seed: plain(key, text, seed) % 2 if seed < 2 else plain(key, text, seed))
+    docs = spark.createDataFrame([(k, f"a text of its own {k * k} {k} {k + 7} and so on {k}") for k in range(12)] + [(3, "a text of its own 9 3 10 and so on 3")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in minhash.one_of_each(docs).collect()) == list(range(12))
+
+
+def test_scopes_delete_their_own_tables(spark):
+    from foliant.llm import sharding
+    from foliant.shared import cut, scope
+
+    docs = spark.createDataFrame([(k, f"t {k}") for k in range(9)], "doc_id long, text string")
+    before = sharding.shard(docs, 3)
+    with scope(spark):
+        inner = cut(docs, "inner")
+        assert inner.count() == 9
+    assert before.count() == 9
+    with pytest.raises(Exception, match="(?i)exist"):
+        inner.count()
+
+
+def test_own_columns_of_the_mix_stay(spark):
+    from foliant.llm import mixing
+
+    docs = spark.createDataFrame([(k, "a b c d", f"s{k % 2}", 77, "own") for k in range(6)], "doc_id long, text string, source string, size int, target string")
+    got = mixing.mixed_rows(docs).collect()
+    assert got and {(r["size"], r["target"]) for r in got} == {(77, "own")}
+
+
+def test_nearest_gives_k(spark):
+    from foliant.llm import nearest
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1000, 8))
+    x[500:599] = x[0]
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = vectors.where("vec_id in (0, 7)")
+    got = nearest.nearest(nearest.build_index(vectors, depth=400), asked, k=400).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == {0: 400, 7: 400}
+    with pytest.raises(ValueError, match="built for 5"):
+        nearest.nearest(nearest.build_index(vectors, depth=5), asked, k=50)
+    found = {r["vec_id"] for r in nearest.nearest(nearest.build_index(vectors, depth=99), vectors.where("vec_id = 0").selectExpr("vec_id", "transform(embedding, v -> v) AS embedding"), k=99).where("query_id = 0").collect()}
+    score = x @ x[0]
+    best = set(np.lexsort((np.arange(1000), -score))[:100].tolist()) - {0}
+    assert len(found & best) >= 95
