@@ -21,46 +21,101 @@ class Processed(NamedTuple):
     dropped: DataFrame
 
 
-def postprocess(
-    units: DataFrame, lines: DataFrame, pages: DataFrame, planned: DataFrame | None = None, images: DataFrame | None = None, tables: DataFrame | None = None, graphics: DataFrame | None = None
-) -> Processed:
-    """A candidate's blocks (doc_id, idx, text) set right by the lines of its pages.
-
-    planned: regions as regions.plan gives them (doc_id, pno, box, kind, cap_text, anchor, link), or None: they are planned
-    from the lines, the tables and the graphics (doc_id, pno, box). images: placed images (doc_id, pno, xref, box); those of
-    a cover page are left out. Paragraphs are rebuilt, covers, running heads and formulas taken out, headings and notes
-    marked, broken sentences joined, and links put where they belong: equations after the text above them, captioned
-    regions before their caption, all others and the images at the end of their page. Regions, lines and paragraphs are
-    written once each, since several steps read them (foliant.shared).
-    """
+class Layout(NamedTuple):
+    """What a document's pages say of its text, each table keyed by doc_id: the line sequence with paragraph starts, the
+    norms of running heads, heading and size by first line, the body's size, regions, image links, each page's last key, and
+    the characters that regions and running heads take out."""
+
+    sequence: DataFrame
+    heads: DataFrame
+    headings: DataFrame
+    sizes: DataFrame
+    bodies: DataFrame
+    regions: DataFrame
+    images: DataFrame
+    last: DataFrame
+    gone: DataFrame
+
+
+def layout_of(
+    lines: DataFrame, pages: DataFrame, planned: DataFrame | None = None, images: DataFrame | None = None, tables: DataFrame | None = None, graphics: DataFrame | None = None
+) -> Layout:
+    """planned: regions as regions.plan gives them (doc_id, pno, box, kind, cap_text, anchor, link), or None: they are planned
+    from the lines, the tables and the graphics (doc_id, pno, box). images: placed images (doc_id, pno, xref, box). Regions
+    and lines are written once each, since several steps read them (foliant.shared)."""
     planned = cut(regions.plan(lines, pages, tables, graphics), "regions") if planned is None else planned
     repeated = paragraphs.repeated_norms(lines)
     flags = cut(layout.line_flags(layout.ordered_lines(lines, pages, repeated, planned)), "lines")
-    seq = flags.select("doc_id", F.col("seq").alias("idx"), T.key(F.col("text")).alias("key"), "is_start")
-    paras = cut(paragraphs.rebuild_paragraphs(paragraphs.drop_images(units), seq), "paragraphs")
+    numbered = planned.withColumn("n", F.row_number().over(paragraphs.Window.partitionBy("doc_id").orderBy("pno", "y0", "x0")).cast("long"))
+    if images is None:
+        shown = numbered.select("doc_id", "pno", "n", "link").limit(0)
+    else:
+        shown = links.page_links(regions.outside(regions.pick_images(images, pages), planned)).select("doc_id", "pno", F.col("n").cast("long").alias("n"), "link")
+    gone = paragraphs.repeated_chars(repeated).unionByName(regions.region_chars(lines, planned).withColumnRenamed("chars", "dropped"))
+    return Layout(
+        flags.select("doc_id", F.col("seq").alias("idx"), T.key(F.col("text")).alias("key"), "is_start"),
+        repeated.groupBy("doc_id").agg(F.collect_set("norm").alias("norms")),
+        flags.where("is_heading").select("doc_id", T.key(F.col("text")).alias("key0"), F.lit(True).alias("heading")).distinct(),
+        layout.first_sizes(flags).withColumnRenamed("key", "key0"),
+        layout.body_sizes(lines), numbered, shown, layout.page_last(flags), gone.groupBy("doc_id").agg(F.sum("dropped").alias("dropped")),
+    )
+
+
+def _processed(units: DataFrame, l: Layout) -> Processed:
+    """Each text's blocks (doc_id, idx, text) set right by a layout whose tables have the same key."""
+    paras = cut(paragraphs.rebuild_paragraphs(paragraphs.drop_images(units), l.sequence), "paragraphs")
     uncovered = paragraphs.drop_cover(paras)
-    heads = repeated.groupBy("doc_id").agg(F.collect_set("norm").alias("norms"))
-    kept = paragraphs.drop_math(paragraphs.strip_running_heads(uncovered, heads))
-    headings = flags.where("is_heading").select("doc_id", T.key(F.col("text")).alias("key0"), F.lit(True).alias("heading")).distinct()
-    marked = kept.join(headings, ["doc_id", "key0"], "left").na.fill({"heading": False})
-    marked = paragraphs.mark_headings(marked).drop("heading")
-    sizes = layout.first_sizes(flags).withColumnRenamed("key", "key0")
-    noted = marked.join(sizes, ["doc_id", "key0"], "left").join(layout.body_sizes(lines), "doc_id", "left")
+    kept = paragraphs.drop_math(paragraphs.strip_running_heads(uncovered, l.heads))
+    marked = paragraphs.mark_headings(kept.join(l.headings, ["doc_id", "key0"], "left").na.fill({"heading": False})).drop("heading")
+    noted = marked.join(l.sizes, ["doc_id", "key0"], "left").join(l.bodies, "doc_id", "left")
     blocks = paragraphs.merge_continuations(paragraphs.mark_footnotes(noted).select("doc_id", "idx", "text"))
-    numbered = planned.withColumn("n", F.row_number().over(paragraphs.Window.partitionBy("doc_id").orderBy("pno", "y0", "x0")).cast("long"))
-    blocks = links.link_equations(blocks, numbered)
-    blocks = links.link_captions(blocks, numbered.where(F.col("kind") != "equation"))
-    bare = numbered.where(F.col("cap_text").isNull() & (F.col("kind") != "equation")).select("doc_id", "pno", F.lit(1).alias("kind"), "n", "link")  # a page's regions come after its images
-    if images is not None:
-        covers = paragraphs.mark_cover(units).where("cover").select("doc_id", F.lit(0).alias("pno")).distinct()
-        picked = regions.pick_images(images, pages).join(covers, ["doc_id", "pno"], "left_anti")
-        bare = bare.unionByName(links.page_links(regions.outside(picked, planned)).select("doc_id", "pno", F.lit(0).alias("kind"), F.col("n").cast("long").alias("n"), "link"))
-    blocks = links.link_pages(blocks, bare, layout.page_last(flags))
-    gone = [paragraphs.repeated_chars(repeated), paragraphs.dropped_chars(paras, uncovered), regions.region_chars(lines, planned).withColumnRenamed("chars", "dropped")]
-    dropped = gone[0].unionByName(gone[1]).unionByName(gone[2])
+    blocks = links.link_equations(blocks, l.regions)
+    blocks = links.link_captions(blocks, l.regions.where(F.col("kind") != "equation"))
+    bare = l.regions.where(F.col("cap_text").isNull() & (F.col("kind") != "equation")).select("doc_id", "pno", F.lit(1).alias("kind"), "n", "link")  # a page's regions come after its images
+    covers = paragraphs.mark_cover(units).where("cover").select("doc_id", F.lit(0).alias("pno")).distinct()
+    shown = l.images.join(covers, ["doc_id", "pno"], "left_anti").select("doc_id", "pno", F.lit(0).alias("kind"), "n", "link")
+    blocks = links.link_pages(blocks, bare.unionByName(shown), l.last)
+    dropped = l.gone.unionByName(paragraphs.dropped_chars(paras, uncovered))
     return Processed(blocks, dropped.groupBy("doc_id").agg(F.sum("dropped").alias("dropped")))
 
 
+def postprocess(units: DataFrame, lines: DataFrame, pages: DataFrame, planned: DataFrame | None = None, images: DataFrame | None = None, tables: DataFrame | None = None, graphics: DataFrame | None = None) -> Processed:
+    """A candidate's blocks (doc_id, idx, text) set right by the lines of its pages (layout_of).
+
+    Paragraphs are rebuilt, covers, running heads and formulas taken out, headings and notes marked, broken sentences joined,
+    and links put where they belong: equations after the text above them, captioned regions before their caption, all others
+    and the images at the end of their page; images of a cover page are left out.
+    """
+    return _processed(units, layout_of(lines, pages, planned, images, tables, graphics))
+
+
+def postprocess_candidates(candidates: DataFrame, lines: DataFrame, pages: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
+    """All candidates (doc_id, ord, name, text) of all documents set right at once, over one layout: candidates with their
+    new texts, and the characters taken out on purpose, of each (doc_id, ord, dropped). how: as for postprocess."""
+    one = F.struct("doc_id", "ord")
+    ids = candidates.select("doc_id", "ord")
+
+    def of_each(table: DataFrame) -> DataFrame:
+        return table.join(ids, "doc_id").withColumn("doc_id", one).drop("ord")
+
+    units = paragraphs.explode_units(candidates.select(one.alias("doc_id"), "text"))
+    done = _processed(units, Layout(*map(of_each, layout_of(lines, pages, **how))))
+    texts = paragraphs.assemble_text(done.blocks).select("doc_id.*", "text")
+    made = candidates.drop("text").join(texts, ["doc_id", "ord"], "left").na.fill({"text": ""})
+    return made.select("doc_id", "ord", "name", "text"), done.dropped.select("doc_id.*", "dropped")
+
+
+def stitched(texts: DataFrame, planned: DataFrame | None = None, name: str = "stitched") -> tuple[DataFrame, DataFrame]:
+    """The older extraction's texts (doc_id, text) as candidates for the fallback: cleaned, pages stitched, equations linked;
+    and what was taken out of each (doc_id, ord, dropped)."""
+    clean = texts.select("doc_id", T.clean(F.col("text")).alias("text"))
+    blocks = paragraphs.explode_units(clean)
+    made = paragraphs.assemble_text(paragraphs.stitch_pages(blocks))
+    made = made if planned is None else add_equation_images(made, planned)
+    dropped = paragraphs.dropped_chars(blocks, paragraphs.unrepeated(blocks)).select("doc_id", F.lit(0).alias("ord"), "dropped")
+    return made.select("doc_id", F.lit(0).alias("ord"), F.lit(name).alias("name"), "text"), dropped
+
+
 def add_equation_images(texts: DataFrame, planned: DataFrame) -> DataFrame:
     """texts (doc_id, text) of another extractor with the links of their pages' equations (of regions.plan), each after the
     first block that holds the line above it; those without one at the end. Texts without equations stay as they are."""
@@ -73,12 +128,13 @@ def add_equation_images(texts: DataFrame, planned: DataFrame) -> DataFrame:
 
 def scored(candidates: DataFrame, raw: DataFrame, dropped: DataFrame | None = None, has_tables: DataFrame | None = None) -> DataFrame:
     """candidates (doc_id, ord, name, text) with their scores against raw (doc_id, text): cleaned, and whether tables are
-    kept where the document has some (doc_id, has_tables)."""
+    kept where the document has some (doc_id, has_tables). dropped: of each candidate (doc_id, ord, dropped), or of all of a
+    document's (doc_id, dropped)."""
     clean = candidates.withColumn("text", T.clean(F.col("text")))
     one = F.struct("doc_id", "ord")
     blocks = paragraphs.explode_units(clean.select(one.alias("doc_id"), T.body_before_references(F.col("text")).alias("text")))
     sizes = clean.join(raw.select("doc_id", T.norm_len(F.col("text")).alias("raw")), "doc_id")
-    sizes = sizes.join(dropped, "doc_id", "left") if dropped is not None else sizes.withColumn("dropped", F.lit(0))
+    sizes = sizes.join(dropped, [c for c in ("doc_id", "ord") if c in dropped.columns], "left") if dropped is not None else sizes.withColumn("dropped", F.lit(0))
     sized = sizes.select(one.alias("doc_id"), T.norm_len(F.col("text")).alias("kept"), "raw", F.coalesce("dropped", F.lit(0)).alias("dropped"))
     found = quality.score(sized, quality.truncated(blocks)).select("doc_id.*", "coverage", "truncated", "ok")
     out = clean.join(found, ["doc_id", "ord"])
@@ -88,16 +144,15 @@ def scored(candidates: DataFrame, raw: DataFrame, dropped: DataFrame | None = No
     return out.join(has_tables, "doc_id", "left").withColumn("keeps_tables", ~F.coalesce("has_tables", F.lit(False)) | (rows > 0)).drop("has_tables")
 
 
-def extract(candidates: DataFrame, raw: DataFrame, fallback: DataFrame | None = None, force: bool = False, **how) -> DataFrame:
+def extract(candidates: DataFrame, raw: DataFrame, fallback: DataFrame | None = None, force: bool = False, dropped: DataFrame | None = None, has_tables: DataFrame | None = None, fallback_dropped: DataFrame | None = None) -> DataFrame:
     """The chosen text of each document, with name, scores and gate_ok. fallback: candidates (doc_id, ord, name, text) that
-    count only where the best one does not pass, and is worse. force waives cut paragraphs, not lost text."""
-    graded = scored(candidates, raw, **how)
-    best = quality.tournament(graded)
+    count only where the best one does not pass, and is worse; tables do not matter there. force waives cut paragraphs, not
+    lost text. Each candidate is scored with its own dropped characters."""
+    graded = scored(candidates, raw, dropped, has_tables)
+    best, every = quality.tournament(graded), graded.select("doc_id", "name", "text")
     if fallback is not None:
-        best = quality.with_fallback(best, scored(fallback, raw, **how))
-        every = graded.select("doc_id", "name", "text").unionByName(scored(fallback, raw, **how).select("doc_id", "name", "text"))
-    else:
-        every = graded.select("doc_id", "name", "text")
+        other = scored(fallback, raw, fallback_dropped)
+        best, every = quality.with_fallback(best, other), every.unionByName(other.select("doc_id", "name", "text"))
     return quality.gate(best.select("doc_id", "name", "coverage", "truncated", "ok"), force).join(every, ["doc_id", "name"])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliant import api
 from foliant import config as C
 from foliant.functions import text as T
 from foliant.operators import checks, chunking, html, layout, links, paragraphs, quality, regions, status
@@ -687,6 +688,52 @@ def candidate_tournament(spark: SparkSession, sf: str) -> DataFrame:
     return quality.tournament(sums.select("doc_id", F.explode(F.array(*made)).alias("c")).select("doc_id", "c.*")).select("doc_id", "ord")
 
 
+# Three candidates and a fallback: one loses a line of five, one a line of 40 and keeps the table, one cuts the ends of some
+# lines; every third document has a table, every fifth ends in a list of references.
+GIVEN = r"""gv AS (SELECT doc_id, ord, string_agg(x, chr(10) || chr(10) ORDER BY idx) || CASE WHEN ord = 1 THEN chr(10) || chr(10) || '| a | b |' ELSE '' END AS x FROM (
+ SELECT u.doc_id, v.ord, u.idx, CASE WHEN doc_id % 5 = 2 AND idx = 9 THEN '## References' WHEN v.ord = 2 AND idx % 4 = 1 THEN left(t, length(t) - 1) ELSE t END AS x FROM u, (VALUES (0, 5), (1, 40), (2, 1000000), (9, 30)) v(ord, step) WHERE idx % v.step <> v.step - 1) GROUP BY doc_id, ord),
+cl AS (SELECT doc_id * 10 + ord AS doc_id, regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\n{3,}', chr(10) || chr(10), 'g'), '-----+\n', '', 'g'), '(?m)^(#{1,6})\s+\*\*(.+?)\*\*\s*$', '\1 \2', 'g'), '(?m)[ \t]+$', '', 'g'), chr(173), ''), '^\s+|\s+$', '', 'g') || chr(10) AS x FROM gv),
+b AS (SELECT doc_id, unnest(range(len(l))) AS idx, unnest(l) AS t FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_split_to_array(x, '(?im)^#*\s*(references|참고문헌|bibliography)\s*$')[1], chr(10) || chr(10)), lambda q: regexp_replace(q, '^\s+|\s+$', '', 'g')), lambda q: q <> '') AS l FROM cl))"""
+CHOSEN = f"""e AS (SELECT doc_id, count(*) AS checked, count(*) FILTER (NOT {ENDS.format('t')}) AS bad FROM c GROUP BY doc_id),
+rw AS (SELECT doc_id, sum({NORM_LEN.format('t')}) AS raw FROM u GROUP BY doc_id),
+sc AS (SELECT cl.doc_id // 10 AS doc_id, (cl.doc_id % 10)::INT AS ord, x, (CASE WHEN raw > 0 THEN {NORM_LEN.format('x')} / raw ELSE 0 END)::DOUBLE AS cov, coalesce(bad / checked, 0)::DOUBLE AS tr, cl.doc_id // 10 % 3 > 0 OR cl.doc_id % 10 = 1 AS kt FROM cl LEFT JOIN e ON e.doc_id = cl.doc_id JOIN rw ON rw.doc_id = cl.doc_id // 10),
+ok AS (SELECT *, cov >= 0.97 AND tr <= 0.05 AS ok, abs(1 - cov) + tr AS pen FROM sc),
+w AS (SELECT a.doc_id, a AS a, b AS b, c AS c, f AS f FROM ok a JOIN ok b ON b.doc_id = a.doc_id AND b.ord = 1 JOIN ok c ON c.doc_id = a.doc_id AND c.ord = 2 JOIN ok f ON f.doc_id = a.doc_id AND f.ord = 9 WHERE a.ord = 0),
+w1 AS (SELECT doc_id, CASE WHEN CASE WHEN b.kt <> a.kt THEN b.kt AND b.ok WHEN b.ok <> a.ok THEN b.ok ELSE b.pen < a.pen END THEN b ELSE a END AS a, c, f FROM w),
+w2 AS (SELECT doc_id, CASE WHEN CASE WHEN c.kt <> a.kt THEN c.kt AND c.ok WHEN c.ok <> a.ok THEN c.ok ELSE c.pen < a.pen END THEN c ELSE a END AS a, f FROM w1),
+w3 AS (SELECT doc_id, CASE WHEN NOT a.ok AND CASE WHEN f.ok <> a.ok THEN f.ok ELSE f.pen < a.pen END THEN f ELSE a END AS a FROM w2)"""
+
+
+@query("extract_candidates", f"WITH {U}, {GIVEN}, {CHECKED}, {CHOSEN} SELECT doc_id, CASE a.ord WHEN 0 THEN 'lines' WHEN 1 THEN 'tables' WHEN 2 THEN 'columns' ELSE 'older' END AS name, round(a.cov, 6) AS coverage, round(a.tr, 6) AS truncated, a.ok AS ok, a.ok AS gate_ok, md5(a.x) AS text FROM w3")
+def extract_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    t, i = F.col("text"), F.col("idx")
+    rows = lines_of(spark, sf).repartition("doc_id")
+    text = F.when((F.col("doc_id") % 5 == 2) & (i == 9), "## References").otherwise(t)
+    less = F.when((F.col("doc_id") % 5 == 2) & (i == 9), "## References").when(i % 4 == 1, F.substr(t, F.lit(1), F.length(t) - 1)).otherwise(t)
+    joined = lambda c, step: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(i % step != step - 1, F.struct("idx", c.alias("t"))))), lambda x: x["t"]), "\n\n")
+    made = rows.groupBy("doc_id").agg(joined(text, 5).alias("lines"), F.concat(joined(text, 40), F.lit("\n\n| a | b |")).alias("tables"), joined(less, 1_000_000).alias("columns"), joined(text, 30).alias("older"))
+    of = lambda *names: made.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(n).alias("name"), F.col(n).alias("text")) for k, n in enumerate(names)])).alias("c")).select("doc_id", "c.*")
+    found = api.extract(of("lines", "tables", "columns"), docs(spark, sf).select("doc_id", "text"), fallback=of("older"), has_tables=docs(spark, sf).select("doc_id", (F.col("doc_id") % 3 == 0).alias("has_tables")))
+    return found.select("doc_id", "name", F.round("coverage", 6).alias("coverage"), F.round("truncated", 6).alias("truncated"), "ok", "gate_ok", F.md5("text").alias("text"))
+
+
+@query("postprocess_candidates")
+def postprocess_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole chain: two candidates of each document set right over one layout with tables, drawings and placed images,
+    scored with what was taken out of each, and the older extraction where neither passes. tests/ hold it against runs of
+    each candidate by itself."""
+    lines, pages = _layout(spark, sf)
+    boxes, n = _boxes(lines), F.col("line_no")
+    images = lines.select("doc_id", "pno", (n % 50).alias("xref"), "x0", "y0", (F.col("x0") + 10.0 * (n % 40)).alias("x1"), (F.col("y0") + 10.0 * (n % 30)).alias("y1"))
+    whole = docs(spark, sf).select("doc_id", "text")
+    named = lambda name, k, c: whole.select("doc_id", F.lit(k).alias("ord"), F.lit(name).alias("name"), c.alias("text"))
+    given = named("lines", 0, F.replace("text", F.lit("\n"), F.lit("\n\n"))).unionByName(named("banner", 1, F.concat(F.lit("all use subject to terms and conditions\n\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")))))
+    made, dropped = api.postprocess_candidates(given, lines, pages, tables=boxes, images=images)
+    older, older_dropped = api.stitched(whole)
+    found = api.extract(made, whole, older, dropped=dropped, has_tables=whole.select("doc_id", (F.col("doc_id") % 3 == 0).alias("has_tables")), fallback_dropped=older_dropped)
+    return found.select("doc_id", "name", F.round("coverage", 6).alias("coverage"), F.round("truncated", 6).alias("truncated"), "ok", "gate_ok", F.md5("text").alias("text"))
+
+
 # Checks of pairs -----------------------------------------------------------------------------------------------------
 
 # Turns carry no numbers, so some are put in front by turn and conversation.
@@ -972,6 +1019,31 @@ def stream_documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{at}/out").select("doc_id", "lines", "chars")
 
 
+@query("job_status_stream", f"""WITH {JOBS}, st AS (SELECT stem, n % 5 = 0 AS html, n % 3 > 0 AS running, n % 2 = 0 AS known, n % 7 > 0 AS source, n % 11 > 0 AS indexed, greatest(n, 1) AS k, a AS t, CASE WHEN n % 4 = 1 THEN c ELSE 0 END AS r, n % 13 = 0 AS g FROM jb),
+v AS (SELECT stem, html AND NOT running AS done, running, known, source, indexed, r, t, k, g FROM st)
+SELECT stem, CASE WHEN done THEN 'done' WHEN running THEN 'running' WHEN known THEN 'failed' ELSE 'uploaded' END AS status,
+CASE WHEN done THEN 'complete' WHEN NOT running THEN CASE WHEN known THEN 'see the log' ELSE 'waiting' END WHEN NOT source THEN 'extracting' WHEN NOT indexed THEN 'splitting' WHEN r > 0 THEN 'reviewing (' || r || '/' || k || ')' WHEN t >= k THEN 'before review' WHEN t > 0 OR g THEN 'translating (' || t || '/' || k || ')' ELSE 'glossary' END AS phase,
+(CASE WHEN done THEN 100 WHEN NOT running THEN 0 WHEN NOT source THEN 4 WHEN NOT indexed THEN 6 WHEN r > 0 THEN 70 + round_even(25 * r / k, 0) WHEN t >= k THEN 70 WHEN t > 0 OR g THEN 25 + round_even(45 * t / k, 0) ELSE 12 END)::INT AS pct FROM v""")
+def job_status_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as files of a stream that is stopped halfway and started again; some events come twice."""
+    import uuid
+
+    from foliant.streaming import files
+    from foliant.streaming import status as streamed
+
+    at = f"{shared_dir(spark)}/status-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("stem"), F.col("ts").cast("timestamp").alias("time"), F.col("event_type").alias("kind"))
+    half = events.agg(F.expr("percentile_approx(unix_micros(time), 0.5)")).first()[0]
+    early = F.unix_micros("time") <= half
+    for part in (events.where(early), events.where(~early).unionByName(events.where(F.col("id") % 3 == 0))):
+        part.coalesce(4).write.mode("append").parquet(f"{at}/in")
+        arriving = files.arriving(spark, f"{at}/in", "id long, stem long, time timestamp, kind string")
+        streamed.persist(streamed.job_counts(arriving, ["view", "click", "purchase"], late="60 days", idle_ms=365 * 24 * 3600 * 1000), f"{at}/out", f"{at}/state").awaitTermination()
+    n = F.col("total")
+    jobs = streamed.current(spark, f"{at}/out").select("stem", (n % 5 == 0).alias("html"), (n % 3 > 0).alias("running"), (n % 2 == 0).alias("known"), (n % 7 > 0).alias("source"), (n % 11 > 0).alias("indexed"), n.alias("chunks"), F.col("view").alias("translated"), F.when(n % 4 == 1, F.col("click")).otherwise(0).alias("reviewed"), (n % 13 == 0).alias("glossary"))
+    return status.job_status(jobs).select("stem", "status", "phase", "pct")
+
+
 # Relations that the operators rest on, over the order tables ----------------------------------------------------------
 
 

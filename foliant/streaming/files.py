@@ -21,14 +21,14 @@ def once_each(stream: DataFrame, key: str, time: str, late: str = "1 hour") -> D
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def process(stream: DataFrame, work: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, every: str | None = None):
+def process(stream: DataFrame, work: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, every: str | None = None, mode: str = "append"):
     """Runs work on each batch of documents and appends its rows to target, in a folder of the batch's own, so that a batch
     that runs again replaces what it wrote. Without every: what is there, then it ends."""
 
     def batch(docs: DataFrame, number: int) -> None:
         work(docs).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 

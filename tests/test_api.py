@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from foliant import api
-from foliant.operators import layout
+from foliant.operators import layout, paragraphs, regions
+from foliant.shared import cut
 from foliant.sources import extractors
 
 from .test_operators import LINE, two_columns
@@ -84,3 +85,33 @@ def test_extractors_may_fail(spark):
     assert extractors.available("plain") and not extractors.available("other")
     links = spark.createDataFrame([("![x](a/images/f.png) ![](q/r.png)",)], "t string").select(extractors.rewrite_image_links(F.col("t"))).first()[0]
     assert links == "![](images/f.png) ![](images/r.png)"
+
+
+def test_candidates_at_once_are_as_each_by_itself(spark):
+    lines = spark.createDataFrame(two_columns() + [(2, *r[1:]) for r in two_columns()], LINE)
+    pages = pages_of(spark).unionByName(pages_of(spark).withColumn("doc_id", F.lit(2).cast("long")))
+    table = spark.createDataFrame([(1, 1, 40.0, 95.0, 200.0, 130.0)], "doc_id long, pno int, x0 double, y0 double, x1 double, y1 double")
+    shown = spark.createDataFrame([(d, p, 7 + p, 50.0, 300.0, 250.0, 500.0) for d in (1, 2) for p in (0, 2)], "doc_id long, pno int, xref int, x0 double, y0 double, x1 double, y1 double")
+    seq = layout.ordered_lines(lines, pages).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("l"))
+    text = F.array_join(F.transform("l", lambda x: x["text"]), "\n\n")
+    whole = seq.select("doc_id", text.alias("text"))
+    given = whole.select("doc_id", F.lit(0).alias("ord"), F.lit("a").alias("name"), "text").unionByName(
+        whole.where("doc_id = 1").select("doc_id", F.lit(1).alias("ord"), F.lit("b").alias("name"), F.concat(F.lit("all use subject to JSTOR\n\n= a (2)\n\n"), F.col("text")).alias("text"))
+    )
+    planned = cut(regions.plan(lines, pages, table), "planned")
+    made, dropped = api.postprocess_candidates(given, lines, pages, planned=planned, images=shown)
+    got = {(r["doc_id"], r["ord"]): r["text"] for r in made.collect()}
+    gone = {(r["doc_id"], r["ord"]): r["dropped"] for r in dropped.collect()}
+    for k in (0, 1):
+        alone = api.postprocess(paragraphs.explode_units(given.where(F.col("ord") == k)), lines, pages, planned=planned, images=shown)
+        want = {r["doc_id"]: r["text"] for r in paragraphs.assemble_text(alone.blocks).collect()}
+        assert {d: t for (d, o), t in got.items() if o == k} == {d: t for d, t in want.items() if (d, k) in got}
+        assert {d: n for (d, o), n in gone.items() if o == k} == {r["doc_id"]: r["dropped"] for r in alone.dropped.collect() if (r["doc_id"], k) in gone}
+    assert set(got) == {(1, 0), (2, 0), (1, 1)} and gone[1, 1] > gone[1, 0] and "doc-p001-01" in got[1, 0] and "doc-p001-01" not in got[1, 1]
+
+
+def test_older_extraction(spark):
+    long = "This paragraph is long enough to be taken for one that was broken by the end of its page, and so it goes on and"
+    texts = spark.createDataFrame([(1, f"Head 1\n\n{long}\n\nHead 2\n\non the next page it ends, as the rule for the older way to mend pages says it should.\n\nHead 3\n\n12")], "doc_id long, text string")
+    made, dropped = api.stitched(texts)
+    assert made.first()["text"].startswith(long + " on the next") and dropped.first()["dropped"] == 3 * 5 + 2
