@@ -11,7 +11,7 @@ from foliant import config as C
 from foliant.functions import text as T
 from foliant.operators import checks, chunking, html, layout, links, paragraphs, quality, regions
 from foliant.shared import cut
-from foliant.sources.tables import write_by_document, write_texts
+from foliant.sources import containers
 
 
 class Processed(NamedTuple):
@@ -184,10 +184,23 @@ def render_html(merged: DataFrame, images: DataFrame | None = None) -> DataFrame
 final_check = checks.final_check
 
 
-def write(extracted: DataFrame, chunks: DataFrame, merged: DataFrame, target: str) -> None:
-    """What the steps made, in a folder for each document: source and meta, chunks and their index, merged text."""
-    write_by_document(extracted.select("doc_id", "text"), f"{target}/source")
-    write_by_document(meta(extracted), f"{target}/meta", "json")
-    write_texts(chunks, f"{target}/chunks")
-    write_by_document(chunking.index_json(chunking.chunk_index(chunks)), f"{target}/index", "json")
-    write_by_document(merged.select("doc_id", "text"), f"{target}/merged")
+def artefacts(extracted: DataFrame, chunks: DataFrame, merged: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """What the steps made, as rows (doc_id, kind, name, content): source, meta, chunks and their index, the merged text and
+    its page (doc_id, html)."""
+    row = lambda df, kind, content, name="": df.select("doc_id", F.lit(kind).alias("kind"), (F.lit(name) if isinstance(name, str) else name).alias("name"), content.alias("content"))
+    m = meta(extracted)
+    parts = [
+        row(extracted, "source", F.col("text")), row(m, "meta", F.to_json(F.struct(*[c for c in m.columns if c != "doc_id"]))), row(chunks, "chunk", F.col("text"), F.col("id")),
+        row(chunking.index_json(chunking.chunk_index(chunks)), "index", F.col("json")), row(merged, "merged", F.col("text")),
+    ]
+    if pages is not None:
+        parts.append(row(pages, "page", F.col("html")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def write(extracted: DataFrame, chunks: DataFrame, merged: DataFrame, target: str) -> int:
+    """Commits what the steps made to the containers of target (sources.containers), and gives the version."""
+    return containers.write_documents(artefacts(extracted, chunks, merged), target)

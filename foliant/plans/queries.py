@@ -1044,6 +1044,22 @@ def job_status_stream(spark: SparkSession, sf: str) -> DataFrame:
     return status.job_status(jobs).select("stem", "status", "phase", "pct")
 
 
+@query("document_containers", f"""WITH {U}, v AS (SELECT doc_id, 'source' AS kind, '' AS name, CASE WHEN doc_id % 2 = 0 THEN 'new ' || text ELSE text END AS content FROM documents UNION ALL SELECT doc_id, 'line', idx::VARCHAR, t FROM u)
+SELECT doc_id, kind, name, md5(content) AS content FROM v""")
+def document_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts and lines of all documents, committed; every second text is then replaced by a second commit."""
+    import uuid
+
+    from foliant.sources import containers
+
+    at = f"{shared_dir(spark)}/containers-{uuid.uuid4().hex}"
+    texts = docs(spark, sf).select("doc_id", F.lit("source").alias("kind"), F.lit("").alias("name"), F.col("text").alias("content"))
+    lines = lines_of(spark, sf).select("doc_id", F.lit("line").alias("kind"), F.col("idx").cast("string").alias("name"), F.col("text").alias("content"))
+    containers.write_documents(texts.unionByName(lines), at)
+    containers.write_documents(texts.where(F.col("doc_id") % 2 == 0).withColumn("content", F.concat(F.lit("new "), F.col("content"))), at)
+    return containers.read_documents(spark, at).withColumn("content", F.md5("content"))
+
+
 # Relations that the operators rest on, over the order tables ----------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from foliant import api
 from foliant.operators import layout, paragraphs, regions
 from foliant.shared import cut
-from foliant.sources import extractors
+from foliant.sources import containers, extractors
 
 from .test_operators import LINE, two_columns
 
@@ -68,8 +68,9 @@ def test_extract_to_final(spark, tmp_path):
     one = merged.where("doc_id = 1").first()
     assert one["complete"] and one["text"].endswith("## 용어 대응표 (Glossary)\n\n용어\n\n")
     assert api.render_html(merged).count() == 2
-    api.write(chosen, chunks, merged, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/merged").count() == 2 and spark.read.json(f"{tmp_path}/index").count() == 2
+    assert api.write(chosen, chunks, merged, str(tmp_path / "made")) == 1
+    held = {(r["kind"], r["doc_id"]): r["content"] for r in containers.read_documents(spark, str(tmp_path / "made")).where("kind <> 'chunk'").collect()}
+    assert {k for k, _ in held} == {"source", "meta", "index", "merged"} and '"extractor"' in held["meta", 1] and held["source", 1].startswith("# Title")
 
 
 def test_extractors_may_fail(spark):
