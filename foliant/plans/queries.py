@@ -440,6 +440,25 @@ def lines_of_spans(spark: SparkSession, sf: str) -> DataFrame:
     return layout.lines_of_spans(spans.select("doc_id", "pno", "line_no", "s.*")).select("doc_id", "line_no", "text", "size", "math")
 
 
+@query("span_source", f"""WITH {L}, s AS (SELECT *, idx AS n FROM (SELECT *, line_no AS idx FROM l) WHERE pno = 1)
+SELECT doc_id, count(*) AS spans, sum(length(text))::BIGINT AS chars, round(max(x1), 6) AS x1, md5(string_agg(text, chr(10) ORDER BY n)) AS text FROM s GROUP BY doc_id""")
+def span_source(spark: SparkSession, sf: str) -> DataFrame:
+    """All pages as a dump; the second ones of all documents are read back, and nothing of other blocks' files."""
+    import uuid
+
+    from foliant.sources import spans
+
+    at = f"{shared_dir(spark)}/spans-{uuid.uuid4().hex}"
+    lines, pages = _layout(spark, sf)
+    span = F.struct("x0", "y0", "x1", "y1", "size", F.lit("Roman").alias("font"), "text")
+    held = lines.groupBy("doc_id", "pno").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", span.alias("s")))), lambda x: x["s"]).alias("spans"))
+    spans.write_dump(held.join(pages, ["doc_id", "pno"]), at, block=16)
+    found = spans.read_spans(spark, at, "doc_id long, pno int, span_no int, x1 double, text string", pno_from=1, pno_to=1)
+    parts = F.sort_array(F.collect_list(F.struct("span_no", "text")))
+    text = F.array_join(F.transform(parts, lambda x: x["text"]), "\n")
+    return found.groupBy("doc_id").agg(F.count("*").alias("spans"), F.sum(F.length("text")).cast("long").alias("chars"), F.round(F.max("x1"), 6).alias("x1"), F.md5(text).alias("text"))
+
+
 # Regions -------------------------------------------------------------------------------------------------------------
 
 # A box on each page, and every line as a target.
