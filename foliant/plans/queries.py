@@ -851,6 +851,66 @@ def final_report(spark: SparkSession, sf: str) -> DataFrame:
     return checks.check_report(final_check(spark, sf))
 
 
+# All pairs of a conversation as one work, with a picture in some sources and translations; which artefacts it has, and how far
+# they go, differs by its number, so that each rule holds for some and not for others.
+WORKS = FINAL.replace("w AS (SELECT doc_id, arg_min(s, id) AS s, arg_min(r, id) AS r, count(*) AS c FROM p GROUP BY doc_id)", """w AS (SELECT doc_id, string_agg(s, chr(10) || chr(10) ORDER BY id) || CASE WHEN doc_id % 6 = 0 THEN chr(10) || chr(10) || '# 용어 대응표' ELSE '' END AS s,
+ string_agg(r, chr(10) || chr(10) ORDER BY id) || CASE WHEN doc_id % 3 > 0 THEN ' ![f](images/' || doc_id || '.png)' ELSE '' END || CASE WHEN doc_id % 4 = 0 THEN chr(10) || chr(10) || '> **각주 1** ' || repeat('note ', 10) ELSE '' END
+ || CASE WHEN doc_id % 6 = 0 THEN chr(10) || chr(10) || '# 용어 대응표' || chr(10) || chr(10) || 'a' || chr(10) || chr(10) || 'b' ELSE '' END AS r, count(*) AS c FROM p GROUP BY doc_id),
+w1 AS (SELECT * REPLACE (CASE WHEN doc_id % 10 = 9 THEN '한글 번역' ELSE r END AS r) FROM w), w2 AS (SELECT * REPLACE (CASE WHEN doc_id % 5 = 3 THEN r WHEN doc_id % 5 = 2 THEN s || repeat(chr(10) || chr(10) || 'x', 9) ELSE s END AS s) FROM w1)""")
+WORKS = WORKS.replace("AS lf FROM w)", "AS lf FROM w2)").replace("starts_with(x, '>') AND length(x) > 40", "starts_with(x, '>') AND length(regexp_replace(x, '^>\\s*\\*\\*각주[^*]*\\*\\*\\s*', '')) > 40").replace("AND NOT regexp_matches(x, '[가-힣]'))) AS notes", "AND NOT regexp_matches(regexp_replace(x, '^>\\s*\\*\\*각주[^*]*\\*\\*\\s*', ''), '[가-힣]'))) AS notes")
+WORKS = WORKS[: WORKS.index("g AS (SELECT")].replace("SELECT doc_id, c, len(", "SELECT doc_id, c, r, len(", 1).replace(UNITS.format("r") + ") AS nt", UNITS.format("regexp_split_to_array(r, '(?im)^#*\\s*용어\\s*대응표')[1]") + ") AS nt") + r"""
+v AS (SELECT *, doc_id % 7 = 0 AS lost, doc_id % 5 > 0 AS html, CASE WHEN doc_id % 5 = 1 THEN 1 ELSE 0 END AS pl, CASE WHEN doc_id % 5 IN (2, 3) THEN im ELSE 0 END AS inl, CASE WHEN doc_id % 2 = 0 THEN im ELSE 0 END AS br, doc_id % 4 < 3 AS idx,
+ (c - (doc_id % 4 = 1)::INT) AS tr, (c - (doc_id % 3 = 1)::INT) AS rv, doc_id % 9 > 0 AS meta, round(0.9 + (doc_id % 11) / 100, 2) AS cov, round((doc_id % 8) / 100, 2) AS cut FROM f),
+g AS (SELECT doc_id, unnest(list_filter([
+ {'item': 'translation', 'value': 'none', 'criterion': 'required', 'ok': false, 'there': lost},
+ {'item': 'untranslated footnotes', 'value': notes::VARCHAR, 'criterion': '0', 'ok': notes = 0, 'there': NOT lost},
+ {'item': 'untranslated paragraphs', 'value': lf::VARCHAR, 'criterion': '0', 'ok': lf = 0, 'there': NOT lost},
+ {'item': 'paragraphs', 'value': ns || '→' || nt, 'criterion': 'within 2 %', 'ok': ns = 0 OR abs(ns - nt) <= greatest(2.0, ns * 0.02), 'there': NOT lost},
+ {'item': 'missing years', 'value': len(ys) || ' ' || array_to_string(ys[1:5], ','), 'criterion': '0', 'ok': len(ys) = 0, 'there': NOT lost},
+ {'item': 'image links', 'value': im || ', broken ' || br, 'criterion': 'broken 0', 'ok': br = 0, 'there': NOT lost},
+ {'item': 'html images', 'value': inl || ' / ' || pl, 'criterion': 'all inlined', 'ok': pl = 0 AND inl >= im, 'there': NOT lost AND html},
+ {'item': 'html', 'value': 'none', 'criterion': 'required', 'ok': false, 'there': NOT lost AND NOT html},
+ {'item': 'files', 'value': c || ' / ' || tr || ' / ' || rv, 'criterion': 'translated = chunks', 'ok': tr >= c, 'there': NOT lost AND idx},
+ {'item': 'chunks without review', 'value': (c - rv)::VARCHAR, 'criterion': '0', 'ok': true, 'there': NOT lost AND idx AND rv < c},
+ {'item': 'coverage', 'value': cov::DOUBLE::VARCHAR, 'criterion': '≥0.97', 'ok': cov >= 0.97, 'there': NOT lost AND meta},
+ {'item': 'truncated', 'value': cut::DOUBLE::VARCHAR, 'criterion': '≤0.05', 'ok': cut <= 0.05, 'there': NOT lost AND meta},
+ {'item': 'extractor', 'value': CASE WHEN doc_id % 2 = 0 THEN 'columns' ELSE '?' END, 'criterion': '-', 'ok': true, 'there': NOT lost AND meta},
+ {'item': 'figures', 'value': '2', 'criterion': '-', 'ok': true, 'there': NOT lost AND meta}], lambda x: x.there)) AS x FROM v)"""
+
+
+@query("final_check_works", f"WITH {PAIRS}, {WORKS} SELECT doc_id, x.item AS item, x.value AS value, x.criterion AS criterion, x.ok AS ok FROM g")
+def final_check_works(spark: SparkSession, sf: str) -> DataFrame:
+    d, s = F.col("doc_id"), F.lit
+    of = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", F.col(c).alias("t")))), lambda x: x["t"]), "\n\n")
+    works = _pairs(spark, sf).groupBy("doc_id").agg(of("source").alias("source"), of("translation").alias("ko"), F.count("*").alias("chunks"))
+    when = lambda test, text: F.when(test, text).otherwise(s(""))
+    file = F.concat(s("images/"), d.cast("string"), s(".png"))
+    ko = F.concat("ko", when(d % 3 > 0, F.concat(s(" ![f]("), file, s(")"))), when(d % 4 == 0, s("\n\n> **각주 1** " + "note " * 10)), when(d % 6 == 0, s("\n\n# 용어 대응표\n\na\n\nb")))
+    works = works.withColumn("source", F.concat("source", when(d % 6 == 0, s("\n\n# 용어 대응표")))).withColumn("ko", F.when(d % 10 == 9, "한글 번역").otherwise(ko))
+    works = works.withColumn("source", F.when(d % 5 == 3, F.col("ko")).when(d % 5 == 2, F.concat("source", s("\n\nx" * 9))).otherwise(F.col("source"))).withColumn("ko", F.when(d % 7 > 0, F.col("ko"))).withColumn("links", (d % 3 > 0).cast("int"))
+    pages = F.when(d % 5 == 1, '<img alt="a" src="b.png">').when(d % 5 == 4, "<p>no image</p>").when(d % 5 > 0, F.repeat(s("<img src='data:image/png;base64,'>"), F.col("links")))
+    index = lambda c: F.when(d % 4 < 3, c)
+    meta = lambda c: F.when(d % 9 > 0, c)
+    made = works.select(
+        "doc_id", "source", "ko", pages.alias("html"), F.when(d % 2 > 0, F.array(file)).otherwise(F.array().cast("array<string>")).alias("files"), index(F.col("chunks")).alias("chunks"), index(F.col("chunks") - (d % 4 == 1).cast("int")).alias("translated"),
+        index(F.col("chunks") - (d % 3 == 1).cast("int")).alias("reviewed"), meta(F.round(0.9 + (d % 11) / 100, 2)).alias("coverage"), meta(F.round((d % 8) / 100, 2)).alias("truncated"), meta(F.when(d % 2 == 0, "columns")).alias("extractor"), meta(s(2)).alias("figures"),
+    )
+    return checks.final_check(made).drop("n")
+
+
+# A picture in each source, whose link and file are there or not by the turn's number.
+@query("check_image_files", f"""WITH {PAIRS}, q AS (SELECT doc_id, id, doc_id % 3 > 0 AS linked, (doc_id + id) % 4 > 0 AS there FROM p)
+SELECT doc_id, id, CASE WHEN NOT linked THEN 'missing image link images/' || id || '.png' WHEN NOT there THEN 'image file not found: images/' || id || '.png' ELSE '' END AS value FROM q""")
+def check_image_files(spark: SparkSession, sf: str) -> DataFrame:
+    d, i = F.col("doc_id"), F.col("id")
+    file = F.concat(F.lit("images/"), i.cast("string"), F.lit(".png"))
+    link = F.concat(F.lit(" ![f]("), file, F.lit(")"))
+    pairs = _pairs(spark, sf).withColumn("source", F.concat("source", link)).withColumn("translation", F.when(d % 3 > 0, F.concat("translation", link)).otherwise(F.col("translation")))
+    files = pairs.where((d + i) % 4 > 0).select("doc_id", file.alias("path"))
+    found = checks.verify(pairs, files)
+    return found.select("doc_id", "id", F.array_join(F.filter("problems", lambda x: x.rlike("^(missing image|image file)")), ",").alias("value"))
+
+
 # Pages ---------------------------------------------------------------------------------------------------------------
 
 
