@@ -217,7 +217,7 @@ st AS (SELECT h.doc_id, idx, t, w, (SELECT max(n) FROM (SELECT unnest(range(1, l
 
 @query("strip_running_heads", f"WITH {B}, {HEADS} SELECT doc_id, idx, CASE WHEN n IS NULL THEN t ELSE array_to_string(w[n + 1:], ' ') END AS text FROM st WHERE n IS NULL OR n < len(w)")
 def strip_running_heads(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = blocks_of(spark, sf)
+    blocks = blocks_of(spark, sf).repartition("doc_id")  # by which heads are gathered and joined
     words = F.split(T.collapse(T.without_head(F.col("text"))), " ")
     heads = blocks.where((F.col("idx") % 4 == 1) & (F.size(words) >= 3)).groupBy("doc_id").agg(F.collect_set(T.repeat_norm(F.array_join(F.slice(words, 1, 3), " "))).alias("norms"))
     return paragraphs.strip_running_heads(blocks, heads).withColumn("idx", F.col("idx").cast("long"))
@@ -698,7 +698,7 @@ def candidate_tournament(spark: SparkSession, sf: str) -> DataFrame:
     for k, step in enumerate((5, 40, 20)):
         aggs.append(F.coalesce(F.sum(F.when(F.col("idx") % step != step - 1, n)), F.lit(0)).alias(f"kept{k}"))
     long = F.length(t) > 80
-    sums = lines_of(spark, sf).groupBy("doc_id").agg(*aggs, F.sum(n).alias("raw"), F.count_if(long).alias("ck"), F.count_if(long & ~T.ends_properly(t)).alias("bad"))
+    sums = lines_of(spark, sf).repartition("doc_id").groupBy("doc_id").agg(*aggs, F.sum(n).alias("raw"), F.count_if(long).alias("ck"), F.count_if(long & ~T.ends_properly(t)).alias("bad"))
     cut = F.when(F.col("ck") > 0, F.col("bad") / F.col("ck")).otherwise(F.lit(0.0))
     made = []
     for k in range(3):
