@@ -68,9 +68,10 @@ def _processed(units: DataFrame, l: Layout) -> Processed:
     kept = paragraphs.drop_math(paragraphs.strip_running_heads(uncovered, l.heads))
     marked = paragraphs.mark_headings(kept.join(l.headings, ["doc_id", "key0"], "left").na.fill({"heading": False})).drop("heading")
     noted = marked.join(l.sizes, ["doc_id", "key0"], "left").join(l.bodies, "doc_id", "left")
-    blocks = paragraphs.merge_continuations(paragraphs.mark_footnotes(noted).select("doc_id", "idx", "text"))
-    blocks = links.link_equations(blocks, l.regions)
-    blocks = links.link_captions(blocks, l.regions.where(F.col("kind") != "equation"))
+    # Each step reads its blocks twice or more, so they are written between the steps.
+    blocks = cut(paragraphs.merge_continuations(paragraphs.mark_footnotes(noted).select("doc_id", "idx", "text")), "blocks")
+    blocks = cut(links.link_equations(blocks, l.regions), "blocks")
+    blocks = cut(links.link_captions(blocks, l.regions.where(F.col("kind") != "equation")), "blocks")
     bare = l.regions.where(F.col("cap_text").isNull() & (F.col("kind") != "equation")).select("doc_id", "pno", F.lit(1).alias("kind"), "n", "link")  # a page's regions come after its images
     covers = paragraphs.mark_cover(units).where("cover").select("doc_id", F.lit(0).alias("pno")).distinct()
     shown = l.images.join(covers, ["doc_id", "pno"], "left_anti").select("doc_id", "pno", F.lit(0).alias("kind"), "n", "link")
