@@ -555,6 +555,29 @@ def test_repeats_of_one_gram_in_a_document(spark, monkeypatch, many):
     assert [tuple(x) for x in got] == [(0, 0, 0, 60, False), (1, 0, 30, 15000, True)]
 
 
+@pytest.mark.parametrize("many", [20_000, 5])
+@pytest.mark.parametrize("least", [2, 7, 10])
+def test_suffix_arrays(spark, monkeypatch, many, least):
+    """Every word and every earlier against brute force, where grams repeat inside documents and between them."""
+    monkeypatch.setattr(repeats, "MANY", many)
+    r = random.Random(least)
+    texts = [" ".join(r.choice("aB") if r.random() < 0.9 else f"{k}x{i}" for i in range(r.randint(0, 60))) for k in range(40)]
+    texts += [texts[7], texts[7] + " a b a b a b a b", "a " * 300, None]
+    w = [words((t or "").lower()) for t in texts]
+    least_of, more = {}, {}
+    for k, x in enumerate(w):
+        for i in range(len(x) - least + 1):
+            run = tuple(x[i : i + least])
+            more[run] = more.get(run, False) or least_of.get(run, k) != k
+            least_of.setdefault(run, k)
+    got = [[False] * len(x) for x in w]
+    for x in repeats.repeated_passages(table(spark, texts), least).collect():
+        own, a, b = w[x["doc_id"]], x["start"], x["start"] + x["n_words"]
+        got[x["doc_id"]][a:b] = [True] * (b - a)
+        assert x["earlier"] == any(least_of[tuple(own[i : i + least])] < x["doc_id"] for i in range(a, b - least + 1))
+    assert got == covered(texts, least)
+
+
 @pytest.mark.parametrize("many", [20_000, 50])
 def test_repeats_earlier(spark, monkeypatch, many):
     monkeypatch.setattr(repeats, "MANY", many)
