@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from foliant.llm.common import cut, discard
@@ -22,6 +22,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """edges as a table; and their number and a checksum, seen as it is written."""
+    seen = Observation()
+    out = cut(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+    return out, seen.get
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id and component, the least id that it reaches, for all ids of edges (columns a and b) but components' least.
 
@@ -29,15 +36,13 @@ def components(edges: DataFrame) -> DataFrame:
     a checksum come to the driver. Rounds grow with the logarithm of a component's size.
     """
     kept = edges.where(F.col("a") != F.col("b"))
-    now = cut(kept.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if not state[0] or state == seen:
-            return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        seen = state
+    now, seen = _written(kept.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
+    while seen["n"] and seen != before:
+        before = seen
         stars = cut(_large_star(now), "stars")  # read three times below, which would be made anew each time
-        after = cut(_small_star(stars), "edges")
+        after, seen = _written(_small_star(stars))
         discard(stars)
         discard(now)
         now = after
+    return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
