@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from foliant.llm.common import bucket_count, cut, discard, hash_key, prefix_sums
@@ -67,6 +67,24 @@ def _swept(capacity: int, last: bool):
     return run
 
 
+def _written(runs: DataFrame, capacity: int) -> tuple[DataFrame, dict[str, int]]:
+    """The runs as a table; and, seen as it is written, how many pieces are free and how many of them take more than half a
+    sequence, their tokens, the shortest of them, the widest gap, and how many runs
+    were placed now."""
+    piece, size, n = F.col("kind") == PIECE, F.col("size").cast("long"), F.col("n")
+    total = lambda of, when: F.coalesce(F.sum(F.when(when, of)), F.lit(0))
+    seen = Observation()
+    out = cut(
+        runs.observe(
+            seen, total(n, piece).alias("pieces"), total(n, piece & (2 * size > capacity)).alias("large"), total(n * size, piece).alias("tokens"),
+            F.coalesce(F.min(F.when(piece, size)), F.lit(0)).alias("shortest"), F.coalesce(F.max(F.when(F.col("kind") == GAP, size)), F.lit(0)).alias("widest"),
+            total(F.lit(1), F.col("kind") == PLACED).alias("placed"),
+        ),
+        "runs",
+    )
+    return out, seen.get
+
+
 def best_fit(lengths: DataFrame, capacity: int) -> tuple[DataFrame, int]:
     """The placements, as RUNS, of pieces counted by length (length, n), and how many they are.
 
@@ -74,30 +92,28 @@ def best_fit(lengths: DataFrame, capacity: int) -> tuple[DataFrame, int]:
     one size a range of sequences. A superstep sweeps pieces and gaps, dealt by ranges of their size, in all ranges at
     once; what a range has not matched is carried over its border and swept once more, together; then changed gaps take
     their new size, and the next superstep begins. Where nothing moves, sequences are opened: for each piece of more than
-    half a sequence one, or as many as the rest fills. Runs grow with capacity and supersteps, not with pieces; four
-    numbers a superstep come to the driver.
+    half a sequence one, or as many as the rest fills; so too where the shortest piece is longer than the widest gap. Runs
+    grow with capacity and supersteps, not with pieces; six numbers a superstep come to the driver, with its table.
     """
     spark = lengths.sparkSession
     ship(spark)
     zero = [F.lit(0).cast(t).alias(c) for c, t in (("first", "long"), ("offset", "int"), ("each", "int"))]
-    state = cut(lengths.select(F.lit(PIECE).alias("kind"), F.col("length").cast("int").alias("size"), "n", F.lit(0).cast("long").alias("rank"), *zero), "runs")
-    opened, placed = 0, 0
-    while True:
-        piece, size, n = F.col("kind") == PIECE, F.col("size").cast("long"), F.col("n")
-        total = lambda of, when: F.coalesce(F.sum(F.when(when, of)), F.lit(0))
-        large, tokens, left, now = state.agg(total(n, piece & (2 * size > capacity)), total(n * size, piece), total(n, piece), F.count_if(F.col("kind") == PLACED)).first()
-        if not left:
-            return state.where(F.col("kind") == PLACED), now
-        before = state
-        if now == placed:
-            new = large or -(-tokens // capacity)
+    start = lengths.select(F.lit(PIECE).alias("kind"), F.col("length").cast("int").alias("size"), "n", F.lit(0).cast("long").alias("rank"), *zero)
+    state, seen = _written(start, capacity)
+    opened, placed, steps = 0, 0, []
+    while seen["pieces"]:
+        state = state.where(F.col("kind") <= PIECE)  # what is placed stays in its superstep's table
+        if not seen["placed"] or seen["shortest"] > seen["widest"]:
+            new = seen["large"] or -(-seen["tokens"] // capacity)
             state = state.unionAll(spark.createDataFrame([(GAP, capacity, new, 0, opened, 0, 0)], RUNS))
             opened += new
-        placed = now
         dealt = state.repartitionById(RANGES, (F.col("size") * RANGES / (capacity + 1)).cast("int"))
         border = dealt.mapInArrow(_swept(capacity, False), RUNS).repartitionById(RANGES + 1, F.when(F.col("kind") <= PIECE, RANGES).otherwise(F.pmod("size", F.lit(RANGES))).cast("int"))
-        state = cut(border.mapInArrow(_swept(capacity, True), RUNS), "runs")  # a few rows: workers keep their words
-        discard(before)
+        state, seen = _written(border.mapInArrow(_swept(capacity, True), RUNS), capacity)  # a few rows: workers keep their words
+        steps.append(state.path_written)
+        placed += seen["placed"]
+    plan = spark.read.schema(state.schema).parquet(*steps) if steps else state
+    return plan.where(F.col("kind") == PLACED), placed
 
 
 def _pieces(path: str, end: int, capacity: int):
