@@ -2,6 +2,7 @@
 
 import bisect
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -617,6 +618,49 @@ def test_toxicity(spark):
     assert {x["score"] for x in toxicity.score(docs, nothing).collect()} == {0.5} and toxicity.score(empty(spark), model).count() == 0
 
 
+def plain_features(text):
+    w = re.findall("[a-z0-9\x80-\U0010ffff]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {None, *w, *[(a, b, 1) for a, b in zip(w, w[1:], strict=False)], *[(a, b, 2) for a, b in zip(w, w[2:], strict=False)]}
+
+
+def plain_ftrl(rows, how):
+    """Weights by feature, one feature at a time; None is the constant."""
+    n, z = {}, {}
+
+    def weight(f):
+        own = z.get(f, 0.0)
+        return 0.0 if abs(own) <= how.l1 else -(own - math.copysign(how.l1, own)) / ((how.beta + math.sqrt(n[f])) / how.alpha + how.l2)
+
+    for _ in range(how.epochs):
+        for found, y in rows:
+            w = {f: weight(f) for f in found}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for f in found:
+                more = n.get(f, 0.0) + g * g
+                z[f] = z.get(f, 0.0) + g - (math.sqrt(more) - math.sqrt(n.get(f, 0.0))) / how.alpha * w[f]
+                n[f] = more
+    return {f: weight(f) for f in z if weight(f)}
+
+
+def test_ftrl_by_loops(spark):
+    """Weights and scores as loops over features give them: repeated rows, ties, null, empty and very long texts."""
+    r = random.Random(12)
+    some_words = ["Bad", "good", "é", "x1", "so,so", "it's", "word", "other"]
+    texts = [" ".join(r.choice(some_words) for _ in range(r.randint(0, 12))) for _ in range(90)]
+    texts += [None, "", " ".join(r.choice(some_words) for _ in range(120_000)), texts[0], texts[0]]
+    labels = {k: int("Bad Bad" in (t or "") or k == 92) for k, t in enumerate(texts)}
+    docs = table(spark, texts)
+    how = toxicity.Ftrl(l1=0.4, l2=0.1, epochs=3)
+    model = toxicity.train(docs.unionAll(docs.limit(20)), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"), how=how)
+    learnt = sorted((str(k) for k in labels if zlib.crc32(str(k).encode()) % 3 != 1))
+    learnt = [int(learnt[k]) for k in np.random.default_rng(8).permutation(len(learnt))]
+    weights = plain_ftrl([(plain_features(texts[k]), labels[k]) for k in learnt], how)
+    assert len(model.index) == len(weights) and np.allclose(sorted(model.weight), sorted(weights.values()), atol=1e-9)
+    for x in toxicity.score(docs, model).collect():
+        own = sum(weights.get(f, 0.0) for f in plain_features(texts[x["doc_id"]]))
+        assert abs(x["score"] - 1 / (1 + math.exp(-max(-35, min(35, own))))) < 1e-9
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------
 
 
