@@ -1,5 +1,7 @@
 """The steps, from lines and candidate texts to a checked translation."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from foliant import api
@@ -73,6 +75,26 @@ def test_extract_to_final(spark, tmp_path):
     assert {k for k, _ in held} == {"source", "meta", "index", "merged"} and '"extractor"' in held["meta", 1] and held["source", 1].startswith("# Title")
 
 
+def test_extractors_tell_failures(spark):
+    def convert(raw):
+        if raw == b"slow":
+            time.sleep(20)
+        if raw == b"none":
+            return None
+        return raw.decode()
+
+    extractors.register("slow", convert)
+    rows = [(1, bytearray(b"slow")), (2, bytearray(b"# A")), (3, None), (4, bytearray(b"none")), (5, bytearray(b"\xff")), (6, bytearray(b"")), (6, bytearray(b"again"))]
+    files = spark.createDataFrame(rows, "doc_id long, content binary").withColumn("error", F.lit("clash"))
+    tried = extractors.attempts(files, "slow", 2, seconds=0.5).collect()
+    got = sorted((r["doc_id"], r["text"], (r["error"] or "").split(":")[0]) for r in tried if r["doc_id"] != 6)
+    assert got == [(1, None, "Late"), (2, "# A", ""), (3, None, "no content"), (4, None, "no text"), (5, None, "UnicodeDecodeError")]
+    assert sorted(r["text"] for r in tried if r["doc_id"] == 6) == ["", "again"] and {(r["ord"], r["name"]) for r in tried} == {(2, "slow")}
+    told = {r["error"].split(":")[0]: (r["n"], r["files"]) for r in extractors.failures(extractors.attempts(files, "slow", seconds=0.5)).collect()}
+    assert told == {k: (1, 7) for k in ("Late", "no content", "no text", "UnicodeDecodeError")}
+    assert extractors.attempts(files.limit(0), "slow").count() == 0
+
+
 def test_extractors_may_fail(spark):
     def convert(raw):
         if raw == b"bad":
