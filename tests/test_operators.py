@@ -454,3 +454,11 @@ def test_files(spark, tmp_path):
         (tmp_path / name).write_text("x")
     assert sorted(r["stem"] for r in tables.list_inputs(spark, str(tmp_path)).collect()) == ["a_1", "b"]
     assert tables.count_files(spark, str(tmp_path), "*.txt") == 1
+
+
+def test_report_rounds_as_c_does(spark):
+    values = [0.0625, 0.1875, 0.8125, 0.8925, 0.0005, 0.0015, 0.0025, 0.9995, 0.99949999, 1.0005, 0.0, 1.0, 25.0625, 0.3, 2 / 3, *[k / 2000 for k in range(1, 2100, 2)]]
+    rows = spark.createDataFrame([(k, v, v, False) for k, v in enumerate(values)], "doc_id long, coverage double, truncated double, ok boolean")
+    bad = spark.createDataFrame([(0, 1, "x")], "doc_id long, n long, head string")
+    got = {r["doc_id"]: r["report"].split("\n")[2] for r in quality.report(rows, bad).collect()}
+    assert got == {k: f"coverage {v:.3f}, truncated {v:.3f}" for k, v in enumerate(values)}
