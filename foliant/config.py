@@ -30,6 +30,8 @@ STITCH_END = ".!?\"')]“”‘’"
 
 # Patterns (Java; (?U): Unicode classes, (?d): only \n ends a line)
 SPACE = r"\s\x1c-\x1f"
+#: The characters of (?U)[SPACE] themselves, for trimming.
+SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CAPTION = r"(?i)^(figure|table|그림|표)\s*\d+\s*[.:)]"
 TABLE_CAPTION = r"(?iU)^(table|표)\b"
 XREF_CLOSE = r"(?i)^(figure|table|그림|표)\s*\d+\s*\)"
@@ -50,7 +52,7 @@ CHRONOLOGY = r"[A-Z]{1,4}\s?\d{1,3}\s+\d{1,2}/\d{2,4}\b"
 CELL = r"^[\"\s]*\*\s"
 REFERENCES = r"(?idm)^#*\s*(references|참고문헌|bibliography)\s*$"
 GLOSSARY = r"(?idm)^#*\s*용어\s*대응표"
-NUMBER_TOKEN = r"^[\d.,%$/\[\]()·~-]+$"
+NUMBER_TOKEN = r"[\d.,%$/\[\]()·~-]+"
 CITATION = r"\(([A-Z][A-Za-z&.\- ]+?),\s*(\d{4}[a-z]?)\)"
 YEAR_OR_DECIMAL = r"(?<![\d.])\d{4}(?![\d.])|(?<![\d.])\d+\.\d+(?![\d.])"
 YEAR = r"(?<![\d.])\d{4}(?![\d.])"

@@ -9,12 +9,16 @@ from foliant import config as C
 
 
 def strip(c: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, rf"(?U)^[{C.SPACE}]+|[{C.SPACE}]+$", "")
+    """Without white space of any kind at both ends; only the ends are looked at."""
+    return F.btrim(c, F.lit(C.SPACES))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)[{C.SPACE}]+$", "")
+    return F.rtrim(c, F.lit(C.SPACES))
+
+
+def lstrip(c: Column) -> Column:
+    return F.ltrim(c, F.lit(C.SPACES))
 
 
 def collapse(c: Column) -> Column:
@@ -26,7 +30,7 @@ def ends_with_any(c: Column, marks: str) -> Column:
 
 
 def starts_with_any(c: Column, marks: str) -> Column:
-    first = F.substring(F.regexp_replace(c, rf"(?U)^[{C.SPACE}]+", ""), 1, 1)
+    first = F.substring(lstrip(c), 1, 1)
     return F.length(first).__gt__(0) & (F.instr(F.lit(marks), first) > 0)
 
 
@@ -40,7 +44,7 @@ def norm_flat(c: Column) -> Column:
 
 def norm_len(c: Column) -> Column:
     """Characters that count for coverage: no white space, soft hyphens or hyphens."""
-    return F.length(F.regexp_replace(c, rf"(?U)[{C.SPACE}\u00AD\-]", "")).cast("long")
+    return F.length(F.regexp_replace(c, rf"(?U)[{C.SPACE}\u00AD\-]+", "")).cast("long")
 
 
 def repeat_norm(c: Column) -> Column:
@@ -50,8 +54,8 @@ def repeat_norm(c: Column) -> Column:
 
 
 def letter_share(c: Column) -> Column:
-    solid = F.length(F.regexp_replace(c, rf"(?U)[{C.SPACE}]", ""))
-    return F.when(solid > 0, F.length(F.regexp_replace(c, r"\P{L}", "")) / solid).otherwise(F.lit(0.0))
+    solid = F.length(F.regexp_replace(c, rf"(?U)[{C.SPACE}]+", ""))
+    return F.when(solid > 0, F.length(F.regexp_replace(c, r"\P{L}+", "")) / solid).otherwise(F.lit(0.0))
 
 
 def looks_like_text(c: Column) -> Column:
@@ -81,7 +85,7 @@ def is_body(c: Column) -> Column:
 
 
 def is_continuation(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^[{C.SPACE}]+", "").rlike(C.CONTINUATION)
+    return lstrip(c).rlike(C.CONTINUATION)
 
 
 def without_head(c: Column) -> Column:
@@ -119,10 +123,11 @@ def leading_repeat_words(c: Column, repeated: Column, most: int = 20) -> Column:
 
 
 def join_unit(before: Column, part: Column) -> Column:
-    """A line after another: a hyphen after a letter goes, else a space stands between."""
+    """A line after another: a hyphen after a letter goes, else a space stands between. Only the end of before is looked at,
+    which may be all lines so far."""
     return (
         F.when(before == "", part)
-        .when(before.rlike(r"(?Ud)\w-$"), F.concat(F.left(before, F.length(before) - 1), part))
+        .when(F.right(before, F.lit(3)).rlike(r"(?Ud)\w-$"), F.concat(F.left(before, F.length(before) - 1), part))
         .otherwise(F.concat(before, F.lit(" "), part))
     )
 
@@ -169,7 +174,7 @@ def safe_stem(c: Column) -> Column:
 
 
 def number_tokens(c: Column) -> Column:
-    return F.size(F.filter(F.split(collapse(c), " "), lambda w: w.rlike(C.NUMBER_TOKEN)))
+    return F.regexp_count(collapse(c), F.lit(rf"(?:^| ){C.NUMBER_TOKEN}(?= |$)"))
 
 
 def is_table_row(c: Column) -> Column:

@@ -1,10 +1,12 @@
 """Operators on rows written here, and folds against plain Python."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.functions import text as T
 from foliant.operators import checks, chunking, html, layout, links, paragraphs, quality, regions, status
 
 
@@ -462,3 +464,21 @@ def test_report_rounds_as_c_does(spark):
     bad = spark.createDataFrame([(0, 1, "x")], "doc_id long, n long, head string")
     got = {r["doc_id"]: r["report"].split("\n")[2] for r in quality.report(rows, bad).collect()}
     assert got == {k: f"coverage {v:.3f}, truncated {v:.3f}" for k, v in enumerate(values)}
+
+
+def test_rebuilding_finds_the_lines_once(spark):
+    units = blocks(spark, ["First line", "goes on", "Next"])
+    lines = spark.createDataFrame([(1, 0, "firstline", True), (1, 1, "goeson", False), (1, 2, "next", True)], "doc_id long, idx int, key string, is_start boolean")
+    made = paragraphs.rebuild_paragraphs(units, lines)
+    assert any("/sequence-" in f for f in made.inputFiles())
+    assert texts(made) == ["First line goes on", "Next"]
+
+
+def test_long_paragraphs_join_by_their_ends(spark):
+    parts = ["co-", "-", "op", "x-\n", "y", "one - ", "-", "two-", "three"]
+    folded = ""
+    for p in parts:  # the whole text so far is looked at, as before
+        cut = re.search(r"\w-(?=\n?\Z)", folded)
+        folded = p if folded == "" else folded[:-1] + p if cut else folded + " " + p
+    rows = spark.createDataFrame([(parts,)], "p array<string>")
+    assert rows.select(T.joined(F.col("p"))).first()[0] == folded

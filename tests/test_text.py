@@ -70,3 +70,14 @@ def test_numbers_and_citations(spark):
 
     got = rows.select(checks.missing_numbers(F.col("a"), F.col("b")), checks.missing_integers(F.col("a"), F.col("b")), checks.missing_citations(F.col("a"), F.col("b"))).first()
     assert got[0] == ["1983", "3.14"] and got[1] == ["12"] and [tuple(c) for c in got[2]] == [("Berryman", "1983")]
+
+
+def test_trimming_takes_what_the_class_takes(spark):
+    from foliant import config as C
+
+    every = "".join(chr(c) for c in [*range(0x3100), 0xFEFF] if not 0xD800 <= c < 0xE000)
+    rows = spark.createDataFrame([(c,) for c in every], "c string")
+    spaces = rows.where(F.col("c").rlike(rf"(?U)^[{C.SPACE}]\z"))
+    assert sorted(r["c"] for r in spaces.collect()) == sorted(C.SPACES)
+    both = F.concat(F.lit(C.SPACES), F.lit("a b"), F.lit(C.SPACES))
+    assert spark.range(1).select(T.strip(both), T.rstrip(both), T.lstrip(both)).first()[:] == ("a b", C.SPACES + "a b", "a b" + C.SPACES)
