@@ -96,10 +96,16 @@ def column_bounds(targets: DataFrame, lines: DataFrame) -> DataFrame:
     return targets.join(bounds, PAGE).select(*targets.columns, side("x0").alias("left"), side("x1").alias("right"))
 
 
+def _told(lines: DataFrame) -> DataFrame:
+    """lines with tabular, whether each is a row of numbers, in place of its text: told once a line, before lines meet what
+    stands on their page, and not once for every such pair."""
+    return lines.withColumn("tabular", T.is_table_row(F.col("text"))).drop("text")
+
+
 def is_prose(lo: Column, hi: Column, column_width: Column, x0: Column | None = None, x1: Column | None = None) -> Column:
-    """Whether a line (size, text, x0, x1) is one of a paragraph: of body size, wide, and no row of numbers."""
+    """Whether a line (size, tabular, x0, x1) is one of a paragraph: of body size, wide, and no row of numbers."""
     width = (F.col("x1") if x1 is None else x1) - (F.col("x0") if x0 is None else x0)
-    return (hi > 0) & F.col("size").between(lo, hi) & (width >= F.greatest(column_width, F.lit(1.0)) * C.WIDE_RATIO) & ~T.is_table_row(F.col("text"))
+    return (hi > 0) & F.col("size").between(lo, hi) & (width >= F.greatest(column_width, F.lit(1.0)) * C.WIDE_RATIO) & ~F.col("tabular")
 
 
 def captions(lines: DataFrame) -> DataFrame:
@@ -120,7 +126,9 @@ def region_edge(captions: DataFrame, lines: DataFrame, above: bool) -> DataFrame
     """How far a region reaches from its caption: walking away over lines that overlap the caption, to the last line that is
     no prose before the third prose line in a row or the height's limit; of lines of one height the first comes first.
     captions: t_id, page, x0, x1, y0, y1, height, lo, hi, left, right. Gives t_id and edge."""
-    l = lines.select(*PAGE, "line_no", "text", "size", F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"))
+    # A target stands on one page, so all windows keep the dealing by page that the join needs: no pair is dealt anew.
+    one = [*PAGE, "t_id"]
+    l = _told(lines.select(*PAGE, "line_no", "text", "size", F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1")))
     c = captions.select("t_id", *PAGE, F.col("x0").alias("c_x0"), F.col("x1").alias("c_x1"), F.col("y0").alias("c_y0"), F.col("y1").alias("c_y1"), "height", "lo", "hi", "left", "right")
     y0, top, bottom = F.col("y0"), F.col("c_y0"), F.col("c_y1")
     reach = overlaps(F.col("x0"), F.col("x1"), F.col("c_x0"), F.col("c_x1"))
@@ -130,13 +138,13 @@ def region_edge(captions: DataFrame, lines: DataFrame, above: bool) -> DataFrame
     else:
         near = (y0 > bottom + 1) & (y0 <= F.least(bottom + F.col("height") * C.MAX_BELOW_RATIO, F.col("height")))
         order, value, start = [y0.asc(), F.col("line_no").asc()], F.coalesce("y1", y0 + 8), bottom
-    walk = Window.partitionBy("t_id").orderBy(*order)
+    walk = Window.partitionBy(*one).orderBy(*order)
     rows = c.join(l, PAGE).where(reach & near).withColumn("prose", is_prose(F.col("lo"), F.col("hi"), F.col("right") - F.col("left")).cast("int"))
     rows = rows.withColumn("n", F.row_number().over(walk)).withColumn("run", F.sum("prose").over(walk.rowsBetween(1 - C.PROSE_RUN, 0)))
-    stop = F.min(F.when(F.col("run") == C.PROSE_RUN, F.col("n"))).over(Window.partitionBy("t_id"))
+    stop = F.min(F.when(F.col("run") == C.PROSE_RUN, F.col("n"))).over(Window.partitionBy(*one))
     rows = rows.withColumn("stop", stop).where((F.col("prose") == 0) & (F.col("stop").isNull() | (F.col("n") < F.col("stop"))))
-    last = rows.groupBy("t_id").agg(F.max_by(value, "n").alias("far"))
-    return c.join(last, "t_id", "left").select("t_id", F.coalesce("far", start).alias("edge"))
+    last = rows.groupBy(*one).agg(F.max_by(value, "n").alias("far"))
+    return c.join(last, one, "left").select("t_id", F.coalesce("far", start).alias("edge"))
 
 
 def ink_box(captions: DataFrame, graphics: DataFrame) -> DataFrame:
@@ -154,15 +162,16 @@ def ink_box(captions: DataFrame, graphics: DataFrame) -> DataFrame:
 def label_growth(seeds: DataFrame, lines: DataFrame) -> DataFrame:
     """The span of each seed (t_id, page, box, lo, hi) grown by the lines between its top and bottom that are no prose, as
     long as one is within 40 points: the island of merged intervals that holds the seed. No row where no such line is."""
+    one = [*PAGE, "t_id"]  # a seed stands on one page, by which lines and seeds are dealt
     s = seeds.select("t_id", *PAGE, "x0", "x1", F.lit(True).alias("seed"))
     box = seeds.select("t_id", *PAGE, *[F.col(c).alias(f"r_{c}") for c in ("x0", "x1", "y0", "y1")], "lo", "hi")
-    l = box.join(lines.select(*PAGE, "x0", "x1", "y0", "size", "text"), PAGE)
+    l = box.join(_told(lines.select(*PAGE, "x0", "x1", "y0", "size", "text")), PAGE)
     l = l.where(F.col("y0").between(F.col("r_y0"), F.col("r_y1")) & ~is_prose(F.col("lo"), F.col("hi"), F.col("r_x1") - F.col("r_x0")))
-    order = Window.partitionBy("t_id").orderBy("x0", "x1", F.col("seed").desc())
+    order = Window.partitionBy(*one).orderBy("x0", "x1", F.col("seed").desc())
     rows = s.unionByName(l.select("t_id", *PAGE, "x0", "x1", F.lit(False).alias("seed")))
-    rows = rows.withColumn("reach", F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("rows", F.count("*").over(Window.partitionBy("t_id")))
+    rows = rows.withColumn("reach", F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("rows", F.count("*").over(Window.partitionBy(*one)))
     rows = rows.withColumn("island", F.sum(F.coalesce((F.col("x0") - F.col("reach") > C.GROW_GAP).cast("int"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    islands = rows.where(F.col("rows") > 1).groupBy("t_id", "island").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.bool_or("seed").alias("seed"))
+    islands = rows.where(F.col("rows") > 1).groupBy(*one, "island").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.bool_or("seed").alias("seed"))
     return islands.where("seed").select("t_id", "x0", "x1")
 
 
@@ -179,6 +188,7 @@ def expanded(regions: DataFrame, ink: DataFrame, spans: DataFrame, lines: DataFr
         .withColumn("n_y1", F.least("height", F.greatest("y1", F.col("i_y1") + 2)))
     )
     l = lines.select(*PAGE, F.col("x0").alias("l_x0"), F.col("x1").alias("l_x1"), F.col("y0").alias("l_y0"), "size", "text")
+    l = _told(l)
     middle = (F.col("l_x0") + F.col("l_x1")) / 2
     within = lambda p: middle.between(F.col(f"{p}x0"), F.col(f"{p}x1")) & F.col("l_y0").between(F.col(f"{p}y0"), F.col(f"{p}y1"))
     prose = is_prose(F.col("lo"), F.col("hi"), F.col("x1") - F.col("x0"), F.col("l_x0"), F.col("l_x1"))

@@ -482,3 +482,14 @@ def test_long_paragraphs_join_by_their_ends(spark):
         folded = p if folded == "" else folded[:-1] + p if cut else folded + " " + p
     rows = spark.createDataFrame([(parts,)], "p array<string>")
     assert rows.select(T.joined(F.col("p"))).first()[0] == folded
+
+
+@pytest.mark.parametrize("of", ["above", "below", "labels"])
+def test_pairs_of_lines_stay_dealt_by_page(spark, capsys, of):
+    lines = spark.createDataFrame([(1, 0, k, "a word", 8.0, 10.0, 200.0, 20.0 * k, 20.0 * k + 8) for k in range(6)], "doc_id long, pno int, line_no int, text string, size double, x0 double, x1 double, y0 double, y1 double")
+    seeds = lines.withColumns({"t_id": F.struct("doc_id", "line_no"), "lo": F.lit(1.0), "hi": F.lit(2.0), "height": F.lit(800.0), "left": F.lit(10.0), "right": F.lit(200.0)})
+    made = regions.label_growth(seeds, lines) if of == "labels" else regions.region_edge(seeds, lines, of == "above")
+    assert made.count() == 6
+    capsys.readouterr()
+    made.explain()
+    assert "hashpartitioning(t_id" not in capsys.readouterr().out
