@@ -2,6 +2,7 @@
 
 import random
 import re
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -213,6 +214,42 @@ def test_reading_order_and_flags(spark):
     assert {r["body_size"] for r in rows} == {8.0}
 
 
+def test_lines_are_dealt_once_and_sorted_three_times(spark):
+    lines = spark.createDataFrame(two_columns(), LINE)
+    pages = spark.createDataFrame([(1, p, 530.0, 800.0) for p in range(3)], "doc_id long, pno int, width double, height double")
+    flags = layout.line_flags(layout.ordered_lines(lines, pages), layout.READING)
+    plan = flags._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") <= 5  # by normal form, by page and in reading order; two of the counts of lines by size
+    assert "SortMergeJoin" not in plan
+    key = lambda df: sorted((r["seq"], r["text"], r["is_start"], r["is_heading"]) for r in df.collect())
+    assert key(flags) == key(layout.line_flags(layout.ordered_lines(lines, pages)))
+
+
+def test_long_lines_that_repeat_and_lines_without_a_page(spark):
+    head, far = "a" * 119, "1" * 300 + " " * 300 + "a" * 119 + " " * 900 + "7"  # one normal form
+    made = [line(p, 0, 50, 100, 8, t) for p, t in enumerate([head, head, head, far])] + [line(p, 1, 50, 120, 8, "b" * 130) for p in range(4)] + [line(9, 0, 50, 100, 8, "no page")]
+    pages = spark.createDataFrame([(1, p, 530.0, 800.0) for p in range(4)], "doc_id long, pno int, width double, height double")
+    rows = layout.ordered_lines(spark.createDataFrame(made, LINE), pages).collect()
+    assert [r["text"] for r in sorted(rows, key=lambda r: r["seq"])] == ["b" * 130] * 4
+
+
+def test_body_measures_are_sizes_and_band(spark):
+    rng = random.Random(3)
+    made = [(d, rng.choice([0.0, 6.5, 8.0, 8.04, 8.6, 9.1, 7.4])) for d in range(40) for _ in range(rng.randint(1, 12))]
+    lines = spark.createDataFrame(made, "doc_id long, size double")
+    key = lambda df: sorted((r["doc_id"], r["body_size"], r["lo"], r["hi"]) for r in df.collect())
+    assert key(layout.body_measures(lines)) == key(layout.body_band(lines, layout.body_sizes(lines)))
+    got = {r["doc_id"]: r for r in layout.body_measures(lines).collect()}
+    for d, r in got.items():
+        sizes = sorted(s for k, s in made if k == d and s > 0)
+        b = (sizes[(len(sizes) - 1) // 2] + sizes[len(sizes) // 2]) / 2
+        tenths = [float(round(Decimal(str(s)), 1)) for s in sizes]
+        common = {s for s in tenths if tenths.count(s) / len(tenths) >= 0.2}
+        assert r["body_size"] == pytest.approx(b)
+        assert r["hi"] == pytest.approx(max([b * 1.12, *(s + 0.05 for s in common if b < s <= b * 1.2)]))
+        assert r["lo"] == pytest.approx(min([b * 0.9, *(s - 0.05 for s in common if b * 0.8 <= s < b)]))
+
+
 def plain_headings(rows):
     out, before, ended = [], False, True
     for k, (base, size, ends) in enumerate(rows):
