@@ -87,12 +87,15 @@ def to_markdown(pages: DataFrame, html: str = "html", key: str = "page_id", fold
     rows = rows.withColumns({
         "depth": F.least(held("lists"), F.lit(LEVELS)), "tables": held("tables"), "pre": held("pre") > 0, "quotes": held("quotes"), "images": count(opens("img")), "href": latest(opens("a"), attribute("href")),
     })
+    levels = range(LEVELS + 1)
     level = lambda k: F.col("depth") == k
-    rows = rows.withColumn("lists", F.array(*[latest(opens("ul", "ol") & level(k), F.struct(F.col("pos").alias("at"), (F.col("name") == "ol").alias("ordered"))) for k in range(1, LEVELS + 1)]))
-    rows = rows.withColumn("items", F.array(*[latest(opens("li") & level(k), F.col("pos")) for k in range(1, LEVELS + 1)]))
-    now = lambda c: F.when(F.col("depth") > 0, F.element_at(c, F.col("depth")))
-    rows = rows.withColumn("list", now("lists")).withColumn("item", now("items"))
-    rows = rows.withColumn("nth", F.sum((opens("li")).cast("int")).over(Window.partitionBy(key, "list").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    # Items so far of each level, and of its list those before the list: their difference numbers an item, without a sort by lists.
+    rows = rows.withColumn("counted", F.array(*[F.sum((opens("li") & level(k)).cast("int")).over(sofar) for k in levels]))
+    here = lambda c: F.element_at(c, F.col("depth") + 1)
+    rows = rows.withColumn("lists", F.array(*[latest(opens("ul", "ol") & level(k), F.struct((F.col("name") == "ol").alias("ordered"), F.element_at("counted", k + 1).alias("before"))) for k in levels]))
+    rows = rows.withColumn("items", F.array(*[latest(opens("li") & level(k) & F.lit(k > 0), F.col("pos")) for k in levels]))
+    rows = rows.withColumn("list", here("lists")).withColumn("item", here("items")).withColumn("nth", here("counted") - F.coalesce("list.before", F.lit(0)))
+    rows = rows.withColumn("ordered", F.col("list.ordered")).drop("lists", "items", "counted", "list")
     border = (F.col("name").isin(*BLOCK_TAGS) & (F.col("tables") == 0)) | opens("table") & (F.col("tables") == 1) | shuts("table")
     kind = F.regexp_extract("src", r"(?i)\.([a-z0-9]+)(?:[?#].*)?$", 1)
     extension = F.when(kind == "", "png").otherwise(F.regexp_replace(F.lower(kind), "^jpeg$", "jpg"))
@@ -106,11 +109,11 @@ def to_markdown(pages: DataFrame, html: str = "html", key: str = "page_id", fold
         .when((F.col("tables") > 0) & opens("tr"), ROW).when((F.col("tables") > 0) & opens("td", "th"), CELL)
         .when((F.col("tables") > 0) & F.col("name").isin(*BLOCK_TAGS), " ").when(opens("hr"), "---").otherwise("")
     )
-    rows = rows.withColumn("src", attribute("src")).withColumn("piece", piece).withColumn("block", F.sum(border.cast("int") + opens("hr").cast("int")).over(sofar) - opens("hr").cast("int"))
+    rows = rows.withColumn("src", F.when(opens("img"), attribute("src"))).withColumn("piece", piece).withColumn("block", F.sum(border.cast("int") + opens("hr").cast("int")).over(sofar) - opens("hr").cast("int"))
     heading = F.max(F.when(opens("h1", "h2", "h3", "h4", "h5", "h6"), F.substring("name", 2, 1).cast("int")))
     first = lambda c: F.min_by(c, "pos").alias(c)
     shown = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "")
-    blocks = rows.groupBy(key, "block").agg(shown.alias("text"), heading.alias("heading"), F.max("tables").alias("tables"), F.bool_or("pre").alias("pre"), F.max("quotes").alias("quotes"), *[first(c) for c in ("depth", "list", "item", "nth")])
+    blocks = rows.groupBy(key, "block").agg(shown.alias("text"), heading.alias("heading"), F.max("tables").alias("tables"), F.bool_or("pre").alias("pre"), F.max("quotes").alias("quotes"), *[first(c) for c in ("depth", "ordered", "item", "nth")])
     trim = lambda c: F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r" *\n *", "\n")
 
     def table(c: Column) -> Column:
@@ -123,8 +126,11 @@ def to_markdown(pages: DataFrame, html: str = "html", key: str = "page_id", fold
     body = F.when(is_table, table(F.col("text"))).when(F.col("pre"), code).otherwise(trim(F.col("text")))
     blocks = blocks.withColumn("body", body).where(F.regexp_replace("text", r"[\s*`\x01\x02]+", "") != "")
     # The first block of an item has its mark, what follows in it is set under it.
-    marked = (F.row_number().over(Window.partitionBy(key, "item").orderBy("block")) == 1) & F.col("item").isNotNull()
-    mark = F.when(F.col("list.ordered"), F.concat(F.col("nth").cast("string"), F.lit(". "))).otherwise(F.lit("- "))
+    # A level's items come one after another, so a block is its item's first unless the level's last block before it is of the same.
+    before = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("earlier", F.element_at(F.array(*[F.last(F.when(level(k), F.col("item")), ignorenulls=True).over(before) for k in levels]), F.col("depth") + 1))
+    marked = F.col("item").isNotNull() & ~F.col("item").eqNullSafe(F.col("earlier"))
+    mark = F.when(F.col("ordered"), F.concat(F.col("nth").cast("string"), F.lit(". "))).otherwise(F.lit("- "))
     indent = F.when(F.col("depth") > 0, F.repeat(F.lit("    "), F.col("depth") - F.when(marked, 1).otherwise(0))).otherwise(F.lit(""))
     front = F.concat(F.when(F.col("quotes") > 0, F.repeat(F.lit("> "), F.col("quotes"))).otherwise(F.lit("")), indent, F.when(marked, mark).otherwise(F.lit("")), F.when(F.col("heading").isNotNull(), F.concat(F.repeat(F.lit("#"), F.col("heading")), F.lit(" "))).otherwise(F.lit("")))
     rest = F.concat(F.repeat(F.lit("> "), F.col("quotes")), F.repeat(F.lit("    "), F.col("depth")))

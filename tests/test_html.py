@@ -59,3 +59,14 @@ def test_html_to_markdown(spark):
 
 def test_odd_html(spark):
     assert markdown(spark, None) == [] and markdown(spark, "") == [] and markdown(spark, "</ul></ul>a<ul></li><li>b") == ["a", "- b"]
+
+
+def test_items_are_numbered_without_sorts_by_list_or_item(spark):
+    deep = "".join(f"<ol><li>d{k}</li><li>e{k}" for k in range(8)) + "".join(f"<p>more{k}</p></li><li>f{k}</li></ol>" for k in range(8)) + "<li>out</li>"
+    page = "<ul><li>a<ol><li>b</li><li><p>c</p><p>d</p></li></ol>e</li><li>f</li></ul><ol><li>g</li></ol>" + deep
+    made = html.to_markdown(spark.createDataFrame([(1, page)], "page_id long, html string"))
+    got = [r["text"] for r in made.orderBy("idx").collect()]
+    assert got[:8] == ["- a", "    1. b", "    2. c", "        d", "    e", "- f", "1. g", "1. d0"]
+    spaces = lambda k: "    " * min(k, html.LEVELS - 1)
+    assert got[8:22] == ["2. e0"] + [f"{spaces(k)}{n}. {c}{k}" for k in range(1, 7) for n, c in ((1, "d"), (2, "e"))] + [f"{spaces(7)}1. d7"]
+    assert made._jdf.queryExecution().executedPlan().toString().count("Sort [") <= 2  # by place and by block
