@@ -639,7 +639,7 @@ def save_images(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _regions(spark: SparkSession, sf: str, shift: int) -> tuple[DataFrame, DataFrame]:
-    paras = cut(lines_of(spark, sf).repartition("doc_id").where(T.key(F.col("text")) != ""), "paragraphs")  # read three times
+    paras = lines_of(spark, sf).where(F.col("text").rlike(r"(?U)\w"))  # those with a key; read three times, which is less than a copy
     n = F.col("idx").cast("long")
     kind = F.when(F.col("idx") % 7 == shift, F.lit("equation")).otherwise(F.lit("figure"))
     captioned = F.when(F.col("idx") % 7 == shift, F.col("text"))

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from foliant.plans import queries
 from foliant.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -32,3 +33,9 @@ def test_query(spark, duck, name):
     want = duck.sql(ORACLE_SQL[name]).to_arrow_table().to_pylist()
     key = lambda r: repr(plain([r]))
     assert sorted(map(key, got)) == sorted(map(key, want))
+
+
+def test_paragraphs_are_read_where_they_lie(spark):
+    """The links' paragraphs are not dealt and written once more before the joins, which do so themselves."""
+    paras, made = queries._regions(spark, DATA, 3)
+    assert all("documents.parquet" in f for f in [*paras.inputFiles(), *made.inputFiles()])
