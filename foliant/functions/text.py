@@ -97,29 +97,44 @@ def is_math_block(c: Column) -> Column:
     return F.length(t).between(1, C.MATH_UNIT_MAX) & ~F.substring(t, 1, 1).isin(">", "!", "|") & t.rlike(C.MATH_OP) & (F.regexp_count(t, F.lit(C.PROSE_WORD)) <= 3)
 
 
-def leading_repeat_words(c: Column, repeated: Column, most: int = 20) -> Column:
-    """How many words at the start are a running head of repeated (an array of normal forms); 0: none.
+def first_words(norms: Column) -> Column:
+    """The distinct first words of an array of normal forms."""
+    return F.array_distinct(F.transform(norms, lambda n: F.substring_index(n, " ", 1)))
+
+
+def leading_repeat_words(c: Column, repeated: Column, most: int = 20, firsts: Column | None = None) -> Column:
+    """How many words at the start are a running head of repeated (an array of normal forms); 0: none. firsts: their first
+    words (first_words), if known, by which most texts are found to begin with none.
 
     The normal form of some first words is put together from words that are normal themselves; a number at either end,
     beside other words, does not count.
     """
+    firsts = first_words(repeated) if firsts is None else firsts
     head = F.regexp_extract(strip(c), rf"(?U)^(?:[^{C.SPACE}]+[{C.SPACE}]*){{1,{most}}}", 0)  # so that long texts cost no more than short ones
     number = lambda w: w.rlike(r"(?U)^\d+$")
-    words = F.transform(F.split(collapse(head), " "), lambda w: F.struct(F.regexp_replace(F.lower(w), r"(?U)\d+", "#").alias("w"), number(w).alias("number")))
+    normal = lambda w: F.regexp_replace(F.lower(w), r"(?U)\d+", "#")
 
     def longest(x: Column) -> Column:
-        plain = F.transform(x, lambda w: w["w"])
-        skip = F.when(F.get(x, F.lit(0))["number"], 1).otherwise(0)
+        plain, numbers = x["plain"], x["numbers"]
+        skip = F.when(F.get(numbers, F.lit(0)), 1).otherwise(0)
 
         def hit(n: Column) -> Column:
             first = F.when(n > 1, skip).otherwise(0)
-            last = F.when(F.get(x, n - 1)["number"] & (n - first > 1), n - 1).otherwise(n)
+            last = F.when(F.get(numbers, n - 1) & (n - first > 1), n - 1).otherwise(n)
             return F.array_contains(repeated, F.array_join(F.slice(plain, first + 1, last - first), " "))
 
-        return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), F.size(x)), hit)), F.lit(0))
+        return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), F.size(plain)), hit)), F.lit(0))
 
     # Bound once: an expression inside a lambda runs anew for each element.
-    return F.when(F.size(repeated) > 0, F.get(F.transform(F.array(words), longest), F.lit(0))).otherwise(F.lit(0))
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+
+    def begun(words: Column) -> Column:
+        one, two = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+        may = F.array_contains(firsts, normal(one)) | (number(one) & F.array_contains(firsts, F.coalesce(normal(two), F.lit(""))))
+        made = F.struct(F.transform(words, normal).alias("plain"), F.transform(words, number).alias("numbers"))
+        return F.when(may, bound(made, longest)).otherwise(F.lit(0))
+
+    return F.when(F.size(repeated) > 0, bound(F.split(collapse(head), " "), begun)).otherwise(F.lit(0))
 
 
 def join_unit(before: Column, part: Column) -> Column:

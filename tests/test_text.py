@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +84,31 @@ def test_trimming_takes_what_the_class_takes(spark):
     assert sorted(r["c"] for r in spaces.collect()) == sorted(C.SPACES)
     both = F.concat(F.lit(C.SPACES), F.lit("a b"), F.lit(C.SPACES))
     assert spark.range(1).select(T.strip(both), T.rstrip(both), T.lstrip(both)).first()[:] == ("a b", C.SPACES + "a b", "a b" + C.SPACES)
+
+
+def test_rows_of_numbers(spark):
+    made = ["1 2 3", " 1\t2\u00a0 3.5\n", "1 2", "a 1,2 b 3% c (4)", "1 2x 3", "a * b", "a * b * c", "**", "*", "a | b", "\u0661 \u0662 \u0663", ""]
+    df = spark.createDataFrame([(t,) for t in made], "t string")
+    got = [tuple(r) for r in df.select(T.number_tokens(F.col("t")), T.is_table_row(F.col("t"))).collect()]
+    token = re.compile(r"[0-9.,%$/\[\]()·~-]+")
+    want = [sum(bool(token.fullmatch(w)) for w in t.split()) for t in made]
+    assert got == [(n, t.count("*") >= 2 or "|" in t or n >= 3) for n, t in zip(want, made, strict=True)]
+    # One pass over a text, and none that makes another text of it.
+    assert "regexp_replace" not in str(T.is_table_row(F.col("t")))
+
+
+def test_running_heads_against_a_loop(spark):
+    rng = random.Random(5)
+    words = ["12", "the", "Model", "7", "a3"]
+    norm = lambda t: re.sub(r"\d+", "#", re.sub(r"^\d+\s+|\s+\d+$", "", t.lower())).strip()
+    rows = []
+    for _ in range(150):
+        heads = [norm(" ".join(rng.choices(words, k=rng.randint(1, 3)))) for _ in range(rng.randint(0, 4))]
+        rows += [(heads, " ".join(rng.choices(words, k=rng.randint(1, 5))))]
+    df = spark.createDataFrame(rows, "heads array<string>, t string")
+    n = [T.leading_repeat_words(F.col("t"), F.col("heads"), firsts=f) for f in (T.first_words(F.col("heads")), None)]
+    got = [tuple(r) for r in df.select(*n).collect()]
+    for (heads, t), (with_firsts, without) in zip(rows, got, strict=True):
+        w = t.split()
+        want = max((k for k in range(1, len(w) + 1) if norm(" ".join(w[:k])) in heads), default=0)
+        assert with_firsts == without == want, (heads, t)
