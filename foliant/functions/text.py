@@ -189,11 +189,13 @@ def safe_stem(c: Column) -> Column:
 
 
 def number_tokens(c: Column) -> Column:
-    return F.regexp_count(collapse(c), F.lit(rf"(?:^| ){C.NUMBER_TOKEN}(?= |$)"))
+    """Words of digits and their marks, between spaces of any kind."""
+    space = rf"(?U:[{C.SPACE}])"
+    return F.regexp_count(c, F.lit(rf"(?:^|{space}){C.NUMBER_TOKEN}(?={space}|\z)"))
 
 
 def is_table_row(c: Column) -> Column:
-    return (F.regexp_count(c, F.lit(r"\*")) >= 2) | F.contains(c, F.lit("|")) | (number_tokens(c) >= 3)
+    return F.contains(c, F.lit("|")) | (F.length(c) - F.length(F.replace(c, F.lit("*"), F.lit(""))) >= 2) | (number_tokens(c) >= 3)
 
 
 def math_ratio(spans: Column) -> Column:

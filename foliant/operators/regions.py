@@ -96,10 +96,11 @@ def column_bounds(targets: DataFrame, lines: DataFrame) -> DataFrame:
     return targets.join(bounds, PAGE).select(*targets.columns, side("x0").alias("left"), side("x1").alias("right"))
 
 
-def _told(lines: DataFrame) -> DataFrame:
-    """lines with tabular, whether each is a row of numbers, in place of its text: told once a line, before lines meet what
-    stands on their page, and not once for every such pair."""
-    return lines.withColumn("tabular", T.is_table_row(F.col("text"))).drop("text")
+def _told(lines: DataFrame, *columns: str | Column) -> DataFrame:
+    """The page and the columns of lines with tabular, whether each is a row of numbers, in place of its text: told once a
+    line, before lines meet what stands on their page, and not once for every such pair; not at all, if lines have it."""
+    tabular = F.col("tabular") if "tabular" in lines.columns else T.is_table_row(F.col("text"))
+    return lines.select(*PAGE, *columns, tabular.alias("tabular"))
 
 
 def is_prose(lo: Column, hi: Column, column_width: Column, x0: Column | None = None, x1: Column | None = None) -> Column:
@@ -128,7 +129,7 @@ def region_edge(captions: DataFrame, lines: DataFrame, above: bool) -> DataFrame
     captions: t_id, page, x0, x1, y0, y1, height, lo, hi, left, right. Gives t_id and edge."""
     # A target stands on one page, so all windows keep the dealing by page that the join needs: no pair is dealt anew.
     one = [*PAGE, "t_id"]
-    l = _told(lines.select(*PAGE, "line_no", "text", "size", F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1")))
+    l = _told(lines, "line_no", "size", "x0", "x1", "y0", "y1")
     c = captions.select("t_id", *PAGE, F.col("x0").alias("c_x0"), F.col("x1").alias("c_x1"), F.col("y0").alias("c_y0"), F.col("y1").alias("c_y1"), "height", "lo", "hi", "left", "right")
     y0, top, bottom = F.col("y0"), F.col("c_y0"), F.col("c_y1")
     reach = overlaps(F.col("x0"), F.col("x1"), F.col("c_x0"), F.col("c_x1"))
@@ -165,7 +166,7 @@ def label_growth(seeds: DataFrame, lines: DataFrame) -> DataFrame:
     one = [*PAGE, "t_id"]  # a seed stands on one page, by which lines and seeds are dealt
     s = seeds.select("t_id", *PAGE, "x0", "x1", F.lit(True).alias("seed"))
     box = seeds.select("t_id", *PAGE, *[F.col(c).alias(f"r_{c}") for c in ("x0", "x1", "y0", "y1")], "lo", "hi")
-    l = box.join(_told(lines.select(*PAGE, "x0", "x1", "y0", "size", "text")), PAGE)
+    l = box.join(_told(lines, "x0", "x1", "y0", "size"), PAGE)
     l = l.where(F.col("y0").between(F.col("r_y0"), F.col("r_y1")) & ~is_prose(F.col("lo"), F.col("hi"), F.col("r_x1") - F.col("r_x0")))
     order = Window.partitionBy(*one).orderBy("x0", "x1", F.col("seed").desc())
     rows = s.unionByName(l.select("t_id", *PAGE, "x0", "x1", F.lit(False).alias("seed")))
@@ -187,8 +188,7 @@ def expanded(regions: DataFrame, ink: DataFrame, spans: DataFrame, lines: DataFr
         .withColumn("n_y0", F.greatest(F.lit(0.0), F.least("y0", F.col("i_y0") - 2)))
         .withColumn("n_y1", F.least("height", F.greatest("y1", F.col("i_y1") + 2)))
     )
-    l = lines.select(*PAGE, F.col("x0").alias("l_x0"), F.col("x1").alias("l_x1"), F.col("y0").alias("l_y0"), "size", "text")
-    l = _told(l)
+    l = _told(lines, F.col("x0").alias("l_x0"), F.col("x1").alias("l_x1"), F.col("y0").alias("l_y0"), "size")
     middle = (F.col("l_x0") + F.col("l_x1")) / 2
     within = lambda p: middle.between(F.col(f"{p}x0"), F.col(f"{p}x1")) & F.col("l_y0").between(F.col(f"{p}y0"), F.col(f"{p}y1"))
     prose = is_prose(F.col("lo"), F.col("hi"), F.col("x1") - F.col("x0"), F.col("l_x0"), F.col("l_x1"))
@@ -279,14 +279,13 @@ def plan(lines: DataFrame, pages: DataFrame, tables: DataFrame | None = None, gr
     above them. Regions are numbered by height; at one height tables come first, then captions, then equations. What
     several steps read is written once (foliant.shared); without that the plan would hold each step many times over.
     """
-    bodies = layout.body_sizes(lines)
     spark, columns = lines.sparkSession, [*PAGE, *BOX, "y", "kind", "cap_text", "anchor", "rank", "at"]
     none = spark.createDataFrame([], lines.select(*PAGE, *BOX).schema)
     text = lambda c: F.lit(c).cast("string")
-    band = layout.body_band(lines, bodies)
+    band = layout.body_measures(lines)
     placed = lines.join(pages, PAGE).withColumn("t_id", F.struct(*PAGE, "line_no"))
-    placed = cut(column_bounds(placed, lines).join(band, "doc_id", "left").na.fill({"body_size": 0.0, "lo": 0.0, "hi": 0.0}), "placed-lines")
-    lines = placed.select(*lines.columns)
+    placed = cut(column_bounds(placed, lines).join(band, "doc_id", "left").na.fill({"body_size": 0.0, "lo": 0.0, "hi": 0.0}).withColumn("tabular", T.is_table_row(F.col("text"))), "placed-lines")
+    lines = placed.select(*lines.columns, "tabular")
 
     pad = (none if tables is None else tables).select(*PAGE, *BOX)
     rect = pad.select(*PAGE, (F.col("x0") - C.PAD).alias("x0"), (F.col("y0") - C.PAD).alias("y0"), (F.col("x1") + C.PAD).alias("x1"), (F.col("y1") + 1).alias("y1"), F.col("y0").alias("y"))

@@ -530,3 +530,12 @@ def test_pairs_of_lines_stay_dealt_by_page(spark, capsys, of):
     capsys.readouterr()
     made.explain()
     assert "hashpartitioning(t_id" not in capsys.readouterr().out
+
+
+def test_a_plan_tells_rows_of_numbers_once(spark, monkeypatch):
+    calls, tell = [], T.is_table_row
+    monkeypatch.setattr(T, "is_table_row", lambda c: calls.append(c) or tell(c))
+    lines = spark.createDataFrame([line(0, 0, 60, 100, 8, "1 2 3 4 5 6 7 8"), line(0, 1, 60, 130, 8, "words " * 8), line(0, 2, 60, 200, 6, "Figure 1. A")], LINE)
+    pages = spark.createDataFrame([(1, 0, 530.0, 800.0)], "doc_id long, pno int, width double, height double")
+    assert [r["kind"] for r in regions.plan(lines, pages).collect()] == ["figure"]
+    assert len(calls) == 1
