@@ -5,8 +5,11 @@ import os
 import duckdb
 import pytest
 
+from foliant import api
+from foliant.operators import regions
 from foliant.plans import queries
 from foliant.plans.queries import ORACLE_SQL, QUERIES
+from foliant.shared import cut
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -39,3 +42,27 @@ def test_paragraphs_are_read_where_they_lie(spark):
     """The links' paragraphs are not dealt and written once more before the joins, which do so themselves."""
     paras, made = queries._regions(spark, DATA, 3)
     assert all("documents.parquet" in f for f in [*paras.inputFiles(), *made.inputFiles()])
+
+
+def test_regions_of_candidates_count(spark, monkeypatch):
+    """What postprocess_candidates gives the plan has regions of all kinds, and drawings change what they take out of texts."""
+    given = {}
+
+    def taken(candidates, lines, pages, tables=None, graphics=None, images=None):
+        given.update(lines=lines, pages=pages, tables=tables, graphics=graphics)
+        raise InterruptedError
+
+    monkeypatch.setattr(api, "postprocess_candidates", taken)
+    with pytest.raises(InterruptedError):
+        QUERIES["postprocess_candidates"](spark, DATA)
+
+    def planned():
+        plan = cut(regions.plan(**given), "planned")
+        kinds = {(r["kind"], r["cap_text"] is not None) for r in plan.select("kind", "cap_text").collect()}
+        return kinds, {tuple(r) for r in regions.region_chars(given["lines"], plan).collect()}
+
+    kinds, chars = planned()
+    assert kinds == {("table", False), ("figure", True), ("equation", False)}
+    made = regions.ink_box
+    monkeypatch.setattr(regions, "ink_box", lambda *a: made(*a).limit(0))
+    assert planned()[1] != chars
