@@ -66,3 +66,18 @@ def test_regions_of_candidates_count(spark, monkeypatch):
     made = regions.ink_box
     monkeypatch.setattr(regions, "ink_box", lambda *a: made(*a).limit(0))
     assert planned()[1] != chars
+
+
+def test_candidates_are_not_broadcast(spark):
+    """All that postprocess_candidates joins grows with the documents, so none of it is sent whole through the driver, though
+    here all of it is small enough."""
+
+    def ran():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = spark._jsparkSession.sharedState().statusStore().executionsList()
+        return {e.executionId(): e.physicalPlanDescription() for e in map(found.apply, range(found.size()))}
+
+    last = max(ran(), default=-1)
+    QUERIES["postprocess_candidates"](spark, DATA).write.format("noop").mode("overwrite").save()
+    plans = [plan for n, plan in ran().items() if n > last]
+    assert any("SortMergeJoin" in p for p in plans) and not [p for p in plans if "Broadcast" in p]
